@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from .fingerprints import op3_order_minhash
 from .mixing import op7_mix
+from .neardup import op8_probminhash
 from .sharding import op9_shard
+from .substrings import ORACLE as SUBSTRING_SQL
+from .substrings import op4_substring_dedup
 
 
 def queries() -> dict:
     return {
         "op3_order_minhash": op3_order_minhash,
+        "op4_substring_dedup": op4_substring_dedup,
         "op7_mix": op7_mix,
+        "op8_probminhash": op8_probminhash,
         "op9_shard": op9_shard,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_substring_dedup": SUBSTRING_SQL}
