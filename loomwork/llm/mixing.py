@@ -55,14 +55,15 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), c
     return s.withColumn("target", target)
 
 
-def mix(docs: DataFrame, quality: Column | None = None, weights: tuple[float, ...] = (5, 2, 1), cap: float = CAP, bins: int = BINS, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, quality: Column | None = None, weights: tuple[float, ...] = (5, 2, 1), cap: float = CAP, bins: int = BINS, seed: str = "mix", size: Column | None = None) -> DataFrame:
     """What the mix takes of each row: (doc_id, source, size, source_size, target, taken, epochs).
 
-    ``docs`` needs doc_id, text and source; other columns are ignored.  Two runs over the same rows agree.
+    ``docs`` needs doc_id, source, and text unless ``size`` gives the words of each row; other columns are ignored.  Two
+    runs over the same rows agree.
     """
     q = F.greatest(F.coalesce((quality if quality is not None else F.lit(1.0)).cast("double"), F.lit(1.0)), F.lit(1e-6))
     key = -F.log(unit(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) / q
-    rows = docs.select("doc_id", "source", words_in().alias("size"), key.alias("key"))
+    rows = docs.select("doc_id", "source", (words_in() if size is None else size).alias("size"), key.alias("key"))
     rows = rows.withColumn("bin", F.least(F.floor((1 - F.exp(-F.col("key"))) * bins), F.lit(bins - 1)).cast("int"))
     rows = settle(rows, "mix")
     binned = settle(rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"), F.count("*").alias("n")), "mixbins")
@@ -105,6 +106,6 @@ UNLABELLED = 0.5
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixes all documents; quality weights come from ``labels``."""
     weights = quality_weights(table(spark, sf_dir, "labels"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    docs = docs.join(weights, "doc_id", "left")
-    return mix(docs, F.coalesce(F.col("quality_weight"), F.lit(UNLABELLED))).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", words_in().alias("size")).join(weights, "doc_id", "left")
+    quality = F.coalesce(F.col("quality_weight"), F.lit(UNLABELLED))
+    return mix(docs, quality, size=F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
