@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fingerprints import op3_order_minhash
+from .language_model import op10_kneser_ney
 from .mixing import op7_mix
 from .neardup import op8_probminhash
 from .sharding import op9_shard
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op7_mix": op7_mix,
         "op8_probminhash": op8_probminhash,
         "op9_shard": op9_shard,
+        "op10_kneser_ney": op10_kneser_ney,
     }
 
 
