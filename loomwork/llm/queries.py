@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op2_decontaminate
 from .fingerprints import op3_order_minhash
 from .language_model import op10_kneser_ney
 from .mixing import op7_mix
@@ -13,6 +14,7 @@ from .substrings import op4_substring_dedup
 
 def queries() -> dict:
     return {
+        "op2_decontaminate": op2_decontaminate,
         "op3_order_minhash": op3_order_minhash,
         "op4_substring_dedup": op4_substring_dedup,
         "op7_mix": op7_mix,
