@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op2_decontaminate
 from .fingerprints import op3_order_minhash
+from .language_id import op6_langid
 from .language_model import op10_kneser_ney
 from .mixing import op7_mix
 from .neardup import op8_probminhash
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op2_decontaminate": op2_decontaminate,
         "op3_order_minhash": op3_order_minhash,
         "op4_substring_dedup": op4_substring_dedup,
+        "op6_langid": op6_langid,
         "op7_mix": op7_mix,
         "op8_probminhash": op8_probminhash,
         "op9_shard": op9_shard,
