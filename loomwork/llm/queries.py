@@ -11,10 +11,12 @@ from .neardup import op8_probminhash
 from .sharding import op9_shard
 from .substrings import ORACLE as SUBSTRING_SQL
 from .substrings import op4_substring_dedup
+from .toxicity import op1_toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_decontaminate": op2_decontaminate,
         "op3_order_minhash": op3_order_minhash,
         "op4_substring_dedup": op4_substring_dedup,
