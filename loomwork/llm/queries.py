@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op2_decontaminate
 from .fingerprints import op3_order_minhash
+from .html_text import op5_html_extract
 from .language_id import op6_langid
 from .language_model import op10_kneser_ney
 from .mixing import op7_mix
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op2_decontaminate": op2_decontaminate,
         "op3_order_minhash": op3_order_minhash,
         "op4_substring_dedup": op4_substring_dedup,
+        "op5_html_extract": op5_html_extract,
         "op6_langid": op6_langid,
         "op7_mix": op7_mix,
         "op8_probminhash": op8_probminhash,
