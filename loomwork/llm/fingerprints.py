@@ -76,7 +76,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame, columns: list[str], buckets: int | None = None) -> DataFrame:
-    """Adds next_<column>: the value in the next row by descending doc_id, and after the last row the first row's.
+    """Adds next_<column>: the value in the next row by descending doc_id (rows of one id by the first of the columns), and
+    after the last row the first row's.
 
     Rows are dealt to ranges of ids; the first row of each range is also given to the range before it, so no range needs
     another.  Only one number for each range is known to the driver.
@@ -96,10 +97,10 @@ def with_next(docs: DataFrame, columns: list[str], buckets: int | None = None) -
     is_head = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) == head
     rows = docs.withColumn("_bucket", bucket)
     rows = rows.withColumn("_at", F.explode(F.when(is_head, F.array(own(F.col("_bucket"), False), own(to, True))).otherwise(F.array(own(F.col("_bucket"), False)))))
-    w = Window.partitionBy("_at.b").orderBy("_at.guest", F.col("doc_id").desc_nulls_last(), *[F.col(c) for c in columns])
-    for c in columns:
-        rows = rows.withColumn(f"next_{c}", F.lead(c).over(w))
-    return rows.where(~F.col("_at.guest")).drop("_bucket", "_at")
+    rows = rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_at.b").alias("_b"), F.col("_at.guest").alias("_guest"))
+    w = Window.partitionBy("_b").orderBy("_guest", F.col("doc_id").desc_nulls_last(), columns[0])
+    rows = rows.withColumn("_next", F.lead(F.struct(*columns)).over(w)).where(~F.col("_guest"))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])
 
 
 def order_minhash(docs: DataFrame, k: int = K) -> DataFrame:

@@ -103,6 +103,20 @@ def quality_weights(labels: DataFrame) -> DataFrame:
 UNLABELLED = 0.5
 
 
+def mixed(docs: DataFrame, weights: DataFrame) -> DataFrame:
+    """The rows of the mix, with all columns: each as often as the mix takes it, a part of a document rounded.
+
+    ``weights`` is (doc_id, quality_weight).  Documents without words are never taken.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "source", text_of()).alias("_h"))
+    narrow = docs.select("doc_id", "source", words_in().alias("size"), F.xxhash64("doc_id", "source", text_of()).alias("_h"))
+    narrow = settle(narrow.groupBy("_h").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.first("size").alias("size"), F.count("*").alias("copies")), "narrow")
+    each = narrow.join(weights, "doc_id", "left")
+    taken = mix(each.withColumn("doc_id", F.col("_h")).withColumn("size", F.col("size") * F.col("copies")), F.coalesce(F.col("quality_weight"), F.lit(UNLABELLED)), size=F.col("size"))
+    times = taken.where("size > 0").select(F.col("doc_id").alias("_h"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")).where("_times > 0")
+    return rows.join(times, "_h").select(F.explode(F.array_repeat("_row", F.col("_times"))).alias("_row")).select("_row.*")
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixes all documents; quality weights come from ``labels``."""
     weights = quality_weights(table(spark, sf_dir, "labels"))

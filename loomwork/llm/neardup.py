@@ -170,6 +170,23 @@ def near_classes(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, band
     return signed.join(named, "digest").select("doc_id", "class_id", "class_size")
 
 
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """One row of each class, that of the smallest doc_id, with all columns; rows without an id or class all stay.
+
+    Of rows that share the smallest id of a class the first by text hash stays.
+    """
+    classes = near_classes(docs, **options)
+    named = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(named.alias("_row"), F.col("doc_id").cast("long").alias("_id"))
+    kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias("_id")).distinct()
+    first = rows.join(kept, "_id", "left_semi").select("_row", "_id", F.xxhash64(text_of("_row.text")).alias("_h"))
+    least = first.groupBy("_id").agg(F.min("_h").alias("_h"), F.count("*").alias("_n"))
+    single = first.join(least, ["_id", "_h"])
+    once = single.where("_n = 1").select("_row")
+    several = single.where("_n > 1").dropDuplicates(["_id"]).select("_row")
+    return once.unionByName(several).unionByName(rows.where("_id IS NULL").select("_row")).select("_row.*")
+
+
 def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of each document."""
     return near_classes(table(spark, sf_dir, "documents"))

@@ -204,6 +204,14 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(lambda it: _scored(it, shared.value), f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
 
 
+def without_toxic(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score under the threshold, with all their columns; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(lambda it: _scored(it, shared.value), f"row {kind}, score double").where(F.col("score") < threshold).select("row.*")
+
+
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     """Fits on the labelled rows of the training folds."""
     return fit(labelled(docs.where(remainder(3) != 1), labels))
