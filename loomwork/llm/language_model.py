@@ -93,6 +93,8 @@ def _count(batches: Iterator[pa.RecordBatch], common: np.ndarray, shards: int) -
         h, u, v, c = (np.concatenate(x) for x in zip(*kept, strict=True))
         kept.clear()
         h, first, c = _summed(h, c)
+        order = np.argsort(u[first], kind="stable")  # equal words side by side compress well
+        h, first, c = h[order], first[order], c[order]
         u, v = u[first], v[first]
         shard = pair_shard(u, h, common, shards).astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(as_long(u)), pa.array(as_long(v)), pa.array(c)], ["shard", "u", "v", "c"])
@@ -269,7 +271,8 @@ def train(texts: DataFrame, shards: int | None = None) -> dict:
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = new_path(spark, "model")
     texts = texts.select(text_of().alias("text"))
-    some = texts.where(F.octet_length("text") < 1 << 16).limit(SAMPLE_TEXTS).mapInArrow(_unigrams, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    share = min(1.0, SAMPLE_TEXTS / max(1, texts.count()))
+    some = texts.where(F.pmod(F.xxhash64(F.lit("common"), "text"), F.lit(1 << 20)) < share * (1 << 20)).mapInArrow(_unigrams, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     often = some.orderBy(F.desc("n"), "word").limit(1024).collect()
     all_n = sum(r["n"] for r in often)
     common = np.sort(np.array([r["word"] for r in often if r["n"] > all_n / (8 * shards)], np.int64).view(np.uint64))
