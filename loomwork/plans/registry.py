@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import graph_plans, record_plans, search_plans
+
+PLANS = (search_plans, graph_plans, record_plans)
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for plan in PLANS for name, q in plan.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for plan in PLANS for name, sql in plan.oracle_sql().items()}
