@@ -5,11 +5,19 @@ rate; arrivals go to random components, each component keeps its earliest arriva
 its next arrival is later than all components' (early termination).  Two texts agree in a component with the
 probability Jaccard similarity J_P of the weighted sets, which is the plain Jaccard similarity where counts are equal.
 
-128 components in 32 bands of 4 make candidates (a pair at 0.8 is missed with a chance of 5e-8); each candidate link is
+128 components in 32 bands of 4 make candidates (a pair at 0.8 is missed with a chance of 5e-8).  A candidate link is
 verified by the exact J_P of the whole texts, at 0.8 or more; classes are the connected components of the links.
-Equal texts are collapsed first.  Links are sought only where they can join two classes: first each text with the
-candidate it shares most bands with, then all candidate pairs whose classes still differ.  If such pairs are too many
-to list, each bucket is worked off one pivot at a time, in linear steps, until they aren't; no bucket is capped.
+Equal texts are collapsed first.
+
+Links are sought only where they can join two classes.  First each text is tried with the candidate that it shares most
+bands with.  Where a bucket still holds several classes, its texts are dealt anew by their rarest shingles: two texts
+with J_P >= t share at least the weight t of either text, so with shingles in any common order (here by frequency)
+they share one among the first 1 - t of the weight of each.  This loses nothing, and texts that share a common
+passage but little else no longer meet.  Pairs of different classes in these finer buckets
+are verified: after two rounds in which the texts of a large bucket meet one pivot, pairs are listed for buckets of
+a bounded size, and larger ones are split into blocks; a task gets two blocks and multiplies their shingle
+matrices, which bounds J_P for all their pairs at once (with a and b the shared parts of either text's weight,
+J_P <= 1 / (1/a + 1/b - 1)), and verifies what is left.  No bucket is capped, and no list of all pairs is made.
 
 Defined cases: a text under five words is a single shingle; texts without words (null among them) are in one class only with
 equal texts, null being empty; a row with a null doc_id takes the class of its text, null if no other row has it; an
@@ -30,8 +38,11 @@ from .shared import forget, settle, table, text_of
 from .textvec import as_long, counted, mix64, shingles, slices, split_words
 
 K, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 4
-#: Candidate pairs that are listed at once, for each representative.
-PAIRS_AT_ONCE = 8
+#: Rounds in which the texts of large buckets meet one pivot; buckets up to LARGE rows are listed pair by pair, and larger
+#: ones compared block by block.
+PIVOTS, LARGE, BLOCK = 2, 48, 512
+#: Slots in which shingles are counted for their order; the order decides the cost, never the result.
+RANK_BITS = 18
 _SLICE = 2 << 20
 _U = np.uint64
 
@@ -114,60 +125,149 @@ def _verified(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> It
         yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
+def _ranks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """How many texts have a shingle of each hash slot."""
+    n = np.zeros(1 << RANK_BITS, np.int64)
+    for b in batches:
+        for lo, to in slices(b.column(0), _SLICE):
+            _, value, _ = counted(*shingles(split_words(b.column(0)[lo:to]), k))
+            n += np.bincount((value >> _U(64 - RANK_BITS)).astype(np.int64), minlength=1 << RANK_BITS)
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["slot", "n"])
+
+
+def _rarest(batches: Iterator[pa.RecordBatch], k: int, threshold: float, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each text's shingles in order of rank, as far as the weight before them is at most 1 - threshold of all."""
+    for b in batches:
+        for lo, to in slices(b.column(1), _SLICE):
+            doc, value, count = counted(*shingles(split_words(b.column(1)[lo:to]), k))
+            order = np.lexsort((value, rank[(value >> _U(64 - RANK_BITS)).astype(np.int64)], doc))
+            doc, value, count = doc[order], value[order], count[order]
+            total = np.bincount(doc, count, to - lo)
+            before = np.cumsum(count) - count
+            before = before - np.concatenate([[0], np.cumsum(total)])[doc]
+            keep = before <= (1 - threshold) * total[doc] + 1e-9
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(value[keep])), b.column(0).take(pa.array(doc[keep] + lo))], ["key", "rep"])
+
+
+def _block_links(t: pa.Table, k: int, threshold: float) -> pa.Table:
+    """Links between the texts of two blocks, one for each pair of classes at most."""
+    ids, label, own = (t.column(x).to_numpy() for x in ("rep", "label", "own"))
+    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    doc, value, count = counted(*shingles(split_words(t.column("text").combine_chunks()), k))
+    first, second = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    total = np.maximum(np.bincount(doc, count, len(ids)), 1)
+    code = np.unique(value, return_inverse=True)[1]
+    of_first, of_second = np.zeros((len(first), len(second)), np.float32), np.zeros((len(first), len(second)), np.float32)
+    place = np.full(len(ids), -1)
+    step = max(1, (32 << 20) // max(len(first) + len(second), 1))
+    for lo in range(0, int(code.max(initial=-1)) + 1, step):
+        m = (code >= lo) & (code < lo + step)
+        sides = []
+        for side in (first, second):
+            place[:] = -1
+            place[side] = np.arange(len(side))
+            at = m & (place[doc] >= 0)
+            dense = np.zeros((len(side), min(step, int(code.max()) + 1 - lo)), np.float32)
+            dense[place[doc[at]], code[at] - lo] = count[at]
+            sides.append(dense)
+        of_first += sides[0] @ (sides[1] > 0).T.astype(np.float32)
+        of_second += (sides[0] > 0).astype(np.float32) @ sides[1].T
+    with np.errstate(divide="ignore"):
+        most = 1 / (total[first][:, None] / of_first + total[second][None, :] / of_second - 1)
+    most[(of_first == 0) | (of_second == 0)] = 0
+    x, y = np.nonzero((most >= threshold - 1e-6) & (label[first][:, None] != label[second][None, :]))
+    cut = np.searchsorted(doc, np.arange(len(ids) + 1))
+    seen, out = set(), []
+    for p, q in zip(first[x].tolist(), second[y].tolist(), strict=True):
+        pair = (min(label[p], label[q]), max(label[p], label[q]))
+        if pair not in seen:
+            s, r = slice(cut[p], cut[p + 1]), slice(cut[q], cut[q + 1])
+            if probability_jaccard(value[s], count[s], value[r], count[r]) >= threshold:
+                seen.add(pair)
+                out.append(sorted((int(ids[p]), int(ids[q]))))
+    return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+
+def roots(links: DataFrame) -> DataFrame:
+    """(id, label) of links (a, b) with a < b, each b in one link: the smallest id of each tree, by pointer doubling."""
+    labels = links.select(F.col("b").alias("id"), F.col("a").alias("label"))
+    while True:
+        up = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
+        labels = settle(labels.join(up, "label", "left").select("id", F.coalesce("further", "label").alias("label"), F.col("further").isNotNull().alias("moved")), "roots")
+        if labels.where("moved").isEmpty():
+            return labels.drop("moved")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after more links between classes."""
+    of = lambda x: labels.select(F.col("id").alias(x), F.col("label").alias(f"l{x}"))
+    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    found = components(named.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+    moved = labels.join(found.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left")
+    return settle(moved.select("id", F.coalesce("to", "label").alias("label")).union(found.where("id <> label")), "labels")
+
+
 def near_classes(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, class_id, class_size): the class of each row, named by its smallest doc_id."""
+    """(doc_id, class_id): the class of each row, named by its smallest doc_id."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text_of().cast("binary")).alias("digest"), text_of().alias("text"))
     signed = settle(base.mapInArrow(lambda it: _banded(it, k, bands, rows), "doc_id long, digest string, bands array<long>"), "signed")
-    groups = settle(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "groups")
-    reps = signed.join(groups.where("rep IS NOT NULL"), "digest").where("doc_id = rep").select("rep", F.explode(F.array_distinct("bands")).alias("key"))
-    buckets = reps.distinct()
-    pivots = buckets.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    buckets = settle(buckets.join(pivots, "key"), "buckets")
-    n_reps = max(1, groups.count())
-    in_doubt = settle(buckets.select("rep").distinct(), "doubt")
-    texts = settle(base.select("doc_id", "text").join(in_doubt.withColumnRenamed("rep", "doc_id"), "doc_id").dropDuplicates(["doc_id"]), "texts")
+    groups = settle(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "groups")
+    banded = groups.where("rep IS NOT NULL").select("rep", F.explode(F.array_distinct("bands")).alias("key"))
+    pivots = banded.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a < hi").drop("hi")
+    buckets = settle(banded.join(pivots, "key"), "buckets")
+    in_doubt = buckets.select(F.col("rep").alias("doc_id")).distinct()
+    texts = settle(base.select("doc_id", "text").join(in_doubt, "doc_id").dropDuplicates(["doc_id"]), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         with_b = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         with_a = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         return with_a.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verified(it, k, threshold), "a long, b long")
 
-    shared = buckets.where("a < rep").groupBy(F.col("rep").alias("b"), "a").agg(F.count("*").alias("n"))
-    best = shared.groupBy("b").agg(F.min(F.struct(-F.col("n"), "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    links = settle(verify(best), "links")
-    labels = components(links)
-    left = buckets.select("key", "rep")
-    while True:
-        named = left.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-        open_ = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        named = settle(named.join(open_, "key"), "open")
-        each = named.groupBy("key", "label").agg(F.count("*").alias("n"))
-        each = each.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        pairs = each.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
-        if not pairs:
-            break
-        last = pairs <= PAIRS_AT_ONCE * n_reps
-        if last:
-            x, y = named.alias("x"), named.alias("y")
-            found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")))
-            found = found.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        else:
-            pivot = settle(named.groupBy("key").agg(F.min(F.struct("rep", "label")).alias("p")), "pivots")
-            met = named.join(pivot, "key").where("rep > p.rep")
-            found = met.where("label <> p.label").select(F.col("p.rep").alias("a"), F.col("rep").alias("b"))
-            left = settle(met.select("key", "rep"), "left")
+    best = buckets.where("a < rep").groupBy(F.col("rep").alias("b")).agg(F.mode("a", True).alias("a"))
+    labels = roots(settle(verify(best), "links"))
+    named = buckets.select("key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+    named = settle(named, "named")
+    several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    open_ = named.join(several, "key").select(F.col("rep").alias("doc_id")).distinct()
+    open_ = settle(texts.join(open_, "doc_id"), "open")
+    slots = open_.select("text").mapInArrow(lambda it: _ranks(it, k), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    rank = np.zeros(1 << RANK_BITS, np.int32)
+    rank[slots.column("slot").to_numpy()] = np.minimum(slots.column("n").to_numpy(), 2**31 - 1)
+    shared = spark.sparkContext.broadcast(rank)
+    rarest = settle(open_.mapInArrow(lambda it: _rarest(it, k, threshold, shared.value), "key long, rep long"), "rarest")
+
+    def open_rows(rows: DataFrame) -> DataFrame:
+        """(key, rep, label, n) of the buckets that still hold several classes."""
+        named = rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+        of_key = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+        return named.join(of_key, "key")
+
+    for _ in range(PIVOTS):  # most texts of a large group are linked to its class in linear steps
+        rows = settle(open_rows(rarest), "openrows")
+        pivot = rows.where(F.col("n") > LARGE).groupBy("key").agg(F.min_by(F.struct("rep", "label"), F.xxhash64("rep")).alias("p"))
+        found = rows.join(pivot, "key").where("label <> p.label").select(F.least("p.rep", "rep").alias("a"), F.greatest("p.rep", "rep").alias("b"))
         more = settle(verify(found.distinct()), "links")
-        forget(spark, named)
-        links = links.unionByName(more)
-        if not more.isEmpty():
-            labels = components(links)
-        if last:
+        if more.isEmpty():
             break
-    named = groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("class_id"), "n")
-    sizes = named.where("class_id IS NOT NULL").groupBy("class_id").agg(F.sum("n").alias("class_size"))
-    named = named.join(sizes, "class_id", "left").select("digest", "class_id", F.coalesce("class_size", "n").alias("class_size"))
-    return signed.join(named, "digest").select("doc_id", "class_id", "class_size")
+        labels = merged(labels, more)
+        rarest = rows.select("key", "rep")
+    rows = settle(open_rows(rarest.select("key", "rep")), "openrows")
+    x, y = rows.where(F.col("n") <= LARGE).alias("x"), rows.where(F.col("n") <= LARGE).alias("y")
+    found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")))
+    found = verify(found.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
+    large = rows.where(F.col("n") > LARGE).join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    n_blocks = F.ceil(F.col("n") / BLOCK)
+    own = F.pmod(F.xxhash64(F.lit("block"), "rep"), n_blocks)
+    large = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
+    large = large.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label", "text")
+    within = large.groupBy("key", "i", "j").applyInArrow(lambda t: _block_links(t, k, threshold), "a long, b long")
+    more = settle(found.union(within), "links")
+    if not more.isEmpty():
+        labels = merged(labels, more)
+    named = groups.select("digest", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
+    return signed.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
