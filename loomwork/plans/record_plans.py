@@ -57,7 +57,7 @@ def node_merge(spark, sf_dir):
 
 def all_tags_filter(spark, sf_dir):
     tags = F.split("p_type", " ")
-    asked = F.array(F.split(F.lit("STEEL"), ",")[0])
+    asked = F.array(F.split(F.lit("PROMO"), ",")[0])
     return table(spark, sf_dir, "part").where(F.size(F.array_except(F.transform(asked, F.upper), F.transform(tags, F.upper))) == 0).select("p_partkey")
 
 
@@ -203,7 +203,7 @@ def oracle_sql() -> dict[str, str]:
             b AS (SELECT p_partkey AS id, p_name AS target, 'f' || p_size AS location, ['source', p_brand] AS tags FROM part WHERE p_partkey % 5 < 3)
             SELECT coalesce(a.id, b.id) AS id, coalesce(a.target, b.target) AS target, CASE WHEN a.id IS NOT NULL THEN 'sidecar' ELSE 'source' END AS kind, b.location, array_to_string(list_sort(list_distinct(list_concat(coalesce(a.tags, []), coalesce(b.tags, [])))), ',') AS tags,
               CASE WHEN a.id IS NOT NULL THEN a.attributes ELSE 'dropped' END AS attributes FROM a FULL JOIN b ON a.id = b.id""",
-        "all_tags_filter": "SELECT p_partkey FROM part WHERE list_contains(string_split(upper(p_type), ' '), 'STEEL')",
+        "all_tags_filter": "SELECT p_partkey FROM part WHERE list_contains(string_split(upper(p_type), ' '), 'PROMO')",
         "list_filter": "SELECT p_partkey, p_brand, CAST(p_size AS BIGINT) AS p_size FROM part WHERE p_brand LIKE '%1' AND p_size BETWEEN 10 AND 30",
         "implicit_edges": "SELECT l_partkey AS id, count(*) AS members FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 25) GROUP BY 1",
         "unresolved_refs": "SELECT DISTINCT l_orderkey, -l_suppkey AS s FROM lineitem WHERE l_linenumber = 7 AND -l_suppkey NOT IN (SELECT s_suppkey FROM supplier)",
