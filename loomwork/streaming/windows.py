@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def event_counts(events: DataFrame, width: str = "1 day", late: str = "2 hours") -> DataFrame:
     """(window, event_type, n, total) of events (ts, event_type, value); streams drop what is later than ``late``."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     return rows.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
