@@ -8,8 +8,8 @@ What the markup itself says of a line is checked against that: a line in an arti
 neighbour has it too (many sites carry copies), and menus, headers, footers, sidebars, notices, adverts, forms and
 comments go even if no neighbour has them.  A page without a neighbour keeps its other lines.
 
-Pages are numbered in URL order over all hosts and dealt to blocks of consecutive numbers, so a large host is spread over
-many tasks; the pages next to a block's ends are given to it as well.
+Pages in URL order over all hosts are dealt to blocks of equal numbers, so a large host is spread over many tasks; the
+pages next to a block's ends are given to it as well.  Only the lines of the pages are shuffled, once.
 
 Defined cases: a null html or url is empty; hosts and paths are lower-cased and lose query and fragment; pages of the same
 path are ordered by page_id; an unclosed element ends with the page, a void or raw one at once; a neighbour whose lines
@@ -48,8 +48,8 @@ COPY = 0.8
 #: Neighbours on either side that may be asked.
 REACH = 2
 
-#: Pages of a block.
-BLOCK = 256
+#: Blocks: so many for each task at most, of so many pages at least; their ends are all that the driver knows.
+BLOCKS_A_TASK, MOST_BLOCKS, LEAST_BLOCK = 4, 4096, 64
 KEPT, ASKED, GONE = 1, 0, -1
 
 
@@ -173,10 +173,11 @@ def main_text(own: list[tuple[int, str]], others: list[list[tuple[int, str]]]) -
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for lo, to in slices(b.column(1), 8 << 20):
-            pages = [lines_of(h or "") for h in b.column(1)[lo:to].to_pylist()]
+        for lo, to in slices(b.column(4), 8 << 20):
+            pages = [lines_of(h or "") for h in b.column(4)[lo:to].to_pylist()]
             kinds = pa.array([[k for k, _ in p] for p in pages], pa.list_(pa.int8()))
-            yield pa.RecordBatch.from_arrays([b.column(0)[lo:to], kinds, pa.array([[x for _, x in p] for p in pages], pa.list_(pa.string()))], ["rid", "kinds", "lines"])
+            lines = pa.array([[x for _, x in p] for p in pages], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*[b.column(i)[lo:to] for i in range(4)], kinds, lines], ["page_id", "url", "key", "near", "kinds", "lines"])
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +190,7 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = [window[j] for d in range(1, REACH + 1) for j in (i + d, i - d) if 0 <= j < len(window)]
         if not row["guest"]:
             text = main_text(row["page"], [n["page"] for n in near if n["block"] == row["block"] and n["host"] == row["host"]])
-            done.extend([(row["page_id"], row["url"], text, len(text))] * row["copies"])
+            done.append((row["page_id"], row["url"], text, len(text)))
 
     def out() -> pa.RecordBatch:
         columns = list(zip(*done, strict=True)) or [[]] * 4
@@ -214,24 +215,47 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+def url_key() -> Column:
+    """Pages in this order are in order of host, path and id."""
+    key = F.concat_ws("\x01", host(F.col("url")), path(F.col("url")), F.lpad(F.coalesce(F.col("page_id").cast("string"), F.lit("")), 20, "0"))
+    return F.translate(key, "\x1e", " ")
+
+
+def _strings(values: list[str]) -> Column:
+    return F.split(F.lit("\x1e".join(values)), "\x1e") if values else F.array().cast("array<string>")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each page."""
     spark = pages.sparkSession
-    base = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", F.coalesce("html", F.lit(""))).alias("rid"))
-    each = base.groupBy("rid").agg(F.first("page_id").alias("page_id"), F.first("url").alias("url"), F.count("*").cast("int").alias("copies"))
-    each = each.select("*", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    placed = numbered(each, [F.col("host"), F.col("path"), F.col("page_id"), F.col("rid")]).drop("path")
-    parsed = base.select("rid", "html").mapInArrow(_lines, "rid long, kinds array<tinyint>, lines array<string>").dropDuplicates(["rid"])
-    n, b = F.col("number"), F.floor(F.col("number") / BLOCK)
-    own = lambda x, guest: F.struct(x.alias("block"), F.lit(guest).alias("guest"))
-    near = F.array(own(b, False), *[own(F.floor((n + d) / BLOCK), True) for d in (-REACH, REACH)])
-    near = F.filter(near, lambda x: ~x["guest"] | (x["block"] != b))
-    rows = parsed.join(placed, "rid").withColumn("at", F.explode(near)).select("page_id", "url", "host", "copies", "kinds", "lines", "number", "at.block", "at.guest")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "block").sortWithinPartitions("block", "number").drop("number")
+    order = numbered(pages.select(url_key().alias("key")), [F.col("key")])
+    per = max(LEAST_BLOCK, -(-pages.count() // min(MOST_BLOCKS, BLOCKS_A_TASK * parts)))
+    place = F.pmod(F.col("number") - 1, F.lit(per))
+    edges = order.where(place.isin(0, REACH - 1, per - REACH)).select(((F.col("number") - 1) / per).cast("int").alias("block"), place.alias("place"), "key").collect()
+    at = {(r["block"], r["place"]): r["key"] for r in edges}
+    n = 1 + max((block for block, _ in at), default=0)
+    firsts, early, late = ([at.get((i, p), other) for i in range(n)] for p, other in ((0, ""), (REACH - 1, "\uffff"), (per - REACH, "\uffff")))
+    block, key = F.col("block"), F.col("key")
+    rows = pages.select("page_id", "url", "html", url_key().alias("key")).withColumn("block", range_of_strings(firsts[1:], key))
+    own = lambda x, guest: F.struct(x.alias("block"), F.lit(guest).alias("guest"))
+    before = F.when((block > 0) & (key <= F.get(_strings(early), block)), own(block - 1, True))
+    after = F.when((block < n - 1) & (key >= F.get(_strings(late), block)), own(block + 1, True))
+    rows = rows.withColumn("near", F.array_compact(F.array(own(block, False), before, after))).select("page_id", "url", "key", "near", "html")
+    rows = rows.mapInArrow(_lines, f"page_id {dict(pages.dtypes)['page_id']}, url string, key string, near array<struct<block:int,guest:boolean>>, kinds array<tinyint>, lines array<string>")
+    rows = rows.withColumn("at", F.explode("near")).select("page_id", "url", "key", "kinds", "lines", host(F.col("url")).alias("host"), "at.block", "at.guest")
+    rows = rows.repartition(parts, "block").sortWithinPartitions("block", "key").drop("key")
     return rows.mapInArrow(_difference, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long")
 
 
+def range_of_strings(splitters: list[str], key: Column) -> Column:
+    """The number of splitters up to the key, by binary search."""
+    steps = [1 << i for i in reversed(range(max(1, len(splitters)).bit_length()))]
+    values = _strings(splitters)
+    step = lambda p, b: F.when((p + b <= len(splitters)) & (F.try_element_at(values, (p + b).cast("int")) <= key), p + b).otherwise(p)
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
+
+
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of all pages."""
     return extract(table(spark, sf_dir, "pages"))
