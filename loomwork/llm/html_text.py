@@ -101,7 +101,8 @@ def lines_of(html: str) -> list[tuple[int, str]]:
         if m[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    flush()
+                    if any(x not in INLINE or gone or stays for x, gone, stays in stack[i:]):
+                        flush()
                     del stack[i:]
                     reset()
                     break
