@@ -109,18 +109,20 @@ def train(rows: DataFrame) -> dict | None:
         return None
     langs = sorted(counts)
     df = np.zeros((1 << BITS) + 1, np.int64)
-    for r in rows.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
-        df[r["bucket"]] = r["n"]
+    found = rows.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    df[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, PER_LANGUAGE / n))])[F.col("lang")]
     picked = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 20)) < share * (1 << 20))
-    sample = picked.mapInArrow(_vectors, "lang string, bucket array<int>, n array<float>").withColumn("order", F.xxhash64(F.lit("order"), "bucket")).toPandas()
-    sample = sample[sample["bucket"].str.len() > 0].sort_values(["order", "lang"], kind="stable")
-    model, kept = Ftrl((1 << BITS) + 1, len(langs)), []
-    examples = []
-    for lang, bucket, n in zip(sample["lang"], sample["bucket"], sample["n"], strict=True):
-        at = np.append(np.asarray(bucket, np.int64), 1 << BITS)  # the last weight is the class's own
-        x = np.append(np.asarray(n, float) * idf[at[:-1]] * (SCALE / np.sum(n)), 1.0)
+    sample = picked.mapInArrow(_vectors, "lang string, bucket array<int>, n array<float>").withColumn("order", F.xxhash64(F.lit("order"), "bucket")).toArrow()
+    sample = sample.sort_by([("order", "ascending"), ("lang", "ascending")])
+    model, examples = Ftrl((1 << BITS) + 1, len(langs)), []
+    for lang, bucket, n in zip(sample.column("lang").to_pylist(), sample.column("bucket"), sample.column("n"), strict=True):
+        bucket, n = bucket.values.to_numpy(), n.values.to_numpy()
+        if not len(bucket):
+            continue
+        at = np.append(bucket.astype(np.int64), 1 << BITS)  # the last weight is the class's own
+        x = np.append(n * idf[bucket] * (SCALE / np.sum(n)), 1.0)
         examples.append((at, x, langs.index(lang)))
     kept, learned = examples[::4], [e for i, e in enumerate(examples) if i % 4]
     for _ in range(EPOCHS):

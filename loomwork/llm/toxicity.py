@@ -6,7 +6,7 @@ labelled text the identity terms are swapped for others of their group, and the
 logit) is penalised; a text without such a term gets one inserted, as a neutral mention.  So a term of identity that
 happens to stand in toxic texts earns no weight of its own, and neutral mentions are not flagged.
 
-The fit uses at most ``PER_LABEL`` texts of each label, drawn by a hash of the text; scoring reads every whole text.
+The fit uses about ``PER_LABEL`` texts of each label at most, drawn by a hash of the id (which is no input of the score); scoring reads every whole text.
 
 Defined cases: null and empty texts have no words, and get the score of the intercept; labels are averaged if a document has
 several, and count as toxic from one half; rows without a label, or with a null id, don't take part in learning; with
@@ -26,9 +26,9 @@ from .shared import remainder, settle, table
 from .textvec import slices
 from .wordfeatures import distinct_words, grams
 
-SIZES, BITS = (4, 5, 6), 22
+SIZES, BITS = (4, 5, 6), 20
 #: The bound of the sample that the classifier is fitted on, and of its features.
-PER_LABEL, FEATURES = 6000, 8192
+PER_LABEL, FEATURES = 3000, 8192
 LEAST_TEXTS, LEAST_Z = 4, 5.5
 L2, COUNTERFACTUAL, STEPS, RATE, POSITIVE_WEIGHT = 2e-4, 1.0, 400, 0.1, 3.0
 THRESHOLD = 0.7
@@ -68,14 +68,18 @@ def _features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int
     return np.repeat(doc, size), bucket[at], np.repeat(1 + np.log(n), size), d.n_docs
 
 
-def _toxic_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << BITS, np.int32)
+def _counts(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """In how many texts of a label each feature is; of the wanted features only, if these are known."""
+    total = np.zeros((2, 1 << BITS), np.int32)
     for b in batches:
-        for lo, to in slices(b.column(0)):
-            doc, bucket, _, _ = _features(b.column(0)[lo:to])
-            total += np.bincount(np.unique(doc << BITS | bucket) & ((1 << BITS) - 1), minlength=1 << BITS).astype(np.int32)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], ["bucket", "n"])
+        toxic = b.column(0).to_numpy()
+        for lo, to in slices(b.column(1)):
+            doc, bucket, _, _ = _features(b.column(1)[lo:to])
+            doc, bucket = np.divmod(np.unique(doc << BITS | bucket), 1 << BITS)
+            for k in (0, 1):
+                total[k] += np.bincount(bucket[toxic[lo:to][doc] == k], minlength=1 << BITS).astype(np.int32)
+    at = np.flatnonzero(total.any(0)) if wanted is None else wanted
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), *[pa.array(total[k][at].astype(np.int64)) for k in (0, 1)]], ["bucket", "clean", "toxic"])
 
 
 def _chosen(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -87,52 +91,61 @@ def _chosen(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[p
             doc, bucket, amount, n = _features(column)
             at = np.searchsorted(wanted, bucket)
             hit = np.flatnonzero(wanted[np.minimum(at, len(wanted) - 1)] == bucket) if len(wanted) else np.zeros(0, np.int64)
-            ends = pa.array(np.searchsorted(doc[hit], np.arange(n + 1)).astype(np.int32))
+            key, back = np.unique(doc[hit] * max(len(wanted), 1) + at[hit], return_inverse=True)
+            ends = pa.array(np.searchsorted(key // max(len(wanted), 1), np.arange(n + 1)).astype(np.int32))
             has = [sorted({t for t in (x.as_py() or "").lower().split() if t in _TERMS}) for x in column]
-            rows = pa.ListArray.from_arrays(ends, pa.array(at[hit].astype(np.int32)))
-            amounts = pa.ListArray.from_arrays(ends, pa.array(amount[hit].astype(np.float32)))
+            rows = pa.ListArray.from_arrays(ends, pa.array((key % max(len(wanted), 1)).astype(np.int32)))
+            amounts = pa.ListArray.from_arrays(ends, pa.array(np.bincount(back, amount[hit], len(key)).astype(np.float32)))
             yield pa.RecordBatch.from_arrays([b.column(0)[lo:to], rows, amounts, pa.array([[terms.index(t) for t in x] for x in has], pa.list_(pa.int32()))], ["toxic", "features", "amounts", "terms"])
 
 
 _TERMS = frozenset(identity_swaps()[0])
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the labelled rows."""
+def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """(toxic, text) of at most about PER_LABEL rows of each label, and how many rows each label has.
+
+    Labels are joined with the ids alone and the sample is drawn there; its ids, bounded by the sample, are broadcast to the
+    texts, so no text is shuffled.
+    """
     of = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
-    return docs.select("doc_id", "text").join(of, "doc_id").select("text", "toxic")
+    ids = settle(docs.select("doc_id").join(of, "doc_id"), "labelled")
+    counts = {r["toxic"]: r["n"] for r in ids.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return docs.where(F.lit(False)).select(F.lit(0).alias("toxic"), "text"), counts
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, PER_LABEL / n))])[F.col("toxic")]
+    picked = ids.where(F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 20)) < share * (1 << 20)).distinct()
+    return settle(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", "text"), "sample"), counts
 
 
-def fit(rows: DataFrame) -> dict:
-    """Fits the classifier on (text, toxic)."""
-    counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+def fit(docs: DataFrame, labels: DataFrame) -> dict:
+    """Fits the classifier on the labelled rows of ``docs``."""
+    sample, counts = labelled_sample(docs, labels)
     if len(counts) < 2:
         share = float(next(iter(counts), 0))
         return {"buckets": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": 20.0 if share else -20.0}
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, PER_LABEL / n))])[F.col("toxic")]
-    sample = settle(rows.where(F.pmod(F.xxhash64(F.lit("toxic"), F.coalesce("text", F.lit(""))), F.lit(1 << 20)) < share * (1 << 20)), "sample")
-    n_toxic = sample.where("toxic = 1").count()
-    found = sample.where("toxic = 1").select("text").mapInArrow(_toxic_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    found = found.where(F.col("n") >= min(LEAST_TEXTS, max(1, n_toxic // 4))).toPandas().sort_values("bucket")
-    wanted = found["bucket"].to_numpy(np.int64)
-    data = sample.select("toxic", "text").mapInArrow(lambda it: _chosen(it, wanted), "toxic int, features array<int>, amounts array<float>, terms array<int>").toPandas()
-    y = data["toxic"].to_numpy(float)
-    row = np.repeat(np.arange(len(y)), data["features"].str.len().to_numpy(int))
-    column = np.concatenate([*data["features"], np.zeros(0, np.int32)]).astype(np.int64)
-    pair, back = np.unique(row * max(len(wanted), 1) + column, return_inverse=True)
-    amount = np.bincount(back, np.concatenate([*data["amounts"], np.zeros(0, np.float32)]), len(pair))
-    row, column = np.divmod(pair, max(len(wanted), 1))
-    a = np.bincount(column[y[row] == 1], minlength=len(wanted))
-    c = np.bincount(column[y[row] == 0], minlength=len(wanted))
-    n1, n0 = y.sum(), len(y) - y.sum()
-    p = (a + c) / len(y)
-    z = (a / n1 - c / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
+    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = n.get(1, 0), n.get(0, 0)
+
+    def counted(rows: DataFrame, wanted: np.ndarray | None) -> DataFrame:
+        found = rows.mapInArrow(lambda it: _counts(it, wanted), "bucket long, clean long, toxic long")
+        return found.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
+    # the features of enough toxic texts, then how many clean texts have these
+    often = counted(sample.where("toxic = 1"), None).where(F.col("toxic") >= min(LEAST_TEXTS, max(1, n1 // 4))).select("bucket").toArrow()
+    found = counted(sample, np.sort(often.column("bucket").to_numpy())).toArrow().sort_by("bucket")
+    wanted, c, a = (found.column(x).to_numpy() for x in ("bucket", "clean", "toxic"))
+    p = (a + c) / max(n1 + n0, 1)
+    z = (a / max(n1, 1) - c / max(n0, 1)) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / max(n1, 1) + 1 / max(n0, 1)))
     best = np.argsort(-z, kind="stable")[:FEATURES]
-    best = np.sort(best[z[best] >= LEAST_Z])
-    at = np.searchsorted(best, column)
-    keep = np.flatnonzero(best[np.minimum(at, max(len(best) - 1, 0))] == column) if len(best) else np.zeros(0, np.int64)
-    weights, bias = _logistic(row[keep], at[keep], amount[keep], y, len(best), *_changes(wanted[best], data["terms"].tolist()))
-    return {"buckets": wanted[best], "weights": weights, "bias": bias}
+    wanted = np.sort(wanted[best[z[best] >= LEAST_Z]])
+    data = sample.mapInArrow(lambda it: _chosen(it, wanted), "toxic int, features array<int>, amounts array<float>, terms array<int>").toArrow()
+    features, amounts = data.column("features").combine_chunks(), data.column("amounts").combine_chunks()
+    y = data.column("toxic").to_numpy().astype(float)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(features.offsets.to_numpy()))
+    column, amount = features.flatten().to_numpy(), amounts.flatten().to_numpy()
+    weights, bias = _logistic(row, column, amount, y, len(wanted), *_changes(wanted, data.column("terms").to_pylist()))
+    return {"buckets": wanted, "weights": weights, "bias": bias}
 
 
 def _changes(buckets: np.ndarray, terms_of: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -214,7 +227,7 @@ def without_toxic(docs: DataFrame, model: dict, threshold: float = THRESHOLD) ->
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     """Fits on the labelled rows of the training folds."""
-    return fit(labelled(docs.where(remainder(3) != 1), labels))
+    return fit(docs.where(remainder(3) != 1), labels)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
