@@ -123,3 +123,20 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", words_in().alias("size")).join(weights, "doc_id", "left")
     quality = F.coalesce(F.col("quality_weight"), F.lit(UNLABELLED))
     return mix(docs, quality, size=F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: The same rows by plain SQL; the level is the first one that lifts no further source above its cap.
+ORACLE = r"""
+WITH q AS (SELECT doc_id, 0.25 + 0.75 * avg(quality) AS w FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
+  -ln((CAST(('0x' || substr(md5('mix' || chr(31) || doc_id), 1, 13))::BIGINT AS DOUBLE) + 0.5) / 4503599627370496.0) / coalesce(w, 0.5) AS key FROM documents LEFT JOIN q USING (doc_id)),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY source),
+r AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM s),
+o AS (SELECT *, 3 * n / w AS cap, row_number() OVER (ORDER BY 3 * n / w, source) AS k FROM r),
+c AS (SELECT *, coalesce(sum(3 * n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fixed, sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_w FROM o),
+l AS (SELECT CAST((SELECT sum(n) FROM s) - fixed AS DOUBLE) / rest_w AS level FROM c WHERE ((SELECT sum(n) FROM s) - fixed) / rest_w <= cap ORDER BY k LIMIT 1),
+t AS (SELECT source, n, least(CAST(n AS DOUBLE) * 3.0, (SELECT level FROM l) * w) AS target FROM r),
+p AS (SELECT source, n, target, CASE WHEN n > 0 THEN CAST(floor(target / n) AS BIGINT) ELSE 0 END AS epochs FROM t),
+x AS (SELECT d.*, n, target, epochs, CAST(round(target - epochs * n) AS BIGINT) AS rest, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, n AS source_size, target, CAST(epochs * size + greatest(0, least(size, rest - (upto - size))) AS BIGINT) AS taken FROM x
+"""

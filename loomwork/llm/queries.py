@@ -7,6 +7,7 @@ from .fingerprints import op3_order_minhash
 from .html_text import op5_html_extract
 from .language_id import op6_langid
 from .language_model import op10_kneser_ney
+from .mixing import ORACLE as MIXING_SQL
 from .mixing import op7_mix
 from .neardup import op8_probminhash
 from .sharding import op9_shard
@@ -31,4 +32,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": SUBSTRING_SQL}
+    return {"op4_substring_dedup": SUBSTRING_SQL, "op7_mix": MIXING_SQL}

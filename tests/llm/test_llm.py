@@ -279,6 +279,14 @@ def test_mixing(spark, sf):
     assert math.isclose(sum(rows[0].target for rows in groups.values()), total)
 
 
+def test_mixing_equals_sql(spark, sf):
+    c = duckdb.connect()
+    for t in ("documents", "labels"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = queries.queries()["op7_mix"](spark, sf).select("doc_id", "size", "source_size", "target", "taken").collect()
+    assert sorted(map(tuple, got)) == sorted(c.execute(mixing.ORACLE).fetchall())
+
+
 def test_mixing_caps_and_prefers_quality(spark, odd, none):
     rows = [(i, "w " * 10, s) for i, s in enumerate(["a"] * 5 + ["b"] * 200 + ["c"] * 200)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
