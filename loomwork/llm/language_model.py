@@ -43,6 +43,8 @@ END = _U(0x5851F42D4C957F2D)
 _SLICE = 4 << 20
 #: Words found to be common in a sample of so many texts have their bigrams dealt to all shards; this changes no result.
 SAMPLE_TEXTS = 2000
+#: Counts are stored in a byte; those from this one on in a table of their own.
+LARGE = 255
 _PAIRS = "shard int, u long, v long, c long"
 _STATS = "shard int, kind int, word long, a long, b long, c long, d long, e long"
 
@@ -150,7 +152,9 @@ def _store_pairs(batches: Iterator[pa.RecordBatch], folder: str, shards: int) ->
         h, first, c = _summed(pair_hash(u, v), c)
         u, v = u[first], v[first]
         _put(folder, f"pairs-{s:05d}", h)
-        _put(folder, f"counts-{s:05d}", c.astype(np.uint32))
+        _put(folder, f"counts-{s:05d}", np.minimum(c, LARGE).astype(np.uint8))
+        _put(folder, f"largepairs-{s:05d}", h[c >= LARGE])
+        _put(folder, f"largecounts-{s:05d}", c[c >= LARGE].astype(np.int64))
         word, _, *sums = _summed(u, c, c == 1, c == 2, c >= 3)
         yield _rows(shard_of(mix64(word), shards), 0, word, *sums)
         word, _, before = _summed(v, np.ones(len(v), np.int64))
@@ -226,14 +230,14 @@ class Shards:
 
 
 @lru_cache(maxsize=4)
-def _opened(folder: str, shards: int) -> tuple[Shards, Shards]:
+def _opened(folder: str, shards: int) -> tuple[Shards, Shards, Shards]:
     words = {x: np.int64 for x in ("total", "ones", "twos", "more", "before")}
-    return Shards(folder, "pairs", {"counts": np.uint32}, shards), Shards(folder, "words", words, shards)
+    return Shards(folder, "pairs", {"counts": np.uint8}, shards), Shards(folder, "largepairs", {"largecounts": np.int64}, shards), Shards(folder, "words", words, shards)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
     shards, common = model["shards"], model["common"]
-    pairs, words = _opened(model["folder"], shards)
+    pairs, large, words = _opened(model["folder"], shards)
     d, e = np.array([0.0, *model["pair_discounts"]]), np.array([0.0, *model["word_discounts"]])
     n, v1 = model["tokens"], model["words"] + 1
     for b in batches:
@@ -248,7 +252,11 @@ def _score(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.Record
             gamma = (d[1] * ones + d[2] * twos + d[3] * more) / np.maximum(total, 1)
             word_at, before_at = at[: len(word)], at[len(word) :]
             h, first, pair_at = np.unique(pair_hash(before, word), return_index=True, return_inverse=True)
-            c = pairs.find(h, pair_shard(before[first], h, common, shards))[0].astype(np.int64)[pair_at]
+            shard = pair_shard(before[first], h, common, shards)
+            c = pairs.find(h, shard)[0].astype(np.int64)
+            many = np.flatnonzero(c == LARGE)
+            c[many] = large.find(h[many], shard[many])[0]
+            c = c[pair_at]
             context = total[before_at]
             seen = np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(context, 1) + gamma[before_at] * lower[word_at]
             p = np.where(context > 0, seen, lower[word_at])
