@@ -53,8 +53,8 @@ def statistics(found: DataFrame, query: T.Query) -> DataFrame:
 
 
 def scored(found: DataFrame, stats: DataFrame, query: T.Query) -> DataFrame:
-    """Adds raw score and matched terms; the statistics are one row and travel as a broadcast."""
-    rows = found.join(F.broadcast(stats), F.lit(True))
+    """Adds raw score and matched terms; the statistics are one row, which the plan holds as a scalar subquery."""
+    rows = found.withColumn("stats", stats.select(F.struct("average", "idf")).scalar()).select("*", "stats.average", "stats.idf").drop("stats")
     total, matched = F.lit(0.0), []
     def frequency(term: str) -> Column:
         return F.size(F.filter("tokens", lambda x: x == term))
