@@ -112,3 +112,36 @@ def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     arrow = F.when(F.col("bidirectional"), " [dir=both, label=").otherwise(" [label=")
     e = edges.select(F.lit(2).alias("part"), F.concat(F.lit("  "), _quoted(F.col("src")), F.lit(" -> "), _quoted(F.col("dst")), arrow, _quoted(F.col("kind")), F.lit("];")).alias("line"))
     return n.union(e)
+
+
+def context(seeds: DataFrame, named: DataFrame, members: DataFrame, edges: DataFrame, depth: int = 1, kinds: list[str] | None = None, any_search: bool = False) -> dict[str, DataFrame]:
+    """What surrounds explicit seeds: ``reached`` nodes, ``active`` hyperedges, and ``members`` shown.
+
+    seeds: (id, reason, from_search); named: (hyperedge_id).  Policies don't apply here.  Only named hyperedges and those of
+    seeds that weren't found by search are expanded; hyperedges met on the way are expanded only where no seed came from
+    search (``any_search`` false); others show the members that were reached anyway.  Only named hyperedges are direct.
+    """
+    of = lambda ids: members.join(ids.select(F.col("id").alias("node_id")), "node_id", "left_semi").select("hyperedge_id").distinct()
+    expanded = _settled(named.select("hyperedge_id").union(of(seeds.where("NOT from_search"))).distinct())
+    start = seeds.groupBy("id").agg(F.min("reason").alias("reason"))
+    shown = expand_members(expanded, members)
+    start = start.union(shown.groupBy(F.col("node_id").alias("id")).agg(F.min("reason").alias("reason")).join(start, "id", "left_anti"))
+    reached = hops(start, edges, depth, kinds)
+    if not any_search:
+        expanded = _settled(expanded.union(of(reached)).distinct())
+        shown = expand_members(expanded, members)
+        more = shown.groupBy(F.col("node_id").alias("id")).agg(F.min("reason").alias("reason")).join(reached, "id", "left_anti")
+        reached = reached.union(more.withColumn("level", F.lit(depth)))
+    active = of(reached).union(expanded).distinct().join(named.select("hyperedge_id", F.lit(True).alias("direct")).distinct(), "hyperedge_id", "left")
+    active = active.select("hyperedge_id", F.coalesce("direct", F.lit(False)).alias("direct"))
+    listed = members.join(reached.select(F.col("id").alias("node_id")), "node_id", "left_semi").select("hyperedge_id", "node_id", "role")
+    return {"reached": reached, "active": active, "members": listed.union(shown.select("hyperedge_id", "node_id", "role")).distinct()}
+
+
+def merged_packets(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two results (hyperedge_id, node_id, role, direct, reason) as one: direct if either says so, the first one's reason."""
+    x, y = a.alias("x"), b.alias("y")
+    on = (F.col("x.hyperedge_id") == F.col("y.hyperedge_id")) & (F.col("x.node_id") == F.col("y.node_id")) & F.col("x.role").eqNullSafe(F.col("y.role"))
+    either = lambda c: F.coalesce(f"x.{c}", f"y.{c}").alias(c)
+    direct = (F.coalesce("x.direct", F.lit(False)) | F.coalesce("y.direct", F.lit(False))).alias("direct")
+    return x.join(y, on, "full").select(either("hyperedge_id"), either("node_id"), either("role"), direct, either("reason"))

@@ -83,6 +83,35 @@ def policy_depth(spark, sf_dir):
     return rows
 
 
+def _seeds(spark, sf_dir):
+    s = spans(spark, sf_dir).where("l_orderkey % 40 = 0")
+    return s.select("id", F.lit("selected").alias("reason"), (F.col("line_start") % 2 == 0).alias("from_search")).distinct()
+
+
+def _context(part, columns, any_search):
+    def run(spark, sf_dir):
+        named = spark.createDataFrame([("s10",), ("s20",)], "hyperedge_id string")
+        found = G.context(_seeds(spark, sf_dir), named, parts(spark, sf_dir), links(spark, sf_dir), 1, any_search=any_search)
+        return found[part].select(*columns).distinct()
+
+    return run
+
+
+def context_vs_impact_policy(spark, sf_dir):
+    """Members that a context shows and the policies of an impact would leave out."""
+    shown = _context("members", ["hyperedge_id", "node_id", "role"], True)(spark, sf_dir)
+    allowed = G.expand_members(shown, parts(spark, sf_dir), policies(spark, sf_dir)).select("hyperedge_id", "node_id", "role")
+    return shown.exceptAll(allowed)
+
+
+def packet_merge(spark, sf_dir):
+    p = parts(spark, sf_dir).select("hyperedge_id", "node_id", "role").distinct()
+    n = F.substring_index("node_id", ":", 1).cast("long")
+    one = p.where(n % 2 == 0).select("*", F.lit(True).alias("direct"), F.lit("diff").alias("reason"))
+    two = p.where(n % 3 == 0).select("*", (n % 5 == 0).alias("direct"), F.lit("search").alias("reason"))
+    return G.merged_packets(one, two)
+
+
 def range_overlap_join(spark, sf_dir):
     s = spans(spark, sf_dir)
     a = s.where("l_returnflag = 'A'").select("path", F.col("id").alias("a"), F.col("line_start").alias("s1"), F.col("line_end").alias("e1"))
@@ -143,6 +172,7 @@ def queries() -> dict:
         "graph_bfs": graph_bfs, "graph_bfs_kind": graph_bfs_kind, "graph_edges_within_depth": graph_edges_within_depth,
         "impact_direct": _impact("direct", ["id", "path"]), "impact_expand": _impact("members", ["hyperedge_id", "node_id", "role"], 1), "impact_hops": _impact("reached", ["id"]),
         "impact_reason": _impact("reached", ["id", "reason"], 1), "impact_related": _impact("related", ["id"]), "impact_unmatched": _impact("unmatched", ["path"], 0),
+        "context_seeds": _context("reached", ["id"], True), "context_members": _context("members", ["hyperedge_id", "node_id", "role"], False), "context_vs_impact_policy": context_vs_impact_policy, "packet_merge": packet_merge,
         "role_policy_filter": role_policy_filter, "policy_depth": policy_depth, "range_overlap_join": range_overlap_join, "containment_join": containment_join, "smallest_enclosing": smallest_enclosing,
         "merge_intervals": merge_intervals(0), "merge_intervals_gap": merge_intervals(2), "subtract_intervals": subtract_intervals, "graph_to_dot": graph_to_dot, "graph_to_mermaid": graph_to_mermaid,
     }
@@ -175,6 +205,18 @@ def _impact_sql(depth: int, select: str) -> str:
   {select.format(a=f"a{depth}")}"""
 
 
+def _context_sql(any_search: bool, select: str) -> str:
+    later = "" if any_search else "UNION SELECT hyperedge_id FROM m WHERE node_id IN (SELECT id FROM r1)"
+    return f"""WITH {_SPANS}, m AS (SELECT DISTINCT 's' || l_suppkey AS hyperedge_id, id AS node_id, l_returnflag AS role, l_suppkey FROM s WHERE l_suppkey % 10 = 0),
+  seeds AS (SELECT id, line_start % 2 = 0 AS from_search FROM s WHERE l_orderkey % 40 = 0),
+  x0 AS (SELECT unnest(['s10', 's20']) AS hyperedge_id UNION SELECT hyperedge_id FROM m WHERE node_id IN (SELECT id FROM seeds WHERE NOT from_search)),
+  r0 AS (SELECT id FROM seeds UNION SELECT node_id FROM m WHERE hyperedge_id IN (SELECT * FROM x0)),
+  u AS (SELECT id AS src, l_orderkey || ':' || (line_start + 1) AS dst FROM s UNION SELECT l_orderkey || ':' || (line_start + 1), id FROM s),
+  r1 AS (SELECT id FROM r0 UNION SELECT dst FROM u WHERE src IN (SELECT id FROM r0)),
+  x1 AS (SELECT hyperedge_id FROM x0 {later}), r AS (SELECT id FROM r1 UNION SELECT node_id FROM m WHERE hyperedge_id IN (SELECT * FROM x1)),
+  shown AS (SELECT hyperedge_id, node_id, role, l_suppkey FROM m WHERE hyperedge_id IN (SELECT * FROM x1) OR node_id IN (SELECT id FROM r)) {select}"""
+
+
 def oracle_sql() -> dict[str, str]:
     island = lambda gap: f"""WITH {_SPANS}, o AS (SELECT *, max(line_end) OVER (PARTITION BY path ORDER BY line_start, line_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s WHERE l_linestatus = 'F'),
         i AS (SELECT *, sum(CASE WHEN before IS NULL OR line_start > before + {gap} + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line_start, line_end ROWS UNBOUNDED PRECEDING) AS island FROM o)
@@ -186,6 +228,10 @@ def oracle_sql() -> dict[str, str]:
         "impact_direct": _impact_sql(0, "SELECT DISTINCT id, path FROM d"), "impact_expand": _impact_sql(1, "SELECT * FROM shown"), "impact_hops": _impact_sql(2, "SELECT id FROM {a}"),
         "impact_reason": _impact_sql(1, "SELECT id, reason FROM {a}"), "impact_related": _impact_sql(2, "SELECT id FROM {a} WHERE id NOT IN (SELECT node_id FROM shown)"),
         "impact_unmatched": _impact_sql(0, "SELECT path FROM c WHERE path NOT IN (SELECT path FROM d)"),
+        "context_seeds": _context_sql(True, "SELECT id FROM r"), "context_members": _context_sql(False, "SELECT DISTINCT hyperedge_id, node_id, role FROM shown"),
+        "context_vs_impact_policy": _context_sql(True, "SELECT DISTINCT hyperedge_id, node_id, role FROM shown WHERE NOT ((l_suppkey % 20 = 0 AND role IN ('A', 'N')) OR (l_suppkey % 20 <> 0 AND role <> 'R'))"),
+        "packet_merge": f"""WITH {_SPANS}, p AS (SELECT DISTINCT 's' || l_suppkey AS hyperedge_id, id AS node_id, l_returnflag AS role, l_orderkey AS n FROM s WHERE l_suppkey % 10 = 0)
+            SELECT hyperedge_id, node_id, role, n % 2 = 0 OR n % 5 = 0 AS direct, CASE WHEN n % 2 = 0 THEN 'diff' ELSE 'search' END AS reason FROM p WHERE n % 2 = 0 OR n % 3 = 0""",
         "role_policy_filter": f"WITH {_SPANS} SELECT 's' || l_suppkey AS hyperedge_id, id AS node_id, l_returnflag AS role FROM s WHERE l_linestatus = 'O' AND ((l_suppkey % 20 = 0 AND l_returnflag IN ('A', 'N')) OR (l_suppkey % 20 = 10 AND l_returnflag <> 'R'))",
         "policy_depth": "SELECT o_custkey, CAST(coalesce(max(CASE WHEN CAST(substr(o_orderpriority, 1, 1) AS INT) <= 3 THEN CAST(substr(o_orderpriority, 1, 1) AS INT) END), 1) AS BIGINT) AS depth FROM orders GROUP BY o_custkey",
         "range_overlap_join": f"WITH {_SPANS} SELECT a.path, a.id AS a, b.id AS b FROM s a JOIN s b ON a.path = b.path AND a.line_start <= b.line_end AND b.line_start <= a.line_end WHERE a.l_returnflag = 'A' AND b.l_returnflag <> 'A'",
