@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import longs, range_of, settle, table, text_of, word_array
+from .shared import longs, range_of, table, text_of, word_array
 
 K = 5
 BIN_BITS = 6

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import forget, settle, table, text_of
+from .shared import settle, table, text_of
 from .textvec import as_long, counted, mix64, shingles, slices, split_words
 
 K, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 4
@@ -43,7 +43,7 @@ K, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 4
 PIVOTS, LARGE, BLOCK = 2, 48, 512
 #: Slots in which shingles are counted for their order; the order decides the cost, never the result.
 RANK_BITS = 18
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 _U = np.uint64
 
 
