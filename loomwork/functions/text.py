@@ -17,7 +17,7 @@ def tokens(text: Column) -> Column:
     """Lower-case alphanumeric tokens; a capital after a small letter or digit begins a new one."""
     spaced = F.regexp_replace(text, r"([\p{Ll}0-9])(?=\p{Lu})", "$1 ")
     plain = F.btrim(F.regexp_replace(F.lower(spaced), r"[^\p{L}\p{N}]+", " "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def lines(text: Column) -> Column:
