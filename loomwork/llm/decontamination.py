@@ -4,9 +4,13 @@ Texts and items are turned into templates: numbers, units after numbers and name
 sentence) become typed placeholders, everything else is lower-cased and stripped of punctuation.  Windows of eight
 template tokens (all tokens of a shorter item) are hashed and joined with the windows of the items; a text holds an
 item if it has at least half of the item's windows.  Where an item has placeholders, the values behind them must be
-consistent: at the alignment with most common windows, equal values of the item stand for equal values of the text and
-different ones for different ones.  So the same question with other names and numbers is caught, and a text that
-merely has the same shape is not.
+consistent: equal values of the item stand for equal values of the text and different ones for different ones.  So the
+same question with other names and numbers is caught, and a text that merely has the same shape is not.
+
+Values are compared inside common windows alone, each at its own window's shift, so words may be put in or left out and the
+text may go on differently.  Common windows whose shifts lie close together make a copy of the item; each copy is
+judged by itself, and the windows of all consistent copies count.  A placeholder that could stand for two of the text, as
+beside a name left out of a row of names, is not compared.
 
 Windows with fewer than three literal tokens say too little and are left out.  The items' windows are broadcast if they are
 few, which is checked; otherwise the join shuffles.
@@ -17,7 +21,7 @@ found; items that share an item_id count as one; rows are told apart by id and t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import settle, table, text_of
@@ -25,6 +29,8 @@ from .shared import settle, table, text_of
 WINDOW, LEAST_LITERALS, LEAST_TOKENS, COVERAGE = 8, 3, 3, 0.5
 #: Windows of all items up to this number are broadcast (two longs each).
 BROADCAST_ROWS = 500_000
+#: Texts up to this number have their placeholders' places broadcast.
+BROADCAST_TEXTS = 50_000
 # fixed values: units of measure, as they follow a number
 UNITS = "km cm mm m kg mg g t lb lbs oz l ml cl s ms sec secs min mins h hr hrs hour hours minute minutes second seconds day days week weeks month months year years mile miles foot feet ft inch inches in yard yards pound pounds ounce ounces gallon gallons litre litres liter liters metre metres meter meters gram grams degree degrees percent dollar dollars euro euros cent cents mph kmh hz khz mhz ghz kb mb gb tb w kw v a"
 _NAME, _NUMBER, _UNIT = "\x01", "\x02", "\x03"
@@ -74,38 +80,73 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return windows.select("item_id", "size", F.col("x.at").alias("at"), F.xxhash64("x.w").alias("h"))
 
 
+def item_slots(benchmark: DataFrame) -> DataFrame:
+    """(item_id, slots) of each item: its placeholders with their places."""
+    items = with_tokens(benchmark.where("item_id IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text")), text_of())
+    slots = F.transform("tokens", lambda x, i: F.struct((i + 1).alias("at"), x.alias("value")))
+    return items.select("item_id", F.filter(slots, lambda s: is_slot(s["value"])).alias("slots"))
+
+
+def copies(pairs: DataFrame) -> DataFrame:
+    """(doc_id, row_hash, item_id, size, n, h, at, doc_at, copy, best) of each common window of the pairs.
+
+    A copy ends where the next shift is more than half an item away.  Windows that occur more than once in the item or the copy
+    are aligned by the shift that most windows have; the others are not ``best``.
+    """
+    rows = pairs.select("doc_id", "row_hash", "item_id", "size", "n", "length", F.explode("hits").alias("x"))
+    rows = rows.select("*", "x.*", (F.col("x.doc_at") - F.col("x.at")).alias("shift")).drop("x")
+    pair = ["row_hash", "item_id"]
+    ordered = Window.partitionBy(*pair).orderBy("shift", "at")
+    far = (F.col("shift") - F.lag("shift").over(ordered)) * 2 > F.col("length")
+    rows = rows.withColumn("far", F.coalesce(far, F.lit(False)).cast("int")).withColumn("copy", F.sum("far").over(ordered))
+    rows = rows.withColumn("votes", F.count("*").over(Window.partitionBy(*pair, "shift")))
+    first = lambda at: F.row_number().over(Window.partitionBy(*pair, "copy", at).orderBy(F.desc("votes"), "shift")) == 1
+    return rows.withColumn("best", first("at") & first("doc_at")).drop("length", "shift", "far", "votes")
+
+
+def asked_slots(windows: DataFrame, slots: DataFrame) -> DataFrame:
+    """(row_hash, item_id, copy, at, value, doc_at) of the placeholders inside common windows, those of two places left out."""
+    inside = lambda s: (s["at"] >= F.col("at")) & (s["at"] < F.col("at") + F.col("size"))
+    rows = windows.where("best").join(slots, "item_id").select("row_hash", "item_id", "copy", (F.col("doc_at") - F.col("at")).alias("shift"), F.explode(F.filter("slots", inside)).alias("s"))
+    rows = rows.select("row_hash", "item_id", "copy", "s.at", "s.value", (F.col("s.at") + F.col("shift")).alias("doc_at")).distinct()
+    alone = lambda at: F.count("*").over(Window.partitionBy("row_hash", "item_id", "copy", at)) == 1
+    return rows.withColumn("alone", alone("at") & alone("doc_at")).where("alone").drop("alone")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, row_hash, item_id, coverage, slots, verbatim) for each text and item it holds.
 
-    ``row_hash`` tells rows of one doc_id apart; ``slots`` counts the item's placeholders that were compared; ``verbatim`` says
-    whether all their values are the item's own.
+    ``row_hash`` tells rows of one doc_id apart; ``slots`` counts the item's placeholders that were compared, in each copy;
+    ``verbatim`` says whether all their values are the item's own.
     """
     windows = settle(item_windows(benchmark), "items")
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())
     distinct = windows.groupBy("h").agg(F.collect_list(F.struct("item_id", "at")).alias("in"))
-    of_item = windows.groupBy("item_id").agg(F.countDistinct("h").alias("n"))
+    of_item = windows.groupBy("item_id").agg(F.countDistinct("h").alias("n"), F.max("size").alias("size"), F.max(F.col("at") + F.col("size") - 1).alias("length"))
     few = windows.count() <= BROADCAST_ROWS
     rows = docs.select("doc_id", F.xxhash64(F.col("doc_id"), text_of()).alias("row_hash"), text_of().alias("text"))
-    rows = with_tokens(rows, F.col("text")).drop("text")
-    t = rows.withColumn("t", template(F.col("tokens")))
+    t = with_tokens(rows, F.col("text")).drop("text").withColumn("t", template(F.col("tokens")))
     hashes = [F.transform(window_hashes(F.col("t"), n), lambda h, i: F.struct((i + 1).alias("at"), h.alias("h"))) for n in sizes] or [F.array().cast("array<struct<at:int,h:bigint>>")]
     t = t.select("doc_id", "row_hash", F.explode(F.concat(*hashes)).alias("x")).select("doc_id", "row_hash", F.col("x.at").alias("doc_at"), F.col("x.h").alias("h"))
     hits = t.join(F.broadcast(distinct) if few else distinct, "h").select("doc_id", "row_hash", "doc_at", "h", F.explode("in").alias("i"))
-    hits = hits.groupBy("doc_id", "row_hash", F.col("i.item_id").alias("item_id"), (F.col("doc_at") - F.col("i.at")).alias("shift")).agg(F.collect_set("h").alias("hs"))
-    pairs = hits.groupBy("doc_id", "row_hash", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hs")))).alias("k"), F.max(F.struct(F.size("hs"), -F.col("shift"))).alias("m"))
-    pairs = pairs.join(F.broadcast(of_item) if few else of_item, "item_id").withColumn("coverage", F.col("k") / F.col("n")).where(F.col("coverage") >= coverage)
-    pairs = settle(pairs.select("doc_id", "row_hash", "item_id", "coverage", (-F.col("m.col2")).alias("shift")), "pairs")
-    slots = with_tokens(benchmark.where("item_id IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text")), text_of())
-    slots = slots.select("item_id", F.posexplode("tokens").alias("at", "value")).where(is_slot(F.col("value")))
-    asked = settle(pairs.join(slots, "item_id").select("doc_id", "row_hash", "item_id", "value", (F.col("at") + F.col("shift")).alias("doc_at")), "slots")
-    if asked.isEmpty():  # no placeholder to compare
-        return pairs.select("doc_id", "row_hash", "item_id", "coverage", F.lit(0).cast("long").alias("slots"), F.lit(True).alias("verbatim"))
-    texts = rows.join(asked.select("doc_id", "row_hash").distinct(), ["doc_id", "row_hash"])
-    values = texts.dropDuplicates(["doc_id", "row_hash"]).select("doc_id", "row_hash", F.posexplode("tokens").alias("doc_at", "own")).where(is_slot(F.col("own")))
-    both = asked.join(values, ["doc_id", "row_hash", "doc_at"])
-    sides = both.groupBy("doc_id", "row_hash", "item_id").agg(F.count("*").alias("slots"), F.countDistinct("value").alias("a"), F.countDistinct("own").alias("b"), F.countDistinct("value", "own").alias("ab"), F.min(F.col("value") == F.col("own")).alias("verbatim"))
-    out = pairs.join(sides, ["doc_id", "row_hash", "item_id"], "left").where("slots IS NULL OR (a = ab AND b = ab)")
-    return out.select("doc_id", "row_hash", "item_id", "coverage", F.coalesce("slots", F.lit(0).cast("long")).alias("slots"), F.coalesce("verbatim", F.lit(True)).alias("verbatim"))
+    pairs = hits.groupBy("doc_id", "row_hash", F.col("i.item_id").alias("item_id")).agg(F.collect_set(F.struct("i.at", "doc_at", "h")).alias("hits"))
+    pairs = pairs.join(F.broadcast(of_item) if few else of_item, "item_id").where(F.size(F.array_distinct("hits.h")) / F.col("n") >= coverage)
+    found = settle(copies(settle(pairs, "pairs")), "copies")
+    asked = settle(asked_slots(found, item_slots(benchmark)).groupBy("row_hash").agg(F.collect_list(F.struct("item_id", "copy", "at", "value", "doc_at")).alias("asked")), "slots")
+    n = asked.count()
+    kept = found.groupBy("doc_id", "row_hash", "item_id", "n", "copy").agg(F.collect_set("h").alias("hs"))
+    if n:
+        texts = with_tokens(rows.select("row_hash", "text").join(F.broadcast(asked) if n <= BROADCAST_TEXTS else asked, "row_hash"), F.col("text"))
+        both = texts.select("row_hash", "tokens", F.explode("asked").alias("a")).select("row_hash", "a.*", F.get("tokens", F.col("a.doc_at") - 1).alias("own"))
+        sides = both.groupBy("row_hash", "item_id", "copy").agg(F.size(F.collect_set("at")).alias("slots"), F.collect_set(F.struct("value", "own")).alias("v"), F.min(F.col("value") == F.col("own")).alias("verbatim"))
+        one_to_one = (F.size(F.array_distinct("v.value")) == F.size("v")) & (F.size(F.array_distinct("v.own")) == F.size("v"))
+        sides = sides.select("row_hash", "item_id", "copy", "slots", "verbatim", one_to_one.alias("consistent"))
+        kept = kept.join(sides, ["row_hash", "item_id", "copy"], "left").where("coalesce(consistent, true)")
+    else:  # no placeholder to compare
+        kept = kept.withColumns({"slots": F.lit(0), "verbatim": F.lit(True)})
+    k = F.size(F.array_distinct(F.flatten(F.collect_list("hs"))))
+    out = kept.groupBy("doc_id", "row_hash", "item_id").agg((k / F.first("n")).alias("coverage"), F.coalesce(F.sum("slots"), F.lit(0)).cast("long").alias("slots"), F.coalesce(F.min("verbatim"), F.lit(True)).alias("verbatim"))
+    return out.where(F.col("coverage") >= coverage)
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:

@@ -151,6 +151,22 @@ def test_decontamination_checks_slots(spark, odd, none):
     assert decontamination.without_benchmark(none, bench).count() == 0
 
 
+def test_decontamination_compares_slots_inside_windows(spark):
+    first = "The codes 3 3 4 5 were read aloud by a man in a red coat while his dog slept near the door of a small old house and nobody else in that quiet street could hear the words at all."
+    last = "Once a tall man in some blue coat spoke while her cat sat under one table of that large new barn until everybody there learned the sums 3 3 4 5 that day."
+    bench = spark.createDataFrame([(1, first), (2, last)], "item_id long, text string")
+    texts = [
+        first.replace("by a man", "by such a man"),  # a word put in
+        first.replace("by a man", "by man"),  # a word left out
+        last[: last.index("sums")] + "names of 7 8 9 5 in all.",  # goes on differently
+        first.replace("3 3 4 5", "8 8 1 2") + " Then " + first.replace("3 3 4 5", "6 6 7 9"),  # two copies
+        first.replace("3 3 4 5", "8 7 1 2"),  # one value stands for two
+    ]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.slots, r.verbatim) for r in decontamination.contaminated(d, bench).collect()}
+    assert got == {(0, 1): (4, True), (1, 1): (4, True), (2, 2): (0, True), (3, 1): (8, False)}
+
+
 def test_fingerprints(spark, sf, local):
     out = queries.queries()["op3_order_minhash"](spark, sf).collect()
     order = sorted(local, reverse=True)
