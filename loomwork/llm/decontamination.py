@@ -15,8 +15,11 @@ beside a name left out of a row of names, is not compared.
 Windows with fewer than three literal tokens say too little and are left out.  The items' windows are broadcast if they are
 few, which is checked; otherwise the join shuffles.
 
-Defined cases: a null or empty text holds nothing; an item of fewer than three tokens, or with no telling window, is never
-found; items that share an item_id count as one; rows are told apart by id and text; an empty table gives an empty result.
+An item that has no telling window is looked for by windows of its plain tokens, without placeholders; one of fewer than
+three tokens, which would be found in any text that merely uses the word, by texts that consist of these tokens.
+
+Defined cases: a null or empty text holds nothing, and such an item is never found; all texts of an item_id are searched,
+also of a null one, and the best counts; rows are told apart by id and text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -70,32 +73,56 @@ def window_hashes(tokens: Column, size: int) -> Column:
     return F.when(F.size(tokens) >= size, F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i, size)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, size, at, h) of each item's telling windows."""
-    items = with_tokens(benchmark.where("item_id IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text")), text_of())
-    items = items.where(F.size("tokens") >= LEAST_TOKENS).select("item_id", template(F.col("tokens")).alias("t"), F.least(F.size("tokens"), F.lit(WINDOW)).alias("size"))
+def plain(tokens: Column) -> Column:
+    """The tokens without types."""
+    return F.transform(tokens, lambda x: F.translate(x, _NAME + _NUMBER + _UNIT, ""))
+
+
+def whole(tokens: Column) -> Column:
+    return F.xxhash64(F.lit("whole"), plain(tokens))
+
+
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """(item, item_id, tokens) of each distinct text of each item_id."""
+    rows = with_tokens(benchmark.select("item_id", text_of().alias("text")).distinct(), F.col("text"))
+    return rows.where(F.size("tokens") > 0).select(F.xxhash64("item_id", "text").alias("item"), "item_id", "tokens")
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """(item, size, at, h, keys) of each item's telling windows, or plain ones if it has none; it is found by any of the keys."""
+    items = items.select("item", F.col("tokens").alias("t"), F.least(F.size("tokens"), F.lit(WINDOW)).alias("size"))
     at = F.sequence(F.lit(1), F.size("t") - F.col("size") + 1)
-    windows = items.select("item_id", "size", F.explode(F.transform(at, lambda i: F.struct(i.alias("at"), F.slice("t", i, F.col("size")).alias("w")))).alias("x"))
-    windows = windows.where(F.size(F.filter("x.w", lambda x: ~is_slot(x))) >= LEAST_LITERALS)
-    return windows.select("item_id", "size", F.col("x.at").alias("at"), F.xxhash64("x.w").alias("h"))
+    windows = items.select("item", "size", F.size("t").alias("n"), F.explode(F.transform(at, lambda i: F.struct(i.alias("at"), F.slice("t", i, F.col("size")).alias("w")))).alias("x"))
+    telling = (F.size(F.filter("x.w", lambda x: ~is_slot(x))) >= LEAST_LITERALS) & (F.col("n") >= LEAST_TOKENS)
+    windows = windows.withColumn("telling", telling).withColumn("any", F.max("telling").over(Window.partitionBy("item"))).where("telling OR NOT any")
+    by_plain = F.when(F.col("n") < LEAST_TOKENS, whole(F.col("x.w"))).otherwise(F.xxhash64(plain(F.col("x.w"))))
+    h = F.when(F.col("telling"), F.xxhash64(template(F.col("x.w")))).otherwise(by_plain)
+    return windows.select("item", "size", F.col("x.at").alias("at"), h.alias("h"), F.array(h).alias("keys"), (~F.col("telling") & (F.col("n") >= LEAST_TOKENS)).alias("plain"))
+
+
+def text_windows(tokens: str, sizes: list[int], plain_sizes: list[int]) -> Column:
+    """(at, key) of a text's windows, typed and plain ones, and of the whole if it is short."""
+    none = F.array().cast("array<struct<at:int,key:bigint>>")
+    placed = lambda hashes: F.transform(hashes, lambda h, i: F.struct((i + 1).alias("at"), h.alias("key")))
+    short = F.when(F.size(tokens).between(1, LEAST_TOKENS - 1), F.array(F.struct(F.lit(1).alias("at"), whole(F.col(tokens)).alias("key")))).otherwise(none)
+    return F.concat(short, *[placed(window_hashes(F.col("t"), n)) for n in sizes], *[placed(window_hashes(F.col("p"), n)) for n in plain_sizes])
 
 
-def item_slots(benchmark: DataFrame) -> DataFrame:
-    """(item_id, slots) of each item: its placeholders with their places."""
-    items = with_tokens(benchmark.where("item_id IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text")), text_of())
+def item_slots(items: DataFrame) -> DataFrame:
+    """(item, slots) of each item: its placeholders with their places."""
     slots = F.transform("tokens", lambda x, i: F.struct((i + 1).alias("at"), x.alias("value")))
-    return items.select("item_id", F.filter(slots, lambda s: is_slot(s["value"])).alias("slots"))
+    return items.select("item", F.filter(slots, lambda s: is_slot(s["value"])).alias("slots"))
 
 
 def copies(pairs: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, item_id, size, n, h, at, doc_at, copy, best) of each common window of the pairs.
+    """(doc_id, row_hash, item, size, n, h, at, doc_at, copy, best) of each common window of the pairs.
 
     A copy ends where the next shift is more than half an item away.  Windows that occur more than once in the item or the copy
     are aligned by the shift that most windows have; the others are not ``best``.
     """
-    rows = pairs.select("doc_id", "row_hash", "item_id", "size", "n", "length", F.explode("hits").alias("x"))
+    rows = pairs.select("doc_id", "row_hash", "item", "size", "n", "length", F.explode("hits").alias("x"))
     rows = rows.select("*", "x.*", (F.col("x.doc_at") - F.col("x.at")).alias("shift")).drop("x")
-    pair = ["row_hash", "item_id"]
+    pair = ["row_hash", "item"]
     ordered = Window.partitionBy(*pair).orderBy("shift", "at")
     far = (F.col("shift") - F.lag("shift").over(ordered)) * 2 > F.col("length")
     rows = rows.withColumn("far", F.coalesce(far, F.lit(False)).cast("int")).withColumn("copy", F.sum("far").over(ordered))
@@ -105,11 +132,11 @@ def copies(pairs: DataFrame) -> DataFrame:
 
 
 def asked_slots(windows: DataFrame, slots: DataFrame) -> DataFrame:
-    """(row_hash, item_id, copy, at, value, doc_at) of the placeholders inside common windows, those of two places left out."""
+    """(row_hash, item, copy, at, value, doc_at) of the placeholders inside common windows, those of two places left out."""
     inside = lambda s: (s["at"] >= F.col("at")) & (s["at"] < F.col("at") + F.col("size"))
-    rows = windows.where("best").join(slots, "item_id").select("row_hash", "item_id", "copy", (F.col("doc_at") - F.col("at")).alias("shift"), F.explode(F.filter("slots", inside)).alias("s"))
-    rows = rows.select("row_hash", "item_id", "copy", "s.at", "s.value", (F.col("s.at") + F.col("shift")).alias("doc_at")).distinct()
-    alone = lambda at: F.count("*").over(Window.partitionBy("row_hash", "item_id", "copy", at)) == 1
+    rows = windows.where("best").join(slots, "item").select("row_hash", "item", "copy", (F.col("doc_at") - F.col("at")).alias("shift"), F.explode(F.filter("slots", inside)).alias("s"))
+    rows = rows.select("row_hash", "item", "copy", "s.at", "s.value", (F.col("s.at") + F.col("shift")).alias("doc_at")).distinct()
+    alone = lambda at: F.count("*").over(Window.partitionBy("row_hash", "item", "copy", at)) == 1
     return rows.withColumn("alone", alone("at") & alone("doc_at")).where("alone").drop("alone")
 
 
@@ -119,34 +146,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     ``row_hash`` tells rows of one doc_id apart; ``slots`` counts the item's placeholders that were compared, in each copy;
     ``verbatim`` says whether all their values are the item's own.
     """
-    windows = settle(item_windows(benchmark), "items")
-    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())
-    distinct = windows.groupBy("h").agg(F.collect_list(F.struct("item_id", "at")).alias("in"))
-    of_item = windows.groupBy("item_id").agg(F.countDistinct("h").alias("n"), F.max("size").alias("size"), F.max(F.col("at") + F.col("size") - 1).alias("length"))
+    items = settle(items_of(benchmark), "items")
+    windows = settle(item_windows(items), "windows")
+    sizes, plain_sizes = (sorted(r[0] for r in windows.where(x).select("size").distinct().collect()) for x in (f"NOT plain AND size >= {LEAST_TOKENS}", "plain"))
+    distinct = windows.select("item", "at", "h", F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").agg(F.collect_list(F.struct("item", "at", "h")).alias("in"))
+    of_item = windows.groupBy("item").agg(F.countDistinct("h").alias("n"), F.max("size").alias("size"), F.max(F.col("at") + F.col("size") - 1).alias("length"))
     few = windows.count() <= BROADCAST_ROWS
     rows = docs.select("doc_id", F.xxhash64(F.col("doc_id"), text_of()).alias("row_hash"), text_of().alias("text"))
-    t = with_tokens(rows, F.col("text")).drop("text").withColumn("t", template(F.col("tokens")))
-    hashes = [F.transform(window_hashes(F.col("t"), n), lambda h, i: F.struct((i + 1).alias("at"), h.alias("h"))) for n in sizes] or [F.array().cast("array<struct<at:int,h:bigint>>")]
-    t = t.select("doc_id", "row_hash", F.explode(F.concat(*hashes)).alias("x")).select("doc_id", "row_hash", F.col("x.at").alias("doc_at"), F.col("x.h").alias("h"))
-    hits = t.join(F.broadcast(distinct) if few else distinct, "h").select("doc_id", "row_hash", "doc_at", "h", F.explode("in").alias("i"))
-    pairs = hits.groupBy("doc_id", "row_hash", F.col("i.item_id").alias("item_id")).agg(F.collect_set(F.struct("i.at", "doc_at", "h")).alias("hits"))
-    pairs = pairs.join(F.broadcast(of_item) if few else of_item, "item_id").where(F.size(F.array_distinct("hits.h")) / F.col("n") >= coverage)
+    t = with_tokens(rows, F.col("text")).drop("text").withColumn("t", template(F.col("tokens"))).withColumn("p", plain(F.col("tokens")))
+    t = t.select("doc_id", "row_hash", F.explode(text_windows("tokens", sizes, plain_sizes)).alias("x")).select("doc_id", "row_hash", F.col("x.at").alias("doc_at"), "x.key")
+    hits = t.join(F.broadcast(distinct) if few else distinct, "key").select("doc_id", "row_hash", "doc_at", F.explode("in").alias("i"))
+    pairs = hits.groupBy("doc_id", "row_hash", F.col("i.item").alias("item")).agg(F.collect_set(F.struct("i.at", "doc_at", "i.h")).alias("hits"))
+    pairs = pairs.join(F.broadcast(of_item) if few else of_item, "item").where(F.size(F.array_distinct("hits.h")) / F.col("n") >= coverage)
     found = settle(copies(settle(pairs, "pairs")), "copies")
-    asked = settle(asked_slots(found, item_slots(benchmark)).groupBy("row_hash").agg(F.collect_list(F.struct("item_id", "copy", "at", "value", "doc_at")).alias("asked")), "slots")
+    asked = settle(asked_slots(found, item_slots(items)).groupBy("row_hash").agg(F.collect_list(F.struct("item", "copy", "at", "value", "doc_at")).alias("asked")), "slots")
     n = asked.count()
-    kept = found.groupBy("doc_id", "row_hash", "item_id", "n", "copy").agg(F.collect_set("h").alias("hs"))
+    kept = found.groupBy("doc_id", "row_hash", "item", "n", "copy").agg(F.collect_set("h").alias("hs"))
     if n:
         texts = with_tokens(rows.select("row_hash", "text").join(F.broadcast(asked) if n <= BROADCAST_TEXTS else asked, "row_hash"), F.col("text"))
         both = texts.select("row_hash", "tokens", F.explode("asked").alias("a")).select("row_hash", "a.*", F.get("tokens", F.col("a.doc_at") - 1).alias("own"))
-        sides = both.groupBy("row_hash", "item_id", "copy").agg(F.size(F.collect_set("at")).alias("slots"), F.collect_set(F.struct("value", "own")).alias("v"), F.min(F.col("value") == F.col("own")).alias("verbatim"))
+        sides = both.groupBy("row_hash", "item", "copy").agg(F.size(F.collect_set("at")).alias("slots"), F.collect_set(F.struct("value", "own")).alias("v"), F.min(F.col("value") == F.col("own")).alias("verbatim"))
         one_to_one = (F.size(F.array_distinct("v.value")) == F.size("v")) & (F.size(F.array_distinct("v.own")) == F.size("v"))
-        sides = sides.select("row_hash", "item_id", "copy", "slots", "verbatim", one_to_one.alias("consistent"))
-        kept = kept.join(sides, ["row_hash", "item_id", "copy"], "left").where("coalesce(consistent, true)")
+        sides = sides.select("row_hash", "item", "copy", "slots", "verbatim", one_to_one.alias("consistent"))
+        kept = kept.join(sides, ["row_hash", "item", "copy"], "left").where("coalesce(consistent, true)")
     else:  # no placeholder to compare
         kept = kept.withColumns({"slots": F.lit(0), "verbatim": F.lit(True)})
     k = F.size(F.array_distinct(F.flatten(F.collect_list("hs"))))
-    out = kept.groupBy("doc_id", "row_hash", "item_id").agg((k / F.first("n")).alias("coverage"), F.coalesce(F.sum("slots"), F.lit(0)).cast("long").alias("slots"), F.coalesce(F.min("verbatim"), F.lit(True)).alias("verbatim"))
-    return out.where(F.col("coverage") >= coverage)
+    out = kept.groupBy("doc_id", "row_hash", "item").agg((k / F.first("n")).alias("coverage"), F.coalesce(F.sum("slots"), F.lit(0)).cast("long").alias("slots"), F.coalesce(F.min("verbatim"), F.lit(True)).alias("verbatim"))
+    out = out.where(F.col("coverage") >= coverage).join(items.select("item", "item_id"), "item")
+    best = F.max(F.struct("coverage", "verbatim", "slots"))
+    return out.groupBy("doc_id", "row_hash", "item_id").agg(best.alias("x")).select("doc_id", "row_hash", "item_id", "x.coverage", "x.slots", "x.verbatim")
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:

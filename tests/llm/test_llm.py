@@ -167,6 +167,15 @@ def test_decontamination_compares_slots_inside_windows(spark):
     assert got == {(0, 1): (4, True), (1, 1): (4, True), (2, 2): (0, True), (3, 1): (8, False)}
 
 
+def test_decontamination_searches_all_items(spark):
+    texts = ["A tall man walked slowly along the river bank today", "Some old trees are growing behind our little wooden house", "Nobody had seen that green bird since early last spring"]
+    bench = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (None, texts[2]), (2, "What is 12 + 7?"), (3, "Photosynthesis begins"), (4, None)], "item_id long, text string")
+    docs = [f"We read: {x} and so on" for x in texts] + ["so tell me: what is 12 + 7? quick", "Photosynthesis begins.", "what is 13 + 7", "it says photosynthesis begins at dawn", None]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(d, bench).collect()}
+    assert got == {(0, 1), (1, 1), (2, None), (3, 2), (4, 3)}
+
+
 def test_fingerprints(spark, sf, local):
     out = queries.queries()["op3_order_minhash"](spark, sf).collect()
     order = sorted(local, reverse=True)
