@@ -7,6 +7,9 @@ item if it has at least half of the item's windows.  Where an item has placehold
 consistent: equal values of the item stand for equal values of the text and different ones for different ones.  So the
 same question with other names and numbers is caught, and a text that merely has the same shape is not.
 
+What is a name depends on case and on the place in a sentence, so windows are joined by their plain tokens as well: a passage
+taken word for word is found in whatever case, line breaks and sentence it stands.
+
 Values are compared inside common windows alone, each at its own window's shift, so words may be put in or left out and the
 text may go on differently.  Common windows whose shifts lie close together make a copy of the item; each copy is
 judged by itself, and the windows of all consistent copies count.  A placeholder that could stand for two of the text, as
@@ -45,7 +48,7 @@ def with_tokens(df: DataFrame, text: Column, name: str = "tokens") -> DataFrame:
 
     Each step is a column of its own, so that no regular expression runs twice.
     """
-    s = F.regexp_replace(text, "[\x01-\x03]", " ")
+    s = F.regexp_replace(text, rf"[\x01-\x03{_S}]{{2,}}|[\x01-\x03]", " ")
     s = F.regexp_replace(s, rf"(?=\p{{Lu}})(?<=[\p{{L}}\p{{N}},;][{_S}])[\p{{L}}\p{{M}}\p{{N}}'’-]+", _NAME + "$0")
     number = F.regexp_replace("_s", r"(?=[0-9])(?<![\p{L}\p{N}.,])[0-9]+(?:[.,:/][0-9]+)*", _NUMBER + "$0")
     unit = F.regexp_replace(number, rf"(?<=[0-9])([{_S}]?)({'|'.join(UNITS.split())}|[%€$£°])(?![\p{{L}}\p{{N}}])", "$1" + _UNIT + "$2")
@@ -78,6 +81,11 @@ def plain(tokens: Column) -> Column:
     return F.transform(tokens, lambda x: F.translate(x, _NAME + _NUMBER + _UNIT, ""))
 
 
+def valued(x: str) -> Column:
+    """The item's type and the plain token: the text may have typed it otherwise."""
+    return F.concat(F.substring("value", 1, 1), F.translate(F.col(x), _NAME + _NUMBER + _UNIT, ""))
+
+
 def whole(tokens: Column) -> Column:
     return F.xxhash64(F.lit("whole"), plain(tokens))
 
@@ -89,7 +97,7 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """(item, size, at, h, keys) of each item's telling windows, or plain ones if it has none; it is found by any of the keys."""
+    """(item, size, at, h, keys) of each item's telling windows, or all if it has none; keys are its typed and its plain hash."""
     items = items.select("item", F.col("tokens").alias("t"), F.least(F.size("tokens"), F.lit(WINDOW)).alias("size"))
     at = F.sequence(F.lit(1), F.size("t") - F.col("size") + 1)
     windows = items.select("item", "size", F.size("t").alias("n"), F.explode(F.transform(at, lambda i: F.struct(i.alias("at"), F.slice("t", i, F.col("size")).alias("w")))).alias("x"))
@@ -97,15 +105,16 @@ def item_windows(items: DataFrame) -> DataFrame:
     windows = windows.withColumn("telling", telling).withColumn("any", F.max("telling").over(Window.partitionBy("item"))).where("telling OR NOT any")
     by_plain = F.when(F.col("n") < LEAST_TOKENS, whole(F.col("x.w"))).otherwise(F.xxhash64(plain(F.col("x.w"))))
     h = F.when(F.col("telling"), F.xxhash64(template(F.col("x.w")))).otherwise(by_plain)
-    return windows.select("item", "size", F.col("x.at").alias("at"), h.alias("h"), F.array(h).alias("keys"), (~F.col("telling") & (F.col("n") >= LEAST_TOKENS)).alias("plain"))
+    return windows.select("item", "size", F.col("x.at").alias("at"), h.alias("h"), F.array(h, by_plain).alias("keys"))
 
 
-def text_windows(tokens: str, sizes: list[int], plain_sizes: list[int]) -> Column:
-    """(at, key) of a text's windows, typed and plain ones, and of the whole if it is short."""
+def text_windows(tokens: str, sizes: list[int]) -> Column:
+    """(at, key) of a text's windows, plain and (where they differ) typed ones, and of the whole if it is short."""
     none = F.array().cast("array<struct<at:int,key:bigint>>")
     placed = lambda hashes: F.transform(hashes, lambda h, i: F.struct((i + 1).alias("at"), h.alias("key")))
+    typed = lambda n: F.zip_with(placed(window_hashes(F.col("t"), n)), window_hashes(F.col("p"), n), lambda x, h: F.when(x["key"] != h, x))
     short = F.when(F.size(tokens).between(1, LEAST_TOKENS - 1), F.array(F.struct(F.lit(1).alias("at"), whole(F.col(tokens)).alias("key")))).otherwise(none)
-    return F.concat(short, *[placed(window_hashes(F.col("t"), n)) for n in sizes], *[placed(window_hashes(F.col("p"), n)) for n in plain_sizes])
+    return F.concat(short, *[placed(window_hashes(F.col("p"), n)) for n in sizes], *[F.array_compact(typed(n)) for n in sizes])
 
 
 def item_slots(items: DataFrame) -> DataFrame:
@@ -148,13 +157,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     """
     items = settle(items_of(benchmark), "items")
     windows = settle(item_windows(items), "windows")
-    sizes, plain_sizes = (sorted(r[0] for r in windows.where(x).select("size").distinct().collect()) for x in (f"NOT plain AND size >= {LEAST_TOKENS}", "plain"))
+    sizes = sorted(r[0] for r in windows.where(F.col("size") >= LEAST_TOKENS).select("size").distinct().collect())
     distinct = windows.select("item", "at", "h", F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").agg(F.collect_list(F.struct("item", "at", "h")).alias("in"))
     of_item = windows.groupBy("item").agg(F.countDistinct("h").alias("n"), F.max("size").alias("size"), F.max(F.col("at") + F.col("size") - 1).alias("length"))
     few = windows.count() <= BROADCAST_ROWS
     rows = docs.select("doc_id", F.xxhash64(F.col("doc_id"), text_of()).alias("row_hash"), text_of().alias("text"))
     t = with_tokens(rows, F.col("text")).drop("text").withColumn("t", template(F.col("tokens"))).withColumn("p", plain(F.col("tokens")))
-    t = t.select("doc_id", "row_hash", F.explode(text_windows("tokens", sizes, plain_sizes)).alias("x")).select("doc_id", "row_hash", F.col("x.at").alias("doc_at"), "x.key")
+    t = t.select("doc_id", "row_hash", F.explode(text_windows("tokens", sizes)).alias("x")).select("doc_id", "row_hash", F.col("x.at").alias("doc_at"), "x.key")
     hits = t.join(F.broadcast(distinct) if few else distinct, "key").select("doc_id", "row_hash", "doc_at", F.explode("in").alias("i"))
     pairs = hits.groupBy("doc_id", "row_hash", F.col("i.item").alias("item")).agg(F.collect_set(F.struct("i.at", "doc_at", "i.h")).alias("hits"))
     pairs = pairs.join(F.broadcast(of_item) if few else of_item, "item").where(F.size(F.array_distinct("hits.h")) / F.col("n") >= coverage)
@@ -165,6 +174,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     if n:
         texts = with_tokens(rows.select("row_hash", "text").join(F.broadcast(asked) if n <= BROADCAST_TEXTS else asked, "row_hash"), F.col("text"))
         both = texts.select("row_hash", "tokens", F.explode("asked").alias("a")).select("row_hash", "a.*", F.get("tokens", F.col("a.doc_at") - 1).alias("own"))
+        both = both.withColumns({"own": valued("own"), "value": valued("value")})
         sides = both.groupBy("row_hash", "item", "copy").agg(F.size(F.collect_set("at")).alias("slots"), F.collect_set(F.struct("value", "own")).alias("v"), F.min(F.col("value") == F.col("own")).alias("verbatim"))
         one_to_one = (F.size(F.array_distinct("v.value")) == F.size("v")) & (F.size(F.array_distinct("v.own")) == F.size("v"))
         sides = sides.select("row_hash", "item", "copy", "slots", "verbatim", one_to_one.alias("consistent"))

@@ -176,6 +176,16 @@ def test_decontamination_searches_all_items(spark):
     assert got == {(0, 1), (1, 1), (2, None), (3, 2), (4, 3)}
 
 
+def test_decontamination_ignores_case_and_white_space(spark):
+    names = "In May old Ann and young Bob met Tom near the York gate before Kim saw Dan by the Sur road."
+    bench = spark.createDataFrame([(1, "Of all the rivers here one is longest"), (2, names)], "item_id long, text string")
+    other = names.replace("Ann", "Eve").replace("Tom", "Max")
+    texts = ["as asked Of all the rivers here one is longest today", names.lower(), names.upper(), names.replace(" ", "  "), other.replace(" ", " \n"), other.replace("Dan", "Eve")]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.verbatim) for r in decontamination.contaminated(d, bench).collect()}
+    assert got == {(0, 1, True), (1, 2, True), (2, 2, True), (3, 2, True), (4, 2, False)}
+
+
 def test_fingerprints(spark, sf, local):
     out = queries.queries()["op3_order_minhash"](spark, sf).collect()
     order = sorted(local, reverse=True)
