@@ -70,10 +70,20 @@ def is_slot(x: Column) -> Column:
     return x.startswith(_NAME) | x.startswith(_NUMBER) | x.startswith(_UNIT)
 
 
-def window_hashes(tokens: Column, size: int) -> Column:
-    """A hash for each start of a window."""
-    starts = F.sequence(F.lit(1), F.size(tokens) - (size - 1))
-    return F.when(F.size(tokens) >= size, F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i, size)))).otherwise(F.array().cast("array<bigint>"))
+def token_hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda x: F.xxhash64(x))
+
+
+def window_hashes(hashes: Column, size: int) -> Column:
+    """A hash for each start of a window, from the tokens' hashes: slices of string arrays would copy the whole text each time."""
+    starts = F.sequence(F.lit(0), F.size(hashes) - size)
+    return F.when(F.size(hashes) >= size, F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(size)]))).otherwise(F.array().cast("array<bigint>"))
+
+
+def window_hash(tokens: Column, size: Column) -> Column:
+    """The hash of one window of up to WINDOW tokens, equal to that of ``window_hashes``."""
+    hashes = token_hashes(tokens)
+    return F.coalesce(*[F.when(size == n, F.xxhash64(*[F.get(hashes, F.lit(k)) for k in range(n)])) for n in range(1, WINDOW + 1)])
 
 
 def plain(tokens: Column) -> Column:
@@ -103,18 +113,18 @@ def item_windows(items: DataFrame) -> DataFrame:
     windows = items.select("item", "size", F.size("t").alias("n"), F.explode(F.transform(at, lambda i: F.struct(i.alias("at"), F.slice("t", i, F.col("size")).alias("w")))).alias("x"))
     telling = (F.size(F.filter("x.w", lambda x: ~is_slot(x))) >= LEAST_LITERALS) & (F.col("n") >= LEAST_TOKENS)
     windows = windows.withColumn("telling", telling).withColumn("any", F.max("telling").over(Window.partitionBy("item"))).where("telling OR NOT any")
-    by_plain = F.when(F.col("n") < LEAST_TOKENS, whole(F.col("x.w"))).otherwise(F.xxhash64(plain(F.col("x.w"))))
-    h = F.when(F.col("telling"), F.xxhash64(template(F.col("x.w")))).otherwise(by_plain)
+    by_plain = F.when(F.col("n") < LEAST_TOKENS, whole(F.col("x.w"))).otherwise(window_hash(plain(F.col("x.w")), F.col("size")))
+    h = F.when(F.col("telling"), window_hash(template(F.col("x.w")), F.col("size"))).otherwise(by_plain)
     return windows.select("item", "size", F.col("x.at").alias("at"), h.alias("h"), F.array(h, by_plain).alias("keys"))
 
 
-def text_windows(tokens: str, sizes: list[int]) -> Column:
-    """(at, key) of a text's windows, plain and (where they differ) typed ones, and of the whole if it is short."""
-    none = F.array().cast("array<struct<at:int,key:bigint>>")
-    placed = lambda hashes: F.transform(hashes, lambda h, i: F.struct((i + 1).alias("at"), h.alias("key")))
-    typed = lambda n: F.zip_with(placed(window_hashes(F.col("t"), n)), window_hashes(F.col("p"), n), lambda x, h: F.when(x["key"] != h, x))
-    short = F.when(F.size(tokens).between(1, LEAST_TOKENS - 1), F.array(F.struct(F.lit(1).alias("at"), whole(F.col(tokens)).alias("key")))).otherwise(none)
-    return F.concat(short, *[placed(window_hashes(F.col("p"), n)) for n in sizes], *[F.array_compact(typed(n)) for n in sizes])
+def text_windows(sizes: list[int]) -> Column:
+    """(at, key, typed) of a text's windows by their plain and their typed hash, and of the whole if it is short."""
+    window = lambda at, key, typed: F.struct(at.alias("at"), key.alias("key"), typed.alias("typed"))
+    none = F.array().cast("array<struct<at:int,key:bigint,typed:bigint>>")
+    hashes = lambda n: F.zip_with(window_hashes(F.col("p"), n), window_hashes(F.col("t"), n), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    placed = lambda n: F.transform(hashes(n), lambda z, i: window(i + 1, z["x"], z["y"]))
+    return F.concat(F.when(F.col("short").isNotNull(), F.array(window(F.lit(1), F.col("short"), F.col("short")))).otherwise(none), *[placed(n) for n in sizes])
 
 
 def item_slots(items: DataFrame) -> DataFrame:
@@ -162,8 +172,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     of_item = windows.groupBy("item").agg(F.countDistinct("h").alias("n"), F.max("size").alias("size"), F.max(F.col("at") + F.col("size") - 1).alias("length"))
     few = windows.count() <= BROADCAST_ROWS
     rows = docs.select("doc_id", F.xxhash64(F.col("doc_id"), text_of()).alias("row_hash"), text_of().alias("text"))
-    t = with_tokens(rows, F.col("text")).drop("text").withColumn("t", template(F.col("tokens"))).withColumn("p", plain(F.col("tokens")))
-    t = t.select("doc_id", "row_hash", F.explode(text_windows("tokens", sizes)).alias("x")).select("doc_id", "row_hash", F.col("x.at").alias("doc_at"), "x.key")
+    tokens = F.col("tokens")
+    t = with_tokens(rows, F.col("text")).select("doc_id", "row_hash", token_hashes(template(tokens)).alias("t"), token_hashes(plain(tokens)).alias("p"), F.when(F.size("tokens").between(1, LEAST_TOKENS - 1), whole(tokens)).alias("short"))
+    t = t.select("doc_id", "row_hash", F.explode(text_windows(sizes)).alias("x")).select("doc_id", "row_hash", F.col("x.at").alias("doc_at"), "x.key", "x.typed")
+    t = t.select("doc_id", "row_hash", "doc_at", F.explode(F.when(F.col("key") == F.col("typed"), F.array("key")).otherwise(F.array("key", "typed"))).alias("key"))
     hits = t.join(F.broadcast(distinct) if few else distinct, "key").select("doc_id", "row_hash", "doc_at", F.explode("in").alias("i"))
     pairs = hits.groupBy("doc_id", "row_hash", F.col("i.item").alias("item")).agg(F.collect_set(F.struct("i.at", "doc_at", "i.h")).alias("hits"))
     pairs = pairs.join(F.broadcast(of_item) if few else of_item, "item").where(F.size(F.array_distinct("hits.h")) / F.col("n") >= coverage)
