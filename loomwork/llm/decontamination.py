@@ -1,19 +1,23 @@
 """Benchmark decontamination by template canonicalisation, with built-in functions only.
 
-Texts and items are turned into templates: numbers, units after numbers and names (capitalised words that don't begin a
-sentence) become typed placeholders, everything else is lower-cased and stripped of punctuation.  Windows of eight
-template tokens (all tokens of a shorter item) are hashed and joined with the windows of the items; a text holds an
-item if it has at least half of the item's windows.  Where an item has placeholders, the values behind them must be
-consistent: equal values of the item stand for equal values of the text and different ones for different ones.  So the
-same question with other names and numbers is caught, and a text that merely has the same shape is not.
+Texts and items are turned into templates: numbers, units after numbers and names (runs of capitalised words, as one) become
+typed placeholders, everything else is lower-cased and stripped of punctuation.  Windows of eight template tokens (all
+tokens of a shorter item) are hashed and joined with the windows of the items; a text holds an item if it has at least
+half of the item's windows.  The values behind the placeholders of common windows must be consistent: equal values of the
+item stand for equal values of the text and different ones for different ones.  So the same question with other names
+and numbers is caught, and a text that merely has the same shape is not.
 
-What is a name depends on case and on the place in a sentence, so windows are joined by their plain tokens as well: a passage
-taken word for word is found in whatever case, line breaks and sentence it stands.
+What is a name depends on case, so windows are joined by their plain tokens as well: a passage taken word for word is found in
+whatever case, line breaks and sentence it stands.
 
-Values are compared inside common windows alone, each at its own window's shift, so words may be put in or left out and the
-text may go on differently.  Common windows whose shifts lie close together make a copy of the item; each copy is
-judged by itself, and the windows of all consistent copies count.  A placeholder that could stand for two of the text, as
-beside a name left out of a row of names, is not compared.
+There are two steps.  The first looks in all texts for any window of any item: hashes of windows are combined from those of
+their halves, so a text costs a few passes over arrays of longs, and only a text's number goes on.  The second looks
+at the texts found, a small part, in detail.
+
+Values are compared inside common windows alone, so words may be put in or left out and the text may go on differently.  Common
+windows whose shifts lie close together make a copy of the item; each copy is judged by itself, and the windows of all
+consistent copies count.  A placeholder that could stand for two of the text is not compared, nor is a capitalised word
+that begins a sentence, unless it is a name elsewhere in the item.
 
 Windows with fewer than three literal tokens say too little and are left out.  The items' windows are broadcast if they are
 few, which is checked; otherwise the join shuffles.
@@ -22,125 +26,203 @@ An item that has no telling window is looked for by windows of its plain tokens,
 three tokens, which would be found in any text that merely uses the word, by texts that consist of these tokens.
 
 Defined cases: a null or empty text holds nothing, and such an item is never found; all texts of an item_id are searched,
-also of a null one, and the best counts; rows are told apart by id and text; an empty table gives an empty result.
+also of a null one, and the best counts; rows are told apart by id and text; other columns, whatever their names, are
+not looked at; texts of any length are searched whole, in their own row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import settle, table, text_of
+from .shared import forget, settle, table, text_of
 
 WINDOW, LEAST_LITERALS, LEAST_TOKENS, COVERAGE = 8, 3, 3, 0.5
-#: Windows of all items up to this number are broadcast (two longs each).
+#: Windows of all items, and texts found by the first step, up to this number are broadcast (two longs each at most).
 BROADCAST_ROWS = 500_000
-#: Texts up to this number have their placeholders' places broadcast.
-BROADCAST_TEXTS = 50_000
 # fixed values: units of measure, as they follow a number
 UNITS = "km cm mm m kg mg g t lb lbs oz l ml cl s ms sec secs min mins h hr hrs hour hours minute minutes second seconds day days week weeks month months year years mile miles foot feet ft inch inches in yard yards pound pounds ounce ounces gallon gallons litre litres liter liters metre metres meter meters gram grams degree degrees percent dollar dollars euro euros cent cents mph kmh hz khz mhz ghz kb mb gb tb w kw v a"
-_NAME, _NUMBER, _UNIT = "\x01", "\x02", "\x03"
+#: Marks before a name, a number and a unit, and between the words of one name.
+_NAME, _NUMBER, _UNIT, _RUN = "\x01", "\x02", "\x03", "\x1f"
 _S = r"\x20\x09-\x0D"
+_W = r"\p{L}\p{M}\p{N}'’-"
+_BLANK = " \t\n\x0b\x0c\r"
 
 
-def with_tokens(df: DataFrame, text: Column, name: str = "tokens") -> DataFrame:
-    """Adds the tokens of a text; a placeholder's token starts with its type and goes on with its value.
+def marked(df: DataFrame, text: Column, name: str = "marked") -> DataFrame:
+    """Adds the text in lower case without punctuation, its names, numbers and units marked.
 
     Each step is a column of its own, so that no regular expression runs twice.
     """
-    s = F.regexp_replace(text, rf"[\x01-\x03{_S}]{{2,}}|[\x01-\x03]", " ")
-    s = F.regexp_replace(s, rf"(?=\p{{Lu}})(?<=[\p{{L}}\p{{N}},;][{_S}])[\p{{L}}\p{{M}}\p{{N}}'’-]+", _NAME + "$0")
-    number = F.regexp_replace("_s", r"(?=[0-9])(?<![\p{L}\p{N}.,])[0-9]+(?:[.,:/][0-9]+)*", _NUMBER + "$0")
-    unit = F.regexp_replace(number, rf"(?<=[0-9])([{_S}]?)({'|'.join(UNITS.split())}|[%€$£°])(?![\p{{L}}\p{{N}}])", "$1" + _UNIT + "$2")
-    bare = F.regexp_replace("_n", rf"[^\p{{L}}\p{{M}}\p{{N}}\x01-\x03{_S}%€$£°]+|(?<![\x03])[%€$£°]", "")
-    df = df.withColumn("_s", F.lower(s)).withColumn("_n", F.when(F.col("_s").rlike("[0-9]"), unit).otherwise(F.col("_s")))
-    df = df.withColumn("_b", F.btrim(bare, F.lit(" \t\n\x0b\x0c\r")))
-    tokens = F.when(F.col("_b") == "", F.array().cast("array<string>")).otherwise(F.split("_b", f"[{_S}]+"))
-    return df.withColumn(name, tokens).drop("_s", "_n", "_b")
+    s = F.translate(text, _NAME + _NUMBER + _UNIT + _RUN, "    ")
+    s = F.regexp_replace(s, rf"(?<![\p{{L}}\p{{M}}\p{{N}}])\p{{Lu}}[{_W}]*", _NAME + "$0")
+    s = F.lower(F.regexp_replace(s, rf"(\x01[{_W}]*)[{_S}]+(?=\x01)", "$1" + _RUN))
+    number = F.regexp_replace("_s", r"(?<![\p{L}\p{N}.,\x01])[0-9]+(?:[.,:/][0-9]+)*", _NUMBER + "$0")
+    unit = F.regexp_replace(number, rf"(?<=[0-9])([{_S}]*)({'|'.join(UNITS.split())}|[%€$£°])(?![\p{{L}}\p{{N}}])", "$1" + _UNIT + "$2")
+    bare = F.regexp_replace("_n", rf"[^\p{{L}}\p{{M}}\p{{N}}\x01-\x03\x1f{_S}%€$£°]+|(?<!\x03)[%€$£°]", "")
+    df = df.withColumn("_s", s).withColumn("_n", F.when(F.col("_s").rlike("[0-9]"), unit).otherwise(F.col("_s")))
+    return df.withColumn(name, F.btrim(bare, F.lit(_BLANK))).drop("_s", "_n")
 
 
-def template(tokens: Column) -> Column:
-    def kept(x: Column) -> Column:
-        return F.when(x.startswith(_NAME), _NAME).when(x.startswith(_NUMBER), F.when(F.contains(x, F.lit(_UNIT)), _NUMBER + _UNIT).otherwise(_NUMBER)).when(x.startswith(_UNIT), _UNIT).otherwise(x)
+def split(s: Column) -> Column:
+    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, f"[{_S}]+"))
 
-    return F.transform(tokens, kept)
 
+def template(s: Column) -> Column:
+    """The template's tokens: of a marked token its marks only."""
+    return split(F.regexp_replace(s, rf"([\x01\x03]|\x02)[^{_S}\x03]*(\x03?)[^{_S}]*", "$1$2"))
 
-def is_slot(x: Column) -> Column:
-    return x.startswith(_NAME) | x.startswith(_NUMBER) | x.startswith(_UNIT)
 
+def plain(s: Column) -> Column:
+    """The tokens without marks, each word of a name for itself."""
+    return split(F.translate(s, _RUN + _NAME + _NUMBER + _UNIT, " "))
 
-def token_hashes(tokens: Column) -> Column:
-    return F.transform(tokens, lambda x: F.xxhash64(x))
 
+def is_slot(x: Column) -> Column:
+    return x.startswith(_NAME) | x.startswith(_NUMBER) | x.startswith(_UNIT)
 
-def window_hashes(hashes: Column, size: int) -> Column:
-    """A hash for each start of a window, from the tokens' hashes: slices of string arrays would copy the whole text each time."""
-    starts = F.sequence(F.lit(0), F.size(hashes) - size)
-    return F.when(F.size(hashes) >= size, F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(size)]))).otherwise(F.array().cast("array<bigint>"))
 
+def starts(s: Column) -> Column:
+    """For each template token the place (from 1) of its first word among the plain tokens."""
+    places = F.transform(split(F.replace(s, F.lit(_RUN), F.lit(" " + _RUN))), lambda x, i: F.when(~x.startswith(_RUN), i + 1))
+    return F.filter(places, lambda x: x.isNotNull())
 
-def window_hash(tokens: Column, size: Column) -> Column:
-    """The hash of one window of up to WINDOW tokens, equal to that of ``window_hashes``."""
-    hashes = token_hashes(tokens)
-    return F.coalesce(*[F.when(size == n, F.xxhash64(*[F.get(hashes, F.lit(k)) for k in range(n)])) for n in range(1, WINDOW + 1)])
 
+def hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda x: F.xxhash64(x))
 
-def plain(tokens: Column) -> Column:
-    """The tokens without types."""
-    return F.transform(tokens, lambda x: F.translate(x, _NAME + _NUMBER + _UNIT, ""))
 
+def with_windows(df: DataFrame, tokens: Column, sizes: list[int], prefix: str) -> DataFrame:
+    """Adds <prefix><size>: for each token the hash of the window of so many tokens that starts there.
 
-def valued(x: str) -> Column:
-    """The item's type and the plain token: the text may have typed it otherwise."""
-    return F.concat(F.substring("value", 1, 1), F.translate(F.col(x), _NAME + _NUMBER + _UNIT, ""))
+    A window is hashed from its parts of 4, 2 and 1 tokens, so a size takes one or two steps for each token whatever it is.
+    Windows that would run past the end have hashes that no whole window has.
+    """
+    beside = lambda a, b, by: F.zip_with(F.col(a), F.slice(F.col(b), by + 1, F.size(F.col(b))), lambda x, y: F.xxhash64(x, y))
+    made, n = {1: f"{prefix}1"}, 1
+    df = df.withColumn(made[1], hashes(tokens))
+    while 2 * n <= max(sizes, default=1):
+        made[2 * n] = f"{prefix}{2 * n}"
+        df = df.withColumn(made[2 * n], beside(made[n], made[n], n))
+        n *= 2
+    for size in sizes:
+        if size not in made:
+            parts = [p for p in (4, 2, 1) if size & p]
+            at, name = parts[0], made[parts[0]]
+            for p in parts[1:]:
+                new = f"{prefix}{at + p}" if at + p == size else f"{prefix}{size}_{at + p}"
+                df = df.withColumn(new, beside(name, made[p], at))
+                at, name = at + p, new
+            made[size] = name
+    return df.drop(*[c for n, c in made.items() if n not in sizes], *[c for c in df.columns if c.startswith(f"{prefix}") and "_" in c[len(prefix) :] and c[len(prefix) : len(prefix) + 1].isdigit()])
+
+
+def by_size(prefix: str, size: Column) -> Column:
+    return F.coalesce(*[F.when(size == n, F.col(f"{prefix}{n}")) for n in range(1, WINDOW + 1)])
 
 
 def whole(tokens: Column) -> Column:
-    return F.xxhash64(F.lit("whole"), plain(tokens))
+    return F.xxhash64(F.lit("whole"), tokens)
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """(item, item_id, tokens) of each distinct text of each item_id."""
-    rows = with_tokens(benchmark.select("item_id", text_of().alias("text")).distinct(), F.col("text"))
-    return rows.where(F.size("tokens") > 0).select(F.xxhash64("item_id", "text").alias("item"), "item_id", "tokens")
-
-
-def item_windows(items: DataFrame) -> DataFrame:
-    """(item, size, at, h, keys) of each item's telling windows, or all if it has none; keys are its typed and its plain hash."""
-    items = items.select("item", F.col("tokens").alias("t"), F.least(F.size("tokens"), F.lit(WINDOW)).alias("size"))
-    at = F.sequence(F.lit(1), F.size("t") - F.col("size") + 1)
-    windows = items.select("item", "size", F.size("t").alias("n"), F.explode(F.transform(at, lambda i: F.struct(i.alias("at"), F.slice("t", i, F.col("size")).alias("w")))).alias("x"))
-    telling = (F.size(F.filter("x.w", lambda x: ~is_slot(x))) >= LEAST_LITERALS) & (F.col("n") >= LEAST_TOKENS)
-    windows = windows.withColumn("telling", telling).withColumn("any", F.max("telling").over(Window.partitionBy("item"))).where("telling OR NOT any")
-    by_plain = F.when(F.col("n") < LEAST_TOKENS, whole(F.col("x.w"))).otherwise(window_hash(plain(F.col("x.w")), F.col("size")))
-    h = F.when(F.col("telling"), window_hash(template(F.col("x.w")), F.col("size"))).otherwise(by_plain)
-    return windows.select("item", "size", F.col("x.at").alias("at"), h.alias("h"), F.array(h, by_plain).alias("keys"))
+    """(item, item_id, marked, names) of each distinct text of each item_id; names are the words of names within sentences."""
+    rows = benchmark.select("item_id", text_of().alias("text")).distinct()
+    names = F.regexp_extract_all("text", F.lit(rf"(?<=[\p{{L}}\p{{N}},;][{_S}])\p{{Lu}}[{_W}]*"), F.lit(0))
+    names = F.transform(names, lambda x: F.regexp_replace(F.lower(x), r"['’-]", ""))
+    rows = marked(rows.withColumn("names", F.array_distinct(names)), F.col("text"))
+    return rows.where(F.col("marked") != "").select(F.xxhash64("item_id", "text").alias("item"), "item_id", "marked", "names")
 
 
-def text_windows(sizes: list[int]) -> Column:
-    """(at, key, typed) of a text's windows by their plain and their typed hash, and of the whole if it is short."""
-    window = lambda at, key, typed: F.struct(at.alias("at"), key.alias("key"), typed.alias("typed"))
-    none = F.array().cast("array<struct<at:int,key:bigint,typed:bigint>>")
-    hashes = lambda n: F.zip_with(window_hashes(F.col("p"), n), window_hashes(F.col("t"), n), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    placed = lambda n: F.transform(hashes(n), lambda z, i: window(i + 1, z["x"], z["y"]))
-    return F.concat(F.when(F.col("short").isNotNull(), F.array(window(F.lit(1), F.col("short"), F.col("short")))).otherwise(none), *[placed(n) for n in sizes])
+def slots_of(t: Column, v: Column, at: Column) -> Column:
+    """The placeholders of a row: place, and value (its type and its words)."""
+    clean = lambda x: F.translate(x, _NAME + _NUMBER + _UNIT, "")
+    rows = F.transform(t, lambda x, i: F.struct(F.get(at, i).alias("at"), (i + 1).alias("i"), F.concat(F.substring(x, 1, 1), clean(F.get(v, i))).alias("value"), is_slot(x).alias("slot")))
+    return F.filter(rows, lambda s: s["slot"])
 
 
-def item_slots(items: DataFrame) -> DataFrame:
-    """(item, slots) of each item: its placeholders with their places."""
-    slots = F.transform("tokens", lambda x, i: F.struct((i + 1).alias("at"), x.alias("value")))
-    return items.select("item", F.filter(slots, lambda s: is_slot(s["value"])).alias("slots"))
-
+def item_windows(items: DataFrame) -> DataFrame:
+    """(item, at, i, size, h, keys, slots, n, length) of each item's telling windows, or its plain ones if it has none.
 
-def copies(pairs: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, item, size, n, h, at, doc_at, copy, best) of each common window of the pairs.
+    ``keys`` are a window's typed and its plain hash, ``n`` the number of the item's different windows, ``slots`` the
+    placeholders that are compared.
+    """
+    m = F.col("marked")
+    rows = items.select("item", "names", template(m).alias("t"), split(m).alias("v"), plain(m).alias("p"), starts(m).alias("s"))
+    rows = settle(rows, "itemarrays")  # else the optimiser would move these arrays into the functions that look up in them
+    words = lambda x: F.split(F.substring(x, 2, 1 << 30), _RUN)
+    told = lambda x: ~x["value"].startswith(_NAME) | F.arrays_overlap(words(x["value"]), F.col("names"))
+    rows = rows.withColumn("slots", F.filter(slots_of(F.col("t"), F.col("v"), F.col("s")), told))
+    sizes = list(range(1, WINDOW + 1))
+    rows = settle(with_windows(with_windows(rows, F.col("t"), sizes, "t"), F.col("p"), sizes, "p"), "itemhashes")
+    rows = rows.withColumns({"nt": F.least(F.size("t"), F.lit(WINDOW)), "np": F.least(F.size("p"), F.lit(WINDOW)), "length": F.size("p")})
+    rows = rows.withColumns({"ht": by_size("t", F.col("nt")), "hp": by_size("p", F.col("np"))})
+    literals = lambda i: F.size(F.filter(F.slice("t", i, F.col("nt")), lambda x: ~is_slot(x)))
+    typed = F.transform(F.sequence(F.lit(1), F.size("t") - F.col("nt") + 1), lambda i: F.struct(i.alias("i"), F.get("s", i - 1).alias("at"), F.col("nt").alias("size"), F.get("ht", i - 1).alias("h"), (literals(i) >= LEAST_LITERALS).alias("telling")))
+    telling = F.filter(typed, lambda x: x["telling"])
+    enough = F.col("length") >= LEAST_TOKENS
+    key = lambda at: F.when(enough, F.get("hp", at - 1)).otherwise(whole(F.col("p")))
+    with_plain = F.transform(telling, lambda x: F.struct(x["i"].alias("i"), x["at"].alias("at"), x["size"].alias("size"), x["h"].alias("h"), F.array(x["h"], key(x["at"])).alias("keys")))
+    last = F.when(enough, F.size("p") - F.col("np") + 1).otherwise(F.lit(1))
+    only = F.transform(F.sequence(F.lit(1), last), lambda at: F.struct(F.lit(0).alias("i"), at.alias("at"), F.col("np").alias("size"), key(at).alias("h"), F.array(key(at)).alias("keys")))
+    rows = rows.withColumn("windows", F.when(enough & (F.size(telling) > 0), with_plain).otherwise(only))
+    n = F.size(F.array_distinct(F.col("windows.h")))
+    return rows.select("item", "slots", "np", "length", n.alias("n"), F.explode("windows").alias("x")).select("item", "slots", "np", "length", "n", "x.*")
+
+
+def keys_of(df: DataFrame, typed: list[int], words: list[int]) -> DataFrame:
+    """Adds t<size> and p<size>, and ``short``: the hash of a text of one or two words."""
+    m = F.col("marked")
+    df = df.withColumns({"_t": template(m), "_p": plain(m)})
+    df = df.withColumn("short", F.when(F.size("_p").between(1, LEAST_TOKENS - 1), whole(F.col("_p"))))
+    return with_windows(with_windows(df, F.col("_t"), typed, "t"), F.col("_p"), words, "p").drop("_t", "_p")
+
+
+def candidates(rows: DataFrame, keys: DataFrame, typed: list[int], words: list[int], few: bool) -> DataFrame:
+    """(row_hash) of the texts that have a window of any item."""
+    rows = keys_of(marked(rows, F.col("text")).drop("text"), typed, words)
+    short = F.when(F.col("short").isNotNull(), F.array("short")).otherwise(F.array().cast("array<bigint>"))
+    windows = F.concat(short, *[F.col(f"t{n}") for n in typed], *[F.col(f"p{n}") for n in words])
+    rows = rows.select("row_hash", F.explode(F.array_distinct(windows)).alias("key"))
+    return rows.join(F.broadcast(keys) if few else keys, "key", "left_semi").select("row_hash").distinct()
+
+
+def common_windows(rows: DataFrame, windows: DataFrame, typed: list[int], words: list[int], few: bool) -> DataFrame:
+    """(row_hash, item, at, doc_at, h, n, length, pairs) of each window that a text and an item have in common.
+
+    ``pairs`` are the compared placeholders inside it: place and value in the item and in the text.
+    """
+    m = F.col("marked")
+    rows = keys_of(marked(rows, F.col("text")).drop("text"), typed, words)
+    rows = settle(rows.select("*", starts(m).alias("s"), template(m).alias("t"), split(m).alias("v")).drop("marked"), "arrays")
+    rows = settle(rows.withColumn("own", slots_of(F.col("t"), F.col("v"), F.col("s"))).drop("t", "v"), "slots")
+    place = lambda i, at, size, key: F.struct(i.alias("j"), at.alias("doc_at"), size.alias("own_size"), key.alias("key"))
+    none = F.array().cast("array<struct<j:int,doc_at:int,own_size:int,key:bigint>>")
+    of_t = [F.transform(f"t{n}", partial(lambda n, h, j: place(j + 1, F.get("s", j), F.lit(n), h), n)) for n in typed]
+    of_p = [F.transform(f"p{n}", partial(lambda n, h, j: place(F.lit(0), j + 1, F.lit(n), h), n)) for n in words]
+    short = F.when(F.col("short").isNotNull(), F.array(place(F.lit(0), F.lit(1), F.lit(0), F.col("short")))).otherwise(none)
+    rows = rows.select("row_hash", "own", F.explode(F.concat(short, *of_t, *of_p)).alias("x")).select("row_hash", "own", "x.*")
+    inside = lambda i: (i >= F.col("j")) & (i < F.col("j") + F.col("own_size"))
+    rows = rows.withColumn("own", F.when(F.col("j") > 0, F.filter("own", lambda s: inside(s["i"]))))
+    asked = windows.select("item", "slots", "np", "length", "n", "i", "at", "h", F.explode(F.array_distinct("keys")).alias("key"))
+    hits = rows.join(F.broadcast(asked) if few else asked, "key")
+    # a template window has its placeholders in order; in a plain one each value stands for itself
+    of_typed = F.transform("slots", lambda s: F.struct(s["at"].alias("at"), s["value"].alias("value"), F.get(F.filter("own", lambda o: o["i"] - F.col("j") == s["i"] - F.col("i")), F.lit(0)).alias("o")))
+    of_typed = F.transform(F.filter(of_typed, lambda s: s["o"].isNotNull()), lambda s: F.struct(s["at"].alias("at"), s["value"].alias("value"), s["o"]["at"].alias("doc_at"), s["o"]["value"].alias("own")))
+    there = lambda s: (s["at"] >= F.col("at")) & (s["at"] + F.size(F.split(s["value"], _RUN)) <= F.col("at") + F.col("np"))
+    of_plain = F.transform(F.filter("slots", there), lambda s: F.struct(s["at"].alias("at"), s["value"].alias("value"), (s["at"] - F.col("at") + F.col("doc_at")).alias("doc_at"), s["value"].alias("own")))
+    return hits.select("row_hash", "item", "at", "doc_at", "h", "n", "length", F.when(F.col("j") > 0, of_typed).otherwise(of_plain).alias("pairs"))
+
+
+def copies(hits: DataFrame) -> DataFrame:
+    """Adds copy, best: which copy of the item in the text a common window belongs to.
 
     A copy ends where the next shift is more than half an item away.  Windows that occur more than once in the item or the copy
     are aligned by the shift that most windows have; the others are not ``best``.
     """
-    rows = pairs.select("doc_id", "row_hash", "item", "size", "n", "length", F.explode("hits").alias("x"))
-    rows = rows.select("*", "x.*", (F.col("x.doc_at") - F.col("x.at")).alias("shift")).drop("x")
+    rows = hits.withColumn("shift", F.col("doc_at") - F.col("at"))
     pair = ["row_hash", "item"]
     ordered = Window.partitionBy(*pair).orderBy("shift", "at")
     far = (F.col("shift") - F.lag("shift").over(ordered)) * 2 > F.col("length")
@@ -150,13 +232,14 @@ def copies(pairs: DataFrame) -> DataFrame:
     return rows.withColumn("best", first("at") & first("doc_at")).drop("length", "shift", "far", "votes")
 
 
-def asked_slots(windows: DataFrame, slots: DataFrame) -> DataFrame:
-    """(row_hash, item, copy, at, value, doc_at) of the placeholders inside common windows, those of two places left out."""
-    inside = lambda s: (s["at"] >= F.col("at")) & (s["at"] < F.col("at") + F.col("size"))
-    rows = windows.where("best").join(slots, "item").select("row_hash", "item", "copy", (F.col("doc_at") - F.col("at")).alias("shift"), F.explode(F.filter("slots", inside)).alias("s"))
-    rows = rows.select("row_hash", "item", "copy", "s.at", "s.value", (F.col("s.at") + F.col("shift")).alias("doc_at")).distinct()
+def judged(found: DataFrame) -> DataFrame:
+    """(row_hash, item, copy, slots, verbatim, consistent) of the copies with placeholders, those of two places left out."""
+    rows = found.where("best").select("row_hash", "item", "copy", F.explode("pairs").alias("s")).select("row_hash", "item", "copy", "s.*").distinct()
     alone = lambda at: F.count("*").over(Window.partitionBy("row_hash", "item", "copy", at)) == 1
-    return rows.withColumn("alone", alone("at") & alone("doc_at")).where("alone").drop("alone")
+    rows = rows.withColumn("alone", alone("at") & alone("doc_at")).where("alone")
+    sides = rows.groupBy("row_hash", "item", "copy").agg(F.size(F.collect_set("at")).alias("slots"), F.collect_set(F.struct("value", "own")).alias("v"), F.min(F.col("value") == F.col("own")).alias("verbatim"))
+    one_to_one = (F.size(F.array_distinct("v.value")) == F.size("v")) & (F.size(F.array_distinct("v.own")) == F.size("v"))
+    return sides.select("row_hash", "item", "copy", "slots", "verbatim", one_to_one.alias("consistent"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -165,39 +248,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     ``row_hash`` tells rows of one doc_id apart; ``slots`` counts the item's placeholders that were compared, in each copy;
     ``verbatim`` says whether all their values are the item's own.
     """
+    spark = docs.sparkSession
     items = settle(items_of(benchmark), "items")
     windows = settle(item_windows(items), "windows")
-    sizes = sorted(r[0] for r in windows.where(F.col("size") >= LEAST_TOKENS).select("size").distinct().collect())
-    distinct = windows.select("item", "at", "h", F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").agg(F.collect_list(F.struct("item", "at", "h")).alias("in"))
-    of_item = windows.groupBy("item").agg(F.countDistinct("h").alias("n"), F.max("size").alias("size"), F.max(F.col("at") + F.col("size") - 1).alias("length"))
-    few = windows.count() <= BROADCAST_ROWS
+    keys = settle(windows.select(F.explode("keys").alias("key")).distinct(), "keys")
+    sizes = windows.agg(F.collect_set(F.when(F.col("i") > 0, F.col("size"))).alias("t"), F.collect_set(F.when(F.col("length") >= LEAST_TOKENS, F.col("np"))).alias("p")).first()
+    typed, words, few = sorted(sizes["t"]), sorted(sizes["p"]), windows.count() <= BROADCAST_ROWS
     rows = docs.select("doc_id", F.xxhash64(F.col("doc_id"), text_of()).alias("row_hash"), text_of().alias("text"))
-    tokens = F.col("tokens")
-    t = with_tokens(rows, F.col("text")).select("doc_id", "row_hash", token_hashes(template(tokens)).alias("t"), token_hashes(plain(tokens)).alias("p"), F.when(F.size("tokens").between(1, LEAST_TOKENS - 1), whole(tokens)).alias("short"))
-    t = t.select("doc_id", "row_hash", F.explode(text_windows(sizes)).alias("x")).select("doc_id", "row_hash", F.col("x.at").alias("doc_at"), "x.key", "x.typed")
-    t = t.select("doc_id", "row_hash", "doc_at", F.explode(F.when(F.col("key") == F.col("typed"), F.array("key")).otherwise(F.array("key", "typed"))).alias("key"))
-    hits = t.join(F.broadcast(distinct) if few else distinct, "key").select("doc_id", "row_hash", "doc_at", F.explode("in").alias("i"))
-    pairs = hits.groupBy("doc_id", "row_hash", F.col("i.item").alias("item")).agg(F.collect_set(F.struct("i.at", "doc_at", "i.h")).alias("hits"))
-    pairs = pairs.join(F.broadcast(of_item) if few else of_item, "item").where(F.size(F.array_distinct("hits.h")) / F.col("n") >= coverage)
-    found = settle(copies(settle(pairs, "pairs")), "copies")
-    asked = settle(asked_slots(found, item_slots(items)).groupBy("row_hash").agg(F.collect_list(F.struct("item", "copy", "at", "value", "doc_at")).alias("asked")), "slots")
-    n = asked.count()
-    kept = found.groupBy("doc_id", "row_hash", "item", "n", "copy").agg(F.collect_set("h").alias("hs"))
-    if n:
-        texts = with_tokens(rows.select("row_hash", "text").join(F.broadcast(asked) if n <= BROADCAST_TEXTS else asked, "row_hash"), F.col("text"))
-        both = texts.select("row_hash", "tokens", F.explode("asked").alias("a")).select("row_hash", "a.*", F.get("tokens", F.col("a.doc_at") - 1).alias("own"))
-        both = both.withColumns({"own": valued("own"), "value": valued("value")})
-        sides = both.groupBy("row_hash", "item", "copy").agg(F.size(F.collect_set("at")).alias("slots"), F.collect_set(F.struct("value", "own")).alias("v"), F.min(F.col("value") == F.col("own")).alias("verbatim"))
-        one_to_one = (F.size(F.array_distinct("v.value")) == F.size("v")) & (F.size(F.array_distinct("v.own")) == F.size("v"))
-        sides = sides.select("row_hash", "item", "copy", "slots", "verbatim", one_to_one.alias("consistent"))
-        kept = kept.join(sides, ["row_hash", "item", "copy"], "left").where("coalesce(consistent, true)")
-    else:  # no placeholder to compare
-        kept = kept.withColumns({"slots": F.lit(0), "verbatim": F.lit(True)})
+    found = settle(candidates(rows.select("row_hash", "text"), keys, typed, words, few), "found")
+    picked = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    texts = settle(rows.join(picked, "row_hash", "left_semi"), "texts")
+    hits = common_windows(texts.select("row_hash", "text").dropDuplicates(["row_hash"]), windows, typed, words, few)
+    share = F.size(F.collect_set("h").over(Window.partitionBy("row_hash", "item"))) / F.col("n")
+    hits = settle(hits.withColumn("share", share).where(F.col("share") >= coverage).drop("share"), "hits")
+    of_copies = settle(copies(hits), "copies")
+    kept = of_copies.groupBy("row_hash", "item", "n", "copy").agg(F.collect_set("h").alias("hs"))
+    kept = kept.join(judged(of_copies), ["row_hash", "item", "copy"], "left").where("coalesce(consistent, true)")
     k = F.size(F.array_distinct(F.flatten(F.collect_list("hs"))))
-    out = kept.groupBy("doc_id", "row_hash", "item").agg((k / F.first("n")).alias("coverage"), F.coalesce(F.sum("slots"), F.lit(0)).cast("long").alias("slots"), F.coalesce(F.min("verbatim"), F.lit(True)).alias("verbatim"))
+    out = kept.groupBy("row_hash", "item").agg((k / F.first("n")).alias("coverage"), F.coalesce(F.sum("slots"), F.lit(0)).cast("long").alias("slots"), F.coalesce(F.min("verbatim"), F.lit(True)).alias("verbatim"))
     out = out.where(F.col("coverage") >= coverage).join(items.select("item", "item_id"), "item")
-    best = F.max(F.struct("coverage", "verbatim", "slots"))
-    return out.groupBy("doc_id", "row_hash", "item_id").agg(best.alias("x")).select("doc_id", "row_hash", "item_id", "x.coverage", "x.slots", "x.verbatim")
+    out = out.groupBy("row_hash", "item_id").agg(F.max(F.struct("coverage", "verbatim", "slots")).alias("x"))
+    ids = texts.select("doc_id", "row_hash").distinct()
+    out = settle(out.join(ids, "row_hash").select("doc_id", "row_hash", "item_id", "x.coverage", "x.slots", "x.verbatim"), "contaminated")
+    forget(spark, items, windows, keys, found, texts, hits, of_copies)
+    return out
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
