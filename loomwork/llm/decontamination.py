@@ -203,13 +203,13 @@ def common_windows(rows: DataFrame, windows: DataFrame, typed: list[int], words:
     of_t = [F.transform(f"t{n}", partial(lambda n, h, j: place(j + 1, F.get("s", j), F.lit(n), h), n)) for n in typed]
     of_p = [F.transform(f"p{n}", partial(lambda n, h, j: place(F.lit(0), j + 1, F.lit(n), h), n)) for n in words]
     short = F.when(F.col("short").isNotNull(), F.array(place(F.lit(0), F.lit(1), F.lit(0), F.col("short")))).otherwise(none)
-    rows = rows.select("row_hash", "own", F.explode(F.concat(short, *of_t, *of_p)).alias("x")).select("row_hash", "own", "x.*")
-    inside = lambda i: (i >= F.col("j")) & (i < F.col("j") + F.col("own_size"))
-    rows = rows.withColumn("own", F.when(F.col("j") > 0, F.filter("own", lambda s: inside(s["i"]))))
+    placed = rows.select("row_hash", F.explode(F.concat(short, *of_t, *of_p)).alias("x")).select("row_hash", "x.*")
     asked = windows.select("item", "slots", "np", "length", "n", "i", "at", "h", F.explode(F.array_distinct("keys")).alias("key"))
-    hits = rows.join(F.broadcast(asked) if few else asked, "key")
+    hits = placed.join(F.broadcast(asked) if few else asked, "key").join(rows.select("row_hash", "own"), "row_hash")
+    inside = F.filter("own", lambda s: (s["i"] >= F.col("j")) & (s["i"] < F.col("j") + F.col("own_size")))
+    hits = settle(hits.select("*", F.when((F.col("j") > 0) & (F.size("slots") > 0), inside).alias("within")).drop("own"), "common")
     # a template window has its placeholders in order; in a plain one each value stands for itself
-    of_typed = F.transform("slots", lambda s: F.struct(s["at"].alias("at"), s["value"].alias("value"), F.get(F.filter("own", lambda o: o["i"] - F.col("j") == s["i"] - F.col("i")), F.lit(0)).alias("o")))
+    of_typed = F.transform("slots", lambda s: F.struct(s["at"].alias("at"), s["value"].alias("value"), F.get(F.filter("within", lambda o: o["i"] - F.col("j") == s["i"] - F.col("i")), F.lit(0)).alias("o")))
     of_typed = F.transform(F.filter(of_typed, lambda s: s["o"].isNotNull()), lambda s: F.struct(s["at"].alias("at"), s["value"].alias("value"), s["o"]["at"].alias("doc_at"), s["o"]["value"].alias("own")))
     there = lambda s: (s["at"] >= F.col("at")) & (s["at"] + F.size(F.split(s["value"], _RUN)) <= F.col("at") + F.col("np"))
     of_plain = F.transform(F.filter("slots", there), lambda s: F.struct(s["at"].alias("at"), s["value"].alias("value"), (s["at"] - F.col("at") + F.col("doc_at")).alias("doc_at"), s["value"].alias("own")))
