@@ -1,32 +1,32 @@
-"""An interpolated modified Kneser-Ney bigram model, counted in Spark and read by workers from memory-mapped arrays.
-
-Counting: tasks split whole texts into words (one end token for each text), count their bigrams with numpy and leave the
-sums to Spark, keyed by the pair of word hashes.  Storing: bigrams are dealt to shards by hash; a task sums its shard and
-writes it as two arrays (hashes, counts) to the shared folder, and passes on what the shard says of each word: context
-totals, numbers of followers seen once, twice or more often, numbers of different words before it.  These are dealt
-by word, summed, and stored in sorted arrays of the same kind.  Discounts follow from the counts of counts of all texts;
-a few numbers for each shard are all that reaches the driver.
-Scoring: workers map the arrays and look up a batch's distinct bigrams in order, so pages are touched once.
-
-P(v|u) = max(c(uv) - D(c), 0) / c(u.) + g(u) P(v), where D is one of three discounts, g(u) the mass discounted, and
-P(v) = max(n(.v) - D', 0) / n(..) + g' / (V + 1) is the same for the numbers of different words before v; V + 1 counts
-one unknown word, so unseen words have a probability above 0.  A text begins in the context of the end token.
-
-The folder must be reachable from the workers; one that isn't a local path is copied to the worker's temporary folder
-once for each process, and removed when the process ends.
+"""An interpolated modified Kneser-Ney trigram model, counted in Spark and read by workers from memory-mapped arrays.
+
+Counting goes in passes over ranges of the words' hashes, so that the shuffle of a pass, which is removed after it, stays a part
+of the input.  In a pass, tasks split whole texts into words (one end token for each text), count the trigrams whose
+middle word is in the range with numpy, and leave the sums to Spark: trigrams are dealt to shards by their middle word, so a
+shard has all of a bigram's followers and all words before it.  Trigrams of common middle words are dealt by their first two
+words instead, and those of common first two words by all three; what such shards know of a bigram or a word is a part,
+and parts are added up in a second, small shuffle.  The number of shards grows with the tokens, so a shard has a bounded
+size.
+Storing: a task sums its shard and writes it as sorted arrays to the shared folder: of a hash 32 bits stand in the array and the
+upper ones in an index over it, counts take a byte, and those from 255 on stand apart.
+Discounts follow from the counts of counts of all texts; a few numbers for each shard are all that reaches the driver.
+Scoring: workers map the arrays and look up a batch's distinct trigrams, bigrams and words shard by shard, in order, so
+pages are touched once.  A folder that isn't a local path is read shard by shard into memory, nothing is copied to disk.
+
+P(w|uv) = max(c(uvw) - D3(c), 0) / c(uv.) + g(uv) P(w|v), where D3 is one of three discounts and g(uv) the mass discounted;
+P(w|v) is the same for the numbers n(.vw) of different words before vw, and P(w) for those before w, with V + 1 equal
+chances below it (one for an unknown word), so unseen words have a probability above 0.  A text begins after two end tokens;
+as nothing stands before these, n(.vw) is the count c(vw) where v is one of them.
 
 Defined cases: a null text is empty, and its only token is the end; with no training text all tokens are equally likely
-(V = 0: probability 1).
+(V = 0: probability 1); a very long text is split and scored in one piece, some 100 bytes for each of its words; other
+columns, whatever their names, are not looked at; rows with a null id are scored like others.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from collections.abc import Iterator
-from functools import lru_cache
-from pathlib import Path
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,48 +34,69 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, remainder, table, text_of
+from .shared import delete_path, forget, new_path, remainder, settle, table, text_of
 from .textvec import as_long, mix64, slices, split_words
 
 _U = np.uint64
 #: Hash of the token at the end of a text.
 END = _U(0x5851F42D4C957F2D)
 _SLICE = 4 << 20
-#: Words found to be common in a sample of so many texts have their bigrams dealt to all shards; this changes no result.
+#: Words and bigrams found to be common in a sample of so many texts are dealt to more shards; this changes no result.
 SAMPLE_TEXTS = 2000
+#: A shard's tokens, the least number of passes, and a pass's tokens at most for each shuffle partition.
+SHARD_TOKENS, LEAST_PASSES, PASS_TOKENS = 1_500_000, 3, 60_000_000
 #: Counts are stored in a byte; those from this one on in a table of their own.
 LARGE = 255
-_PAIRS = "shard int, u long, v long, c long"
-_STATS = "shard int, kind int, word long, a long, b long, c long, d long, e long"
+_TRIPLES = "shard int, u long, v long, w long, c long"
+_PARTS = "shard int, kind int, key long, word long, a long, b long, c long, d long"
+# kinds of parts: a bigram as context, a bigram by the words before it, a word as context, a word by what is before it, sums
+CONTEXT, SUFFIX, HEAD, TAIL, TOTALS = range(5)
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes with an end token after each text, the hash before each, and where each text begins."""
-    w = split_words(column, lower=True)
-    n = w.counts() + 1
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes with an end token after each text, the two hashes before each, and where each text begins."""
+    words = split_words(column, lower=True)
+    n = words.counts() + 1
     begin = np.concatenate([[0], np.cumsum(n)])
-    out = np.empty(begin[-1], np.uint64)
+    w = np.empty(begin[-1], np.uint64)
     last = begin[1:] - 1
-    inner = np.ones(len(out), bool)
+    inner = np.ones(len(w), bool)
     inner[last] = False
-    out[inner], out[last] = w.hash, END
-    before = np.empty_like(out)
-    before[1:] = out[:-1]
-    before[begin[:-1]] = END
-    return out, before, begin
+    w[inner], w[last] = words.hash, END
+    v, u = np.empty_like(w), np.empty_like(w)
+    v[1:] = w[:-1]
+    v[begin[:-1]] = END
+    u[1:] = v[:-1]
+    u[begin[:-1]] = END
+    return u, v, w, begin
+
 
+def pair_hash(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return mix64(u * _U(0x9E3779B97F4A7C15) + v)
 
-def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix64(before * _U(0x9E3779B97F4A7C15) + word)
+
+def triple_hash(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix64(pair_hash(u, v) * _U(0xD6E8FEB86659FD93) + w)
 
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    return ((h >> _U(40)) % _U(shards)).astype(np.int64)
+    return ((mix64(h + _U(1)) >> _U(20)) % _U(shards)).astype(np.int64)
+
 
+def among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the hashes are in the sorted array."""
+    if not len(known):
+        return np.zeros(len(h), bool)
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
 
-def pair_shard(u: np.ndarray, h: np.ndarray, common: np.ndarray, shards: int) -> np.ndarray:
-    """A word's bigrams share a shard, but for common words, whose bigrams are dealt to all shards."""
-    return np.where(np.isin(u, common), shard_of(h, shards), shard_of(mix64(u), shards))
+
+def dealt(u: np.ndarray, v: np.ndarray, w: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shard of each trigram, and whether its middle word and its first two are common."""
+    common, pair = among(v, model["common"]), pair_hash(u, v)
+    twice = common & among(pair, model["common_pairs"])
+    h = np.where(common, pair, v)
+    h[twice] = triple_hash(u[twice], v[twice], w[twice])
+    return shard_of(h, model["shards"]), common, twice
 
 
 def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -88,33 +109,39 @@ def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return ordered[at], order[at], *(np.add.reduceat(x[order], at) for x in values)
 
 
-def _count(batches: Iterator[pa.RecordBatch], common: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], model: dict, turn: int) -> Iterator[pa.RecordBatch]:
     kept: list[tuple[np.ndarray, ...]] = []
 
     def merged() -> pa.RecordBatch:
-        h, u, v, c = (np.concatenate(x) for x in zip(*kept, strict=True))
+        h, u, v, w, c = (np.concatenate(x) for x in zip(*kept, strict=True))
         kept.clear()
         h, first, c = _summed(h, c)
-        order = np.argsort(u[first], kind="stable")  # equal words side by side compress well
-        h, first, c = h[order], first[order], c[order]
-        u, v = u[first], v[first]
-        shard = pair_shard(u, h, common, shards).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(as_long(u)), pa.array(as_long(v)), pa.array(c)], ["shard", "u", "v", "c"])
+        order = np.lexsort((u[first], v[first]))  # equal words side by side compress well
+        first, c = first[order], c[order]
+        u, v, w = u[first], v[first], w[first]
+        shard = dealt(u, v, w, model)[0].astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(shard), *[pa.array(as_long(x)) for x in (u, v, w)], pa.array(c)], ["shard", "u", "v", "w", "c"])
 
     for b in batches:
         for lo, to in slices(b.column(0), _SLICE):
-            word, before, _ = tokens(b.column(0)[lo:to])
-            h, first, c = _summed(pair_hash(before, word), np.ones(len(word), np.int64))
-            kept.append((h, before[first], word[first], c))
-            if sum(len(x[0]) for x in kept) > 3_000_000:
+            u, v, w, _ = tokens(b.column(0)[lo:to])
+            own = np.flatnonzero(dealt(u, v, w, model)[0] % model["passes"] == turn)  # shards belong to passes in turn
+            u, v, w = u[own], v[own], w[own]
+            h, first, c = _summed(triple_hash(u, v, w), np.ones(len(w), np.int64))
+            kept.append((h, u[first], v[first], w[first], c))
+            if sum(len(x[0]) for x in kept) > 1_500_000:
                 yield merged()
     if kept:
         yield merged()
 
 
+def _file_system(folder: str) -> tuple[arrow_fs.FileSystem, str]:
+    return arrow_fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (arrow_fs.LocalFileSystem(), folder)
+
+
 def _put(folder: str, name: str, array: np.ndarray) -> None:
     """Writes an array under a name of this attempt and then moves it to its own, so that a task may run twice."""
-    where, path = arrow_fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (arrow_fs.LocalFileSystem(), folder)
+    where, path = _file_system(folder)
     where.create_dir(path, recursive=True)
     trial = f"{path}/.{name}-{np.random.SeedSequence().entropy:x}"
     with where.open_output_stream(trial) as out:
@@ -124,60 +151,167 @@ def _put(folder: str, name: str, array: np.ndarray) -> None:
     where.move(trial, f"{path}/{name}")
 
 
+def _get(folder: str, name: str, kind: type) -> np.ndarray:
+    """A stored array: mapped where the folder is a local path, else read."""
+    where, path = _file_system(folder)
+    info = where.get_file_info(f"{path}/{name}")
+    if info.type == arrow_fs.FileType.NotFound or not info.size:
+        return np.zeros(0, kind)
+    mapped = isinstance(where, arrow_fs.LocalFileSystem)
+    with pa.memory_map(f"{path}/{name}") if mapped else where.open_input_file(f"{path}/{name}") as f:
+        return np.frombuffer(f.read_buffer(), kind)  # the mapping outlives the file's handle
+
+
+class Rows:
+    """Sorted hashes with a count each: an index over their upper bits for some 16 rows an entry, the next 32 bits of each, a byte.
+
+    A hash that isn't stored is taken for one that is with a chance of 4e-9.
+    """
+
+    def __init__(self, folder: str, name: str):
+        self.low, self.count = _get(folder, f"{name}-low", np.uint32), _get(folder, f"{name}-count", np.uint8)
+        self.index = _get(folder, f"{name}-index", np.uint32)
+        self.large, self.large_count = _get(folder, f"{name}-large", np.uint64), _get(folder, f"{name}-largecount", np.int64)
+
+    @staticmethod
+    def put(folder: str, name: str, h: np.ndarray, count: np.ndarray) -> None:
+        """Of distinct hashes in order; nothing is written for none."""
+        if len(h):
+            bits = max(0, (len(h) // 16).bit_length())
+            key = h >> _U(32 - bits)
+            _put(folder, f"{name}-low", key.astype(np.uint32))
+            _put(folder, f"{name}-index", np.searchsorted(key >> _U(32), np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.uint32))
+            _put(folder, f"{name}-count", np.minimum(count, LARGE).astype(np.uint8))
+            if (count >= LARGE).any():
+                _put(folder, f"{name}-large", h[count >= LARGE])
+                _put(folder, f"{name}-largecount", count[count >= LARGE].astype(np.int64))
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each hash the place, -1 for none, and the count."""
+        count = np.zeros(len(h), np.int64)
+        if not len(self.low) or not len(h):
+            return np.full(len(h), -1), count
+        key = h >> _U(32 - (len(self.index) - 1).bit_length() + 1)
+        asked, entry = key.astype(np.uint32), (key >> _U(32)).astype(np.int64)
+        at, end = self.index[entry].astype(np.int64), self.index[entry + 1].astype(np.int64)
+        last = len(self.low) - 1
+        for step in (1 << i for i in reversed(range(int((end - at).max()).bit_length()))):  # binary search in all entries at once
+            further = at + step
+            at = np.where((further <= end) & (self.low[np.minimum(further - 1, last)] < asked), further, at)
+        place = np.where((at < end) & (self.low[np.minimum(at, last)] == asked), at, -1)
+        hit = np.flatnonzero(place >= 0)
+        count[hit] = self.count[place[hit]]
+        many = np.flatnonzero(count == LARGE)
+        if len(many):
+            count[many] = self.large_count[np.minimum(np.searchsorted(self.large, h[many]), len(self.large) - 1)]
+        return place, count
+
+
+def _part(shard: np.ndarray, kind: int, key: np.ndarray, word: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
+    filled = [*values, *[np.zeros(len(key), np.int64)] * (4 - len(values))]
+    arrays = [pa.array(shard.astype(np.int32)), pa.array(np.full(len(key), kind, np.int32)), pa.array(as_long(key)), pa.array(as_long(word)), *[pa.array(x.astype(np.int64)) for x in filled]]
+    return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in _PARTS.split(", ")])
+
+
+def _totals(kind: int, counts: np.ndarray) -> pa.RecordBatch:
+    """Counts of counts: how many are 1, 2, 3 and 4; and how many there are."""
+    one = np.zeros(1, np.uint64)
+    few = [np.array([int(np.sum(counts == i))]) for i in (1, 2, 3, 4)]
+    yield _part(np.zeros(1), TOTALS, one + _U(2 * kind), one, *few)
+    yield _part(np.zeros(1), TOTALS, one + _U(2 * kind + 1), one, np.array([len(counts)]), np.array([int(counts.sum())]))
+
+
+def _put_contexts(folder: str, s: int, h: np.ndarray, total: np.ndarray, ones: np.ndarray, twos: np.ndarray, more: np.ndarray, name: str = "contexts") -> None:
+    """Contexts seen once say all by their count; of the others the numbers of followers stand in the order of their hashes."""
+    Rows.put(folder, f"{name}-{s:06d}", h, total)
+    several = total > 1
+    Rows.put(folder, f"{name}several-{s:06d}", h[several], np.zeros(int(several.sum()), np.int64))
+    for n, x in (("ones", ones), ("twos", twos), ("more", more)):
+        if several.any():
+            _put(folder, f"{name}{n}-{s:06d}", x[several].astype(np.uint32 if name == "contexts" else np.int64))
+
+
+def _of_suffixes(folder: str, s: int, v: np.ndarray, w: np.ndarray, n: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+    """Stores bigrams by the number of words before them; yields what they say of their words."""
+    h = pair_hash(v, w)
+    order = np.argsort(h)
+    h, v, w, n = h[order], v[order], w[order], n[order]
+    Rows.put(folder, f"suffixes-{s:06d}", h, n)
+    word, _, *sums = _summed(v, n, n == 1, n == 2, n >= 3)
+    yield _part(shard_of(word, shards), HEAD, word, word, *sums)
+    word, _, before = _summed(w, np.ones(len(w), np.int64))
+    yield _part(shard_of(word, shards), TAIL, word, word, before)
+    yield from _totals(1, n)
+
+
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """A task's shards, of bounded size each."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     t = pa.Table.from_batches(held)
+    held.clear()
     shard = t.column("shard").to_numpy()
     for s in np.unique(shard):
-        yield int(s), t.filter(pa.array(shard == s))
-
+        yield int(s), t if (shard == s).all() else t.filter(pa.array(shard == s))
 
-def _rows(shard: np.ndarray, kind: int, word: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
-    filled = [*values, *[np.zeros(len(word), np.int64)] * (5 - len(values))]
-    arrays = [pa.array(shard.astype(np.int32)), pa.array(np.full(len(word), kind, np.int32)), pa.array(as_long(word)), *[pa.array(x.astype(np.int64)) for x in filled]]
-    return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in _STATS.split(", ")])
 
-
-def _one(shard: int, kind: int, *values: int) -> pa.RecordBatch:
-    return _rows(np.array([shard]), kind, np.zeros(1, np.uint64), *[np.array([x]) for x in values])
-
-
-def _store_pairs(batches: Iterator[pa.RecordBatch], folder: str, shards: int) -> Iterator[pa.RecordBatch]:
-    """Writes shards of bigrams; yields what they say of each word, and their counts of counts."""
+def _store(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
+    """Writes shards of trigrams and of the bigrams that they know wholly; yields parts of the others and of words."""
+    folder, shards = model["folder"], model["shards"]
+    for s, t in _by_shard(batches):
+        u, v, w, c = (t.column(x).to_numpy() for x in "uvwc")
+        u, v, w = (x.view(np.uint64) for x in (u, v, w))
+        h, first, c = _summed(triple_hash(u, v, w), c)
+        u, v, w = u[first], v[first], w[first]
+        Rows.put(folder, f"triples-{s:06d}", h, c)
+        yield from _totals(0, c)
+        _, common, twice = dealt(u, v, w, model)
+        pair, at, *sums = _summed(pair_hash(u, v), c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c >= 3).astype(np.int64))
+        part = twice[at]
+        _put_contexts(folder, s, pair[~part], *[x[~part] for x in sums])
+        if part.any():
+            yield _part(shard_of(pair[part], shards), CONTEXT, pair[part], v[at][part], *[x[part] for x in sums])
+        _, at, n, counted = _summed(pair_hash(v, w), np.ones(len(v), np.int64), c)
+        n = np.where(v[at] == END, counted, n)  # nothing stands before a text
+        part = common[at]
+        yield from _of_suffixes(folder, s, v[at][~part], w[at][~part], n[~part], shards)
+        if part.any():
+            bigram = pair_hash(v[at][part], w[at][part])
+            yield _part(shard_of(bigram, shards), SUFFIX, v[at][part], w[at][part], n[part])
+        word, _, often = _summed(w, c)
+        yield _part(shard_of(word, shards), TAIL, word, word, np.zeros(len(word)), often)
+
+
+def _store_parts(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
+    """Adds up and writes what several shards know of common bigrams; passes on the rest."""
+    folder, shards = model["folder"], model["shards"]
     for s, t in _by_shard(batches):
-        u, v, c = (t.column(x).to_numpy() for x in "uvc")
-        u, v = u.view(np.uint64), v.view(np.uint64)
-        h, first, c = _summed(pair_hash(u, v), c)
-        u, v = u[first], v[first]
-        _put(folder, f"pairs-{s:05d}", h)
-        _put(folder, f"counts-{s:05d}", np.minimum(c, LARGE).astype(np.uint8))
-        _put(folder, f"largepairs-{s:05d}", h[c >= LARGE])
-        _put(folder, f"largecounts-{s:05d}", c[c >= LARGE].astype(np.int64))
-        word, _, *sums = _summed(u, c, c == 1, c == 2, c >= 3)
-        yield _rows(shard_of(mix64(word), shards), 0, word, *sums)
-        word, _, before = _summed(v, np.ones(len(v), np.int64))
-        yield _rows(shard_of(mix64(word), shards), 1, word, before)
-        yield _one(s, 2, *[int(np.sum(c == i)) for i in (1, 2, 3, 4)], len(c))
-
-
-def _store_words(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """Writes shards of words; yields their counts of counts, and passes on those of the bigrams."""
+        kind, key, word = t.column("kind").to_numpy(), t.column("key").to_numpy().view(np.uint64), t.column("word").to_numpy().view(np.uint64)
+        values = [t.column(x).to_numpy() for x in "abcd"]
+        m = kind == CONTEXT
+        pair, _, *sums = _summed(key[m], *[x[m] for x in values])
+        _put_contexts(folder, shards + s, pair, *sums)
+        m = kind == SUFFIX
+        _, at, n = _summed(pair_hash(key[m], word[m]), values[0][m])
+        yield from _of_suffixes(folder, shards + s, key[m][at], word[m][at], n, shards)
+
+
+def _store_words(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
+    """Writes shards of words; yields their counts of counts."""
+    folder = model["folder"]
     for s, t in _by_shard(batches):
-        kind, word = t.column("kind").to_numpy(), t.column("word").to_numpy().view(np.uint64)
-        a, b, c, d, e = (t.column(x).to_numpy() for x in "abcde")
-        for i in np.flatnonzero(kind == 2):
-            yield _one(s, 2, a[i], b[i], c[i], d[i], e[i])
-        m = kind < 2
-        zero = np.zeros(len(a), np.int64)
-        of_u, of_v = kind == 0, kind == 1
-        word, _, total, ones, twos, more, before = _summed(word[m], *(np.where(k, x, zero)[m] for k, x in ((of_u, a), (of_u, b), (of_u, c), (of_u, d), (of_v, a))))
-        _put(folder, f"words-{s:05d}", word)
-        for name, x in (("total", total), ("ones", ones), ("twos", twos), ("more", more), ("before", before)):
-            _put(folder, f"{name}-{s:05d}", x.astype(np.int64))
-        yield _one(s, 3, *[int(np.sum(before == i)) for i in (1, 2, 3, 4)], len(word))
-        yield _one(s, 4, int(total.sum()), int(before.sum()))
+        kind, key = t.column("kind").to_numpy(), t.column("key").to_numpy().view(np.uint64)
+        values = [t.column(x).to_numpy() for x in "abcd"]
+        zero = np.zeros(len(key), np.int64)
+        head, tail = kind == HEAD, kind == TAIL
+        columns = [np.where(head, x, zero) for x in values] + [np.where(tail, x, zero) for x in values[:2]]
+        word, _, *sums = _summed(key, *columns)
+        _put(folder, f"words-{s:06d}", word)
+        for n, x in zip(("total", "ones", "twos", "more", "before", "often"), sums, strict=True):
+            _put(folder, f"{n}-{s:06d}", x.astype(np.int64))
+        yield from _totals(2, sums[4])
+        yield _part(np.zeros(1), TOTALS, np.full(1, 6, np.uint64), np.zeros(1, np.uint64), np.array([int(sums[5].sum())]), np.array([int(np.sum(sums[5] > 0))]))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -189,110 +323,159 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), i + 0.95) for i, d in enumerate(found))
 
 
-@lru_cache(maxsize=4)
-def _local(folder: str) -> str:
-    """A path of the folder that this process can map."""
-    if folder.startswith("/"):
-        return folder
-    where, path = arrow_fs.FileSystem.from_uri(folder)
-    if isinstance(where, arrow_fs.LocalFileSystem):
-        return path
-    to = tempfile.mkdtemp(prefix="loomwork-lm-")
-    atexit.register(shutil.rmtree, to, ignore_errors=True)
-    arrow_fs.copy_files(path, to, source_filesystem=where, destination_filesystem=arrow_fs.LocalFileSystem())
-    return to
-
-
-class Shards:
-    """Sorted hash arrays of one kind, mapped shard by shard."""
-
-    def __init__(self, folder: str, key: str, columns: dict[str, type], shards: int):
-        self.shards, self.key, self.columns = shards, key, columns
-        path = Path(_local(folder))
-        self.arrays = {}
-        for s in range(shards):
-            if (p := path / f"{key}-{s:05d}").exists() and p.stat().st_size:
-                self.arrays[s] = (np.memmap(p, np.uint64, "r"), *(np.memmap(path / f"{c}-{s:05d}", t, "r") for c, t in columns.items()))
-
-    def find(self, h: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For each hash the values of the columns; 0 where it isn't stored."""
-        out = [np.zeros(len(h), t) for t in self.columns.values()]
-        order = np.lexsort((h, shard))
-        cuts = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for s, (keys, *columns) in self.arrays.items():
-            own = order[cuts[s] : cuts[s + 1]]
-            if len(own):
-                at = np.minimum(np.searchsorted(keys, h[own]), len(keys) - 1)
-                hit = keys[at] == h[own]
-                for o, c in zip(out, columns, strict=True):
-                    o[own[hit]] = c[at[hit]]
-        return tuple(out)
-
-
-@lru_cache(maxsize=4)
-def _opened(folder: str, shards: int) -> tuple[Shards, Shards, Shards]:
-    words = {x: np.int64 for x in ("total", "ones", "twos", "more", "before")}
-    return Shards(folder, "pairs", {"counts": np.uint8}, shards), Shards(folder, "largepairs", {"largecounts": np.int64}, shards), Shards(folder, "words", words, shards)
+class Contexts:
+    """What is stored of contexts: how often they occur, and how many followers they have once, twice and more often."""
+
+    def __init__(self, folder: str, s: int):
+        self.all, self.several = Rows(folder, f"contexts-{s:06d}"), Rows(folder, f"contextsseveral-{s:06d}")
+        self.sums = [_get(folder, f"contexts{n}-{s:06d}", np.uint32) for n in ("ones", "twos", "more")]
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        total = self.all.find(h)[1]
+        out = [(total == 1).astype(np.int64), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)]
+        asked = np.flatnonzero(total > 1)
+        place = self.several.find(h[asked])[0]
+        for o, x in zip(out, self.sums, strict=True):
+            o[asked] = x[place]
+        return total, *out
+
+
+class Words:
+    """What is stored of words."""
+
+    def __init__(self, folder: str, s: int):
+        self.word = _get(folder, f"words-{s:06d}", np.uint64)
+        self.sums = [_get(folder, f"{n}-{s:06d}", np.int64) for n in ("total", "ones", "twos", "more", "before", "often")]
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        if not len(self.word):
+            return (np.zeros(len(h), np.int64),) * 6
+        at = np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)
+        return tuple(np.where(self.word[at] == h, x[at], 0) for x in self.sums)
+
+
+@lru_cache(maxsize=4096)
+def _mapped(kind: type, folder: str, *name) -> Rows | Contexts | Words:
+    return kind(folder, *name)
+
+
+def _opened(kind: type, folder: str, *name) -> Rows | Contexts | Words:
+    """An opened shard; those of local paths, which are only mapped, are kept."""
+    return _mapped(kind, folder, *name) if isinstance(_file_system(folder)[0], arrow_fs.LocalFileSystem) else kind(folder, *name)
+
+
+def _find(h: np.ndarray, shard: np.ndarray, n: int, open_: callable) -> tuple[np.ndarray, ...]:
+    """``n`` values of each hash, shard by shard, the hashes of each in order."""
+    out = [np.zeros(len(h), np.int64) for _ in range(n)]
+    order = np.lexsort((h, shard))
+    ordered = shard[order]
+    edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])) if len(h) else []
+    for at, to in zip(edges[:-1], edges[1:], strict=True):
+        own = order[at:to]
+        for o, x in zip(out, open_(int(ordered[at]), h[own]), strict=True):
+            o[own] = x
+    return tuple(out)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
-    shards, common = model["shards"], model["common"]
-    pairs, large, words = _opened(model["folder"], shards)
-    d, e = np.array([0.0, *model["pair_discounts"]]), np.array([0.0, *model["word_discounts"]])
+    folder, shards, common, pairs = model["folder"], model["shards"], model["common"], model["common_pairs"]
+    d3, d2, d1 = (np.array([0.0, *model[x]]) for x in ("triple_discounts", "pair_discounts", "word_discounts"))
     n, v1 = model["tokens"], model["words"] + 1
+    mass = lambda d, ones, twos, more, total: np.where(total > 0, (d[1] * ones + d[2] * twos + d[3] * more) / np.maximum(total, 1), 1.0)
+    less = lambda c, d, total: np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(total, 1)
     for b in batches:
         for lo, to in slices(b.column(1), _SLICE):
-            word, before, begin = tokens(b.column(1)[lo:to])
-            own, at = np.unique(np.concatenate([word, before]), return_inverse=True)
-            total, ones, twos, more, kinds = words.find(own, shard_of(mix64(own), shards))
-            lower = np.full(len(own), 1 / v1)
-            if model["pairs"]:
-                lower = np.maximum(kinds - e[np.minimum(kinds, 3)], 0) / model["pairs"] + model["word_mass"] / v1
-            base = np.log10((total + 0.1) / (n + 0.1 * v1))  # a token is a context as often as it occurs
-            gamma = (d[1] * ones + d[2] * twos + d[3] * more) / np.maximum(total, 1)
-            word_at, before_at = at[: len(word)], at[len(word) :]
-            h, first, pair_at = np.unique(pair_hash(before, word), return_index=True, return_inverse=True)
-            shard = pair_shard(before[first], h, common, shards)
-            c = pairs.find(h, shard)[0].astype(np.int64)
-            many = np.flatnonzero(c == LARGE)
-            c[many] = large.find(h[many], shard[many])[0]
-            c = c[pair_at]
-            context = total[before_at]
-            seen = np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(context, 1) + gamma[before_at] * lower[word_at]
-            p = np.where(context > 0, seen, lower[word_at])
+            u, v, w, begin = tokens(b.column(1)[lo:to])
+            word, at = np.unique(w, return_inverse=True)
+            total, ones, twos, more, before, often = _find(word, shard_of(word, shards), 6, lambda s, h: _opened(Words, folder, s).find(h))
+            place = np.searchsorted(word, v)  # every word before another is one of the text's own, or the end
+            p = less(before, d1, model["kinds"]) + (model["word_mass"] if model["kinds"] else 1.0) / v1
+            base = np.log10((often + 0.1) / (n + 0.1 * v1))
+            # bigrams v w
+            _, first, back = np.unique(pair_hash(v, w), return_index=True, return_inverse=True)
+            fv, fw, fp = v[first], w[first], place[first]
+            h = pair_hash(fv, fw)
+            shard = np.where(among(fv, common), shards + shard_of(h, shards), shard_of(fv, shards))
+            (c,) = _find(h, shard, 1, lambda s, x: _opened(Rows, folder, f"suffixes-{s:06d}").find(x)[1:])
+            p2 = (less(c, d2, total[fp]) + mass(d2, ones[fp], twos[fp], more[fp], total[fp]) * p[at[first]])[back]
+            # contexts u v
+            _, first, back = np.unique(pair_hash(u, v), return_index=True, return_inverse=True)
+            h = pair_hash(u[first], v[first])
+            mid = among(v[first], common)
+            shard = np.where(mid & among(h, pairs), shards + shard_of(h, shards), shard_of(np.where(mid, h, v[first]), shards))
+            context = _find(h, shard, 4, lambda s, x: _opened(Contexts, folder, s).find(x))
+            gamma, seen = mass(d3, *context[1:], context[0])[back], context[0][back]
+            # trigrams, where the context is known
+            known = np.flatnonzero(seen > 0)
+            c3 = np.zeros(len(w), np.int64)
+            h, first, back = np.unique(triple_hash(u[known], v[known], w[known]), return_index=True, return_inverse=True)
+            first = known[first]
+            (c,) = _find(h, dealt(u[first], v[first], w[first], model)[0], 1, lambda s, x: _opened(Rows, folder, f"triples-{s:06d}").find(x)[1:])
+            c3[known] = c[back]
+            p3 = less(c3, d3, seen) + gamma * p2
             add = lambda x: np.add.reduceat(x, begin[:-1])  # noqa: E731, B023
-            known = (total > 0)[word_at].astype(np.int64)
-            arrays = [b.column(0)[lo:to], pa.array(np.diff(begin)), pa.array(add(known)), pa.array(add(base[word_at])), pa.array(add(np.log10(p)))]
+            is_known = (often > 0).astype(np.int64)[at]
+            arrays = [b.column(0)[lo:to], pa.array(np.diff(begin)), pa.array(add(is_known)), pa.array(add(base[at])), pa.array(add(np.log10(p3)))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 
-def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words (kind 0) and of bigrams (kind 1)."""
     for b in batches:
         for lo, to in slices(b.column(0), _SLICE):
-            word, n = np.unique(tokens(b.column(0)[lo:to])[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(word)), pa.array(n)], ["word", "n"])
-
-
-def train(texts: DataFrame, shards: int | None = None) -> dict:
+            _, v, w, _ = tokens(b.column(0)[lo:to])
+            for kind, h in ((0, w), (1, pair_hash(v, w))):
+                h, n = np.unique(h, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(as_long(h)), pa.array(n)], ["kind", "h", "n"])
+
+
+def _common(texts: DataFrame, n_texts: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words and bigrams with more than an eighth of a shard in a sample, the most common 1024 at most of each."""
+    share = min(1.0, SAMPLE_TEXTS / max(1, n_texts))
+    some = texts.where(F.pmod(F.xxhash64(F.lit("common"), "text"), F.lit(1 << 20)) < share * (1 << 20)).mapInArrow(_sample, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
+    some = settle(some, "sample")
+    total = {r["kind"]: r["n"] for r in some.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    found = []
+    for kind in (0, 1):
+        often = some.where((F.col("kind") == kind) & (F.col("n") > total.get(kind, 0) / (8 * shards))).orderBy(F.desc("n"), "h").limit(1024).collect()
+        found.append(np.sort(np.array([r["h"] for r in often], np.int64).view(np.uint64)))
+    forget(texts.sparkSession, some)
+    start = pair_hash(np.array([END]), np.array([END]))
+    return np.union1d(found[0], [END]), np.union1d(found[1], start)
+
+
+def train(texts: DataFrame, shards: int | None = None, passes: int | None = None) -> dict:
     """Counts and stores a model of the column ``text``; returns where it is and its few global numbers."""
     spark = texts.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    folder = new_path(spark, "model")
     texts = texts.select(text_of().alias("text"))
-    share = min(1.0, SAMPLE_TEXTS / max(1, texts.count()))
-    some = texts.where(F.pmod(F.xxhash64(F.lit("common"), "text"), F.lit(1 << 20)) < share * (1 << 20)).mapInArrow(_unigrams, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    often = some.orderBy(F.desc("n"), "word").limit(1024).collect()
-    all_n = sum(r["n"] for r in often)
-    common = np.sort(np.array([r["word"] for r in often if r["n"] > all_n / (8 * shards)], np.int64).view(np.uint64))
-    dealt = texts.mapInArrow(lambda it: _count(it, common, shards), _PAIRS).repartitionById(shards, F.col("shard"))
-    stats = dealt.mapInArrow(lambda it: _store_pairs(it, folder, shards), _STATS).repartitionById(shards, F.col("shard"))
-    found = stats.mapInArrow(lambda it: _store_words(it, folder), _STATS).groupBy("kind").agg(*[F.sum(x).alias(x) for x in "abcde"]).collect()
-    of = {r["kind"]: [r[x] for x in "abcde"] for r in found}
-    n1, n2, n3, n4, pairs = of.get(2, [0] * 5)
-    w1, w2, w3, w4, words = of.get(3, [0] * 5)
-    e = discounts(w1, w2, w3, w4)
-    mass = (e[0] * w1 + e[1] * w2 + e[2] * (words - w1 - w2)) / pairs if pairs else 1.0
-    return {"folder": folder, "shards": shards, "common": common, "tokens": of.get(4, [0])[0], "words": words, "pairs": pairs, "pair_discounts": discounts(n1, n2, n3, n4), "word_discounts": e, "word_mass": mass}
+    size = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    about = size["n"] + size["bytes"] // 6  # tokens, roughly: only the numbers of shards and passes depend on it
+    shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), about // SHARD_TOKENS)
+    passes = passes or min(shards, max(LEAST_PASSES, about // (PASS_TOKENS * shards)))
+    common, common_pairs = _common(texts, size["n"], shards)
+    model = {"folder": new_path(spark, "model"), "shards": shards, "passes": passes, "common": common, "common_pairs": common_pairs}
+    found = []
+    for turn in range(passes):
+        counted = texts.mapInArrow(lambda it, turn=turn: _count(it, model, turn), _TRIPLES)
+        # the shards of a pass are those that leave its number when divided by the number of passes
+        counted = counted.repartitionById(-(-shards // passes), F.expr(f"CAST(shard div {passes} AS INT)"))
+        found.append(settle(counted.mapInArrow(lambda it: _store(it, model), _PARTS), f"parts{turn}"))
+        del counted
+    parts = reduce(DataFrame.unionByName, found)
+    of_bigrams = parts.where(F.col("kind").isin(CONTEXT, SUFFIX)).repartitionById(shards, F.col("shard"))
+    found.append(settle(of_bigrams.mapInArrow(lambda it: _store_parts(it, model), _PARTS), "bigramparts"))
+    parts = reduce(DataFrame.unionByName, found)
+    of_words = parts.where(F.col("kind").isin(HEAD, TAIL)).groupBy("shard", "kind", "key").agg(F.first("word").alias("word"), *[F.sum(x).alias(x) for x in "abcd"]).repartitionById(shards, F.col("shard"))
+    found.append(settle(of_words.mapInArrow(lambda it: _store_words(it, model), _PARTS), "wordparts"))
+    sums = reduce(DataFrame.unionByName, found).where(F.col("kind") == TOTALS).groupBy("key").agg(*[F.sum(x).alias(x) for x in "abcd"]).collect()
+    forget(spark, *found)
+    of = {r["key"]: [r[x] for x in "abcd"] for r in sums}
+    three, two, one = (discounts(*of.get(2 * kind, [0] * 4)) for kind in range(3))
+    w1, w2 = of.get(4, [0] * 4)[:2]
+    words, kinds = of.get(5, [0] * 4)[:2]
+    mass = (one[0] * w1 + one[1] * w2 + one[2] * (words - w1 - w2)) / kinds if kinds else 1.0
+    n_tokens, n_words = of.get(6, [0] * 4)[:2]
+    return model | {"tokens": n_tokens, "words": n_words, "kinds": kinds, "triple_discounts": three, "pair_discounts": two, "word_discounts": one, "word_mass": mass}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -300,9 +483,15 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(lambda it: _score(it, model), f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, n_known long, base_score double, score double")
 
 
+def drop_model(spark: SparkSession, model: dict) -> None:
+    """Deletes the stored arrays; scores must have been written before."""
+    delete_path(spark, model["folder"])
+
+
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores all documents with a model of nine tenths of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs.where(remainder(10) != 0))
-    out = score(docs, model)
+    out = settle(score(docs, model), "scores")
+    drop_model(spark, model)
     return out.select("doc_id", (remainder(10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+#: Setting under which a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,19 +33,31 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes a table to the shared folder and reads it again: later plans start there, and lost executors cost nothing."""
+    """Writes a table to the shared folder and reads it again: later plans start there, and lost executors cost nothing.
+
+    The shuffles behind it are removed once it is written.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_path(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(spark: SparkSession, *frames: DataFrame) -> None:
     """Deletes settled tables that no later plan reads."""
     for df in frames:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete_path(spark, folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

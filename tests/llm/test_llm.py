@@ -432,38 +432,67 @@ def test_sharding_splits_hot_groups(spark, odd, none):
     assert sharding.assign_shards(none).count() == 0
 
 
+def brute_language_model(train: list[list]):
+    """Interpolated modified Kneser-Ney of order 3 by dictionaries: the probability of a word after two others, and its counts."""
+    c, three = collections.Counter(), collections.Counter()
+    for t in train:
+        c.update(t)
+        three.update(zip([None, None, *t[:-1]][: len(t)], [None, *t[:-1]], t, strict=True))
+    two = collections.Counter()
+    for (u, v, w), k in three.items():
+        two[v, w] += k if v is None else 1  # nothing stands before a text
+    one = collections.Counter(w for _, w in two)
+    d3, d2, d1 = ((0, *language_model.discounts(*[collections.Counter(x.values())[i] for i in (1, 2, 3, 4)])) for x in (three, two, one))
+    contexts = []
+    for x, of in ((three, lambda k: k[:2]), (two, lambda k: k[0])):
+        total, follow = collections.Counter(), collections.defaultdict(lambda: [0] * 4)
+        for k, n in x.items():
+            total[of(k)] += n
+            follow[of(k)][min(n, 3)] += 1
+        contexts.append((total, follow))
+    (t3, f3), (t2, f2) = contexts
+    v1, kinds, mass = len(c) + 1, sum(one.values()), sum(d1[min(n, 3)] for n in one.values())
+
+    def p(u, v, w):
+        x = max(one[w] - d1[min(one[w], 3)], 0) / kinds + mass / kinds / v1
+        if t2[v]:
+            x = max(two[v, w] - d2[min(two[v, w], 3)], 0) / t2[v] + sum(d2[k] * f2[v][k] for k in (1, 2, 3)) / t2[v] * x
+        if t3[u, v]:
+            x = max(three[u, v, w] - d3[min(three[u, v, w], 3)], 0) / t3[u, v] + sum(d3[k] * f3[u, v][k] for k in (1, 2, 3)) / t3[u, v] * x
+        return x
+
+    return p, c
+
+
 def test_language_model(spark, sf, local):
     out = queries.queries()["op10_kneser_ney"](spark, sf).collect()
     texts = {i: [*t.encode().translate(LOWER).split(), None] for i, t in local.items()}
-    train = [i for i in texts if zlib.crc32(str(i).encode()) % 10]
-    c, pairs = collections.Counter(), collections.Counter()
-    for i in train:
-        c.update(texts[i])
-        pairs.update(zip([None, *texts[i][:-1]], texts[i], strict=True))
+    p, c = brute_language_model([texts[i] for i in texts if zlib.crc32(str(i).encode()) % 10])
     n, v = sum(c.values()), len(c)
-    counts = collections.Counter(pairs.values())
-    d = (0, *language_model.discounts(*[counts[i] for i in (1, 2, 3, 4)]))
-    total, follow, before = collections.Counter(), collections.defaultdict(lambda: [0] * 4), collections.Counter()
-    for (u, w), k in pairs.items():
-        total[u] += k
-        follow[u][min(k, 3)] += 1
-        before[w] += 1
-    kinds = collections.Counter(before.values())
-    e = (0, *language_model.discounts(*[kinds[i] for i in (1, 2, 3, 4)]))
-    mass = sum(e[min(x, 3)] for x in before.values()) / len(pairs)
-    lower = lambda w: max(before[w] - e[min(before[w], 3)], 0) / len(pairs) + mass / (v + 1)
-
-    def p(u, w):
-        if not total[u]:
-            return lower(w)
-        return max(pairs[u, w] - d[min(pairs[u, w], 3)], 0) / total[u] + sum(d[k] * follow[u][k] for k in (1, 2, 3)) / total[u] * lower(w)
-
-    assert math.isclose(sum(p(b"the", w) for w in [*c, "?"]), 1)
+    assert math.isclose(sum(p(b"of", b"the", w) for w in [*c, "?"]), 1) and math.isclose(sum(p(None, b"the", w) for w in [*c, "?"]), 1)
+    seen: dict = {}
+    cached = lambda *k: seen[k] if k in seen else seen.setdefault(k, math.log10(p(*k)))
     for r in out:
         t = texts[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(w in c for w in t), n, zlib.crc32(str(r.doc_id).encode()) % 10 == 0)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(p(u, w)) for u, w in zip([None, *t[:-1]], t, strict=True)), rel_tol=1e-9)
+        assert math.isclose(r.score, sum(cached(*k) for k in zip([None, None, *t[:-1]][: len(t)], [None, *t[:-1]], t, strict=True)), rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("shards, passes", [(1, 1), (7, 3)])
+def test_language_model_does_not_depend_on_shards(spark, shards, passes):
+    rng = random.Random(12)
+    some = [words(rng, 2) for _ in range(30)]
+    texts = [" ".join(rng.choice(some) for _ in range(rng.randint(0, 60))) for _ in range(150)] + ["b " * 4000] * 3
+    p, _ = brute_language_model([[*t.encode().split(), None] for t in texts])
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = language_model.train(d, shards, passes)
+    ask = [*texts[:20], texts[-1], "never seen words b b", "", None]
+    got = {r.doc_id: r.score for r in language_model.score(spark.createDataFrame(list(enumerate(ask)), "doc_id long, text string"), model).collect()}
+    for i, t in enumerate(ask):
+        t = [*(t or "").encode().split(), None]
+        assert math.isclose(got[i], sum(math.log10(p(*k)) for k in zip([None, None, *t[:-1]][: len(t)], [None, *t[:-1]], t, strict=True)), rel_tol=1e-9)
+    language_model.drop_model(spark, model)
 
 
 def test_language_model_odd(odd, none):
