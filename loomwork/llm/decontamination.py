@@ -44,65 +44,73 @@ WINDOW, LEAST_LITERALS, LEAST_TOKENS, COVERAGE = 8, 3, 3, 0.5
 BROADCAST_ROWS = 500_000
 # fixed values: units of measure, as they follow a number
 UNITS = "km cm mm m kg mg g t lb lbs oz l ml cl s ms sec secs min mins h hr hrs hour hours minute minutes second seconds day days week weeks month months year years mile miles foot feet ft inch inches in yard yards pound pounds ounce ounces gallon gallons litre litres liter liters metre metres meter meters gram grams degree degrees percent dollar dollars euro euros cent cents mph kmh hz khz mhz ghz kb mb gb tb w kw v a"
-#: Marks before a name, a number and a unit, and between the words of one name.
-_NAME, _NUMBER, _UNIT, _RUN = "\x01", "\x02", "\x03", "\x1f"
-_S = r"\x20\x09-\x0D"
+#: Marks before a name, a number, a unit and a further word of a name; what joins the words of a value.
+_NAME, _NUMBER, _UNIT, _MORE, _RUN = "\x01", "\x02", "\x03", "\x04", "\x1f"
+_MARKS = _NAME + _NUMBER + _UNIT + _MORE
+_BLANK = "\t\n\x0b\x0c\r"
 _W = r"\p{L}\p{M}\p{N}'’-"
-_BLANK = " \t\n\x0b\x0c\r"
 
 
-def marked(df: DataFrame, text: Column, name: str = "marked") -> DataFrame:
-    """Adds the text in lower case without punctuation, its names, numbers and units marked.
+def with_tokens(df: DataFrame, text: Column, name: str = "tokens") -> DataFrame:
+    """Adds the words of a text in lower case without punctuation; names, numbers and units begin with their marks.
 
     Each step is a column of its own, so that no regular expression runs twice.
     """
-    s = F.translate(text, _NAME + _NUMBER + _UNIT + _RUN, "    ")
-    s = F.regexp_replace(s, rf"(?<![\p{{L}}\p{{M}}\p{{N}}])\p{{Lu}}[{_W}]*", _NAME + "$0")
-    s = F.lower(F.regexp_replace(s, rf"(\x01[{_W}]*)[{_S}]+(?=\x01)", "$1" + _RUN))
-    number = F.regexp_replace("_s", r"(?<![\p{L}\p{N}.,\x01])[0-9]+(?:[.,:/][0-9]+)*", _NUMBER + "$0")
-    unit = F.regexp_replace(number, rf"(?<=[0-9])([{_S}]*)({'|'.join(UNITS.split())}|[%€$£°])(?![\p{{L}}\p{{N}}])", "$1" + _UNIT + "$2")
-    bare = F.regexp_replace("_n", rf"[^\p{{L}}\p{{M}}\p{{N}}\x01-\x03\x1f{_S}%€$£°]+|(?<!\x03)[%€$£°]", "")
+    s = F.translate(text, _MARKS + _BLANK, " " * len(_MARKS + _BLANK))
+    s = F.regexp_replace(s, rf"(?=\p{{Lu}})(?<![^ \"'(\[«“„‘¿¡*_-])[{_W}]+", _NAME + "$0")
+    s = F.lower(F.regexp_replace(s, rf"(\x01[{_W}]* +)(?=\x01)", "$1" + _MORE))
+    number = F.regexp_replace("_s", r"(?=[0-9])(?<![\p{L}\p{N}.,\x01])[0-9]+(?:[.,:/][0-9]+)*", _NUMBER + "$0")
+    unit = F.regexp_replace(number, rf"(?<=[0-9])( *)({'|'.join(UNITS.split())}|[%€$£°])(?![\p{{L}}\p{{N}}])", "$1" + _UNIT + "$2")
+    bare = F.regexp_replace("_n", r"[^\p{L}\p{M}\p{N}\x01-\x04 %€$£°]+|(?<!\x03)[%€$£°]", "")
     df = df.withColumn("_s", s).withColumn("_n", F.when(F.col("_s").rlike("[0-9]"), unit).otherwise(F.col("_s")))
-    return df.withColumn(name, F.btrim(bare, F.lit(_BLANK))).drop("_s", "_n")
+    return df.withColumn(name, F.array_remove(F.split(bare, " "), "")).drop("_s", "_n")
 
 
-def split(s: Column) -> Column:
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, f"[{_S}]+"))
+def _canonical(x: Column) -> Column:
+    number = F.when(F.contains(x, F.lit(_UNIT)), _NUMBER + _UNIT).otherwise(_NUMBER)
+    return F.when(x >= "\x05", x).when(x.startswith(_NAME), _NAME).when(x.startswith(_NUMBER), number).otherwise(_UNIT)
 
 
-def template(s: Column) -> Column:
-    """The template's tokens: of a marked token its marks only."""
-    return split(F.regexp_replace(s, rf"([\x01\x03]|\x02)[^{_S}\x03]*(\x03?)[^{_S}]*", "$1$2"))
+def _bare(x: Column) -> Column:
+    return F.when(x >= "\x05", x).otherwise(F.translate(x, _MARKS, ""))
 
 
-def plain(s: Column) -> Column:
-    """The tokens without marks, each word of a name for itself."""
-    return split(F.translate(s, _RUN + _NAME + _NUMBER + _UNIT, " "))
+def template(tokens: Column) -> Column:
+    """The template's tokens: of a marked token its marks only, further words of a name left out."""
+    return F.transform(F.filter(tokens, lambda x: ~x.startswith(_MORE)), _canonical)
+
+
+def plain(tokens: Column) -> Column:
+    """The tokens without marks."""
+    return F.transform(tokens, _bare)
 
 
 def is_slot(x: Column) -> Column:
-    return x.startswith(_NAME) | x.startswith(_NUMBER) | x.startswith(_UNIT)
+    return x < "\x05"
+
 
+def starts(tokens: Column) -> Column:
+    """For each template token the place (from 1) of its first word."""
+    return F.filter(F.transform(tokens, lambda x, i: F.when(~x.startswith(_MORE), i + 1)), lambda x: x.isNotNull())
 
-def starts(s: Column) -> Column:
-    """For each template token the place (from 1) of its first word among the plain tokens."""
-    places = F.transform(split(F.replace(s, F.lit(_RUN), F.lit(" " + _RUN))), lambda x, i: F.when(~x.startswith(_RUN), i + 1))
-    return F.filter(places, lambda x: x.isNotNull())
 
+def template_hashes(tokens: Column) -> Column:
+    return F.transform(F.filter(tokens, lambda x: ~x.startswith(_MORE)), lambda x: F.xxhash64(_canonical(x)))
 
-def hashes(tokens: Column) -> Column:
-    return F.transform(tokens, lambda x: F.xxhash64(x))
 
+def plain_hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda x: F.xxhash64(_bare(x)))
 
-def with_windows(df: DataFrame, tokens: Column, sizes: list[int], prefix: str) -> DataFrame:
-    """Adds <prefix><size>: for each token the hash of the window of so many tokens that starts there.
+
+def with_windows(df: DataFrame, hashes: Column, sizes: list[int], prefix: str) -> DataFrame:
+    """Adds <prefix><size>: for each of the tokens' hashes the hash of the window of so many tokens that starts there.
 
     A window is hashed from its parts of 4, 2 and 1 tokens, so a size takes one or two steps for each token whatever it is.
     Windows that would run past the end have hashes that no whole window has.
     """
     beside = lambda a, b, by: F.zip_with(F.col(a), F.slice(F.col(b), by + 1, F.size(F.col(b))), lambda x, y: F.xxhash64(x, y))
     made, n = {1: f"{prefix}1"}, 1
-    df = df.withColumn(made[1], hashes(tokens))
+    df = df.withColumn(made[1], hashes)
     while 2 * n <= max(sizes, default=1):
         made[2 * n] = f"{prefix}{2 * n}"
         df = df.withColumn(made[2 * n], beside(made[n], made[n], n))
@@ -128,19 +136,21 @@ def whole(tokens: Column) -> Column:
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """(item, item_id, marked, names) of each distinct text of each item_id; names are the words of names within sentences."""
+    """(item, item_id, tokens, names) of each distinct text of each item_id; names are the words of names within sentences."""
     rows = benchmark.select("item_id", text_of().alias("text")).distinct()
-    names = F.regexp_extract_all("text", F.lit(rf"(?<=[\p{{L}}\p{{N}},;][{_S}])\p{{Lu}}[{_W}]*"), F.lit(0))
+    names = F.regexp_extract_all("text", F.lit(rf"(?<=[\p{{L}}\p{{N}},;]\s)\p{{Lu}}[{_W}]*"), F.lit(0))
     names = F.transform(names, lambda x: F.regexp_replace(F.lower(x), r"['’-]", ""))
-    rows = marked(rows.withColumn("names", F.array_distinct(names)), F.col("text"))
-    return rows.where(F.col("marked") != "").select(F.xxhash64("item_id", "text").alias("item"), "item_id", "marked", "names")
+    rows = with_tokens(rows.withColumn("names", F.array_distinct(names)), F.col("text"))
+    return rows.where(F.size("tokens") > 0).select(F.xxhash64("item_id", "text").alias("item"), "item_id", "tokens", "names")
+
 
+def slots_of(t: Column, p: Column, at: Column) -> Column:
+    """The placeholders of a row: place, number in the template, and value (its type and its words)."""
+    def row(x: Column, i: Column) -> Column:
+        words = F.slice(p, F.get(at, i), F.coalesce(F.get(at, i + 1), F.size(p) + 1) - F.get(at, i))
+        return F.when(is_slot(x), F.struct(F.get(at, i).alias("at"), (i + 1).alias("i"), F.concat(F.substring(x, 1, 1), F.array_join(words, _RUN)).alias("value")))
 
-def slots_of(t: Column, v: Column, at: Column) -> Column:
-    """The placeholders of a row: place, and value (its type and its words)."""
-    clean = lambda x: F.translate(x, _NAME + _NUMBER + _UNIT, "")
-    rows = F.transform(t, lambda x, i: F.struct(F.get(at, i).alias("at"), (i + 1).alias("i"), F.concat(F.substring(x, 1, 1), clean(F.get(v, i))).alias("value"), is_slot(x).alias("slot")))
-    return F.filter(rows, lambda s: s["slot"])
+    return F.filter(F.transform(t, row), lambda s: s.isNotNull())
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -149,14 +159,13 @@ def item_windows(items: DataFrame) -> DataFrame:
     ``keys`` are a window's typed and its plain hash, ``n`` the number of the item's different windows, ``slots`` the
     placeholders that are compared.
     """
-    m = F.col("marked")
-    rows = items.select("item", "names", template(m).alias("t"), split(m).alias("v"), plain(m).alias("p"), starts(m).alias("s"))
+    tokens, sizes = F.col("tokens"), list(range(1, WINDOW + 1))
+    rows = items.select("item", "names", "tokens", template(tokens).alias("t"), plain(tokens).alias("p"), starts(tokens).alias("s"))
+    rows = with_windows(with_windows(rows, template_hashes(tokens), sizes, "t"), plain_hashes(tokens), sizes, "p").drop("tokens")
     rows = settle(rows, "itemarrays")  # else the optimiser would move these arrays into the functions that look up in them
     words = lambda x: F.split(F.substring(x, 2, 1 << 30), _RUN)
     told = lambda x: ~x["value"].startswith(_NAME) | F.arrays_overlap(words(x["value"]), F.col("names"))
-    rows = rows.withColumn("slots", F.filter(slots_of(F.col("t"), F.col("v"), F.col("s")), told))
-    sizes = list(range(1, WINDOW + 1))
-    rows = settle(with_windows(with_windows(rows, F.col("t"), sizes, "t"), F.col("p"), sizes, "p"), "itemhashes")
+    rows = rows.withColumn("slots", F.filter(slots_of(F.col("t"), F.col("p"), F.col("s")), told))
     rows = rows.withColumns({"nt": F.least(F.size("t"), F.lit(WINDOW)), "np": F.least(F.size("p"), F.lit(WINDOW)), "length": F.size("p")})
     rows = rows.withColumns({"ht": by_size("t", F.col("nt")), "hp": by_size("p", F.col("np"))})
     literals = lambda i: F.size(F.filter(F.slice("t", i, F.col("nt")), lambda x: ~is_slot(x)))
@@ -172,17 +181,17 @@ def item_windows(items: DataFrame) -> DataFrame:
     return rows.select("item", "slots", "np", "length", n.alias("n"), F.explode("windows").alias("x")).select("item", "slots", "np", "length", "n", "x.*")
 
 
-def keys_of(df: DataFrame, typed: list[int], words: list[int]) -> DataFrame:
-    """Adds t<size> and p<size>, and ``short``: the hash of a text of one or two words."""
-    m = F.col("marked")
-    df = df.withColumns({"_t": template(m), "_p": plain(m)})
-    df = df.withColumn("short", F.when(F.size("_p").between(1, LEAST_TOKENS - 1), whole(F.col("_p"))))
-    return with_windows(with_windows(df, F.col("_t"), typed, "t"), F.col("_p"), words, "p").drop("_t", "_p")
+def keys_of(rows: DataFrame, typed: list[int], words: list[int]) -> DataFrame:
+    """Adds tokens, t<size> and p<size>, and ``short``: the hash of a text of one or two words; drops text."""
+    rows = with_tokens(rows, F.col("text")).drop("text")
+    tokens = F.col("tokens")
+    rows = rows.withColumn("short", F.when(F.size(tokens).between(1, LEAST_TOKENS - 1), whole(plain(tokens))))
+    return with_windows(with_windows(rows, template_hashes(tokens), typed, "t"), plain_hashes(tokens), words, "p")
 
 
 def candidates(rows: DataFrame, keys: DataFrame, typed: list[int], words: list[int], few: bool) -> DataFrame:
     """(row_hash) of the texts that have a window of any item."""
-    rows = keys_of(marked(rows, F.col("text")).drop("text"), typed, words)
+    rows = keys_of(rows, typed, words)
     short = F.when(F.col("short").isNotNull(), F.array("short")).otherwise(F.array().cast("array<bigint>"))
     windows = F.concat(short, *[F.col(f"t{n}") for n in typed], *[F.col(f"p{n}") for n in words])
     rows = rows.select("row_hash", F.explode(F.array_distinct(windows)).alias("key"))
@@ -194,10 +203,10 @@ def common_windows(rows: DataFrame, windows: DataFrame, typed: list[int], words:
 
     ``pairs`` are the compared placeholders inside it: place and value in the item and in the text.
     """
-    m = F.col("marked")
-    rows = keys_of(marked(rows, F.col("text")).drop("text"), typed, words)
-    rows = settle(rows.select("*", starts(m).alias("s"), template(m).alias("t"), split(m).alias("v")).drop("marked"), "arrays")
-    rows = settle(rows.withColumn("own", slots_of(F.col("t"), F.col("v"), F.col("s"))).drop("t", "v"), "slots")
+    tokens = F.col("tokens")
+    rows = keys_of(rows, typed, words).select("*", starts(tokens).alias("s"), template(tokens).alias("t"), plain(tokens).alias("p")).drop("tokens")
+    rows = settle(rows, "arrays")
+    rows = settle(rows.withColumn("own", slots_of(F.col("t"), F.col("p"), F.col("s"))).drop("t", "p"), "slots")
     place = lambda i, at, size, key: F.struct(i.alias("j"), at.alias("doc_at"), size.alias("own_size"), key.alias("key"))
     none = F.array().cast("array<struct<j:int,doc_at:int,own_size:int,key:bigint>>")
     of_t = [F.transform(f"t{n}", partial(lambda n, h, j: place(j + 1, F.get("s", j), F.lit(n), h), n)) for n in typed]
