@@ -44,13 +44,16 @@ _SLICE = 4 << 20
 #: Words and bigrams found to be common in a sample of so many texts are dealt to more shards; this changes no result.
 SAMPLE_TEXTS = 2000
 #: A shard's tokens, the least number of passes, and a pass's tokens at most for each shuffle partition.
-SHARD_TOKENS, LEAST_PASSES, PASS_TOKENS = 1_500_000, 3, 60_000_000
+SHARD_TOKENS, LEAST_PASSES, PASS_TOKENS = 1_500_000, 2, 60_000_000
 #: Counts are stored in a byte; those from this one on in a table of their own.
 LARGE = 255
-_TRIPLES = "shard int, u long, v long, w long, c long"
-_PARTS = "shard int, kind int, key long, word long, a long, b long, c long, d long"
-# kinds of parts: a bigram as context, a bigram by the words before it, a word as context, a word by what is before it, sums
-CONTEXT, SUFFIX, HEAD, TAIL, TOTALS = range(5)
+#: A row is a run: some columns of numbers that a task has for a shard, in order, as bytes.
+_RUNS = "shard int, kind int, run binary"
+_FIELDS = ["shard", "kind", "run"]
+#: What is stored of a word: as a context, how often it occurs, and the number of words before it.
+OF_WORDS = "total", "ones", "twos", "more", "often", "before"
+# kinds of runs: trigrams, a bigram as context, a bigram by the words before it, a word as context, a word by those before it, sums
+TRIPLE, CONTEXT, SUFFIX, HEAD, TAIL, TOTALS = range(6)
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -109,30 +112,67 @@ def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return ordered[at], order[at], *(np.add.reduceat(x[order], at) for x in values)
 
 
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of equal length as bytes: each as its distinct values and their numbers, or plainly where that is shorter.
+
+    Numbers and counts are cut to the bytes that they need, so a run is shuffled in about half its size.
+    """
+    out = [np.array([len(columns[0]), len(columns)], np.int64).tobytes()]
+    for x in columns:
+        x = np.asarray(x)
+        own, at = np.unique(x, return_inverse=True)
+        at = at.astype(np.min_scalar_type(max(len(own) - 1, 0)))
+        coded = len(own) * 8 + at.nbytes < len(x) * 8
+        own, at = (own.astype(x.dtype), at) if coded else (x, at[:0])
+        if x.dtype != np.uint64 and len(own):
+            own = own.astype(np.min_scalar_type(int(own.max())))  # counts, which are not negative
+        out += [np.array([len(own), own.itemsize, at.itemsize if coded else 0], np.int64).tobytes(), own.tobytes(), at.tobytes()]
+    return b"".join(out)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    """The columns of a run, as unsigned 64-bit numbers."""
+    at = 16
+    n, columns = np.frombuffer(data, np.int64, 2)
+    found = []
+    for _ in range(columns):
+        own, size, code = np.frombuffer(data, np.int64, 3, at)
+        values = np.frombuffer(data, f"u{size}", own, at + 24).astype(np.uint64)
+        at += 24 + own * size
+        found.append(values[np.frombuffer(data, f"u{code}", n, at)] if code else values)
+        at += n * code
+    return found
+
+
+def _runs(shard: np.ndarray, kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each shard; the columns' order within a shard is kept."""
+    order = np.argsort(shard, kind="stable")
+    ordered = shard[order]
+    edges = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])) if len(shard) else []
+    for at, to in zip(edges[:-1], edges[1:], strict=True):
+        run = pack(*[x[order[at:to]] for x in columns])
+        yield pa.RecordBatch.from_arrays([pa.array([int(ordered[at])], pa.int32()), pa.array([kind], pa.int32()), pa.array([run], pa.binary())], _FIELDS)
+
+
 def _count(batches: Iterator[pa.RecordBatch], model: dict, turn: int) -> Iterator[pa.RecordBatch]:
     kept: list[tuple[np.ndarray, ...]] = []
 
-    def merged() -> pa.RecordBatch:
-        h, u, v, w, c = (np.concatenate(x) for x in zip(*kept, strict=True))
+    def merged() -> Iterator[pa.RecordBatch]:
+        u, v, w, shard = (np.concatenate(x) for x in zip(*kept, strict=True))
         kept.clear()
-        h, first, c = _summed(h, c)
-        order = np.lexsort((u[first], v[first]))  # equal words side by side compress well
-        first, c = first[order], c[order]
-        u, v, w = u[first], v[first], w[first]
-        shard = dealt(u, v, w, model)[0].astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(shard), *[pa.array(as_long(x)) for x in (u, v, w)], pa.array(c)], ["shard", "u", "v", "w", "c"])
+        _, first, c = _summed(triple_hash(u, v, w), np.ones(len(w), np.int64))
+        return _runs(shard[first], TRIPLE, u[first], v[first], w[first], c)
 
     for b in batches:
         for lo, to in slices(b.column(0), _SLICE):
             u, v, w, _ = tokens(b.column(0)[lo:to])
-            own = np.flatnonzero(dealt(u, v, w, model)[0] % model["passes"] == turn)  # shards belong to passes in turn
-            u, v, w = u[own], v[own], w[own]
-            h, first, c = _summed(triple_hash(u, v, w), np.ones(len(w), np.int64))
-            kept.append((h, u[first], v[first], w[first], c))
-            if sum(len(x[0]) for x in kept) > 1_500_000:
-                yield merged()
+            shard = dealt(u, v, w, model)[0]
+            own = np.flatnonzero(shard % model["passes"] == turn)  # shards belong to passes in turn
+            kept.append((u[own], v[own], w[own], shard[own].astype(np.int32)))
+            if sum(len(x[0]) for x in kept) > 2_000_000:
+                yield from merged()
     if kept:
-        yield merged()
+        yield from merged()
 
 
 def _file_system(folder: str) -> tuple[arrow_fs.FileSystem, str]:
@@ -207,62 +247,53 @@ class Rows:
         return place, count
 
 
-def _part(shard: np.ndarray, kind: int, key: np.ndarray, word: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
-    filled = [*values, *[np.zeros(len(key), np.int64)] * (4 - len(values))]
-    arrays = [pa.array(shard.astype(np.int32)), pa.array(np.full(len(key), kind, np.int32)), pa.array(as_long(key)), pa.array(as_long(word)), *[pa.array(x.astype(np.int64)) for x in filled]]
-    return pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in _PARTS.split(", ")])
-
+def _totals(kind: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts of counts: how many are 1, 2, 3 and 4; how many there are; their sum."""
+    few = np.array([kind, *[int(np.sum(counts == i)) for i in (1, 2, 3, 4)], len(counts), int(counts.sum())])
+    yield from _runs(np.zeros(1, np.int64), TOTALS, *few[:, None])
 
-def _totals(kind: int, counts: np.ndarray) -> pa.RecordBatch:
-    """Counts of counts: how many are 1, 2, 3 and 4; and how many there are."""
-    one = np.zeros(1, np.uint64)
-    few = [np.array([int(np.sum(counts == i))]) for i in (1, 2, 3, 4)]
-    yield _part(np.zeros(1), TOTALS, one + _U(2 * kind), one, *few)
-    yield _part(np.zeros(1), TOTALS, one + _U(2 * kind + 1), one, np.array([len(counts)]), np.array([int(counts.sum())]))
 
-
-def _put_contexts(folder: str, s: int, h: np.ndarray, total: np.ndarray, ones: np.ndarray, twos: np.ndarray, more: np.ndarray, name: str = "contexts") -> None:
+def _put_contexts(folder: str, s: int, h: np.ndarray, total: np.ndarray, ones: np.ndarray, twos: np.ndarray, more: np.ndarray) -> None:
     """Contexts seen once say all by their count; of the others the numbers of followers stand in the order of their hashes."""
-    Rows.put(folder, f"{name}-{s:06d}", h, total)
+    Rows.put(folder, f"contexts-{s:06d}", h, total)
     several = total > 1
-    Rows.put(folder, f"{name}several-{s:06d}", h[several], np.zeros(int(several.sum()), np.int64))
-    for n, x in (("ones", ones), ("twos", twos), ("more", more)):
-        if several.any():
-            _put(folder, f"{name}{n}-{s:06d}", x[several].astype(np.uint32 if name == "contexts" else np.int64))
+    if several.any():
+        Rows.put(folder, f"contextsseveral-{s:06d}", h[several], np.zeros(int(several.sum()), np.int64))
+        for n, x in (("ones", ones), ("twos", twos), ("more", more)):
+            _put(folder, f"contexts{n}-{s:06d}", x[several].astype(np.uint32))
 
 
-def _of_suffixes(folder: str, s: int, v: np.ndarray, w: np.ndarray, n: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
-    """Stores bigrams by the number of words before them; yields what they say of their words."""
+def _of_suffixes(folder: str, s: int, v: np.ndarray, w: np.ndarray, n: np.ndarray, often: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+    """Stores bigrams by the number of words before them; yields what they say of their words.
+
+    A word stands in the middle of as many trigrams as it occurs (the end for the beginning of its text).
+    """
     h = pair_hash(v, w)
     order = np.argsort(h)
-    h, v, w, n = h[order], v[order], w[order], n[order]
-    Rows.put(folder, f"suffixes-{s:06d}", h, n)
-    word, _, *sums = _summed(v, n, n == 1, n == 2, n >= 3)
-    yield _part(shard_of(word, shards), HEAD, word, word, *sums)
+    Rows.put(folder, f"suffixes-{s:06d}", h[order], n[order])
+    word, _, *sums = _summed(v, n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n >= 3).astype(np.int64), often)
+    yield from _runs(shard_of(word, shards), HEAD, word, *sums)
     word, _, before = _summed(w, np.ones(len(w), np.int64))
-    yield _part(shard_of(word, shards), TAIL, word, word, before)
+    yield from _runs(shard_of(word, shards), TAIL, word, before)
     yield from _totals(1, n)
 
 
-def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """A task's shards, of bounded size each."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    t = pa.Table.from_batches(held)
-    held.clear()
-    shard = t.column("shard").to_numpy()
-    for s in np.unique(shard):
-        yield int(s), t if (shard == s).all() else t.filter(pa.array(shard == s))
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[np.ndarray]]]]:
+    """A task's shards, of bounded size each: the columns of each kind of runs."""
+    held: dict[int, dict[int, list[bytes]]] = {}
+    for b in batches:
+        for s, kind, run in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            held.setdefault(s, {}).setdefault(kind, []).append(run)
+    for s in sorted(held):
+        yield s, {kind: [np.concatenate(x) for x in zip(*map(unpack, runs), strict=True)] for kind, runs in held.pop(s).items()}
 
 
 def _store(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
     """Writes shards of trigrams and of the bigrams that they know wholly; yields parts of the others and of words."""
     folder, shards = model["folder"], model["shards"]
-    for s, t in _by_shard(batches):
-        u, v, w, c = (t.column(x).to_numpy() for x in "uvwc")
-        u, v, w = (x.view(np.uint64) for x in (u, v, w))
-        h, first, c = _summed(triple_hash(u, v, w), c)
+    for s, found in _by_shard(batches):
+        u, v, w, c = found.pop(TRIPLE)
+        h, first, c = _summed(triple_hash(u, v, w), c.astype(np.int64))
         u, v, w = u[first], v[first], w[first]
         Rows.put(folder, f"triples-{s:06d}", h, c)
         yield from _totals(0, c)
@@ -270,48 +301,45 @@ def _store(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.Record
         pair, at, *sums = _summed(pair_hash(u, v), c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c >= 3).astype(np.int64))
         part = twice[at]
         _put_contexts(folder, s, pair[~part], *[x[~part] for x in sums])
-        if part.any():
-            yield _part(shard_of(pair[part], shards), CONTEXT, pair[part], v[at][part], *[x[part] for x in sums])
-        _, at, n, counted = _summed(pair_hash(v, w), np.ones(len(v), np.int64), c)
-        n = np.where(v[at] == END, counted, n)  # nothing stands before a text
-        part = common[at]
-        yield from _of_suffixes(folder, s, v[at][~part], w[at][~part], n[~part], shards)
-        if part.any():
-            bigram = pair_hash(v[at][part], w[at][part])
-            yield _part(shard_of(bigram, shards), SUFFIX, v[at][part], w[at][part], n[part])
-        word, _, often = _summed(w, c)
-        yield _part(shard_of(word, shards), TAIL, word, word, np.zeros(len(word)), often)
+        yield from _runs(shard_of(pair[part], shards), CONTEXT, pair[part], *[x[part] for x in sums])
+        _, at, n, often = _summed(pair_hash(v, w), np.ones(len(v), np.int64), c)
+        v, w, part = v[at], w[at], common[at]
+        n = np.where(v == END, often, n)  # nothing stands before a text
+        yield from _of_suffixes(folder, s, v[~part], w[~part], n[~part], often[~part], shards)
+        yield from _runs(shard_of(pair_hash(v[part], w[part]), shards), SUFFIX, v[part], w[part], n[part], often[part])
 
 
 def _store_parts(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
-    """Adds up and writes what several shards know of common bigrams; passes on the rest."""
+    """Adds up and writes what several shards know of common bigrams; passes on what these say of their words."""
     folder, shards = model["folder"], model["shards"]
-    for s, t in _by_shard(batches):
-        kind, key, word = t.column("kind").to_numpy(), t.column("key").to_numpy().view(np.uint64), t.column("word").to_numpy().view(np.uint64)
-        values = [t.column(x).to_numpy() for x in "abcd"]
-        m = kind == CONTEXT
-        pair, _, *sums = _summed(key[m], *[x[m] for x in values])
-        _put_contexts(folder, shards + s, pair, *sums)
-        m = kind == SUFFIX
-        _, at, n = _summed(pair_hash(key[m], word[m]), values[0][m])
-        yield from _of_suffixes(folder, shards + s, key[m][at], word[m][at], n, shards)
+    for s, found in _by_shard(batches):
+        if CONTEXT in found:
+            pair, *sums = found.pop(CONTEXT)
+            pair, _, *sums = _summed(pair, *[x.astype(np.int64) for x in sums])
+            _put_contexts(folder, shards + s, pair, *sums)
+        if SUFFIX in found:
+            v, w, n, often = found.pop(SUFFIX)
+            _, at, n, often = _summed(pair_hash(v, w), n.astype(np.int64), often.astype(np.int64))
+            yield from _of_suffixes(folder, shards + s, v[at], w[at], n, often, shards)
 
 
 def _store_words(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.RecordBatch]:
-    """Writes shards of words; yields their counts of counts."""
+    """Writes shards of words; yields their counts of counts.  Words that occur once say all by that."""
     folder = model["folder"]
-    for s, t in _by_shard(batches):
-        kind, key = t.column("kind").to_numpy(), t.column("key").to_numpy().view(np.uint64)
-        values = [t.column(x).to_numpy() for x in "abcd"]
-        zero = np.zeros(len(key), np.int64)
-        head, tail = kind == HEAD, kind == TAIL
-        columns = [np.where(head, x, zero) for x in values] + [np.where(tail, x, zero) for x in values[:2]]
-        word, _, *sums = _summed(key, *columns)
-        _put(folder, f"words-{s:06d}", word)
-        for n, x in zip(("total", "ones", "twos", "more", "before", "often"), sums, strict=True):
-            _put(folder, f"{n}-{s:06d}", x.astype(np.int64))
-        yield from _totals(2, sums[4])
-        yield _part(np.zeros(1), TOTALS, np.full(1, 6, np.uint64), np.zeros(1, np.uint64), np.array([int(sums[5].sum())]), np.array([int(np.sum(sums[5] > 0))]))
+    for s, found in _by_shard(batches):
+        head, tail = found.pop(HEAD, [np.zeros(0, np.uint64)] * 6), found.pop(TAIL, [np.zeros(0, np.uint64)] * 2)
+        n, m = len(head[0]), len(tail[0])
+        columns = [np.concatenate([x, np.zeros(m, np.uint64)]) for x in head[1:]] + [np.concatenate([np.zeros(n, np.uint64), tail[1]])]
+        word, _, *sums = _summed(np.concatenate([head[0], tail[0]]), *[x.astype(np.int64) for x in columns])
+        often, before = sums[4], sums[5]
+        Rows.put(folder, f"words-{s:06d}", word, often)
+        several = often > 1
+        if several.any():
+            Rows.put(folder, f"wordsseveral-{s:06d}", word[several], np.zeros(int(several.sum()), np.int64))
+            for name, x in zip(OF_WORDS, sums, strict=True):
+                _put(folder, f"{name}-{s:06d}", x[several])
+        yield from _totals(2, before)
+        yield from _totals(3, often)
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -344,14 +372,18 @@ class Words:
     """What is stored of words."""
 
     def __init__(self, folder: str, s: int):
-        self.word = _get(folder, f"words-{s:06d}", np.uint64)
-        self.sums = [_get(folder, f"{n}-{s:06d}", np.int64) for n in ("total", "ones", "twos", "more", "before", "often")]
+        self.all, self.several = Rows(folder, f"words-{s:06d}"), Rows(folder, f"wordsseveral-{s:06d}")
+        self.sums = [_get(folder, f"{n}-{s:06d}", np.int64) for n in OF_WORDS]
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        if not len(self.word):
-            return (np.zeros(len(h), np.int64),) * 6
-        at = np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)
-        return tuple(np.where(self.word[at] == h, x[at], 0) for x in self.sums)
+        often = self.all.find(h)[1]
+        once = (often == 1).astype(np.int64)
+        out = [once.copy(), once.copy(), np.zeros_like(once), np.zeros_like(once), once.copy(), once.copy()]
+        asked = np.flatnonzero(often > 1)
+        place = self.several.find(h[asked])[0]
+        for o, x in zip(out, self.sums, strict=True):
+            o[asked] = x[place]
+        return tuple(out)
 
 
 @lru_cache(maxsize=4096)
@@ -387,24 +419,26 @@ def _score(batches: Iterator[pa.RecordBatch], model: dict) -> Iterator[pa.Record
         for lo, to in slices(b.column(1), _SLICE):
             u, v, w, begin = tokens(b.column(1)[lo:to])
             word, at = np.unique(w, return_inverse=True)
-            total, ones, twos, more, before, often = _find(word, shard_of(word, shards), 6, lambda s, h: _opened(Words, folder, s).find(h))
+            total, ones, twos, more, often, before = _find(word, shard_of(word, shards), 6, lambda s, h: _opened(Words, folder, s).find(h))
             place = np.searchsorted(word, v)  # every word before another is one of the text's own, or the end
             p = less(before, d1, model["kinds"]) + (model["word_mass"] if model["kinds"] else 1.0) / v1
             base = np.log10((often + 0.1) / (n + 0.1 * v1))
-            # bigrams v w
-            _, first, back = np.unique(pair_hash(v, w), return_index=True, return_inverse=True)
-            fv, fw, fp = v[first], w[first], place[first]
-            h = pair_hash(fv, fw)
-            shard = np.where(among(fv, common), shards + shard_of(h, shards), shard_of(fv, shards))
+            # bigrams v w; those before each word are the same ones, and the beginning
+            pair = np.append(pair_hash(v, w), pair_hash(np.array([END]), np.array([END])))
+            h, first, back = np.unique(pair, return_index=True, return_inverse=True)
+            fv, fw = np.append(v, END)[first], np.append(w, END)[first]
+            mid = among(fv, common)
+            shard = np.where(mid, shards + shard_of(h, shards), shard_of(fv, shards))
             (c,) = _find(h, shard, 1, lambda s, x: _opened(Rows, folder, f"suffixes-{s:06d}").find(x)[1:])
-            p2 = (less(c, d2, total[fp]) + mass(d2, ones[fp], twos[fp], more[fp], total[fp]) * p[at[first]])[back]
-            # contexts u v
-            _, first, back = np.unique(pair_hash(u, v), return_index=True, return_inverse=True)
-            h = pair_hash(u[first], v[first])
-            mid = among(v[first], common)
-            shard = np.where(mid & among(h, pairs), shards + shard_of(h, shards), shard_of(np.where(mid, h, v[first]), shards))
+            own = first < len(w)
+            fp, fw_at = np.append(place, 0)[first], np.append(at, 0)[first]
+            p2 = np.where(own, less(c, d2, total[fp]) + mass(d2, ones[fp], twos[fp], more[fp], total[fp]) * p[fw_at], 1.0)[back[:-1]]
+            mid = among(fw, common)
+            shard = np.where(mid & among(h, pairs), shards + shard_of(h, shards), shard_of(np.where(mid, h, fw), shards))
             context = _find(h, shard, 4, lambda s, x: _opened(Contexts, folder, s).find(x))
-            gamma, seen = mass(d3, *context[1:], context[0])[back], context[0][back]
+            before_at = np.empty(len(w), np.int64)
+            before_at[1:], before_at[begin[:-1]] = back[:-2], back[-1]
+            gamma, seen = mass(d3, *context[1:], context[0])[before_at], context[0][before_at]
             # trigrams, where the context is known
             known = np.flatnonzero(seen > 0)
             c3 = np.zeros(len(w), np.int64)
@@ -444,6 +478,16 @@ def _common(texts: DataFrame, n_texts: int, shards: int) -> tuple[np.ndarray, np
     return np.union1d(found[0], [END]), np.union1d(found[1], start)
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of a task's totals of each kind."""
+    totals = np.zeros((4, 6), np.int64)
+    for b in batches:
+        for run in b.column(2).to_pylist():
+            kind, *sums = (int(x[0]) for x in unpack(run))
+            totals[kind] += sums
+    yield pa.RecordBatch.from_arrays([pa.array(range(4), pa.int32()), pa.array(totals.tolist(), pa.list_(pa.int64()))], ["kind", "sums"])
+
+
 def train(texts: DataFrame, shards: int | None = None, passes: int | None = None) -> dict:
     """Counts and stores a model of the column ``text``; returns where it is and its few global numbers."""
     spark = texts.sparkSession
@@ -456,25 +500,26 @@ def train(texts: DataFrame, shards: int | None = None, passes: int | None = None
     model = {"folder": new_path(spark, "model"), "shards": shards, "passes": passes, "common": common, "common_pairs": common_pairs}
     found = []
     for turn in range(passes):
-        counted = texts.mapInArrow(lambda it, turn=turn: _count(it, model, turn), _TRIPLES)
+        counted = texts.mapInArrow(lambda it, turn=turn: _count(it, model, turn), _RUNS)
         # the shards of a pass are those that leave its number when divided by the number of passes
         counted = counted.repartitionById(-(-shards // passes), F.expr(f"CAST(shard div {passes} AS INT)"))
-        found.append(settle(counted.mapInArrow(lambda it: _store(it, model), _PARTS), f"parts{turn}"))
+        found.append(settle(counted.mapInArrow(lambda it: _store(it, model), _RUNS), f"parts{turn}"))
         del counted
     parts = reduce(DataFrame.unionByName, found)
     of_bigrams = parts.where(F.col("kind").isin(CONTEXT, SUFFIX)).repartitionById(shards, F.col("shard"))
-    found.append(settle(of_bigrams.mapInArrow(lambda it: _store_parts(it, model), _PARTS), "bigramparts"))
+    found.append(settle(of_bigrams.mapInArrow(lambda it: _store_parts(it, model), _RUNS), "bigramparts"))
     parts = reduce(DataFrame.unionByName, found)
-    of_words = parts.where(F.col("kind").isin(HEAD, TAIL)).groupBy("shard", "kind", "key").agg(F.first("word").alias("word"), *[F.sum(x).alias(x) for x in "abcd"]).repartitionById(shards, F.col("shard"))
-    found.append(settle(of_words.mapInArrow(lambda it: _store_words(it, model), _PARTS), "wordparts"))
-    sums = reduce(DataFrame.unionByName, found).where(F.col("kind") == TOTALS).groupBy("key").agg(*[F.sum(x).alias(x) for x in "abcd"]).collect()
+    of_words = parts.where(F.col("kind").isin(HEAD, TAIL)).repartitionById(shards, F.col("shard"))
+    found.append(settle(of_words.mapInArrow(lambda it: _store_words(it, model), _RUNS), "wordparts"))
+    totals = np.zeros((4, 6), np.int64)
+    sums = reduce(DataFrame.unionByName, found).where(F.col("kind") == TOTALS).mapInArrow(_added, "kind int, sums array<long>")
+    for r in sums.groupBy("kind").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(6)]).alias("sums")).collect():
+        totals[r["kind"]] = r["sums"]
     forget(spark, *found)
-    of = {r["key"]: [r[x] for x in "abcd"] for r in sums}
-    three, two, one = (discounts(*of.get(2 * kind, [0] * 4)) for kind in range(3))
-    w1, w2 = of.get(4, [0] * 4)[:2]
-    words, kinds = of.get(5, [0] * 4)[:2]
+    three, two, one = (discounts(*map(int, totals[kind][:4])) for kind in range(3))
+    w1, w2, _, _, words, kinds = map(int, totals[2])
     mass = (one[0] * w1 + one[1] * w2 + one[2] * (words - w1 - w2)) / kinds if kinds else 1.0
-    n_tokens, n_words = of.get(6, [0] * 4)[:2]
+    n_words, n_tokens = map(int, totals[3][4:])
     return model | {"tokens": n_tokens, "words": n_words, "kinds": kinds, "triple_discounts": three, "pair_discounts": two, "word_discounts": one, "word_mass": mass}
 
 
