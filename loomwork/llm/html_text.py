@@ -1,24 +1,30 @@
 """Main text of web pages by nearest-URL page differencing.
 
 A page is split into lines, the runs of text between block tags.  Within each host pages are put in order of their URL's
-path, so the pages before and after are the nearest by URL; the lines of a page and its neighbour are aligned by a
-longest common subsequence, and lines that both have are furniture of the site and deleted.
+path, so the pages before and after are the nearest by URL.  All lines of a page and of the nearest page that isn't a copy of
+it are aligned by a longest common subsequence: lines that both have are furniture of the site and deleted, and so is the
+rest of an element most of whose lines were (a menu with one entry of its own).
 
-What the markup itself says of a line is checked against that: a line in an article or main element stays even if a
-neighbour has it too (many sites carry copies), and menus, headers, footers, sidebars, notices, adverts, forms and
-comments go even if no neighbour has them.  A page without a neighbour keeps its other lines.
+Markup settles what the alignment leaves open: a shared line inside an article or main element stays (pages quote the same
+passages), and furniture that differs from page to page, or stands on a page without a neighbour, goes by its element or
+class: menus, headers, footers, sidebars, notices, adverts, forms and comments.  Class names count as a whole, or if all
+their parts are names of furniture or of places (``site-footer``, not ``ad-free``).
 
-Pages in URL order over all hosts are dealt to blocks of equal numbers, so a large host is spread over many tasks; the
-pages next to a block's ends are given to it as well.  Only the lines of the pages are shuffled, once.
+Pages in URL order over all hosts are dealt to blocks of about equal bytes, so a large host is spread over many tasks; the
+pages next to a block's ends are given to it as well.  Only the lines of the pages are shuffled, once, and a task
+streams through its block.
 
 Defined cases: a null html or url is empty; hosts and paths are lower-cased and lose query and fragment; pages of the same
-path are ordered by page_id; an unclosed element ends with the page, a void or raw one at once; a neighbour whose lines
-are nearly all the same (a copy of the page) says nothing about furniture, so the page after it is asked as well.
+path are ordered by page_id; an unclosed element ends with the page, a void or raw one at once; a neighbour that holds
+nearly all that may be text of the page (a copy of it) says nothing about furniture, so the pages after it are asked, up to
+two on either side, and then the last one before that was no copy; columns other than page_id, url and html, whatever their
+names, are not looked at; a page is parsed whole, whatever its length.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 from html import unescape
@@ -37,19 +43,22 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title svg math iframe object select option canvas video audio".split())
 OUT = frozenset("head nav header footer aside form menu button dialog".split())
 IN = frozenset("article main".split())
-#: Words in a class, id or role that mark what is not the article.
+#: Names in a class, id or role that mark what is not the article, and words that say where something is.
 MARKS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside banner cookie cookies notice consent newsletter subscribe ad ads advert advertisement advertising sponsored promo popup modal social share sharing related recommended comment comments reply replies discussion respond complementary contentinfo search login signup".split())
+PLACES = frozenset("site page main global primary secondary top bottom left right upper lower head foot side bar box block area section list wrapper container inner outer item items form link links button buttons widget".split())
+#: Elements that hold one line of something rather than a group of lines.
+LEAVES = frozenset("p li dt dd tr td th h1 h2 h3 h4 h5 h6".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.I)
-_WORD = re.compile(r"[a-z]+")
-#: From this share of equal lines on a neighbour is a copy.
-COPY = 0.8
+_PART = re.compile(r"[a-z]+")
+#: From this share of its text on that a neighbour has as well, the page is a copy; of an element's lines, it is furniture.
+COPY, MOST = 0.8, 0.5
 #: Neighbours on either side that may be asked.
 REACH = 2
 
-#: Blocks: so many for each task at most, of so many pages at least; their ends are all that the driver knows.
-BLOCKS_A_TASK, MOST_BLOCKS, LEAST_BLOCK = 4, 4096, 64
+#: Bytes of html in a block, blocks at most, pages in a block at least; the keys at their ends are all that the driver knows.
+BLOCK_BYTES, MOST_BLOCKS, LEAST_BLOCK = 16 << 20, 16_384, 64
 KEPT, ASKED, GONE = 1, 0, -1
 
 
@@ -61,24 +70,28 @@ def _left_out(tag: str, attributes: str) -> bool:
     if _HIDDEN.search(attributes):
         return True
     for m in _MARKED.finditer(attributes):
-        if MARKS.intersection(_WORD.findall((m[1] or m[2] or m[3] or "").lower())):
-            return True
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = _PART.findall(name)
+            if MARKS.intersection(parts) and all(x in MARKS or x in PLACES for x in parts):
+                return True
     return False
 
 
-def lines_of(html: str) -> list[tuple[int, str]]:
-    """(KEPT, ASKED or GONE, line) in page order."""
-    lines: list[tuple[int, str]] = []
+def lines_of(html: str) -> list[tuple[int, int, str]]:
+    """(KEPT, ASKED or GONE by the markup; the element it stands in; line) in page order."""
+    lines: list[tuple[int, int, str]] = []
     run: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, is left out, is kept
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, is left out, is kept, number
     out = kept = False
+    number = 0
     at = 0
 
     def flush() -> None:
         if run:
             line = " ".join(unescape("".join(run)).split())
             if line:
-                lines.append((GONE if out else KEPT if kept else ASKED, line))
+                group = next((x[3] for x in reversed(stack) if x[0] not in LEAVES and x[0] not in INLINE), 0)
+                lines.append((GONE if out else KEPT if kept else ASKED, group, line))
             run.clear()
 
     def reset() -> None:
@@ -101,7 +114,7 @@ def lines_of(html: str) -> list[tuple[int, str]]:
         if m[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    if any(x not in INLINE or gone or stays for x, gone, stays in stack[i:]):
+                    if any(x not in INLINE or gone or stays for x, gone, stays, _ in stack[i:]):
                         flush()
                     del stack[i:]
                     reset()
@@ -116,7 +129,8 @@ def lines_of(html: str) -> list[tuple[int, str]]:
                 continue  # the one before ends here
             if gone or stays:
                 flush()
-            stack.append((tag, gone, stays))
+            number += 1
+            stack.append((tag, gone, stays, number))
             out, kept = out or gone, kept or stays
     flush()
     return lines
@@ -147,7 +161,7 @@ def common(a: list[str], b: list[str]) -> np.ndarray:
     links: list[tuple[int, tuple | None]] = []
     for i in rows:
         for j in reversed(places[a[i]]):
-            k = int(np.searchsorted(ends, j)) if ends else 0
+            k = bisect_left(ends, j)
             node = (i, links[k - 1] if k else None)
             if k == len(ends):
                 ends.append(j)
@@ -161,34 +175,53 @@ def common(a: list[str], b: list[str]) -> np.ndarray:
     return shared
 
 
-def main_text(own: list[tuple[int, str]], others: list[list[tuple[int, str]]]) -> str:
-    """The page's text without the lines that it shares with the first neighbour that isn't a copy."""
-    shared = np.zeros(len(own), bool)
+def is_copy(own: list[tuple[int, int, str]], theirs: set[str]) -> bool:
+    """Whether the neighbour has most of what may be text of the page (of all its lines if there is none)."""
+    sizes = [(line in theirs, len(line)) for kind, _, line in own if kind != GONE] or [(line in theirs, len(line)) for _, _, line in own]
+    return sum(n for there, n in sizes if there) >= COPY * sum(n for _, n in sizes)
+
+
+def furniture(own: list[tuple[int, int, str]], theirs: list[tuple[int, int, str]]) -> np.ndarray:
+    """The lines that the alignment with a neighbour deletes: shared ones, and the rest of elements that are mostly shared."""
+    shared = common([line for _, _, line in own], [line for _, _, line in theirs])
+    groups = np.array([group for _, group, _ in own], np.int64)
+    _, at = np.unique(groups, return_inverse=True)
+    return shared | (np.bincount(at, shared) >= MOST * np.bincount(at))[at] if len(own) else shared
+
+
+def main_text(own: list[tuple[int, int, str]], others: list[list[tuple[int, int, str]]]) -> str:
+    """The page's text: what differs from the first neighbour that isn't a copy, as far as the markup agrees."""
+    gone = np.zeros(len(own), bool)
     for theirs in others:
-        everything = {line for _, line in theirs}
-        if everything and sum(line in everything for _, line in own) < COPY * len(own):
-            shared = common([line for _, line in own], [line for _, line in theirs])
+        if theirs and not is_copy(own, {line for _, _, line in theirs}):
+            gone = furniture(own, theirs)
             break
-    return " ".join(line for (kind, line), twice in zip(own, shared, strict=True) if kind == KEPT or kind == ASKED and not twice)
+    return " ".join(line for (kind, _, line), twice in zip(own, gone.tolist(), strict=True) if kind == KEPT or kind == ASKED and not twice)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo, to in slices(b.column(4), 8 << 20):
             pages = [lines_of(h or "") for h in b.column(4)[lo:to].to_pylist()]
-            kinds = pa.array([[k for k, _ in p] for p in pages], pa.list_(pa.int8()))
-            lines = pa.array([[x for _, x in p] for p in pages], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*[b.column(i)[lo:to] for i in range(4)], kinds, lines], ["page_id", "url", "key", "near", "kinds", "lines"])
+            kinds = pa.array([[k for k, _, _ in p] for p in pages], pa.list_(pa.int8()))
+            groups = pa.array([[g for _, g, _ in p] for p in pages], pa.list_(pa.int32()))
+            lines = pa.array([[x for _, _, x in p] for p in pages], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*[b.column(i)[lo:to] for i in range(4)], kinds, groups, lines], ["page_id", "url", "key", "near", "kinds", "groups", "lines"])
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of block and number; each page sees REACH rows on either side."""
+    """Rows come in order of block and number; each page sees REACH rows on either side, and the last that was no copy of them."""
     window: deque = deque()
     done: list[tuple] = []
+    other: dict | None = None  # the last page before that the one before wasn't a copy of
 
     def finish(i: int) -> None:
+        nonlocal other
         row = window[i]
         near = [window[j] for d in range(1, REACH + 1) for j in (i + d, i - d) if 0 <= j < len(window)]
+        if i and not is_copy(row["page"], {x for _, _, x in window[i - 1]["page"]}):
+            other = window[i - 1]
+        near += [other] if other else []
         if not row["guest"]:
             text = main_text(row["page"], [n["page"] for n in near if n["block"] == row["block"] and n["host"] == row["host"]])
             done.append((row["page_id"], row["url"], text, len(text)))
@@ -202,7 +235,7 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         kind = b.schema.field("page_id").type
         for row in b.to_pylist():
-            row["page"] = list(zip(row.pop("kinds"), row.pop("lines"), strict=True))
+            row["page"] = list(zip(row.pop("kinds"), row.pop("groups"), row.pop("lines"), strict=True))
             window.append(row)
             if len(window) > at + REACH:
                 finish(at)
@@ -229,9 +262,10 @@ def _strings(values: list[str]) -> Column:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each page."""
     spark = pages.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = pages.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("bytes")).first()
+    blocks = min(MOST_BLOCKS, 1 + size["bytes"] // BLOCK_BYTES)
     order = numbered(pages.select(url_key().alias("key")), [F.col("key")])
-    per = max(LEAST_BLOCK, -(-pages.count() // min(MOST_BLOCKS, BLOCKS_A_TASK * parts)))
+    per = max(LEAST_BLOCK, -(-size["n"] // blocks))
     place = F.pmod(F.col("number") - 1, F.lit(per))
     edges = order.where(place.isin(0, REACH - 1, per - REACH)).select(((F.col("number") - 1) / per).cast("int").alias("block"), place.alias("place"), "key").collect()
     at = {(r["block"], r["place"]): r["key"] for r in edges}
@@ -243,9 +277,9 @@ def extract(pages: DataFrame) -> DataFrame:
     before = F.when((block > 0) & (key <= F.get(_strings(early), block)), own(block - 1, True))
     after = F.when((block < n - 1) & (key >= F.get(_strings(late), block)), own(block + 1, True))
     rows = rows.withColumn("near", F.array_compact(F.array(own(block, False), before, after))).select("page_id", "url", "key", "near", "html")
-    rows = rows.mapInArrow(_lines, f"page_id {dict(pages.dtypes)['page_id']}, url string, key string, near array<struct<block:int,guest:boolean>>, kinds array<tinyint>, lines array<string>")
-    rows = rows.withColumn("at", F.explode("near")).select("page_id", "url", "key", "kinds", "lines", host(F.col("url")).alias("host"), "at.block", "at.guest")
-    rows = rows.repartition(parts, "block").sortWithinPartitions("block", "key").drop("key")
+    rows = rows.mapInArrow(_lines, f"page_id {dict(pages.dtypes)['page_id']}, url string, key string, near array<struct<block:int,guest:boolean>>, kinds array<tinyint>, groups array<int>, lines array<string>")
+    rows = rows.withColumn("at", F.explode("near")).select("page_id", "url", "key", "kinds", "groups", "lines", host(F.col("url")).alias("host"), "at.block", "at.guest")
+    rows = rows.repartitionById(n, F.col("block")).sortWithinPartitions("block", "key").drop("key")
     return rows.mapInArrow(_difference, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long")
 
 

@@ -2,7 +2,8 @@
 
 Features are 1- to 3-grams of letters within words, hashed; their document frequencies are counted over all training texts.
 The weights are learned by follow-the-regularised-leader (per-coordinate steps, L1 and L2 penalties) on a sample of
-at most ``PER_LANGUAGE`` texts of each language, drawn by a hash of the text; a quarter of the sample is kept from
+at most ``PER_LANGUAGE`` texts of each language, drawn by a hash of id and text, so that copies of a text
+aren't drawn together; a quarter of the sample is kept from
 learning and gives the temperature.  Scoring reads every whole text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text when nothing can be learned;
@@ -102,8 +103,8 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(rows: DataFrame) -> dict | None:
-    """Learns from the columns text and lang; None where there is nothing to learn from."""
-    rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
+    """Learns from the columns doc_id, text and lang; None where there is nothing to learn from."""
+    rows = rows.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
@@ -113,8 +114,8 @@ def train(rows: DataFrame) -> dict | None:
     df[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, PER_LANGUAGE / n))])[F.col("lang")]
-    picked = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 20)) < share * (1 << 20))
-    sample = picked.mapInArrow(_vectors, "lang string, bucket array<int>, n array<float>").withColumn("order", F.xxhash64(F.lit("order"), "bucket")).toArrow()
+    picked = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 20)) < share * (1 << 20))
+    sample = picked.select("lang", "text").mapInArrow(_vectors, "lang string, bucket array<int>, n array<float>").withColumn("order", F.xxhash64(F.lit("order"), "bucket")).toArrow()
     sample = sample.sort_by([("order", "ascending"), ("lang", "ascending")])
     model, examples = Ftrl((1 << BITS) + 1, len(langs)), []
     for lang, bucket, n in zip(sample.column("lang").to_pylist(), sample.column("bucket"), sample.column("n"), strict=True):
