@@ -20,8 +20,10 @@ matrices, which bounds J_P for all their pairs at once (with a and b the shared
 J_P <= 1 / (1/a + 1/b - 1)), and verifies what is left.  No bucket is capped, and no list of all pairs is made.
 
 Defined cases: a text under five words is a single shingle; texts without words (null among them) are in one class only with
-equal texts, null being empty; a row with a null doc_id takes the class of its text, null if no other row has it; an
-empty table gives an empty result.
+equal texts, null being empty; a row with a null doc_id takes the class of its text, null if no other row has it; different
+texts of one doc_id are told apart (a class is named by its smallest doc_id, so such an id may name two, and the column
+``node`` tells which); a very long text is a row of its own to every step; other columns, whatever their names, are not
+looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -208,17 +210,26 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return settle(moved.select("id", F.coalesce("to", "label").alias("label")).union(found.where("id <> label")), "labels")
 
 
-def near_classes(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, class_id): the class of each row, named by its smallest doc_id."""
+def near_groups(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """The rows as (doc_id, digest), and (digest, doc_id, node, label) of each distinct text that has an id.
+
+    A text's node is its smallest doc_id, or a number of its own where another text has the same; equal labels (the node
+    of one of the texts) make a class.
+    """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text_of().cast("binary")).alias("digest"), text_of().alias("text"))
     signed = settle(base.mapInArrow(lambda it: _banded(it, k, bands, rows), "doc_id long, digest string, bands array<long>"), "signed")
-    groups = settle(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "groups")
-    banded = groups.where("rep IS NOT NULL").select("rep", F.explode(F.array_distinct("bands")).alias("key"))
+    groups = settle(signed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min_by("bands", "doc_id").alias("bands")).where("doc_id IS NOT NULL"), "groups")
+    twice = groups.groupBy("doc_id").agg(F.min("digest").alias("first"), F.count("*").alias("n")).where("n > 1").select("doc_id", "first")
+    own = F.least(F.lit(-1).cast("long"), -F.abs(F.xxhash64("digest")))
+    groups = groups.join(twice, "doc_id", "left").withColumn("rep", F.when(F.col("digest") != F.col("first"), own).otherwise(F.col("doc_id"))).drop("first")
+    groups = settle(groups, "nodes")
+    banded = groups.select("rep", F.explode(F.array_distinct("bands")).alias("key"))
     pivots = banded.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a < hi").drop("hi")
     buckets = settle(banded.join(pivots, "key"), "buckets")
-    in_doubt = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    texts = settle(base.select("doc_id", "text").join(in_doubt, "doc_id").dropDuplicates(["doc_id"]), "texts")
+    in_doubt = groups.join(buckets.select("rep").distinct(), "rep").select("doc_id", "digest", "rep")
+    texts = base.join(in_doubt, ["doc_id", "digest"]).select(F.col("rep").alias("doc_id"), "text")
+    texts = settle(texts.dropDuplicates(["doc_id"]), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         with_b = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -266,27 +277,35 @@ def near_classes(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, band
     more = settle(found.union(within), "links")
     if not more.isEmpty():
         labels = merged(labels, more)
-    named = groups.select("digest", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("class_id"))
-    return signed.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id")
+    named = groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "doc_id", F.col("rep").alias("node"), F.coalesce("label", "rep").alias("label"))
+    return signed.select("doc_id", "digest"), settle(named, "classes")
+
+
+def near_classes(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, class_id, node): the class of each row, named by its smallest doc_id."""
+    rows, groups = near_groups(docs, **options)
+    least = groups.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    named = groups.join(least, "label").select("digest", "class_id", F.col("label").alias("node"))
+    return rows.join(named, "digest", "left").select("doc_id", "class_id", "node")
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
-    """One row of each class, that of the smallest doc_id, with all columns; rows without an id or class all stay.
+    """One row of each class, a text of its smallest doc_id, with all columns; rows without an id or class all stay.
 
-    Of rows that share the smallest id of a class the first by text hash stays.
+    Of rows that agree in that id and text one stays.
     """
-    classes = near_classes(docs, **options)
+    _, groups = near_groups(docs, **options)
+    least = groups.groupBy("label").agg(F.min(F.struct("doc_id", "digest")).alias("x")).select(F.col("x.doc_id").alias("_id"), F.col("x.digest").alias("_digest"))
     named = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(named.alias("_row"), F.col("doc_id").cast("long").alias("_id"))
-    kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias("_id")).distinct()
-    first = rows.join(kept, "_id", "left_semi").select("_row", "_id", F.xxhash64(text_of("_row.text")).alias("_h"))
-    least = first.groupBy("_id").agg(F.min("_h").alias("_h"), F.count("*").alias("_n"))
-    single = first.join(least, ["_id", "_h"])
-    once = single.where("_n = 1").select("_row")
-    several = single.where("_n > 1").dropDuplicates(["_id"]).select("_row")
-    return once.unionByName(several).unionByName(rows.where("_id IS NULL").select("_row")).select("_row.*")
+    rows = docs.select(named.alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.md5(text_of().cast("binary")).alias("_digest"))
+    first = rows.join(least, ["_id", "_digest"], "left_semi")
+    often = first.groupBy("_id", "_digest").agg(F.count("*").alias("_n"))
+    several = often.where("_n > 1").select("_id", "_digest")
+    once = first.join(several, ["_id", "_digest"], "left_anti").select("_row")
+    one = first.join(several, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"]).select("_row")
+    return once.unionByName(one).unionByName(rows.where("_id IS NULL").select("_row")).select("_row.*")
 
 
 def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of each document."""
-    return near_classes(table(spark, sf_dir, "documents"))
+    return near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")

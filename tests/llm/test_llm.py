@@ -434,6 +434,19 @@ def test_near_duplicates_odd(spark, sf, local, odd, none):
     assert neardup.near_classes(none).count() == 0 and neardup.representatives(none).count() == 0
 
 
+def test_near_duplicates_of_one_id(spark):
+    """Different texts may share an id: none is lost, and each is compared by its own text."""
+    rng = random.Random(14)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    rows = [(5, a), (5, b), (5, b), (9, b + " end"), (7, c), (7, c + " end"), (None, a), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.near_classes(d).collect()
+    assert len(got) == len(rows) and sorted(r.class_id for r in got if r.class_id is not None) == [5, 5, 5, 5, 5, 7, 7]
+    assert len({r.node for r in got if r.class_id == 5}) == 2
+    kept = sorted(((r.doc_id, r.text) for r in neardup.representatives(d).collect()), key=repr)
+    assert [k for k in kept if k[0] != 7] == sorted([(5, a), (5, b), (None, a), (None, None)], key=repr) and len(kept) == 5
+
+
 def test_sharding(spark, sf, docs, local):
     out = queries.queries()["op9_shard"](spark, sf).collect()
     assert len(out) == docs.count() and {r.law for r in out} == {"bytes"} and {r.grown_shard for r in out} == {None}
