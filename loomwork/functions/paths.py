@@ -22,10 +22,19 @@ def extension(path: Column) -> Column:
     return F.when(found != "", found)
 
 
-def language(ext: Column) -> Column:
-    """The language of an extension or of an alias; the name itself if it is unknown."""
-    known = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    return F.coalesce(F.try_element_at(known, ext), ext)
+def _known(ext: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair]), ext)
+
+
+def language(name: Column) -> Column:
+    """The language that a user names by an extension or an alias, in any case; the name itself if it is unknown."""
+    name = F.lower(F.trim(name))
+    return F.coalesce(_known(name), name)
+
+
+def path_language(path: Column) -> Column:
+    """The language of a file by its extension, null if that is unknown."""
+    return _known(extension(path))
 
 
 def slug(identifier: Column) -> Column:

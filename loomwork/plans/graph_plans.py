@@ -40,16 +40,18 @@ def spans(spark, sf_dir):
 
 
 def changes(spark, sf_dir):
-    """Orders with items shipped in a month have changed lines; every fiftieth of them as a whole."""
+    """Orders with items shipped in a month have changed lines, every fiftieth of them as a whole; files of builders have
+    changed as well, of which there are no nodes."""
     hit = spans(spark, sf_dir).where(F.col("l_shipdate").between(*[F.lit(x).cast("timestamp") for x in WINDOW]))
     r = F.struct(F.col("line_start").alias("start"), F.col("line_end").alias("end"))
-    return hit.groupBy("path").agg(F.lit(None).cast("string").alias("old_path"), F.max(F.col("l_orderkey") % 50 == 0).alias("whole_file"), F.collect_set(r).alias("ranges"))
+    hit = hit.groupBy("path").agg(F.lit(None).cast("string").alias("old_path"), F.max(F.col("l_orderkey") % 50 == 0).alias("whole_file"), F.collect_set(r).alias("ranges"))
+    other = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c"), "c_custkey").alias("path"), F.lit(None).cast("string").alias("old_path"), F.lit(True).alias("whole_file"))
+    return hit.unionByName(other, allowMissingColumns=True)
 
 
 def parts(spark, sf_dir):
     """Members: a supplier's hyperedge holds the items of it; roles are return flags, open items are required."""
-    m = spans(spark, sf_dir).where(F.col("l_suppkey") % 10 == 0)
-    return m.select(F.concat(F.lit("s"), "l_suppkey").alias("hyperedge_id"), F.col("id").alias("node_id"), F.col("l_returnflag").alias("role"), (F.col("l_linestatus") == "O").alias("required"))
+    return spans(spark, sf_dir).select(F.concat(F.lit("s"), "l_suppkey").alias("hyperedge_id"), F.col("id").alias("node_id"), F.col("l_returnflag").alias("role"), (F.col("l_linestatus") == "O").alias("required"))
 
 
 def links(spark, sf_dir):
@@ -84,7 +86,7 @@ def policy_depth(spark, sf_dir):
 
 
 def _seeds(spark, sf_dir):
-    s = spans(spark, sf_dir).where("l_orderkey % 40 = 0")
+    s = spans(spark, sf_dir).where(F.col("l_shipdate").between(*[F.lit(x).cast("timestamp") for x in WINDOW]))
     return s.select("id", F.lit("selected").alias("reason"), (F.col("line_start") % 2 == 0).alias("from_search")).distinct()
 
 
@@ -135,7 +137,7 @@ def smallest_enclosing(spark, sf_dir):
 
 def merge_intervals(gap):
     def run(spark, sf_dir):
-        out = I.merged(spans(spark, sf_dir).where("l_linestatus = 'F'"), "path", "line_start", "line_end", gap)
+        out = I.merged(spans(spark, sf_dir), "path", "line_start", "line_end", gap)
         return out.select("path", F.col("line_start").cast("long"), F.col("line_end").cast("long"), "n_ranges")
 
     return run
@@ -194,9 +196,10 @@ def _impact_sql(depth: int, select: str) -> str:
     for i in range(1, depth + 1):
         hop += f""", h{i} AS (SELECT x.dst AS id, min(x.kind || ' relationship from ' || x.src) AS reason FROM u x JOIN h{i - 1}f f ON f.id = x.src WHERE x.dst NOT IN (SELECT id FROM a{i - 1}) GROUP BY x.dst),
   a{i} AS (SELECT * FROM a{i - 1} UNION ALL SELECT id, reason FROM h{i}), h{i}f AS (SELECT id FROM h{i})"""
-    return f"""WITH {_SPANS}, c AS (SELECT path, bool_or(l_orderkey % 50 = 0) AS whole, list(DISTINCT {{'a': line_start, 'b': line_end}}) AS ranges FROM s WHERE l_shipdate BETWEEN TIMESTAMP '{WINDOW[0]}' AND TIMESTAMP '{WINDOW[1]}' GROUP BY path),
+    return f"""WITH {_SPANS}, c AS (SELECT path, bool_or(l_orderkey % 50 = 0) AS whole, list(DISTINCT {{'a': line_start, 'b': line_end}}) AS ranges FROM s WHERE l_shipdate BETWEEN TIMESTAMP '{WINDOW[0]}' AND TIMESTAMP '{WINDOW[1]}' GROUP BY path
+    UNION ALL SELECT 'c' || c_custkey, true, NULL FROM customer WHERE c_mktsegment = 'BUILDING'),
   d AS (SELECT DISTINCT s.id, s.path, 'file change in ' || s.path AS reason FROM s JOIN c USING (path) WHERE whole OR coalesce(watch, 'file') = 'file' OR len(list_filter(ranges, lambda r: r.a <= line_end AND line_start <= r.b)) > 0),
-  m AS (SELECT 's' || l_suppkey AS hyperedge_id, id AS node_id, l_returnflag AS role, l_suppkey FROM s WHERE l_suppkey % 10 = 0 ),
+  m AS (SELECT 's' || l_suppkey AS hyperedge_id, id AS node_id, l_returnflag AS role, l_suppkey FROM s),
   ok AS (SELECT * FROM m WHERE (l_suppkey % 20 = 0 AND role IN ('A', 'N')) OR (l_suppkey % 20 <> 0 AND role <> 'R')),
   act AS (SELECT DISTINCT hyperedge_id FROM m WHERE node_id IN (SELECT id FROM d)),
   a0 AS (SELECT id, reason FROM d UNION ALL SELECT node_id, min('member of strand ' || hyperedge_id) FROM ok WHERE hyperedge_id IN (SELECT * FROM act) AND node_id NOT IN (SELECT id FROM d) GROUP BY node_id), h0f AS (SELECT id FROM a0),
@@ -207,8 +210,8 @@ def _impact_sql(depth: int, select: str) -> str:
 
 def _context_sql(any_search: bool, select: str) -> str:
     later = "" if any_search else "UNION SELECT hyperedge_id FROM m WHERE node_id IN (SELECT id FROM r1)"
-    return f"""WITH {_SPANS}, m AS (SELECT DISTINCT 's' || l_suppkey AS hyperedge_id, id AS node_id, l_returnflag AS role, l_suppkey FROM s WHERE l_suppkey % 10 = 0),
-  seeds AS (SELECT id, line_start % 2 = 0 AS from_search FROM s WHERE l_orderkey % 40 = 0),
+    return f"""WITH {_SPANS}, m AS (SELECT DISTINCT 's' || l_suppkey AS hyperedge_id, id AS node_id, l_returnflag AS role, l_suppkey FROM s),
+  seeds AS (SELECT id, line_start % 2 = 0 AS from_search FROM s WHERE l_shipdate BETWEEN TIMESTAMP '{WINDOW[0]}' AND TIMESTAMP '{WINDOW[1]}'),
   x0 AS (SELECT unnest(['s10', 's20']) AS hyperedge_id UNION SELECT hyperedge_id FROM m WHERE node_id IN (SELECT id FROM seeds WHERE NOT from_search)),
   r0 AS (SELECT id FROM seeds UNION SELECT node_id FROM m WHERE hyperedge_id IN (SELECT * FROM x0)),
   u AS (SELECT id AS src, l_orderkey || ':' || (line_start + 1) AS dst FROM s UNION SELECT l_orderkey || ':' || (line_start + 1), id FROM s),
@@ -218,7 +221,7 @@ def _context_sql(any_search: bool, select: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    island = lambda gap: f"""WITH {_SPANS}, o AS (SELECT *, max(line_end) OVER (PARTITION BY path ORDER BY line_start, line_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s WHERE l_linestatus = 'F'),
+    island = lambda gap: f"""WITH {_SPANS}, o AS (SELECT *, max(line_end) OVER (PARTITION BY path ORDER BY line_start, line_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
         i AS (SELECT *, sum(CASE WHEN before IS NULL OR line_start > before + {gap} + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line_start, line_end ROWS UNBOUNDED PRECEDING) AS island FROM o)
         SELECT path, CAST(min(line_start) AS BIGINT) AS line_start, CAST(max(line_end) AS BIGINT) AS line_end, count(*) AS n_ranges FROM i GROUP BY path, island"""
     return {
@@ -230,9 +233,9 @@ def oracle_sql() -> dict[str, str]:
         "impact_unmatched": _impact_sql(0, "SELECT path FROM c WHERE path NOT IN (SELECT path FROM d)"),
         "context_seeds": _context_sql(True, "SELECT id FROM r"), "context_members": _context_sql(False, "SELECT DISTINCT hyperedge_id, node_id, role FROM shown"),
         "context_vs_impact_policy": _context_sql(True, "SELECT DISTINCT hyperedge_id, node_id, role FROM shown WHERE NOT ((l_suppkey % 20 = 0 AND role IN ('A', 'N')) OR (l_suppkey % 20 <> 0 AND role <> 'R'))"),
-        "packet_merge": f"""WITH {_SPANS}, p AS (SELECT DISTINCT 's' || l_suppkey AS hyperedge_id, id AS node_id, l_returnflag AS role, l_orderkey AS n FROM s WHERE l_suppkey % 10 = 0)
+        "packet_merge": f"""WITH {_SPANS}, p AS (SELECT DISTINCT 's' || l_suppkey AS hyperedge_id, id AS node_id, l_returnflag AS role, l_orderkey AS n FROM s)
             SELECT hyperedge_id, node_id, role, n % 2 = 0 OR n % 5 = 0 AS direct, CASE WHEN n % 2 = 0 THEN 'diff' ELSE 'search' END AS reason FROM p WHERE n % 2 = 0 OR n % 3 = 0""",
-        "role_policy_filter": f"WITH {_SPANS} SELECT 's' || l_suppkey AS hyperedge_id, id AS node_id, l_returnflag AS role FROM s WHERE l_linestatus = 'O' AND ((l_suppkey % 20 = 0 AND l_returnflag IN ('A', 'N')) OR (l_suppkey % 20 = 10 AND l_returnflag <> 'R'))",
+        "role_policy_filter": f"WITH {_SPANS} SELECT 's' || l_suppkey AS hyperedge_id, id AS node_id, l_returnflag AS role FROM s WHERE l_linestatus = 'O' AND ((l_suppkey % 20 = 0 AND l_returnflag IN ('A', 'N')) OR (l_suppkey % 20 <> 0 AND l_returnflag <> 'R'))",
         "policy_depth": "SELECT o_custkey, CAST(coalesce(max(CASE WHEN CAST(substr(o_orderpriority, 1, 1) AS INT) <= 3 THEN CAST(substr(o_orderpriority, 1, 1) AS INT) END), 1) AS BIGINT) AS depth FROM orders GROUP BY o_custkey",
         "range_overlap_join": f"WITH {_SPANS} SELECT a.path, a.id AS a, b.id AS b FROM s a JOIN s b ON a.path = b.path AND a.line_start <= b.line_end AND b.line_start <= a.line_end WHERE a.l_returnflag = 'A' AND b.l_returnflag <> 'A'",
         "containment_join": f"WITH {_SPANS} SELECT a.path, a.id AS a, b.id AS b FROM s a JOIN s b ON a.path = b.path AND b.line_start <= a.line_start AND a.line_end <= b.line_end WHERE b.watch = 'range' AND a.id <> b.id",

@@ -134,7 +134,7 @@ def json_attributes(spark, sf_dir):
 
 
 def review_missing(spark, sf_dir):
-    need = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("doc_id")
+    need = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id")
     return R.missing_dispositions(need, table(spark, sf_dir, "labels").where("quality = 1"), ["doc_id"])
 
 
@@ -167,6 +167,21 @@ def patch_parse(spark, sf_dir):
     return X.patches(_patches(spark, sf_dir)).where("what = 'range'").select("path", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
 
 
+def patch_files(spark, sf_dir):
+    """What patches of each kind say of their files: each order is modified, added, deleted, renamed, copied or binary."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("k"), (F.col("o_orderkey") % 6).alias("kind"))
+    head = lambda a, b: F.concat(F.lit("diff --git a/"), a, F.lit(" b/"), b, F.lit("\n"))
+    name, old = F.concat("k", F.lit(".txt")), F.concat(F.lit("old "), "k", F.lit(".txt"))
+    moved = lambda how: F.concat(head(old, name), F.lit(f"similarity index 90%\n{how} from "), old, F.lit(f"\n{how} to "), name, F.lit("\n"))
+    hunk = F.lit("@@ -1 +1 @@\n-x\x0cy\n+z\n")
+    one = lambda a, b, lines: F.concat(head(name, name), F.lit("--- "), a, F.lit("\n+++ "), b, F.lit("\n"), lines)
+    a, b, none = F.concat(F.lit("a/"), name), F.concat(F.lit("b/"), name), F.lit("/dev/null")
+    quoted = F.concat(F.lit('diff --git "a/'), "k", F.lit('\\303\\251.bin" "b/'), "k", F.lit('\\303\\251.bin"\nBinary files differ\n'))
+    texts = [one(a, b, hunk), one(none, b, F.lit("@@ -0,0 +1 @@\n+z\n")), one(a, none, F.lit("@@ -1 +0,0 @@\n-x\n")), moved("rename"), F.concat(moved("copy"), F.lit("--- a/"), old, F.lit("\n+++ "), b, F.lit("\n"), hunk), quoted]
+    text = F.coalesce(*[F.when(F.col("kind") == i, t) for i, t in enumerate(texts)])
+    return X.patches(o.select(F.col("k").alias("patch_id"), text.alias("text"))).where("what = 'file'").select("patch_id", "path", "old_path", "status", "whole_file")
+
+
 def removed_concat(spark, sf_dir):
     rows = X.patches(_patches(spark, sf_dir)).where("what = 'removed'")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_start", "text"))), lambda x: x["text"]), "\n")
@@ -180,7 +195,7 @@ def event_windows(spark, sf_dir):
 def queries() -> dict:
     names = """manifest_diff impacted_keys refresh_equals_rebuild workspace_fingerprint first_wins_dedup node_merge all_tags_filter list_filter implicit_edges unresolved_refs
         duplicate_ids diagnostic_rollup budget_pack budget_tiers budget_summary priority_rank topk_per_group suppress_file_scope json_attributes review_missing review_drift
-        review_latest_open annotation_scan patch_parse removed_concat event_windows"""
+        review_latest_open annotation_scan patch_parse patch_files removed_concat event_windows"""
     return {n: globals()[n] for n in names.split()}
 
 
@@ -217,10 +232,13 @@ def oracle_sql() -> dict[str, str]:
         "topk_per_group": "SELECT l_returnflag, l_linestatus, l_orderkey, n FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n <= 4",
         "suppress_file_scope": "SELECT DISTINCT path, l_linenumber, whole_file FROM (SELECT l_orderkey AS path, l_linenumber, l_quantity > 30 AS whole_file, bool_or(NOT (l_quantity > 30)) OVER (PARTITION BY l_orderkey) AS bounded FROM lineitem) WHERE NOT (whole_file AND bounded)",
         "json_attributes": "SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1, 2",
-        "review_missing": "SELECT doc_id FROM documents WHERE doc_id % 3 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
+        "review_missing": "SELECT doc_id FROM documents WHERE lang = 'en' AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
         "review_drift": f"WITH {_F} SELECT o.path, n.path IS NULL AS gone FROM old o LEFT JOIN new n ON o.path = n.path WHERE o.hash IS DISTINCT FROM n.hash",
         "review_latest_open": "SELECT conv_id, status, created_at, id FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY status = 'open' DESC, created_at DESC, id DESC) AS n FROM (SELECT conv_id, CASE WHEN role = 'user' THEN 'open' ELSE 'complete' END AS status, turn AS created_at, md5(coalesce(text, '')) AS id FROM conversations)) WHERE n = 1",
         "annotation_scan": "SELECT 'src/' || p_partkey || '.rs' AS path, 2::BIGINT AS line, 'node' AS what, 'part.' || p_partkey AS id, lower(split_part(p_type, ' ', 1)) AS kind, NULL AS role FROM part UNION ALL SELECT 'src/' || p_partkey || '.rs', 2, 'hyperedge', 'brand', NULL, NULL FROM part UNION ALL SELECT 'src/' || p_partkey || '.rs', 2, 'member', 'brand', NULL, 'member' FROM part",
+        "patch_files": """SELECT CAST(o_orderkey AS VARCHAR) AS patch_id, CASE WHEN o_orderkey % 6 = 5 THEN o_orderkey || 'é.bin' ELSE o_orderkey || '.txt' END AS path,
+            CASE o_orderkey % 6 WHEN 2 THEN o_orderkey || '.txt' WHEN 3 THEN 'old ' || o_orderkey || '.txt' WHEN 4 THEN 'old ' || o_orderkey || '.txt' END AS old_path,
+            ['modified', 'added', 'deleted', 'renamed', 'copied', 'modified'][o_orderkey % 6 + 1] AS status, o_orderkey % 6 IN (3, 5) AS whole_file FROM orders""",
         "patch_parse": "SELECT o_orderkey || '.txt' AS path, o_orderkey % 50 + 1 AS line_start, o_orderkey % 50 + 1 AS line_end FROM orders UNION ALL SELECT o_orderkey || '.txt', 88, 88 FROM orders",
         "removed_concat": "SELECT o_orderkey || '.txt' AS path, '-- x' || chr(10) || 'y' || chr(10) || 'gone ' || o_orderkey AS removed FROM orders",
         "event_windows": "SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",

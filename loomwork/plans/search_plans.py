@@ -78,6 +78,11 @@ def language_map(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", P.language(ext).alias("language"))
 
 
+def path_language(spark, sf_dir):
+    ext = F.element_at(F.array(*[F.lit(x) for x in (".rs", ".PY", ".html", "", ".d.ts", "/.md")]), (F.col("p_size") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", P.path_language(F.concat(F.lit("src/p"), "p_partkey", ext)).alias("language"))
+
+
 def id_slug(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", P.slug(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(F.replace("p_name", F.lit(" "), F.lit("-")))).alias("file"))
 
@@ -149,7 +154,7 @@ def queries() -> dict:
     return {
         "ranked_search": _hits(TEXT), "ranked_search_phrase": _hits(PHRASE), "ranked_search_exclude": _hits(WITHOUT), "ranked_search_path": _hits(TEXT, ["en/src1", "fr"]),
         "best_line": best_line, "dedup_hits": dedup_hits, "tokenize": tokenize, "chunk_lines": chunk_lines, "term_stats": term_stats, "bloom_prune": bloom_prune, "section_span": section_span,
-        "path_normalize": path_normalize, "extension_filter": extension_filter, "language_map": language_map, "id_slug": id_slug, "glob_filter": glob_filter, "file_target": file_target, "typed_scalar": typed_scalar,
+        "path_normalize": path_normalize, "extension_filter": extension_filter, "language_map": language_map, "path_language": path_language, "id_slug": id_slug, "glob_filter": glob_filter, "file_target": file_target, "typed_scalar": typed_scalar,
     }
 
 
@@ -170,6 +175,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, line_no, greatest(b, line_no - 40) AS section_start, least(e, greatest(b, line_no - 40) + 79) AS section_end FROM y WHERE trim(line) <> ''""",
         "path_normalize": r"SELECT page_id, regexp_replace(replace('././' || replace(regexp_replace(url, '^https?://', ''), '/', '\'), '\', '/'), '^(\./)+', '') AS path FROM pages",
         "extension_filter": r"SELECT page_id, lower(regexp_extract(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '[^/.][^/]*\.([^./]+)$', 1)) AS ext FROM pages WHERE regexp_matches(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '[^/.][^/]*\.([^./]+)$')",
+        "path_language": "SELECT p_partkey, ['rust', 'python', NULL, NULL, 'typescript', NULL][p_size % 6 + 1] AS language FROM part",
         "language_map": "SELECT page_id, ['rust', 'javascript', 'typescript', 'bash', 'yaml', 'go'][page_id % 6 + 1] AS language FROM pages",
         "id_slug": r"WITH i AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE replace(p_name, ' ', '-') END AS id FROM part), s AS (SELECT *, regexp_replace(id, '[^A-Za-z0-9._-]', '_', 'g') AS plain FROM i) SELECT p_partkey, CASE WHEN plain = id THEN plain || '.yaml' ELSE plain || '-' || substr(sha256(id), 1, 8) || '.yaml' END AS file FROM s",
         "glob_filter": "WITH f AS (SELECT doc_id, lang || '/' || source || '/' || doc_id AS path FROM documents) SELECT * FROM f WHERE (regexp_matches(path, '^en/src1[^/]*/[^/]*[02468]$') OR regexp_matches(path, '^(de|fr)/src[^/]/.*$')) AND NOT regexp_matches(path, '^(.*/)?src13/[^/]*$')",

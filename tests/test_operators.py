@@ -104,6 +104,22 @@ def test_patch():
     assert [(r["path"], r["whole_file"]) for r in found if r["what"] == "file"] == [("a.txt", False), ("b.bin", True)]
 
 
+def test_patch_files():
+    text = 'diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1 +1 @@\n-a\x0cb\u2028c\n+d\n@@ -9,2 +9 @@\n-e\n-f\n+g\ndiff --git a/n.py b/n.py\nnew file mode 100644\ndiff --git a/g b/g\ndeleted file mode 100644\n--- a/g\n+++ /dev/null\n@@ -1 +0,0 @@\n-z\n'
+    text += 'diff --git a/o b/o b/p q\nrename from o b/o\nrename to p q\ndiff --git "a/\\303\\251\\t\\"" "b/\\303\\251\\t\\""\ncopy from c\ncopy to "\\303\\251"\n'
+    found = parsing.scan_patch(text)
+    files = [(r["path"], r["old_path"], r["status"], r["whole_file"]) for r in found if r["what"] == "file"]
+    assert files == [("x.py", None, "modified", False), ("n.py", None, "added", True), ("g", "g", "deleted", False), ("p q", "o b/o", "renamed", True), ("é", "c", "copied", True)]
+    assert [(r["line_start"], r["text"]) for r in found if r["what"] == "removed"] == [(1, "a\x0cb\u2028c"), (9, "e"), (10, "f"), (1, "z")]
+    assert parsing.path_name('"a/\\303\\251\\t\\""', "a/") == 'é\t"' and parsing.path_name("/dev/null") is None
+
+
+def test_annotation_quotes_and_lines():
+    found = parsing.scan_annotations("f", 'x\x0cy\r\n/* @anchor a */\n// @strand s intent="say \\"x */ y\\" now"')
+    assert [(r["what"], r["line"]) for r in found] == [("node", 2), ("hyperedge", 3), ("member", 3)]
+    assert found[1]["intent"] == 'say "x */ y" now'
+
+
 def test_refresh_equals_rebuild(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, hash string")
     new = spark.createDataFrame([("a", "1"), ("b", "x"), ("d", "4")], "path string, hash string")
