@@ -186,6 +186,22 @@ def test_decontamination_ignores_case_and_white_space(spark):
     assert got == {(0, 1, True), (1, 2, True), (2, 2, True), (3, 2, True), (4, 2, False)}
 
 
+def test_decontamination_catches_other_names_and_numbers(spark):
+    """Questions made anew with names of one to three words, other numbers and other units; their shapes alone say nothing."""
+    rng = random.Random(31)
+    name = lambda n: " ".join(words(rng, 1).capitalize() for _ in range(n))
+    rows, asked = [], []
+    for i in range(40):
+        told = [words(rng, 2) for _ in range(9)]
+        values = lambda: ([name(rng.randint(1, 3)) for _ in range(2)], rng.sample(range(2, 900), 2), rng.sample(["km", "kg", "hours"], 1))  # noqa: E731, B023
+        text = lambda v: f"Today {told[0]} from {v[0][0]} to {v[0][1]} {told[1]} {told[2]} {v[1][0]} {v[2][0]} {told[3]}, {told[4]} {v[1][1]} {told[5]} and {v[0][0]} {told[6]} {told[7]} {told[8]} again."  # noqa: E731, B023
+        rows.append((i, text(values())))
+        asked.append((i, f"We ask. {text(values())} {words(rng, 12)}"))
+    bench, d = spark.createDataFrame(rows, "item_id long, text string"), spark.createDataFrame(asked, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(d, bench).collect()}
+    assert all(a == b for a, b in got) and len(got) >= 0.9 * len(rows)
+
+
 def test_fingerprints(spark, sf, local):
     out = queries.queries()["op3_order_minhash"](spark, sf).collect()
     order = sorted(local, reverse=True)
