@@ -2,15 +2,17 @@
 
 A k-mer is five consecutive words (all words of a shorter text), numbered by its occurrence among equal k-mers of the text.
 Hashes of (k-mer, occurrence) fall into 64 bins; in each bin the two smallest are selected, put back in text order and
-hashed as a tuple.  A moved passage changes the order within tuples, so likeness follows edit distance rather than
+hashed as a tuple.  A bin that holds one k-mer borrows the least one of the next filled bin, around the end, so that order counts
+in short texts too.  A moved passage changes the order within tuples, so likeness follows edit distance rather than
 set overlap.  Likeness: equal tuples over the bins that either text fills.
 
 Each text is handled in its own row: hashes and positions are packed into longs, so that sorting is done on primitive
-arrays.  Positions use 24 bits, hashes 39; beyond 16.7 million words in a text positions wrap around, which can
-change the order within a tuple but never makes equal texts differ.
+arrays.  Positions use 24 bits, hashes 39; in a text of more than 16.7 million words positions are counted in steps of two words
+(four, eight and so on as it grows), so order is seen throughout but for k-mers that close together.
 
 Defined cases: null counts as the empty text; a text without words has an empty fingerprint; two empty fingerprints are
-alike (1.0), an empty and a filled one are not (0.0).
+alike (1.0), an empty and a filled one are not (0.0); rows of one id are told apart by their texts, a null id comes after all
+others; a very long text stays in its own row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,11 +36,13 @@ def _packed(h: Column, pos: Column) -> Column:
 
 def with_signature(df: DataFrame, text: Column, name: str, k: int = K) -> DataFrame:
     """Adds the signature, an array of longs: bin and tuple hash."""
-    words, kmers, numbered, picked = (f"_{name}_{x}" for x in ("words", "kmers", "numbered", "picked"))
+    words, step, kmers, numbered, picked = (f"_{name}_{x}" for x in ("words", "step", "kmers", "numbered", "picked"))
     df = df.withColumn(words, word_array(text))
     n = F.size(words)
     starts = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))))
-    df = df.withColumn(kmers, F.sort_array(F.transform(starts, lambda i: _packed(F.xxhash64(F.slice(words, i, k)), i)))).drop(words)
+    df = df.withColumn(step, F.greatest(F.length(F.bin(n)) - POS_BITS, F.lit(0)))
+    place = lambda i: F.call_function("shiftright", i, F.col(step))
+    df = df.withColumn(kmers, F.sort_array(F.transform(starts, lambda i: _packed(F.xxhash64(F.slice(words, i, k)), place(i))))).drop(words, step)
     kmer = lambda i: F.shiftright(F.get(kmers, i), POS_BITS)
     powers = F.array(*[F.lit(1 << i) for i in reversed(range(POS_BITS))])
 
@@ -53,12 +57,12 @@ def with_signature(df: DataFrame, text: Column, name: str, k: int = K) -> DataFr
     df = df.withColumn(picked, F.filter(numbered, lambda x, i: (i < 2) | (bin_of(F.get(numbered, i - 2)) < bin_of(x)))).drop(numbered)
 
     def tuple_hash(x: Column, i: Column) -> Column:
-        after = F.get(picked, i + 1)
+        following = F.get(picked, i + 1)
+        after = F.coalesce(following, F.get(picked, F.lit(0)))  # the bin's second, or the first of the next one
         own, other = F.shiftright(x, POS_BITS), F.shiftright(after, POS_BITS)
         pair = F.when(x.bitwiseAND(F.lit(_POS)) <= after.bitwiseAND(F.lit(_POS)), F.xxhash64(own, other)).otherwise(F.xxhash64(other, own))
-        both = F.coalesce(bin_of(after) == bin_of(x), F.lit(False))
         first = (i == 0) | (bin_of(F.get(picked, i - 1)) < bin_of(x))
-        kept = F.shiftrightunsigned(F.when(both, pair).otherwise(F.xxhash64(own)), 64 - TUPLE_BITS)
+        kept = F.shiftrightunsigned(F.when(F.size(picked) > 1, pair).otherwise(F.xxhash64(own)), 64 - TUPLE_BITS)
         return F.when(first, F.shiftleft(bin_of(x), TUPLE_BITS).bitwiseOR(kept))
 
     return df.withColumn(name, F.filter(F.transform(picked, tuple_hash), lambda x: x.isNotNull())).drop(picked)

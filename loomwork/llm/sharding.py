@@ -84,7 +84,7 @@ def shard_keyed(rows: DataFrame, narrow: DataFrame, shards: int = 8, ranges: int
 
 
 def assign_shards(docs: DataFrame, shards: int = 8, ranges: int | None = None) -> DataFrame:
-    """``docs`` with shard and slot (gapless from 0 within a shard); its other columns stay, whatever their names."""
+    """``docs`` with shard and slot (gapless from 0 within a shard), in place of columns of these names; all others stay."""
     docs = docs.drop("shard", "slot")
     rows = keyed(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"), "_size", "_key")
     return shard_keyed(rows, settle(rows.select("_key", "_size"), "shardkeys"), shards, ranges).select("_row.*", "shard", "slot")

@@ -10,11 +10,13 @@ The fit uses about ``PER_LABEL`` texts of each label at most, drawn by a hash of
 
 Defined cases: null and empty texts have no words, and get the score of the intercept; labels are averaged if a document has
 several, and count as toxic from one half; rows without a label, or with a null id, don't take part in learning; with
-labels of one kind only every score is that kind's share (0 without labels).
+labels of one kind only every score is that kind's share (0 without labels); very long texts are scored whole, and other
+columns, whatever their names, are kept by ``without_toxic`` and never looked at.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,25 +35,29 @@ LEAST_TEXTS, LEAST_Z = 4, 5.5
 L2, COUNTERFACTUAL, STEPS, RATE, POSITIVE_WEIGHT = 2e-4, 1.0, 400, 0.1, 3.0
 THRESHOLD = 0.7
 
-# fixed values: terms of identity, by group; terms of a group may stand for each other
+# fixed values: terms of identity, by group and language; terms of a group and language may stand for each other
 IDENTITY = {
-    "gender": "women men woman man girls boys female male transgender nonbinary femme homme mujer hombre frau mann",
-    "orientation": "gay straight lesbian bisexual heterosexual homosexual queer schwul lesbisch",
-    "religion": "muslim christian jewish hindu buddhist atheist catholic protestant sikh musulman chrétien juif musulmán cristiano judío muslimisch christlich jüdisch",
-    "origin": "african european asian american mexican chinese indian arab german french spanish polish turkish russian immigrant refugee native deutsche französisch spanisch allemand français espagnol alemán francés español",
-    "colour": "black white brown schwarz weiß noir blanc negro blanco",
-    "ability": "blind deaf disabled autistic sighted hearing behindert aveugle sourd ciego sordo",
-    "age": "old young elderly teenage alt jung vieux jeune viejo joven",
+    "gender": ["women men woman man girls boys female male transgender nonbinary", "femme homme", "mujer hombre", "frau mann"],
+    "orientation": ["gay straight lesbian bisexual heterosexual homosexual queer", "schwul lesbisch"],
+    "religion": ["muslim christian jewish hindu buddhist atheist catholic protestant sikh", "musulman chrétien juif", "musulmán cristiano judío", "muslimisch christlich jüdisch"],
+    "origin": ["african european asian american mexican chinese indian arab german french spanish polish turkish russian immigrant refugee native", "deutsche französisch spanisch", "allemand français espagnol", "alemán francés español"],
+    "colour": ["black white brown", "schwarz weiß", "noir blanc", "negro blanco"],
+    "ability": ["blind deaf disabled autistic sighted hearing", "blind behindert", "aveugle sourd", "ciego sordo"],
+    "age": ["old young elderly teenage", "alt jung", "vieux jeune", "viejo joven"],
 }
+#: Other terms that each term is swapped for.
+PARTNERS = 3
 
 
-def identity_swaps() -> tuple[list[str], dict[str, int]]:
-    """All terms, and for each the place of the next of its group."""
-    terms, swap = [], {}
+def identity_swaps() -> tuple[list[str], dict[str, list[int]]]:
+    """All terms, and for each the places of the next PARTNERS of its group and language (fewer, if there are no more)."""
+    terms = list(dict.fromkeys(t for group in IDENTITY.values() for own in group for t in own.split()))
+    place, swap = {t: i for i, t in enumerate(terms)}, {}
     for group in IDENTITY.values():
-        own = group.split()
-        swap |= {t: len(terms) + (i + 1) % len(own) for i, t in enumerate(own)}
-        terms += own
+        for own in map(str.split, group):
+            for i, t in enumerate(own):
+                others = [place[own[(i + d) % len(own)]] for d in range(1, min(PARTNERS, len(own) - 1) + 1)]
+                swap.setdefault(t, others)
     return terms, swap
 
 
@@ -93,13 +99,14 @@ def _chosen(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[p
             hit = np.flatnonzero(wanted[np.minimum(at, len(wanted) - 1)] == bucket) if len(wanted) else np.zeros(0, np.int64)
             key, back = np.unique(doc[hit] * max(len(wanted), 1) + at[hit], return_inverse=True)
             ends = pa.array(np.searchsorted(key // max(len(wanted), 1), np.arange(n + 1)).astype(np.int32))
-            has = [sorted({t for t in (x.as_py() or "").lower().split() if t in _TERMS}) for x in column]
+            has = [sorted(_TERMS.intersection(_LETTERS.findall((x.as_py() or "").lower()))) for x in column]
             rows = pa.ListArray.from_arrays(ends, pa.array((key % max(len(wanted), 1)).astype(np.int32)))
             amounts = pa.ListArray.from_arrays(ends, pa.array(np.bincount(back, amount[hit], len(key)).astype(np.float32)))
             yield pa.RecordBatch.from_arrays([b.column(0)[lo:to], rows, amounts, pa.array([[terms.index(t) for t in x] for x in has], pa.list_(pa.int32()))], ["toxic", "features", "amounts", "terms"])
 
 
 _TERMS = frozenset(identity_swaps()[0])
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
@@ -149,26 +156,28 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
 
 
 def _changes(buckets: np.ndarray, terms_of: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The counterfactual change of each labelled text as entries (change, feature, amount), and how many texts have each.
+    """The counterfactual changes of each labelled text as entries (change, feature, amount), and how many texts have each.
 
-    Texts with the same terms have the same change, so changes are listed once and weighted.
+    A text has PARTNERS changes, each of which swaps all its terms.  Texts with the same terms have the same changes, so these are listed once and weighted.
     """
     terms, swap = identity_swaps()
     doc, bucket, _, _ = _features(pa.array(terms))
     has = [np.flatnonzero(np.isin(buckets, bucket[doc == i])) for i in range(len(terms))]
-    kinds: dict[tuple, int] = {}
+    kinds: dict[tuple, float] = {}
     for i, own in enumerate(terms_of):
-        kind = tuple(own) if len(own) else ("inserted", i % len(terms))
-        kinds[kind] = kinds.get(kind, 0) + 1
+        for d in range(PARTNERS):
+            kind = (d, *own) if len(own) else ("inserted", (i + d) % len(terms))
+            kinds[kind] = kinds.get(kind, 0) + 1 / PARTNERS
     row, column, amount = [], [], []
-    for r, kind in enumerate(kinds):
+    for r, (first, *rest) in enumerate(kinds):
         change = np.zeros(len(buckets))
-        if kind[0] == "inserted":
-            change[has[kind[1]]] += 1
+        if first == "inserted":
+            change[has[rest[0]]] += 1
         else:
-            for t in kind:
+            for t in rest:
                 change[has[t]] -= 1
-                change[has[swap[terms[t]]]] += 1
+                others = swap[terms[t]]
+                change[has[others[first % len(others)]]] += 1
         at = np.flatnonzero(change)
         row += [r] * len(at)
         column += at.tolist()

@@ -15,6 +15,14 @@ from .textvec import mix64, split_words
 
 _U = np.uint64
 _PRIME = _U(0x100000001B3)
+_INVERSE = _U(pow(0x100000001B3, -1, 1 << 64))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """base ** 0 ... base ** (n - 1), modulo 2 ** 64."""
+    factors = np.full(n, base, np.uint64)
+    factors[:1] = 1
+    return np.cumprod(factors, dtype=np.uint64)
 
 
 @lru_cache(maxsize=1)
@@ -74,14 +82,11 @@ def grams(d: Distinct, sizes: tuple[int, ...], bits: int, whole: bool = False) -
     if whole and len(char):
         start = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
         end = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]])) + 1
-        h, size = np.zeros(len(start), np.uint64), end - start
-        for i in range(int(size.max(initial=0))):
-            live = size > i
-            h[live] = h[live] * _PRIME + char[start[live] + i]
-            if i > 64:  # longer words are told apart by their first letters and their length
-                break
+        # sums of letters times powers of an odd number; a difference of two sums, shifted back, belongs to the word alone
+        sums = np.concatenate([[_U(0)], np.cumsum(char * _powers(_PRIME, len(char)), dtype=np.uint64)])
+        h = (sums[end] - sums[start]) * _powers(_INVERSE, len(char))[start]
         words.append(d.owner[start])
-        buckets.append(mix64(h + size.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) & _U((1 << bits) - 1))
+        buckets.append(mix64(h + (end - start).astype(np.uint64) * _U(0x9E3779B97F4A7C15)) & _U((1 << bits) - 1))
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(words), np.concatenate(buckets).astype(np.int64)

@@ -6,16 +6,19 @@ import collections
 import hashlib
 import math
 import random
+import re
+import struct
 import zlib
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomwork.llm import components, decontamination, fingerprints, html_text, language_id, language_model, mixing, neardup, queries, sharding, substrings, toxicity
+from loomwork.llm import components, decontamination, fingerprints, html_text, language_id, language_model, mixing, neardup, queries, sharding, substrings, toxicity, wordfeatures
 from loomwork.llm.shared import numbered, table
 from loomwork.llm.textvec import counted, shingles, slices, split_words, window_hash
 
@@ -118,6 +121,24 @@ def test_toxicity_learns_words_and_spares_identities(spark):
     assert got[1] > 0.7 > 0.5 > got[2] and got[3] == got[4] < 0.5
 
 
+def test_toxicity_swaps_within_languages():
+    terms, swap = toxicity.identity_swaps()
+    assert {terms[i] for i in swap["homme"]} == {"femme"} and {terms[i] for i in swap["muslim"]} <= set(toxicity.IDENTITY["religion"][0].split())
+    assert all(i != terms.index(t) for t in terms for i in swap[t]) and all(swap[t] for t in terms)
+    rows = pa.RecordBatch.from_pydict({"toxic": pa.array([0, 0], pa.int32()), "text": ['For women, "Muslim" (old) friends', "womenfolk"]})
+    found = next(toxicity._chosen(iter([rows]), np.zeros(0, np.int64))).column("terms").to_pylist()
+    assert sorted(terms[i] for i in found[0]) == ["muslim", "old", "women"] and found[1] == []
+
+
+def test_features_tell_long_words_apart():
+    same = "a" * 5000
+    d = wordfeatures.distinct_words(pa.array([f"{same}b {same}c x{same} {same}b"]))
+    word, bucket = wordfeatures.grams(d, (), 30, whole=True)
+    assert len(word) == 3 == len(set(bucket.tolist()))
+    again = wordfeatures.grams(wordfeatures.distinct_words(pa.array([f"z {same}c"])), (), 30, whole=True)[1]
+    assert len(set(again.tolist()) & set(bucket.tolist())) == 1
+
+
 def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([(1, 0), (6, 1), (None, 1), (8, None)], "doc_id long, toxic int")
     model = toxicity.train(odd, labels)
@@ -228,6 +249,46 @@ def test_fingerprints_see_order_and_occurrences(spark, odd):
     assert fingerprints.order_minhash(odd).count() == odd.count()
 
 
+def spark_hash(*values) -> int:
+    """xxhash64 of Spark, unsigned: each value's hash is the seed of the next."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q" if isinstance(v, int) else "<i", int(v)), h)
+    return h
+
+
+def signature_by_hand(text: str) -> list[int]:
+    found = re.findall(r"[^\x20\x09-\x0D]+", text)
+    seen, rows = collections.Counter(), []
+    for at in range(max(len(found) - 4, 1) if found else 0):
+        kmer = spark_hash(*found[at : at + 5]) >> 25
+        rows.append((spark_hash(kmer, np.int32(seen[kmer])) >> 25, at + 1))
+        seen[kmer] += 1
+    bins = collections.defaultdict(list)
+    for h, at in sorted(rows):
+        bins[h >> 33].append((h, at))
+    filled, out = sorted(bins), []
+    for i, b in enumerate(filled):
+        pair = (bins[b] + bins[filled[(i + 1) % len(filled)]])[:2] if len(rows) > 1 else bins[b]
+        out.append(b << 24 | spark_hash(*[h for h, _ in sorted(pair, key=lambda x: x[1])]) >> 40)
+    return out
+
+
+def test_fingerprints_brute_force(spark, odd, local):
+    rng = random.Random(8)
+    texts = [*[t for i, t in sorted(local.items()) if i % 10 == 0], *[r.text or "" for r in odd.collect()], "a b c d e f", words(rng, 12), "la " * 40 + words(rng, 30)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in fingerprints.order_minhash(d).collect():
+        assert list(r.signature) == signature_by_hand(texts[r.doc_id]), texts[r.doc_id][:80]
+
+
+def test_fingerprints_of_short_texts_see_order(spark):
+    a = words(random.Random(4), 60).split()
+    d = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(a[30:] + a[:30]))], "doc_id long, text string")
+    one, two = (set(r.signature) for r in fingerprints.order_minhash(d).orderBy("doc_id").collect())
+    assert one != two and len(one & two) < 0.75 * len(one)  # the sets of their k-mers agree to 0.87
+
+
 def test_substrings_equal_sql(spark, sf):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
