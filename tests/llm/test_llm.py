@@ -629,3 +629,35 @@ def test_pipeline(spark, sf, docs, odd, tmp_path_factory):
     for _, stage in corpus_pipeline.STAGES:
         rows = stage(spark, rows, sf)
     assert rows.count() > 0
+
+
+def test_pipeline_by_stages(spark, sf, docs, tmp_path_factory):
+    """Each stage's rows by brute force from its predecessor's."""
+    folder, given, of = tmp_path_factory.mktemp("stages"), docs, {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, given, sf).write.parquet(f"{folder}/{name}")
+        given = spark.read.parquet(f"{folder}/{name}")
+        of[name] = given.collect()
+    before = {r.doc_id: r.text or "" for r in docs.collect()}
+    kept = {r.doc_id: r.text or "" for r in of["toxicity"]}
+    labels = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}
+    gone = set(before) - set(kept)
+    assert kept.items() <= before.items() and sum(labels.get(i) == 0 for i in gone) <= 0.03 * len(before)
+    classes = brute_classes({i: t for i, t in kept.items() if t.split()})
+    blank = {t: min(i for i, x in kept.items() if x == t) for t in kept.values() if not t.split()}
+    assert sorted(r.doc_id for r in of["near_dedup"]) == sorted({*classes.values(), *blank.values()})
+    alone = {r.doc_id: r.text or "" for r in of["near_dedup"]}
+    clean = {r.doc_id for r in of["decontamination"]}
+    plain = lambda t: " ".join(re.findall(r"\w+", t.lower()))
+    items = [plain(r.text) for r in table(spark, sf, "benchmark").collect() if r.text]
+    whole = {i for i, t in alone.items() if any(f" {x} " in f" {plain(t)} " for x in items if len(x.split()) > 8)}
+    part = {i for i, t in alone.items() if any(f" {' '.join(x.split()[j : j + 4])} " in f" {plain(t)} " for x in items for j in range(len(x.split()) - 3))}
+    assert not whole & clean and clean | part >= set(alone) and clean <= set(alone)  # copies go; texts without four words of an item stay
+    taken = collections.Counter(r.doc_id for r in of["mixing"])
+    assert set(taken) <= clean and max(taken.values()) <= 3
+    last = collections.Counter(r.doc_id for r in of["sharding"])
+    assert last == taken
+    slots = collections.defaultdict(list)
+    for r in of["sharding"]:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and set(slots) <= set(range(8))
