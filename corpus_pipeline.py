@@ -14,28 +14,34 @@ from loomwork.llm.shared import settle, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under the threshold; the classifier learns from the labelled training folds of ``docs``."""
+    """Documents that score under the threshold; the classifier learns from the labelled training folds of ``docs``.
+
+    Rows with a null or empty text get the intercept's score; without labels nothing is dropped; an empty table stays empty.
+    """
     return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each class of near-duplicates."""
+    """The document of the smallest id of each class of near-duplicates.
+
+    Rows without an id all stay; different texts of one id are judged each by itself; of equal rows one stays.
+    """
     return neardup.representatives(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark; null and empty texts hold none, rows of one id are judged by their texts."""
     return decontamination.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix by source: each document as often as it is taken whole, rounded to the nearest."""
+    """The mix by source: each document as often as it is taken whole, rounded to the nearest; a null source is one of its own."""
     weights = mixing.quality_weights(table(spark, sf_dir, "labels"))
     return mixing.mixed(docs, weights)
 
 
 def deal_to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with their shard and slot."""
+    """All rows with their shard and slot, equal texts side by side; columns of these names are replaced."""
     return sharding.assign_shards(docs)
 
 
@@ -47,7 +53,7 @@ STAGES = [
     ("sharding", deal_to_shards),
 ]
 
-#: Classifier and near-dedup classes can't be put in SQL; tests hold the stages against brute force.
+#: The classifier can't be put in SQL; test_pipeline_by_stages holds the stages against brute force on what each one was given.
 ORACLE_SQL = None
 
 
