@@ -152,3 +152,53 @@ def test_streams(spark, sf, tmp_path):
     q = windows.refresh_stream(spark.readStream.schema("path string, seq int, hash string").parquet(str(src)), str(tmp_path / "t"), str(tmp_path / "c"))
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t" / "v=0")).collect())) == [("a", 2, "y"), ("b", 1, "z")]
+
+
+def test_source_filters_without_extension(spark):
+    from loomwork.functions.paths import path_language
+    from loomwork.operators.context import source_allowed
+
+    d = spark.createDataFrame([("src/a.rs",), ("src/Makefile",), ("doc/b.md",)], "path string")
+    kept = lambda **k: [r.path for r in d.where(source_allowed(F.col("path"), path_language(F.col("path")), **k)).orderBy("path").collect()]
+    assert kept() == ["doc/b.md", "src/Makefile", "src/a.rs"]
+    assert kept(extensions=[".RS"]) == ["src/a.rs"] and kept(excluded_extensions=["rs"]) == ["doc/b.md", "src/Makefile"]
+    assert kept(languages=["rust"]) == ["src/a.rs"] and kept(excluded_languages=["MD"]) == ["src/Makefile", "src/a.rs"]
+    assert kept(includes=["src/**"], excluded_extensions=["rs"]) == ["src/Makefile"]
+    for bad in ({"extensions": ["a/b"]}, {"extensions": ["."]}, {"includes": [" "]}):
+        with pytest.raises(ValueError):
+            kept(**bad)
+
+
+def test_requests_by_source_policy(spark):
+    from loomwork.operators import context as C
+
+    members = spark.createDataFrame([("h", True, "a", None, False), ("h", True, "b", "r", True), ("g", False, "c", "r", False), ("g", False, "gone", "r", True)], "hyperedge_id string, hyperedge_direct boolean, node_id string, role string, direct boolean")
+    related = spark.createDataFrame([("d", False)], "node_id string, direct boolean")
+    nodes = spark.createDataFrame([("a", "x", 5, 6, "range"), ("b", "x", None, None, None), ("c", "y", 2, None, None), ("d", "y", 1, 9, "file"), ("gone", None, 1, 1, None)], "id string, path string, line_start int, line_end int, watch string")
+    focus = spark.createDataFrame([("c", 0)], "id string, ord int")
+    got = lambda source: {r.reference: (r.start, r.end, r.priority) for r in C.requests(members, related, nodes, focus, source, 3).collect()}
+    every = {"h/member:a": (2, 9, 2), "h/r:b": (1, C.LAST_LINE, 1), "g/r:c": (1, 5, 0), "related:d": (1, C.LAST_LINE, 3)}
+    assert got("all") == every and got("none") == {} and set(got("focused")) == {"g/r:c"} and set(got("direct")) == {"h/member:a", "h/r:b"}
+
+
+def test_excerpts_are_cut_and_merged(spark):
+    from loomwork.operators import context as C
+
+    files = spark.createDataFrame([("x", ["1", "2", "3", "4", "5"]), ("e", [])], "path string, lines array<string>")
+    ranges = spark.createDataFrame([("x", 1, 2), ("x", 2, 3), ("x", 5, C.LAST_LINE), ("x", 9, 10), ("e", 1, 3), ("none", 1, 2)], "path string, start long, end long")
+    rows = {(r.line_start, r.line_end, r.text) for r in C.excerpts(ranges, files).collect()}
+    assert rows == {(1, 3, "1\n2\n3"), (5, 5, "5")}
+    assert {(r.line_start, r.line_end) for r in C.excerpts(ranges, files, 1).collect()} == {(1, 5)}
+
+
+def test_values_of_removed_nodes_and_first_wins(spark):
+    from loomwork.operators import context as C
+
+    t = lambda rows: spark.createDataFrame(rows, "id string, value string")
+    members = spark.createDataFrame([("a",), ("b",), ("c",)], "node_id string")
+    got = {r.node_id: (r.value, r.deleted) for r in C.with_values(members, t([("a", None)]), t([("a", "old"), ("b", "old")])).collect()}
+    assert got == {"a": (None, False), "b": ("old", True), "c": (None, False)}
+    paths = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    diff = spark.createDataFrame([("p", "o", "renamed", False), ("q", None, "deleted", True)], "path string, old_path string, status string, whole_file boolean")
+    rows = {r.path: (r.old_path, r.status, r.whole_file) for r in C.change_set(paths("p"), diff, paths("q", "u")).collect()}
+    assert rows == {"p": (None, "modified", True), "q": (None, "deleted", True), "u": (None, "untracked", True)}
