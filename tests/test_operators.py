@@ -87,6 +87,35 @@ def test_budget_tiers(spark):
     assert pack([("g", 1, 0, 1, 60), ("g", 2, 1, 1, 50), ("g", 3, 2, 1, 10)]) == [1, 3]
 
 
+def test_packing_equals_a_plain_fold(spark):
+    import random
+    from itertools import groupby
+
+    def plain(rows, budget):
+        out = []
+        for g, items in groupby(sorted(rows, key=lambda r: (str(r[0]), *r[2:4], r[1])), key=lambda r: r[0]):
+            left, blocked = budget, False
+            for _, tier in groupby(items, key=lambda r: r[2]):
+                fits = []
+                for r in tier:
+                    ok = not blocked and r[4] <= left
+                    left -= r[4] if ok else 0
+                    fits.append(ok)
+                    out.append((g, r[1], r[2], r[4], ok))
+                blocked = blocked or (any(fits) and not all(fits))
+        return sorted(out, key=repr)
+
+    random.seed(5)
+    schema = "g string, id int, priority int, ord int, cost int"
+    for _ in range(3):
+        cost = lambda g: random.choice([0, 1, 2, 3, 5, 8, 13, 40, 60, 200]) if g != "c" else random.choice([60, 200])
+        rows = [(g, i % 17, random.randrange(4), random.randrange(6), cost(g)) for g in ["a", "a2", "b", "c", "d", None] for i in range(60)]
+        rows = [r for r in rows if r[0] != "d" or r[2] != 1] + rows[:3]
+        found = packing.packed(spark.createDataFrame(rows, schema), "g", 100)
+        assert sorted(map(tuple, found.collect()), key=repr) == plain(rows, 100)
+    assert packing.packed(spark.createDataFrame([], schema), "g", 100).count() == 0
+
+
 def test_annotations():
     text = '// @anchor ledger.post kind=function tags=core,money\n// @strand balance-contract role=writer intent="Totals agree" required=false\nfn post() {}\n\nfn read() {} // @anchor ledger.read watch=line @strand balance-contract role=reader @relation mirrors to=ledger.post bidirectional=true\n'
     found = parsing.scan_annotations("src/ledger.rs", text)
