@@ -1,7 +1,7 @@
 """Line ranges: joins by overlap and containment, union, and difference.
 
-Ranges belong to a key (a path); joins are equi-joins on it with the overlap as residual, so they hash-partition.  Long keys
-can be cut to bins of lines, which splits a hot path over tasks.
+Ranges belong to a key (a path); joins are equi-joins on it and on bins of lines, with the overlap as residual, so a hot path is
+split over tasks and rows meet only those near them.
 """
 
 from __future__ import annotations
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import overlaps
 
+#: Lines of a bin; a span is copied to each bin it reaches.
+BIN_LINES = 256
+
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str, a: tuple[str, str], b: tuple[str, str], bin_lines: int | None = None) -> DataFrame:
     """Pairs of rows of one key whose ranges overlap; with ``bin_lines`` both sides are also joined on bins of lines.
@@ -20,20 +23,27 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, a: tuple[str, str]
     """
     if not bin_lines:
         return left.join(right, key).where(overlaps(F.col(a[0]), F.col(a[1]), F.col(b[0]), F.col(b[1])))
-    bins = lambda r: F.explode(F.sequence(F.floor(F.col(r[0]) / bin_lines), F.floor(F.col(r[1]) / bin_lines)))
-    rows = left.withColumn("_bin", bins(a)).join(right.withColumn("_bin", bins(b)), [key, "_bin"])
+    cut = lambda df, r: df.withColumn("_bin", F.explode(bins(F.col(r[0]), F.col(r[1]), bin_lines)))
+    rows = cut(left, a).join(cut(right, b), [key, "_bin"])
     here = F.col("_bin") == F.floor(F.greatest(F.col(a[0]), F.col(b[0])) / bin_lines)
     return rows.where(here & overlaps(F.col(a[0]), F.col(a[1]), F.col(b[0]), F.col(b[1]))).drop("_bin")
 
 
-def containing_join(inner: DataFrame, outer: DataFrame, key: str, a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
-    """Pairs of one key where the outer range holds the inner one."""
-    return inner.join(outer, key).where((F.col(b[0]) <= F.col(a[0])) & (F.col(a[1]) <= F.col(b[1])))
+def bins(start: Column, end: Column, lines: int) -> Column:
+    return F.sequence(F.floor(start / lines), F.floor(F.greatest(start, end) / lines))
+
+
+def containing_join(inner: DataFrame, outer: DataFrame, key: str, a: tuple[str, str], b: tuple[str, str], bin_lines: int = BIN_LINES) -> DataFrame:
+    """Pairs of one key where the outer range holds the inner one; they meet in the bin of the inner one's start."""
+    outer = outer.withColumn("_bin", F.explode(bins(F.col(b[0]), F.col(b[1]), bin_lines)))
+    rows = inner.withColumn("_bin", F.floor(F.col(a[0]) / bin_lines)).join(outer, [key, "_bin"])
+    return rows.where((F.col(b[0]) <= F.col(a[0])) & (F.col(a[1]) <= F.col(b[1]))).drop("_bin")
 
 
-def smallest_enclosing(points: DataFrame, spans: DataFrame, key: str, at: str, b: tuple[str, str], span_id: str) -> DataFrame:
+def smallest_enclosing(points: DataFrame, spans: DataFrame, key: str, at: str, b: tuple[str, str], span_id: str, bin_lines: int = BIN_LINES) -> DataFrame:
     """Each point with the shortest span around it, the least id of equals; points outside all spans get null."""
-    rows = points.join(spans, key, "left")
+    spans = spans.withColumn("_bin", F.explode(bins(F.col(b[0]), F.col(b[1]), bin_lines)))
+    rows = points.withColumn("_bin", F.floor(F.col(at) / bin_lines)).join(spans, [key, "_bin"], "left")
     inside = F.when(F.col(at).between(F.col(b[0]), F.col(b[1])), F.struct((F.col(b[1]) - F.col(b[0])).alias("length"), F.col(span_id).alias("id")))
     return rows.groupBy(*points.columns).agg(F.min(inside)["id"].alias(span_id))
 
@@ -48,15 +58,16 @@ def merged(df: DataFrame, key: str | list[str], start: str, end: str, gap: int =
     return rows.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_ranges")).drop("_island")
 
 
-def subtracted(df: DataFrame, holes: DataFrame, key: str, a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
+def subtracted(df: DataFrame, holes: DataFrame, key: str, a: tuple[str, str], b: tuple[str, str], bin_lines: int = BIN_LINES) -> DataFrame:
     """What is left of each range of ``df`` without the holes of its key: (key, a[0], a[1], piece_start, piece_end).
 
     The holes of a range are gathered into one array, bounded by its lines; the pieces between them are cut in the row.
     """
     cut = merged(holes.select(key, F.col(b[0]).alias("_hs"), F.col(b[1]).alias("_he")), key, "_hs", "_he").drop("n_ranges")
-    rows = df.join(cut, key, "left")
-    hole = F.when(overlaps(F.col(a[0]), F.col(a[1]), F.col("_hs"), F.col("_he")), F.struct("_hs", "_he"))
-    rows = rows.groupBy(key, *a).agg(F.array_sort(F.collect_list(hole)).alias("_holes"))
+    whole = df.select(key, *a).distinct()
+    met = overlap_join(whole, cut, key, a, ("_hs", "_he"), bin_lines).select(key, *a, F.struct("_hs", "_he").alias("_hole"))
+    rows = whole.withColumn("_hole", F.lit(None).cast(met.schema["_hole"].dataType)).unionByName(met)
+    rows = rows.groupBy(key, *a).agg(F.array_sort(F.collect_list("_hole")).alias("_holes"))
     starts = F.concat(F.array(F.col(a[0])), F.transform("_holes", lambda h: h["_he"] + 1))
     ends = F.concat(F.transform("_holes", lambda h: h["_hs"] - 1), F.array(F.col(a[1])))
     pieces = F.filter(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda p: p["s"] <= p["e"])

@@ -123,8 +123,13 @@ def without_overlaps(rows: DataFrame, k: int) -> DataFrame:
 
 
 def term_statistics(files: DataFrame) -> DataFrame:
-    """(term, df, tf) over all units; counts are combined before the shuffle."""
-    return units(files).select(F.explode("tokens").alias("term"), "doc_id", "start").groupBy("term").agg(F.count("*").alias("tf"), F.countDistinct("doc_id", "start").alias("df"))
+    """(term, df, tf) over all units, in one shuffle of counts that are combined before it.
+
+    A unit's tokens are sorted, so that the first of each term tells that the unit holds it.
+    """
+    rows = units(files).select(F.array_sort("tokens").alias("sorted"))
+    first = F.transform("sorted", lambda t, i: F.struct(t.alias("term"), (~F.get("sorted", i - 1).eqNullSafe(t)).cast("long").alias("first")))
+    return rows.select(F.inline(first)).groupBy("term").agg(F.count("*").alias("tf"), F.sum("first").alias("df"))
 
 
 def _bloom_bits(token: Column, words: int) -> list[Column]:
