@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import settle, table, text_of
+from .shared import forget, settle, table, text_of
 from .textvec import as_long, counted, mix64, shingles, slices, split_words
 
 K, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 4
@@ -216,20 +216,25 @@ def near_groups(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, bands
     A text's node is its smallest doc_id, or a number of its own where another text has the same; equal labels (the node
     of one of the texts) make a class.
     """
-    spark = docs.sparkSession
+    spark, made = docs.sparkSession, []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        made.append(settle(df, name))
+        return made[-1]
+
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text_of().cast("binary")).alias("digest"), text_of().alias("text"))
     signed = settle(base.mapInArrow(lambda it: _banded(it, k, bands, rows), "doc_id long, digest string, bands array<long>"), "signed")
-    groups = settle(signed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min_by("bands", "doc_id").alias("bands")).where("doc_id IS NOT NULL"), "groups")
+    groups = kept(signed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min_by("bands", "doc_id").alias("bands")).where("doc_id IS NOT NULL"), "groups")
     twice = groups.groupBy("doc_id").agg(F.min("digest").alias("first"), F.count("*").alias("n")).where("n > 1").select("doc_id", "first")
     own = F.least(F.lit(-1).cast("long"), -F.abs(F.xxhash64("digest")))
     groups = groups.join(twice, "doc_id", "left").withColumn("rep", F.when(F.col("digest") != F.col("first"), own).otherwise(F.col("doc_id"))).drop("first")
-    groups = settle(groups, "nodes")
+    groups = kept(groups, "nodes")
     banded = groups.select("rep", F.explode(F.array_distinct("bands")).alias("key"))
     pivots = banded.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a < hi").drop("hi")
-    buckets = settle(banded.join(pivots, "key"), "buckets")
+    buckets = kept(banded.join(pivots, "key"), "buckets")
     in_doubt = groups.join(buckets.select("rep").distinct(), "rep").select("doc_id", "digest", "rep")
     texts = base.join(in_doubt, ["doc_id", "digest"]).select(F.col("rep").alias("doc_id"), "text")
-    texts = settle(texts.dropDuplicates(["doc_id"]), "texts")
+    texts = kept(texts.dropDuplicates(["doc_id"]), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         with_b = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -237,17 +242,18 @@ def near_groups(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, bands
         return with_a.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verified(it, k, threshold), "a long, b long")
 
     best = buckets.where("a < rep").groupBy(F.col("rep").alias("b")).agg(F.mode("a", True).alias("a"))
-    labels = roots(settle(verify(best), "links"))
+    labels = roots(kept(verify(best), "links"))
+    made.append(labels)
     named = buckets.select("key", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-    named = settle(named, "named")
+    named = kept(named, "named")
     several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     open_ = named.join(several, "key").select(F.col("rep").alias("doc_id")).distinct()
-    open_ = settle(texts.join(open_, "doc_id"), "open")
+    open_ = kept(texts.join(open_, "doc_id"), "open")
     slots = open_.select("text").mapInArrow(lambda it: _ranks(it, k), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     rank = np.zeros(1 << RANK_BITS, np.int32)
     rank[slots.column("slot").to_numpy()] = np.minimum(slots.column("n").to_numpy(), 2**31 - 1)
     shared = spark.sparkContext.broadcast(rank)
-    rarest = settle(open_.mapInArrow(lambda it: _rarest(it, k, threshold, shared.value), "key long, rep long"), "rarest")
+    rarest = kept(open_.mapInArrow(lambda it: _rarest(it, k, threshold, shared.value), "key long, rep long"), "rarest")
 
     def open_rows(rows: DataFrame) -> DataFrame:
         """(key, rep, label, n) of the buckets that still hold several classes."""
@@ -256,15 +262,16 @@ def near_groups(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, bands
         return named.join(of_key, "key")
 
     for _ in range(PIVOTS):  # most texts of a large group are linked to its class in linear steps
-        rows = settle(open_rows(rarest), "openrows")
+        rows = kept(open_rows(rarest), "openrows")
         pivot = rows.where(F.col("n") > LARGE).groupBy("key").agg(F.min_by(F.struct("rep", "label"), F.xxhash64("rep")).alias("p"))
         found = rows.join(pivot, "key").where("label <> p.label").select(F.least("p.rep", "rep").alias("a"), F.greatest("p.rep", "rep").alias("b"))
-        more = settle(verify(found.distinct()), "links")
+        more = kept(verify(found.distinct()), "links")
         if more.isEmpty():
             break
         labels = merged(labels, more)
+        made.append(labels)
         rarest = rows.select("key", "rep")
-    rows = settle(open_rows(rarest.select("key", "rep")), "openrows")
+    rows = kept(open_rows(rarest.select("key", "rep")), "openrows")
     x, y = rows.where(F.col("n") <= LARGE).alias("x"), rows.where(F.col("n") <= LARGE).alias("y")
     found = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")))
     found = verify(found.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
@@ -274,11 +281,14 @@ def near_groups(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, bands
     large = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)))
     large = large.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label", "text")
     within = large.groupBy("key", "i", "j").applyInArrow(lambda t: _block_links(t, k, threshold), "a long, b long")
-    more = settle(found.union(within), "links")
+    more = kept(found.union(within), "links")
     if not more.isEmpty():
         labels = merged(labels, more)
+        made.append(labels)
     named = groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", "doc_id", F.col("rep").alias("node"), F.coalesce("label", "rep").alias("label"))
-    return signed.select("doc_id", "digest"), settle(named, "classes")
+    out = settle(named, "classes")
+    forget(spark, *made)
+    return signed.select("doc_id", "digest"), out
 
 
 def near_classes(docs: DataFrame, **options) -> DataFrame:
