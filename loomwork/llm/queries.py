@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .decontamination import op2_decontaminate
+from .divergence import ORACLE as DIVERGENCE_SQL
+from .divergence import op11_divergence
 from .fingerprints import op3_order_minhash
 from .html_text import op5_html_extract
 from .language_id import op6_langid
@@ -28,8 +30,9 @@ def queries() -> dict:
         "op8_probminhash": op8_probminhash,
         "op9_shard": op9_shard,
         "op10_kneser_ney": op10_kneser_ney,
+        "op11_divergence": op11_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": SUBSTRING_SQL, "op7_mix": MIXING_SQL}
+    return {"op4_substring_dedup": SUBSTRING_SQL, "op7_mix": MIXING_SQL, "op11_divergence": DIVERGENCE_SQL}
