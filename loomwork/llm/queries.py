@@ -5,10 +5,14 @@ from __future__ import annotations
 from .decontamination import op2_decontaminate
 from .divergence import ORACLE as DIVERGENCE_SQL
 from .divergence import op11_divergence
+from .epsilon_join import ORACLE as EPSILON_SQL
+from .epsilon_join import op12_epsilon_grid
 from .fingerprints import op3_order_minhash
 from .html_text import op5_html_extract
 from .language_id import op6_langid
 from .language_model import op10_kneser_ney
+from .lexical import ORACLE as LEXICAL_SQL
+from .lexical import op13_fp_tree
 from .mixing import ORACLE as MIXING_SQL
 from .mixing import op7_mix
 from .neardup import op8_probminhash
@@ -31,8 +35,10 @@ def queries() -> dict:
         "op9_shard": op9_shard,
         "op10_kneser_ney": op10_kneser_ney,
         "op11_divergence": op11_divergence,
+        "op12_epsilon_grid": op12_epsilon_grid,
+        "op13_fp_tree": op13_fp_tree,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": SUBSTRING_SQL, "op7_mix": MIXING_SQL, "op11_divergence": DIVERGENCE_SQL}
+    return {"op4_substring_dedup": SUBSTRING_SQL, "op7_mix": MIXING_SQL, "op11_divergence": DIVERGENCE_SQL, "op12_epsilon_grid": EPSILON_SQL, "op13_fp_tree": LEXICAL_SQL}
