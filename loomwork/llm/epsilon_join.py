@@ -185,6 +185,10 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, run_rows: int | None =
     distinct = kept(good.groupBy("label", "h", "vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least")), "distinct")
     distinct = distinct.withColumn("size", F.size("vector"))
     n, size = distinct.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(0))).collect()[0]
+    alone = base.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    if not n:
+        forget(spark, *made)
+        return alone.withColumn("kept", F.lit(True))
     epsilon = math.sqrt(2 - 2 * cosine)
     basis = directions(distinct, n, size)
     k = basis.shape[1]
@@ -206,7 +210,6 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, run_rows: int | None =
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     nodes = nodes.join(least, "root").select("label", "h", "vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     linked = good.join(nodes, ["label", "h", "vector"]).select("vec_id", "n_links", "component_id")
-    alone = base.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = settle(linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), "near")
     forget(spark, *made)
     return out
