@@ -1,16 +1,20 @@
 """Ranked search over line chunks.
 
-Units of retrieval are overlapping chunks of lines.  Statistics are those of the files that hold a term of the query, as
-skipping files is part of the ranking's definition.  Everything is one plan of scans, one small aggregate that is
-broadcast (a row of a few numbers) and a top-k; texts are not shuffled.
+Units of retrieval are declared spans and overlapping chunks of lines.  Statistics are those of the files that hold a term of the
+query, as skipping files is part of the ranking's definition.  The texts are read once, for a narrow table with the numbers of
+each unit; statistics (a row of a few numbers), scores and the top-k come from that, and lines join the hits at the end.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.settled import settle
 
 # fixed values: lines of a chunk, and lines shared by neighbours
 CHUNK, OVERLAP = 56, 8
@@ -27,6 +31,16 @@ def chunk_ranges(n: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * (CHUNK - OVERLAP) + 1).alias("start"), F.least(i * (CHUNK - OVERLAP) + CHUNK, n).alias("end"))))
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once for each row."""
+    return F.transform(F.array(value), use)[0]
+
+
+def without_annotations(text: Column) -> Column:
+    """Lines up to their first marker; what stands behind it isn't searched."""
+    return F.regexp_replace(text, r"@(?:anchor|strand)[^\n]*", "")
+
+
 def chunks(files: DataFrame) -> DataFrame:
     """(doc_id, path, start, end, lines) of all chunks."""
     rows = files.withColumn("all", T.lines(F.col("text"))).drop("text")
@@ -34,69 +48,139 @@ def chunks(files: DataFrame) -> DataFrame:
     return rows.select("doc_id", "path", "c.start", "c.end", F.slice("all", F.col("c.start"), F.col("c.end") - F.col("c.start") + 1).alias("lines"))
 
 
-def units(files: DataFrame) -> DataFrame:
-    """Chunks with their tokens; chunks without any are left out."""
-    rows = chunks(files).withColumn("tokens", T.tokens(F.array_join("lines", "\n")))
-    return rows.withColumn("n_tokens", F.size("tokens")).where("n_tokens > 0")
+def with_declared(files: DataFrame, spans: DataFrame | None = None, tests: DataFrame | None = None) -> DataFrame:
+    """Files with the columns ``spans`` and ``tests``: arrays of (start, end) of the declared spans of their path, and of test
+    sections.  spans, tests: (path, start, end); a path's spans are bounded by its declarations."""
+    for name, df in (("spans", spans), ("tests", tests)):
+        if df is None:
+            files = files.withColumn(name, F.array().cast("array<struct<start:int,end:int>>"))
+        else:
+            own = df.select("path", F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")).alias("s"))
+            files = files.join(own.groupBy("path").agg(F.array_sort(F.collect_set("s")).alias(name)), "path", "left")
+            files = files.withColumn(name, F.coalesce(name, F.array().cast("array<struct<start:int,end:int>>")))
+    return files
+
+
+def in_units(files: DataFrame, use) -> DataFrame:
+    """``use`` (start, end, anchored, tokens) of each unit of files (doc_id, path, text, spans, tests), with their other columns.
+
+    Units are the distinct declared spans, cut at the end of the file, that touch no test section, and the chunks of lines that aren't
+    such a span.  Lines of test sections count as empty; units without tokens are left out.  Each line is tokenised once,
+    however many units it is in, and all this happens inside a row, before anything is exploded.
+    """
+    inside = lambda i, tests: F.exists(tests, lambda r: (r["start"] <= i + 1) & (i + 1 <= r["end"]))
+    n = F.size("_lines")
+    good = F.filter("spans", lambda s: (s["start"] >= 1) & (s["end"] >= s["start"]) & (s["start"] <= n) & ~F.exists("tests", lambda r: (r["start"] <= F.least(s["end"], n)) & (s["start"] <= r["end"])))
+    own = F.array_distinct(F.transform(good, lambda s: F.struct(s["start"].alias("start"), F.least(s["end"], n).alias("end"))))
+    plain = F.array_except(F.coalesce(chunk_ranges(n), F.array().cast("array<struct<start:int,end:int>>")), "_own")
+    flag = lambda column, value: F.transform(column, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), F.lit(value).alias("anchored")))
+    words = F.transform("_lines", lambda x, i: F.when(inside(i, F.col("tests")), F.array().cast("array<string>")).otherwise(T.tokens(without_annotations(x))))
+
+    def measured(all_words: Column) -> Column:
+        cut = F.transform("_ranges", lambda r: F.struct(r.alias("r"), F.flatten(F.slice(all_words, r["start"], r["end"] - r["start"] + 1)).alias("tokens")))
+        return F.transform(F.filter(cut, lambda u: F.size(u["tokens"]) > 0), lambda u: use(u["r"]["start"], u["r"]["end"], u["r"]["anchored"], u["tokens"]))
+
+    rows = files.withColumn("_lines", T.lines(F.col("text"))).withColumn("_own", own).withColumn("_ranges", F.concat(flag("_own", True), flag(plain, False)))
+    return rows.withColumn("_units", let(words, measured)).drop("text", "spans", "tests", "_lines", "_own", "_ranges")
+
+
+def units(files: DataFrame, spans: DataFrame | None = None, tests: DataFrame | None = None) -> DataFrame:
+    """(doc_id, path, start, end, anchored, tokens, n_tokens) of all units that hold a token."""
+    whole = lambda start, end, anchored, tokens: F.struct(start.alias("start"), end.alias("end"), anchored.alias("anchored"), tokens.alias("tokens"), F.size(tokens).alias("n_tokens"))
+    return in_units(with_declared(files, spans, tests), whole).select("doc_id", "path", F.inline("_units"))
 
 
 def with_terms(files: DataFrame, query: T.Query) -> DataFrame:
-    """Files that hold a term of the query."""
-    return files.where(F.arrays_overlap(T.tokens(F.col("text")), F.array(*[F.lit(t) for t in query.terms])))
-
-
-def statistics(found: DataFrame, query: T.Query) -> DataFrame:
-    """One row: n, average, and the inverse frequency of each term in the order of the query."""
-    df = [F.sum(F.array_contains("tokens", t).cast("long")).alias(f"df{i}") for i, t in enumerate(query.terms)]
-    row = found.agg(F.count("*").alias("n"), (F.sum("n_tokens") / F.count("*")).alias("average"), *df)
-    return row.select("n", "average", F.array(*[T.idf(F.col("n"), F.col(f"df{i}")) for i in range(len(query.terms))]).alias("idf"))
-
-
-def scored(found: DataFrame, stats: DataFrame, query: T.Query) -> DataFrame:
-    """Adds raw score and matched terms; the statistics are one row, which the plan holds as a scalar subquery."""
-    rows = found.withColumn("stats", stats.select(F.struct("average", "idf")).scalar()).select("*", "stats.average", "stats.idf").drop("stats")
-    total, matched = F.lit(0.0), []
-    def frequency(term: str) -> Column:
-        return F.size(F.filter("tokens", lambda x: x == term))
-
-    tf = [frequency(t) for t in query.terms]
-    for i, f in enumerate(tf):
-        total = total + F.when(f > 0, F.col("idf")[i] * T.term_score(f.cast("double"), F.col("n_tokens"), F.col("average"))).otherwise(0.0)
-        matched.append(F.when(f > 0, F.lit(query.terms[i])))
-    for phrase in query.phrases:
-        own = [F.col("idf")[query.terms.index(t)] for t in phrase if t in query.terms]
-        bonus = F.lit(0.0)
-        for x in own:
-            bonus = bonus + x
-        total = total + F.when(F.array_join("tokens", " ").contains(" ".join(phrase)), bonus * T.PHRASE_WEIGHT).otherwise(0.0)
-    rows = rows.withColumn("matched", F.array_compact(F.array(*matched)))
-    weight = T.COVERAGE_BASE + T.COVERAGE_WEIGHT * F.size("matched") / len(query.terms)
-    rows = rows.withColumn("score", total * weight).where("score > 0")
-    if query.excluded:
-        rows = rows.where(~F.arrays_overlap("tokens", F.array(*[F.lit(t) for t in query.excluded])))
-    return rows
+    """Files that hold a term of the query; a plain search in the lower-case text goes before the exact test."""
+    maybe = F.lit(False)
+    for t in query.terms:
+        maybe = maybe | (F.contains(F.lower("text"), F.lit(t)) if t.isascii() else F.lit(True))
+    return files.where(maybe & F.arrays_overlap(T.tokens(without_annotations(F.col("text"))), F.array(*[F.lit(t) for t in query.terms])))
+
 
+def measured(files: DataFrame, query: T.Query, spans: DataFrame | None = None, tests: DataFrame | None = None) -> DataFrame:
+    """A narrow row for each unit of the files that hold a term of the query, outside of test sections:
+    (doc_id, path, start, end, anchored, n_tokens, tf, phrases, out).
+
+    tf: of each term; phrases: whether each is in the joined tokens; out: whether an excluded word is.
+    """
 
+    def frequency(tokens: Column, term: str) -> Column:
+        return F.size(F.filter(tokens, lambda x: x == term))
 
+    def numbers(start: Column, end: Column, anchored: Column, tokens: Column) -> Column:
+        tf = F.array(*[frequency(tokens, t) for t in query.terms])
+        joined = F.array_join(tokens, " ")
+        phrases = F.array(*[F.contains(joined, F.lit(" ".join(p))) for p in query.phrases]).cast("array<boolean>")
+        out = F.arrays_overlap(tokens, F.array(*[F.lit(x) for x in query.excluded])) if query.excluded else F.lit(False)
+        return F.struct(start.alias("start"), end.alias("end"), anchored.alias("anchored"), F.size(tokens).alias("n_tokens"), tf.alias("tf"), phrases.alias("phrases"), out.alias("out"))
 
-def ranked(files: DataFrame, query: str | T.Query, paths: list[str] | None = None) -> DataFrame:
-    """(doc_id, path, start, end, n_tokens, score, milli, matched, lines, idf) of all units that match."""
+    rows = in_units(with_declared(with_terms(files, query), spans, tests), numbers)
+    return rows.select("doc_id", "path", F.inline("_units"))
+
+
+@dataclass(frozen=True)
+class Statistics:
+    """Of the units of the files that hold a term: how many, their average length, each term's inverse frequency."""
+
+    n: int
+    average: float
+    idf: tuple[float, ...]
+
+
+def statistics(found: DataFrame, query: T.Query) -> Statistics:
+    df = [F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(query.terms))]
+    row = found.agg(F.count("*").alias("n"), F.sum("n_tokens").alias("total"), *df).collect()[0]
+    return statistics_of(row["n"], row["total"] or 0, [row[f"df{i}"] or 0 for i in range(len(query.terms))])
+
+
+def statistics_of(n: int, total: int, df: list[int]) -> Statistics:
+    return Statistics(n, total / n if n else 0.0, tuple(math.log(1 + (n - d + 0.5) / (d + 0.5)) for d in df))
+
+
+def scored(found: DataFrame, stats: Statistics, query: T.Query) -> DataFrame:
+    """Adds milli score and matched terms to measured units and drops those that don't match; numbers of the statistics are literals."""
+    total = F.lit(0.0)
+    for i, idf in enumerate(stats.idf):
+        f = F.col("tf")[i]
+        total = total + F.when(f > 0, F.lit(idf) * T.term_score(f.cast("double"), F.col("n_tokens"), F.lit(stats.average))).otherwise(0.0)
+    for i, phrase in enumerate(query.phrases):
+        bonus = sum(stats.idf[query.terms.index(t)] for t in phrase if t in query.terms)
+        total = total + F.when(F.col("phrases")[i], F.lit(bonus * T.PHRASE_WEIGHT)).otherwise(0.0)
+    matched = F.array_compact(F.array(*[F.when(F.col("tf")[i] > 0, F.lit(t)) for i, t in enumerate(query.terms)]))
+    rows = found.where("NOT out").withColumn("matched", matched)
+    weight = T.COVERAGE_BASE + T.COVERAGE_WEIGHT * F.size("matched") / len(query.terms)
+    # the score is computed where units are read; a filter on it is one on a stored column for what comes after
+    return rows.withColumn("score", total * weight).where("score > 0").withColumn("milli", T.milli(F.col("score")))
+
+
+def ranked(files: DataFrame, query: str | T.Query, paths: list[str] | None = None, spans: DataFrame | None = None, tests: DataFrame | None = None) -> DataFrame:
+    """(doc_id, path, start, end, anchored, n_tokens, score, milli, matched, idf) of all units that match.
+
+    The texts are read once, for a narrow table of the units' numbers, which is settled; statistics and scores come from it.
+    """
     q = T.parse_query(query) if isinstance(query, str) else query
-    chosen = with_terms(files.where(T.path_allowed(F.col("path"), paths or [])), q)
-    found = units(chosen)
-    rows = scored(found, statistics(found, q), q)
-    return rows.select("doc_id", "path", "start", "end", "n_tokens", "score", T.milli(F.col("score")).alias("milli"), "matched", "lines", "idf")
+    found = settle(measured(files.where(T.path_allowed(F.col("path"), paths or [])), q, spans, tests), "units")
+    stats = statistics(found, q)
+    rows = scored(found, stats, q).withColumn("idf", F.array(*[F.lit(x) for x in stats.idf]))
+    return rows.select("doc_id", "path", "start", "end", "anchored", "n_tokens", "score", "milli", "matched", "idf")
+
+
+def with_lines(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Units with their lines: the texts of their files join them."""
+    own = files.select("doc_id", "path", "text")
+    return rows.join(own, ["doc_id", "path"]).withColumn("lines", F.slice(T.lines(F.col("text")), F.col("start"), F.col("end") - F.col("start") + 1)).drop("text")
 
 
 def top(rows: DataFrame, k: int) -> DataFrame:
     return rows.orderBy(F.desc("milli"), "n_tokens", "path", "start").limit(k)
 
 
-def best_line(rows: DataFrame, query: T.Query) -> Column:
-    """The line of a unit that holds the weightiest terms; the first of equals."""
+def best_line(query: T.Query) -> Column:
+    """The line of a unit (start, lines, idf) that holds the weightiest terms; the first of equals."""
 
     def weight(line: Column) -> Column:
-        own = T.tokens(line)
+        own = T.tokens(without_annotations(line))
         total = F.lit(0.0)
         for i, t in enumerate(query.terms):
             total = total + F.when(F.array_contains(own, t), F.col("idf")[i]).otherwise(0.0)

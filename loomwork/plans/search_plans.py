@@ -27,8 +27,8 @@ def _hits(query, paths=None, k=8):
 
 def best_line(spark, sf_dir):
     q = T.parse_query(TEXT)
-    rows = S.ranked(_files(spark, sf_dir), q)
-    return rows.select("doc_id", "start", S.best_line(rows, q).alias("line"))
+    files = _files(spark, sf_dir)
+    return S.with_lines(S.ranked(files, q), files).select("doc_id", "start", S.best_line(q).alias("line"))
 
 
 def dedup_hits(spark, sf_dir):
