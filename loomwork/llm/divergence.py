@@ -35,8 +35,8 @@ from .transducer import Transducer, build
 LEAST_DOCS, ADDED, TOP = 30, 5, 50
 SCALE = 1_000_000_000
 #: Terms of a transducer, bytes of transducers that an executor holds at a time, ordinals of a block, sources of a tile.
-RUN_TERMS, PART_BYTES, BLOCK, TILE = 1 << 18, 64 << 20, 4096, 128
-_SLICE, _HELD = 4 << 20, 1 << 21
+RUN_TERMS, PART_BYTES, BLOCK, TILE = 1 << 18, 64 << 20, 512, 128
+_SLICE, _HELD = 2 << 20, 1 << 20
 
 
 def _read(docs: DataFrame) -> DataFrame:
