@@ -1,24 +1,15 @@
 """A typed hypergraph of nodes, hyperedges with members, and edges: traversal, impact of changes, export.
 
-Traversals go level by level; each level joins the edges with the frontier only, and results are settled so that plans stay
-short.  The number of levels is a parameter; nothing is collected.
+Traversals go level by level; each level joins the edges with the frontier only and is settled, so that plans stay short.  The
+number of levels is a parameter; nothing is collected.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _settled(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster names; a folder of our own only where it names none."""
-    context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix=f"loomwork-{uuid.uuid4().hex[:8]}-"))
-    return df.checkpoint()
+from ..sources.settled import forget, settle
 
 
 def undirected(edges: DataFrame, kinds: list[str] | None = None) -> DataFrame:
@@ -27,15 +18,35 @@ def undirected(edges: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     return e.select("src", "dst", "kind").union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind"))
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.union(more)
+    return out
+
+
+def _walk(first: DataFrame, depth: int, step) -> DataFrame:
+    """Levels from the first on: ``step`` makes the next one of the last, without the nodes seen.  A level is settled by itself, and
+    all levels as one table at the end."""
+    found = [settle(first.withColumn("level", F.lit(0)), "level")]
+    for level in range(1, depth + 1):
+        new = step(found[-1])
+        for seen in found:
+            new = new.join(seen.select("id"), "id", "left_anti")
+        new = settle(new.withColumn("level", F.lit(level)), "level")
+        if new.isEmpty():
+            break
+        found.append(new)
+    out = settle(_union(found), "levels")
+    forget(first.sparkSession, *found)
+    return out
+
+
 def levels(seeds: DataFrame, edges: DataFrame, depth: int, kinds: list[str] | None = None) -> DataFrame:
     """(id, level): nodes within ``depth`` steps of the seeds, each with its least level."""
-    both = undirected(edges, kinds).select("src", "dst").distinct()
-    seen = _settled(seeds.select("id").distinct().withColumn("level", F.lit(0)))
-    for level in range(1, depth + 1):
-        frontier = seen.where(F.col("level") == level - 1).select(F.col("id").alias("src"))
-        new = both.join(frontier, "src").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
-        seen = _settled(seen.union(new.withColumn("level", F.lit(level))))
-    return seen
+    both = undirected(edges, kinds).select("src", "dst")
+    step = lambda last: both.join(last.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
+    return _walk(seeds.select("id").distinct(), depth, step)
 
 
 def touched_edges(reached: DataFrame, edges: DataFrame, depth: int, kinds: list[str] | None = None) -> DataFrame:
@@ -68,13 +79,12 @@ def hops(reasons: DataFrame, edges: DataFrame, depth: int, kinds: list[str] | No
     """(id, reason, level): nodes reached from those in ``reasons`` (id, reason), with the least reason of their level."""
     e = edges.where(F.col("kind").isin(kinds)) if kinds else edges
     step = e.select("src", F.col("dst").alias("to"), "kind").union(e.select(F.col("dst").alias("src"), F.col("src").alias("to"), "kind"))
-    seen = _settled(reasons.select("id", "reason", F.lit(0).alias("level")))
-    for level in range(1, depth + 1):
-        frontier = seen.where(F.col("level") == level - 1).select(F.col("id").alias("src"))
+
+    def further(last: DataFrame) -> DataFrame:
         why = F.concat(F.col("kind"), F.lit(" relationship from "), F.col("src").cast("string"))
-        new = step.join(frontier, "src").groupBy(F.col("to").alias("id")).agg(F.min(why).alias("reason")).join(seen, "id", "left_anti")
-        seen = _settled(seen.union(new.select("id", "reason", F.lit(level).alias("level"))))
-    return seen
+        return step.join(last.select(F.col("id").alias("src")), "src").groupBy(F.col("to").alias("id")).agg(F.min(why).alias("reason"))
+
+    return _walk(reasons.select("id", "reason"), depth, further)
 
 
 def impact(changes: DataFrame, nodes: DataFrame, members: DataFrame, edges: DataFrame, depth: int = 1, kinds: list[str] | None = None, policies: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -88,9 +98,9 @@ def impact(changes: DataFrame, nodes: DataFrame, members: DataFrame, edges: Data
     by_path = changes.withColumn("path", F.explode(F.array_distinct(F.array_compact(F.array("path", "old_path"))))).select("path", F.col("path").alias("changed_path"), "whole_file", "ranges")
     at = {"watch": F.col("watch"), "start": F.col("line_start"), "end": F.col("line_end")}
     hit = by_path.join(nodes, "path").where(changed(at, {"whole_file": F.col("whole_file"), "ranges": F.col("ranges")}))
-    direct = _settled(hit.groupBy("id").agg(F.max(F.concat(F.lit("file change in "), F.col("changed_path"))).alias("reason"), F.max("path").alias("path")))
+    direct = settle(hit.groupBy("id").agg(F.max(F.concat(F.lit("file change in "), F.col("changed_path"))).alias("reason"), F.max("path").alias("path")))
     active = members.join(direct.select(F.col("id").alias("node_id")), "node_id", "left_semi").select("hyperedge_id").distinct()
-    active = _settled(active.withColumn("direct", F.lit(True)))
+    active = settle(active.withColumn("direct", F.lit(True)))
     shown = expand_members(active, members, policies)
     start = direct.select("id", "reason").union(shown.groupBy(F.col("node_id").alias("id")).agg(F.min("reason").alias("reason")).join(direct, "id", "left_anti"))
     reached = hops(start, edges, depth, kinds)
@@ -122,13 +132,13 @@ def context(seeds: DataFrame, named: DataFrame, members: DataFrame, edges: DataF
     search (``any_search`` false); others show the members that were reached anyway.  Only named hyperedges are direct.
     """
     of = lambda ids: members.join(ids.select(F.col("id").alias("node_id")), "node_id", "left_semi").select("hyperedge_id").distinct()
-    expanded = _settled(named.select("hyperedge_id").union(of(seeds.where("NOT from_search"))).distinct())
+    expanded = settle(named.select("hyperedge_id").union(of(seeds.where("NOT from_search"))).distinct())
     start = seeds.groupBy("id").agg(F.min("reason").alias("reason"))
     shown = expand_members(expanded, members)
     start = start.union(shown.groupBy(F.col("node_id").alias("id")).agg(F.min("reason").alias("reason")).join(start, "id", "left_anti"))
     reached = hops(start, edges, depth, kinds)
     if not any_search:
-        expanded = _settled(expanded.union(of(reached)).distinct())
+        expanded = settle(expanded.union(of(reached)).distinct())
         shown = expand_members(expanded, members)
         more = shown.groupBy(F.col("node_id").alias("id")).agg(F.min("reason").alias("reason")).join(reached, "id", "left_anti")
         reached = reached.union(more.withColumn("level", F.lit(depth)))

@@ -49,13 +49,17 @@ def smallest_enclosing(points: DataFrame, spans: DataFrame, key: str, at: str, b
 
 
 def merged(df: DataFrame, key: str | list[str], start: str, end: str, gap: int = 0) -> DataFrame:
-    """The union of each key's ranges; ranges with up to ``gap`` lines between them become one."""
+    """The union of each key's ranges; ranges with up to ``gap`` lines between them become one.
+
+    Equal ranges are counted first, so the windows run over a total order (and over fewer rows).
+    """
     keys = [key] if isinstance(key, str) else key
+    df = df.groupBy(*keys, start, end).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*keys).orderBy(start, end)
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = df.withColumn("_new", F.when(before.isNull() | (F.col(start) > before + gap + 1), 1).otherwise(0))
     rows = rows.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_ranges")).drop("_island")
+    return rows.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.sum("_n").alias("n_ranges")).drop("_island")
 
 
 def subtracted(df: DataFrame, holes: DataFrame, key: str, a: tuple[str, str], b: tuple[str, str], bin_lines: int = BIN_LINES) -> DataFrame:

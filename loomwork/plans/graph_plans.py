@@ -110,7 +110,7 @@ def packet_merge(spark, sf_dir):
     p = parts(spark, sf_dir).select("hyperedge_id", "node_id", "role").distinct()
     n = F.substring_index("node_id", ":", 1).cast("long")
     one = p.where(n % 2 == 0).select("*", F.lit(True).alias("direct"), F.lit("diff").alias("reason"))
-    two = p.where(n % 3 == 0).select("*", (n % 5 == 0).alias("direct"), F.lit("search").alias("reason"))
+    two = p.where((n % 2 == 1) | (n % 3 == 0)).select("*", (n % 5 == 0).alias("direct"), F.lit("search").alias("reason"))
     return G.merged_packets(one, two)
 
 
@@ -194,17 +194,17 @@ def _bfs(seeds: str, depth: int, where: str = "true") -> str:
 def _impact_sql(depth: int, select: str) -> str:
     hop = ""
     for i in range(1, depth + 1):
-        hop += f""", h{i} AS (SELECT x.dst AS id, min(x.kind || ' relationship from ' || x.src) AS reason FROM u x JOIN h{i - 1}f f ON f.id = x.src WHERE x.dst NOT IN (SELECT id FROM a{i - 1}) GROUP BY x.dst),
-  a{i} AS (SELECT * FROM a{i - 1} UNION ALL SELECT id, reason FROM h{i}), h{i}f AS (SELECT id FROM h{i})"""
+        hop += f""", h{i} AS MATERIALIZED (SELECT x.dst AS id, min(x.kind || ' relationship from ' || x.src) AS reason FROM u x JOIN h{i - 1}f f ON f.id = x.src WHERE NOT EXISTS (SELECT 1 FROM a{i - 1} y WHERE y.id = x.dst) GROUP BY x.dst),
+  a{i} AS MATERIALIZED (SELECT * FROM a{i - 1} UNION ALL SELECT id, reason FROM h{i}), h{i}f AS (SELECT id FROM h{i})"""
     return f"""WITH {_SPANS}, c AS (SELECT path, bool_or(l_orderkey % 50 = 0) AS whole, list(DISTINCT {{'a': line_start, 'b': line_end}}) AS ranges FROM s WHERE l_shipdate BETWEEN TIMESTAMP '{WINDOW[0]}' AND TIMESTAMP '{WINDOW[1]}' GROUP BY path
     UNION ALL SELECT 'c' || c_custkey, true, NULL FROM customer WHERE c_mktsegment = 'BUILDING'),
-  d AS (SELECT DISTINCT s.id, s.path, 'file change in ' || s.path AS reason FROM s JOIN c USING (path) WHERE whole OR coalesce(watch, 'file') = 'file' OR len(list_filter(ranges, lambda r: r.a <= line_end AND line_start <= r.b)) > 0),
+  d AS MATERIALIZED (SELECT DISTINCT s.id, s.path, 'file change in ' || s.path AS reason FROM s JOIN c USING (path) WHERE whole OR coalesce(watch, 'file') = 'file' OR len(list_filter(ranges, lambda r: r.a <= line_end AND line_start <= r.b)) > 0),
   m AS (SELECT 's' || l_suppkey AS hyperedge_id, id AS node_id, l_returnflag AS role, l_suppkey FROM s),
   ok AS (SELECT * FROM m WHERE (l_suppkey % 20 = 0 AND role IN ('A', 'N')) OR (l_suppkey % 20 <> 0 AND role <> 'R')),
-  act AS (SELECT DISTINCT hyperedge_id FROM m WHERE node_id IN (SELECT id FROM d)),
+  act AS MATERIALIZED (SELECT DISTINCT hyperedge_id FROM m WHERE node_id IN (SELECT id FROM d)),
   a0 AS (SELECT id, reason FROM d UNION ALL SELECT node_id, min('member of strand ' || hyperedge_id) FROM ok WHERE hyperedge_id IN (SELECT * FROM act) AND node_id NOT IN (SELECT id FROM d) GROUP BY node_id), h0f AS (SELECT id FROM a0),
   u AS (SELECT id AS src, l_orderkey || ':' || (line_start + 1) AS dst, 'next' AS kind FROM s UNION ALL SELECT l_orderkey || ':' || (line_start + 1), id, 'next' FROM s){hop},
-  every AS (SELECT DISTINCT hyperedge_id FROM m WHERE node_id IN (SELECT id FROM a{depth})), shown AS (SELECT DISTINCT hyperedge_id, node_id, role FROM ok WHERE hyperedge_id IN (SELECT * FROM every))
+  every AS MATERIALIZED (SELECT DISTINCT hyperedge_id FROM m WHERE node_id IN (SELECT id FROM a{depth})), shown AS MATERIALIZED (SELECT DISTINCT hyperedge_id, node_id, role FROM ok WHERE hyperedge_id IN (SELECT * FROM every))
   {select.format(a=f"a{depth}")}"""
 
 
@@ -221,20 +221,20 @@ def _context_sql(any_search: bool, select: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    island = lambda gap: f"""WITH {_SPANS}, o AS (SELECT *, max(line_end) OVER (PARTITION BY path ORDER BY line_start, line_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
+    island = lambda gap: f"""WITH {_SPANS}, q AS (SELECT path, line_start, line_end, count(*) AS n FROM s GROUP BY ALL), o AS (SELECT *, max(line_end) OVER (PARTITION BY path ORDER BY line_start, line_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM q),
         i AS (SELECT *, sum(CASE WHEN before IS NULL OR line_start > before + {gap} + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line_start, line_end ROWS UNBOUNDED PRECEDING) AS island FROM o)
-        SELECT path, CAST(min(line_start) AS BIGINT) AS line_start, CAST(max(line_end) AS BIGINT) AS line_end, count(*) AS n_ranges FROM i GROUP BY path, island"""
+        SELECT path, CAST(min(line_start) AS BIGINT) AS line_start, CAST(max(line_end) AS BIGINT) AS line_end, CAST(sum(n) AS BIGINT) AS n_ranges FROM i GROUP BY path, island"""
     return {
         "graph_bfs": _bfs("'c1', 's2'", 3) + " SELECT * FROM b",
         "graph_bfs_kind": _bfs("'r1'", 2, "kind = 'part-of'") + " SELECT * FROM b",
         "graph_edges_within_depth": _bfs("'c1', 's2'", 2) + " SELECT DISTINCT e.* FROM e WHERE src IN (SELECT id FROM b WHERE level < 2) OR dst IN (SELECT id FROM b WHERE level < 2)",
         "impact_direct": _impact_sql(0, "SELECT DISTINCT id, path FROM d"), "impact_expand": _impact_sql(1, "SELECT * FROM shown"), "impact_hops": _impact_sql(2, "SELECT id FROM {a}"),
-        "impact_reason": _impact_sql(1, "SELECT id, reason FROM {a}"), "impact_related": _impact_sql(2, "SELECT id FROM {a} WHERE id NOT IN (SELECT node_id FROM shown)"),
+        "impact_reason": _impact_sql(1, "SELECT id, reason FROM {a}"), "impact_related": _impact_sql(2, "SELECT id FROM {a} a WHERE NOT EXISTS (SELECT 1 FROM shown WHERE node_id = a.id)"),
         "impact_unmatched": _impact_sql(0, "SELECT path FROM c WHERE path NOT IN (SELECT path FROM d)"),
         "context_seeds": _context_sql(True, "SELECT id FROM r"), "context_members": _context_sql(False, "SELECT DISTINCT hyperedge_id, node_id, role FROM shown"),
         "context_vs_impact_policy": _context_sql(True, "SELECT DISTINCT hyperedge_id, node_id, role FROM shown WHERE NOT ((l_suppkey % 20 = 0 AND role IN ('A', 'N')) OR (l_suppkey % 20 <> 0 AND role <> 'R'))"),
         "packet_merge": f"""WITH {_SPANS}, p AS (SELECT DISTINCT 's' || l_suppkey AS hyperedge_id, id AS node_id, l_returnflag AS role, l_orderkey AS n FROM s)
-            SELECT hyperedge_id, node_id, role, n % 2 = 0 OR n % 5 = 0 AS direct, CASE WHEN n % 2 = 0 THEN 'diff' ELSE 'search' END AS reason FROM p WHERE n % 2 = 0 OR n % 3 = 0""",
+            SELECT hyperedge_id, node_id, role, n % 2 = 0 OR n % 5 = 0 AS direct, CASE WHEN n % 2 = 0 THEN 'diff' ELSE 'search' END AS reason FROM p""",
         "role_policy_filter": f"WITH {_SPANS} SELECT 's' || l_suppkey AS hyperedge_id, id AS node_id, l_returnflag AS role FROM s WHERE l_linestatus = 'O' AND ((l_suppkey % 20 = 0 AND l_returnflag IN ('A', 'N')) OR (l_suppkey % 20 <> 0 AND l_returnflag <> 'R'))",
         "policy_depth": "SELECT o_custkey, CAST(coalesce(max(CASE WHEN CAST(substr(o_orderpriority, 1, 1) AS INT) <= 3 THEN CAST(substr(o_orderpriority, 1, 1) AS INT) END), 1) AS BIGINT) AS depth FROM orders GROUP BY o_custkey",
         "range_overlap_join": f"WITH {_SPANS} SELECT a.path, a.id AS a, b.id AS b FROM s a JOIN s b ON a.path = b.path AND a.line_start <= b.line_end AND b.line_start <= a.line_end WHERE a.l_returnflag = 'A' AND b.l_returnflag <> 'A'",
