@@ -79,9 +79,13 @@ def matches_any(path: Column, globs: list[str]) -> Column:
 
 
 def file_target(target: Column) -> Column:
-    """(path, line_start, line_end, watch) of file://path#L1-L2, or of a bare path; null for other schemes."""
+    """(path, line_start, line_end, watch) of file://path#L1-L2, or of a bare path; null for other schemes.
+
+    A fragment that isn't lines is left out.
+    """
     bare = F.regexp_replace(target, "^file://", "")
-    path, first, last = (F.regexp_extract(bare, r"^([^#]*)(?:#L(\d+)(?:-L?(\d+))?)?$", i) for i in (1, 2, 3))
+    path = F.regexp_extract(bare, r"^([^#]*)", 1)
+    first, last = (F.regexp_extract(bare, r"^[^#]*#L(\d+)(?:-L*(\d+))?$", i) for i in (1, 2))
     start = F.try_to_number(first, F.lit("999999999")).cast("int")
     end = F.coalesce(F.try_to_number(last, F.lit("999999999")).cast("int"), start)
     here = F.struct(normalize_path(path).alias("path"), start.alias("line_start"), end.alias("line_end"), F.when(start.isNull(), "file").otherwise("range").alias("watch"))
