@@ -328,6 +328,42 @@ def test_substrings_brute_force(spark):
         assert sorted(map(tuple, got), key=repr) == sorted(expected, key=repr)
 
 
+def test_substring_index_has_levels(spark, tmp_path):
+    """A row is rewritten once for each level; the index can be opened again and goes on as before."""
+    rng = random.Random(4)
+    passage = words(rng, 80)
+    texts = [(i, f"{words(rng, 30)} {passage if i % 3 == 0 else ''} {words(rng, 60)}") for i in range(40)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), F.md5(F.col("text").cast("binary")).alias("digest"), "text").cache()
+    folder = f"file://{tmp_path}/index"
+    index = substrings.WindowIndex(spark, buckets=2, folder=folder)
+    written, write, found = [], substrings.WindowIndex._write, {}
+
+    def counted_write(self, df, kind):
+        name = write(self, df, kind)
+        written.append((kind, spark.table(name).count()))
+        return name
+
+    substrings.WindowIndex._write = counted_write
+    try:
+        for b in range(20):
+            batch, history = rows.where(F.col("doc_id").between(2 * b, 2 * b + 1)), rows.where(F.col("doc_id") < 2 * b)
+            found |= {r.doc_id: len(r.starts) for r in index.ingest(batch, history).collect()}
+            if b == 9:  # as a new session would
+                for kind in ("h", "digest"):
+                    for r in index.runs(kind):
+                        spark.sql(f"DROP TABLE {r}")
+                index = substrings.WindowIndex.opened(spark, folder)
+    finally:
+        substrings.WindowIndex._write = write
+    assert [len(x) for x in index.levels["h"]] == [0, 1, 1]  # 20 = 16 + 4
+    once = sum(spark.table(r).count() for r in index.runs("h"))
+    assert sum(n for kind, n in written if kind == "h") <= 3 * once  # written, merged and merged again
+    assert set(found) == set(range(3, 40, 3)) and all(n >= 31 for n in found.values())
+    index.drop()
+    assert not (tmp_path / "index").exists()
+
+
 def test_substrings_odd(odd, none):
     assert substrings.remove_repeats(odd).count() == odd.count()
     assert substrings.remove_repeats(none).count() == 0
