@@ -1,10 +1,10 @@
 """A stored inverted index: positions of terms in retrieval units, kept in segments that are written once.
 
-    <path>/segment=N/postings/bucket=B   one row for each occurrence, sorted by term: a query reads the buckets of its terms, and
+    <path>/postings/segment=N/bucket=B   one row for each occurrence, sorted by term: a query reads the buckets of its terms, and
                                          within them the row groups whose range of terms matches
-    <path>/segment=N/units/part=P        each unit's tokens by file, which tell what a file has added when it changes
-    <path>/segment=N/terms               what the segment adds to, or takes from, the counts of each term
-    <path>/segment=N/dead                files whose rows of earlier segments no longer count
+    <path>/units/segment=N/part=P        each unit's tokens by file, which tell what a file has added when it changes
+    <path>/terms/segment=N               what the segment adds to, or takes from, the counts of each term
+    <path>/dead/segment=N                files whose rows of earlier segments no longer count
     <path>/commits                       one row for each complete segment; a reader sees no other
 
 A refresh writes a segment for the changed files alone: their old units are read back and subtracted from the counts, their new ones
@@ -29,6 +29,12 @@ BUCKETS, SPREAD = 64, 8
 _UNIT = ["path", "start", "end", "anchored"]
 _OF_UNIT = ["n_tokens", "file_units", "file_tokens"]
 _COMMIT = "segment int, label string"
+_UNIT_SCHEMA = "path string, start int, end int, anchored boolean, n_tokens int, file_units int, file_tokens long"
+#: Of each table, its partition columns last.
+_SCHEMAS = {
+    "units": f"{_UNIT_SCHEMA}, tokens array<string>, segment int, part int", "postings": f"{_UNIT_SCHEMA}, pos int, term string, segment int, bucket int",
+    "terms": "term string, df long, tf long, segment int", "dead": "path string, segment int",
+}
 
 
 def bucket(x: Column) -> Column:
@@ -65,8 +71,8 @@ class Index:
     labels: frozenset[str]
 
     def _read(self, name: str) -> DataFrame:
-        folders = [f"{self.path}/segment={n}/{name}" for n in self.segments]
-        return self.spark.read.option("basePath", self.path).parquet(*folders)
+        folders = [f"{self.path}/{name}/segment={n}" for n in self.segments]
+        return self.spark.read.schema(_SCHEMAS[name]).option("basePath", f"{self.path}/{name}").parquet(*folders)
 
     def _living(self, rows: DataFrame) -> DataFrame:
         if len(self.segments) == 1:
@@ -94,18 +100,18 @@ def opened(spark: SparkSession, path: str) -> Index:
 
 
 def _write(spark: SparkSession, path: str, segment: int, label: str, units: DataFrame, gone: DataFrame | None, old: DataFrame | None) -> Index:
-    folder = f"{path}/segment={segment}"
-    units.withColumn("part", bucket(F.col("path"))).repartition("part", F.pmod(F.hash("path", "start"), F.lit(SPREAD))).write.mode("overwrite").partitionBy("part").parquet(f"{folder}/units")
-    stored = spark.read.parquet(f"{folder}/units")
+    place = lambda name: f"{path}/{name}/segment={segment}"
+    units.withColumn("part", bucket(F.col("path"))).repartition("part", F.pmod(F.hash("path", "start"), F.lit(SPREAD))).write.mode("overwrite").partitionBy("part").parquet(place("units"))
+    stored = spark.read.schema(f"{_UNIT_SCHEMA}, tokens array<string>").parquet(place("units"))
     rows = occurrences(stored).withColumn("bucket", bucket(F.col("term")))
     rows = rows.repartition("bucket", F.pmod(F.hash("path"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "path", "start", "pos")
-    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(place("postings"))
     counts = term_counts(stored)
     if old is not None:
         counts = counts.union(term_counts(old, -1)).groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")).where("df <> 0 OR tf <> 0")
-    counts.write.mode("overwrite").parquet(f"{folder}/terms")
+    counts.write.mode("overwrite").parquet(place("terms"))
     gone = spark.createDataFrame([], "path string") if gone is None else gone.select("path").distinct()
-    gone.write.mode("overwrite").parquet(f"{folder}/dead")
+    gone.write.mode("overwrite").parquet(place("dead"))
     spark.createDataFrame([(segment, label)], _COMMIT).coalesce(1).write.mode("append").parquet(f"{path}/commits")
     return opened(spark, path)
 
