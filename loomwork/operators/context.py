@@ -42,14 +42,21 @@ def source_allowed(path: Column, language: Column, includes: list[str] = (), exc
 
 
 def change_set(explicit: DataFrame, diff: DataFrame, untracked: DataFrame) -> DataFrame:
-    """(path, old_path, status, whole_file) of each changed path: explicit files first, then the diff, then untracked files.
+    """(path, old_path, status, whole_file, ranges) of each changed path.
 
-    explicit, untracked: (path); diff: (path, old_path, status, whole_file).
+    A named file (path) counts as a whole; if it is in the diff as well, it takes the diff's status, former path and ranges
+    and stays whole.  A file of the diff (ord, path, old_path, status, ranges) has the ranges of all its entries and the status
+    of the last one; it is whole if it has no ranges.  An untracked file (path) adds nothing to one that is named or differs.
     """
-    whole = lambda df, status, rank: df.select("path", F.lit(None).cast("string").alias("old_path"), F.lit(status).alias("status"), F.lit(True).alias("whole_file"), F.lit(rank).alias("rank"))
-    rows = whole(explicit, "modified", 0).union(diff.select("path", "old_path", "status", "whole_file", F.lit(1))).union(whole(untracked, "untracked", 2))
-    first = F.min(F.struct("rank", "old_path", "status", "whole_file"))
-    return rows.groupBy("path").agg(first.alias("x")).select("path", "x.old_path", "x.status", "x.whole_file")
+    span = diff.schema["ranges"].dataType
+    none = F.lit(None).cast("struct<old_path:string,status:string,ord:bigint>")
+    kind = lambda df, name: df.select("path", F.lit(name).alias("kind"), none.alias("x"), F.array().cast(span).alias("ranges"))
+    entry = F.struct("old_path", "status", F.col("ord").cast("long").alias("ord"))
+    rows = kind(explicit, "named").union(kind(untracked, "untracked")).union(diff.select("path", F.lit("diff"), entry, F.coalesce("ranges", F.array().cast(span))))
+    last = F.max_by("x", F.when(F.col("kind") == "diff", F.col("x.ord")))
+    out = rows.groupBy("path").agg(F.max(F.col("kind") == "named").alias("named"), last.alias("x"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ranges")))).alias("ranges"))
+    status = F.coalesce("x.status", F.when(F.col("named"), "modified").otherwise("untracked"))
+    return out.select("path", F.col("x.old_path").alias("old_path"), status.alias("status"), (F.col("named") | (F.size("ranges") == 0)).alias("whole_file"), "ranges")
 
 
 def focused(nodes: DataFrame, ids: list[str] = (), symbols: list[str] = (), paths: list[str] = ()) -> DataFrame:

@@ -30,6 +30,7 @@ from .graph import member_selected
 from .parsing import annotations
 
 #: Later writers overwrite earlier ones; the first one, deleted annotations, overwrites nothing.
+PARTS = ("reasons", "strands", "members", "related", "unmatched")
 RANKS = ("annotation removed", "membership", "relation", "node", "file", "sidecar strand", "sidecar anchor", "sidecar relation")
 _DECLARED = ["source", "declared_in", "declared_at"]
 _MEMBER = "struct<anchor:string,role:string,required:boolean>"
@@ -116,11 +117,12 @@ def removed_declarations(changes: DataFrame, removed: DataFrame) -> Removed:
     return Removed(every, seeds, members, edges, hyperedges, matched)
 
 
-def impact(graph: Graph, changes: DataFrame, removed: DataFrame | None = None, depth: int | None = None, kinds: list[str] | None = None, default_depth: int = 1, default_kinds: list[str] | None = None, tags: list[str] = (), include_optional: bool = True) -> dict[str, DataFrame]:
+def impact(graph: Graph, changes: DataFrame, removed: DataFrame | None = None, depth: int | None = None, kinds: list[str] | None = None, default_depth: int = 1, default_kinds: list[str] | None = None, tags: list[str] = (), include_optional: bool = True, parts: tuple[str, ...] = PARTS) -> dict[str, DataFrame]:
     """``reasons`` (id, reason, direct), ``strands`` (hyperedge_id, direct), ``members`` (hyperedge_id, node_id, role, reason, direct),
     ``related`` (id, reason, direct): nodes that no hyperedge shows, and ``unmatched`` (path).
 
-    ``kinds`` replaces the policies of hyperedges and the default kinds; ``depth`` replaces their depths and the default.
+    ``kinds`` replaces the policies of hyperedges and the default kinds; ``depth`` replaces their depths and the default.  Only the
+    ``parts`` that are asked for are made.
     """
     spark, made = changes.sparkSession, []
 
@@ -207,22 +209,29 @@ def impact(graph: Graph, changes: DataFrame, removed: DataFrame | None = None, d
         levels.append(more)
         frontier = new.select("id").union(more.select("id"))
 
-    reasons = direct.select("id", "reason", F.lit(True).alias("direct"))
+    found = direct.select("id", "reason", F.lit(True).alias("direct"))
     for level in levels[1:]:
-        reasons = reasons.union(level.select("id", "reason", F.lit(False)))
-    reasons = settle(reasons, "reasons")
-    strands = active[0].select("hyperedge_id", F.lit(True).alias("direct"))
-    for later in active[1:]:
-        strands = strands.union(later.select("hyperedge_id", F.lit(False)))
-    declared = known.select("hyperedge_id").union(gone.hyperedges.select("id"))
-    strands = settle(strands.groupBy("hyperedge_id").agg(F.max("direct").alias("direct")).join(declared.distinct(), "hyperedge_id", "left_semi"), "strands")
-    shown = graph.members.select("hyperedge_id", "node_id", "role", "required").union(gone.members).join(strands.select("hyperedge_id"), "hyperedge_id", "left_semi")
-    lost = gone.hyperedges.select(F.col("id").alias("hyperedge_id"), "include_roles", "exclude_roles").join(policy, "hyperedge_id", "left_anti")
-    shown = shown.join(policy.drop("_known").unionByName(lost), "hyperedge_id", "left").where(chosen).select("hyperedge_id", "node_id", "role").distinct()
-    shown = shown.join(reasons.withColumnRenamed("id", "node_id"), "node_id", "left")
-    default = F.concat(F.lit("member of strand "), "hyperedge_id")
-    members = settle(shown.select("hyperedge_id", "node_id", "role", F.coalesce("reason", default).alias("reason"), F.coalesce("direct", F.lit(False)).alias("direct")), "shown")
-    related = settle(reasons.join(members.select(F.col("node_id").alias("id")), "id", "left_anti"), "related")
-    unmatched = settle(changes.select("path").join(matched.distinct(), "path", "left_anti"), "unmatched")
+        found = found.union(level.select("id", "reason", F.lit(False)))
+    out = {"reasons": settle(found, "reasons")}
+    reasons = out["reasons"]
+    if {"strands", "members", "related"} & set(parts):
+        strands = active[0].select("hyperedge_id", F.lit(True).alias("direct"))
+        for later in active[1:]:
+            strands = strands.union(later.select("hyperedge_id", F.lit(False)))
+        declared = known.select("hyperedge_id").union(gone.hyperedges.select("id"))
+        strands = strands.groupBy("hyperedge_id").agg(F.max("direct").alias("direct")).join(declared.distinct(), "hyperedge_id", "left_semi")
+        out["strands"] = strands = settle(strands, "strands")
+    if {"members", "related"} & set(parts):
+        shown = graph.members.select("hyperedge_id", "node_id", "role", "required").union(gone.members).join(strands.select("hyperedge_id"), "hyperedge_id", "left_semi")
+        lost = gone.hyperedges.select(F.col("id").alias("hyperedge_id"), "include_roles", "exclude_roles").join(policy, "hyperedge_id", "left_anti")
+        shown = shown.join(policy.drop("_known").unionByName(lost), "hyperedge_id", "left").where(chosen).select("hyperedge_id", "node_id", "role").distinct()
+        shown = shown.join(reasons.withColumnRenamed("id", "node_id"), "node_id", "left")
+        default = F.concat(F.lit("member of strand "), "hyperedge_id")
+        members = shown.select("hyperedge_id", "node_id", "role", F.coalesce("reason", default).alias("reason"), F.coalesce("direct", F.lit(False)).alias("direct"))
+        out["members"] = members = settle(members, "shown")
+    if "related" in parts:
+        out["related"] = settle(reasons.join(members.select(F.col("node_id").alias("id")), "id", "left_anti"), "related")
+    if "unmatched" in parts:
+        out["unmatched"] = settle(changes.select("path").join(matched.distinct(), "path", "left_anti"), "unmatched")
     forget(spark, *made)
-    return {"reasons": reasons, "strands": strands, "members": members, "related": related, "unmatched": unmatched}
+    return out

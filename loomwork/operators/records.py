@@ -45,11 +45,16 @@ def diagnostics(*rules: tuple[DataFrame, str, str, Column]) -> DataFrame:
     return out.distinct()
 
 
-def fingerprint(df: DataFrame, columns: list[str], buckets: int = 1024) -> DataFrame:
-    """(fingerprint, n): a hash of all rows whatever their order, in two levels, so that no task gets all rows."""
+def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(fingerprint, n): a hash of all rows whatever their order; equal rows count.
+
+    Four lanes of 60 bits of each row's hash are added up modulo 2**60 and the sums hashed, so a task sends one row.
+    """
     row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]), 256)
-    parts = df.select(row.alias("h")).groupBy(F.substring("h", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"), F.count("*").alias("n"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), 256).alias("fingerprint"), F.sum("n").alias("n"))
+    lanes = [F.conv(F.substring("h", 15 * i + 1, 15), 16, 10).cast("decimal(20,0)") for i in range(4)]
+    sums = df.select(row.alias("h")).agg(*[F.sum(x).alias(f"s{i}") for i, x in enumerate(lanes)], F.count("*").alias("n"))
+    text = F.concat_ws("-", *[F.coalesce(F.pmod(F.col(f"s{i}"), F.lit(1 << 60).cast("decimal(20,0)")).cast("string"), F.lit("0")) for i in range(4)])
+    return sums.select(F.sha2(text, 256).alias("fingerprint"), "n")
 
 
 def missing_dispositions(required: DataFrame, recorded: DataFrame, keys: list[str]) -> DataFrame:

@@ -29,8 +29,12 @@ def change_set(spark, sf_dir):
     """Urgent orders are named, open ones differ, and all but finished ones are untracked."""
     o = table(spark, sf_dir, "orders").withColumn("path", F.concat("o_orderkey", F.lit(".txt")))
     moved = F.col("o_orderkey") % 2 == 0
-    diff = o.where("o_orderstatus = 'O'").select("path", F.when(moved, F.concat(F.lit("old/"), "path")).alias("old_path"), F.when(moved, "renamed").otherwise("modified").alias("status"), F.lit(False).alias("whole_file"))
-    return C.change_set(o.where("o_orderpriority = '1-URGENT'").select("path"), diff, o.where("o_orderstatus <> 'F'").select("path"))
+    line = F.struct(F.lit(1).alias("start"), (F.col("o_orderkey") % 9 + 1).cast("int").alias("end"))
+    ranges = F.when(F.col("o_orderkey") % 3 > 0, F.array(line)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    diff = o.where("o_orderstatus = 'O'").select(F.lit(0).alias("ord"), "path", F.when(moved, F.concat(F.lit("old/"), "path")).alias("old_path"), F.when(moved, "renamed").otherwise("modified").alias("status"), ranges.alias("ranges"))
+    again = diff.where(F.col("status") == "modified").select(F.lit(1).alias("ord"), "path", "old_path", "status", F.array(F.struct(F.lit(20).alias("start"), F.lit(21).alias("end"))).alias("ranges"))
+    rows = C.change_set(o.where("o_orderpriority = '1-URGENT'").select("path"), diff.union(again), o.where("o_orderstatus <> 'F'").select("path"))
+    return rows.select("path", "old_path", "status", "whole_file", F.array_join(F.transform("ranges", lambda r: F.concat_ws("-", r["start"], r["end"])), ",").alias("ranges"))
 
 
 def _part_nodes(spark, sf_dir):
@@ -107,9 +111,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "source_filters": """WITH f AS (SELECT o_orderstatus || '/' || o_orderkey || ['.rs', '.PY', '.md', '.zip', ''][o_orderkey % 5 + 1] AS path, o_orderkey % 5 AS k, o_orderstatus AS top, o_orderkey % 10 = 7 AS seven FROM orders)
             SELECT path, top IN ('F', 'O') AND k IN (0, 2, 3) AND NOT (k = 0 AND seven) AS by_path, k IN (0, 1) AS by_language, k NOT IN (1, 2) AS not_denied FROM f""",
-        "change_set": """WITH o AS (SELECT o_orderkey || '.txt' AS path, o_orderkey % 2 = 0 AS moved, o_orderpriority = '1-URGENT' AS named, o_orderstatus AS s FROM orders)
-            SELECT path, CASE WHEN NOT named AND s = 'O' AND moved THEN 'old/' || path END AS old_path, CASE WHEN named THEN 'modified' WHEN s = 'O' THEN CASE WHEN moved THEN 'renamed' ELSE 'modified' END ELSE 'untracked' END AS status,
-              named OR s <> 'O' AS whole_file FROM o WHERE named OR s <> 'F'""",
+        "change_set": """WITH o AS (SELECT o_orderkey || '.txt' AS path, o_orderkey AS k, o_orderkey % 2 = 0 AS moved, o_orderpriority = '1-URGENT' AS named, o_orderstatus AS s FROM orders)
+            SELECT path, CASE WHEN s = 'O' AND moved THEN 'old/' || path END AS old_path, CASE WHEN s = 'O' THEN CASE WHEN moved THEN 'renamed' ELSE 'modified' END WHEN named THEN 'modified' ELSE 'untracked' END AS status,
+              named OR s <> 'O' OR (moved AND k % 3 = 0) AS whole_file, CASE WHEN s <> 'O' THEN '' ELSE concat_ws(',', CASE WHEN k % 3 > 0 THEN '1-' || (k % 9 + 1) END, CASE WHEN NOT moved THEN '20-21' END) END AS ranges FROM o WHERE named OR s <> 'F'""",
         "focus_rank": f"WITH {_PARTS}, x AS (SELECT id, CASE WHEN id = 'p7' THEN 0 WHEN id = 'p3' THEN 1 WHEN symbol = 'Brand#13' THEN 2 WHEN symbol = 'Brand#21' THEN 3 WHEN path = 'PROMO/Brand#11' THEN 4 END AS ord FROM p) SELECT * FROM x WHERE ord IS NOT NULL",
         "seed_reasons": f"""WITH {_PARTS}, x AS (SELECT id, concat_ws('; ', CASE WHEN symbol IN ('Brand#13', 'Brand#21') THEN 'symbol "' || symbol || '" matched' END, CASE WHEN path LIKE 'PROMO/%' THEN 'path "PROMO" matched' END,
             CASE WHEN path IN ('STANDARD/Brand#21', 'ECONOMY/Brand#1') THEN 'path "' || path || '" matched' END) AS reason FROM p) SELECT * FROM x WHERE reason <> ''""",

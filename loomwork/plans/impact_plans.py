@@ -63,7 +63,7 @@ def removed(spark, sf_dir):
 def _query(part, columns, with_removed, **options):
     def run(spark, sf_dir):
         lines = removed(spark, sf_dir) if with_removed else None
-        return M.impact(graph(spark, sf_dir), changes(spark, sf_dir), lines, **options)[part].select(*columns)
+        return M.impact(graph(spark, sf_dir), changes(spark, sf_dir), lines, parts=(part,), **options)[part].select(*columns)
 
     return run
 

@@ -212,7 +212,7 @@ def oracle_sql() -> dict[str, str]:
         "manifest_diff": f"WITH {_F}, {_DIFF} SELECT * FROM diff",
         "impacted_keys": f"WITH {_F}, {_DIFF} SELECT DISTINCT split_part(path, '/', 2) AS source FROM diff",
         "refresh_equals_rebuild": f"WITH {_F} SELECT * FROM new",
-        "workspace_fingerprint": f"WITH {_F}, r AS (SELECT sha256(path || chr(31) || hash) AS h FROM old), b AS (SELECT substr(h, 1, 3) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM r GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY b)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM b",
+        "workspace_fingerprint": f"WITH {_F}, r AS (SELECT sha256(path || chr(31) || hash) AS h FROM old), s AS (SELECT {', '.join(f"CAST(sum(CAST(CAST('0x' || substr(h, {15 * i + 1}, 15) AS UBIGINT) AS HUGEINT)) % 1152921504606846976 AS VARCHAR) AS s{i}" for i in range(4))}, count(*) AS n FROM r) SELECT sha256(concat_ws('-', s0, s1, s2, s3)) AS fingerprint, n FROM s",
         "first_wins_dedup": "SELECT l_suppkey, l_partkey, l_returnflag, l_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_partkey, l_returnflag ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS n FROM lineitem) WHERE n = 1",
         "node_merge": """WITH a AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS target, string_split(p_type, ' ') AS tags, CAST(p_size AS VARCHAR) AS attributes FROM part WHERE p_partkey % 2 = 0),
             b AS (SELECT p_partkey AS id, p_name AS target, 'f' || p_size AS location, ['source', p_brand] AS tags FROM part WHERE p_partkey % 5 < 3)

@@ -228,6 +228,8 @@ def test_values_of_removed_nodes_and_first_wins(spark):
     got = {r.node_id: (r.value, r.deleted) for r in C.with_values(members, t([("a", None)]), t([("a", "old"), ("b", "old")])).collect()}
     assert got == {"a": (None, False), "b": ("old", True), "c": (None, False)}
     paths = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
-    diff = spark.createDataFrame([("p", "o", "renamed", False), ("q", None, "deleted", True)], "path string, old_path string, status string, whole_file boolean")
-    rows = {r.path: (r.old_path, r.status, r.whole_file) for r in C.change_set(paths("p"), diff, paths("q", "u")).collect()}
-    assert rows == {"p": (None, "modified", True), "q": (None, "deleted", True), "u": (None, "untracked", True)}
+    diff = [(0, "p", "o", "renamed", [(3, 4)]), (1, "q", None, "deleted", []), (2, "m", None, "modified", [(7, 8)]), (3, "m", None, "modified", [(1, 2)])]
+    diff = spark.createDataFrame(diff, "ord int, path string, old_path string, status string, ranges array<struct<start:int,end:int>>")
+    rows = {r.path: (r.old_path, r.status, r.whole_file, [tuple(x) for x in r.ranges]) for r in C.change_set(paths("p", "n"), diff, paths("q", "u", "n")).collect()}
+    # a named file that differs stays whole, with what the diff says of it
+    assert rows == {"p": ("o", "renamed", True, [(3, 4)]), "q": (None, "deleted", True, []), "m": (None, "modified", False, [(1, 2), (7, 8)]), "n": (None, "modified", True, []), "u": (None, "untracked", True, [])}

@@ -31,6 +31,24 @@ def test_each_query_has_sql():
     assert set(registry.queries()) == set(registry.oracle_sql())
 
 
+#: Queries that are also compared on the next larger tables, where lines and ids repeat.
+LARGER = ["impact_related", "merge_intervals", "merge_intervals_gap", "impact_policy"]
+
+
+@pytest.fixture(scope="module")
+def larger(sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    return sf, c
+
+
+@pytest.mark.parametrize("name", LARGER)
+def test_query_equals_sql_on_larger_tables(spark, larger, name):
+    test_query_equals_sql(spark, *larger, name)
+
+
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query_equals_sql(spark, sf, duck, name):
     df = registry.queries()[name](spark, sf)
