@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import assembly_plans, context_plans, graph_plans, impact_plans, packet_plans, record_plans, scanner_plans, search_plans, span_plans
+from . import assembly_plans, context_plans, graph_plans, impact_plans, packet_plans, record_plans, scanner_plans, search_plans, span_plans, validation_plans
 
-PLANS = (search_plans, graph_plans, record_plans, context_plans, span_plans, impact_plans, assembly_plans, scanner_plans, packet_plans)
+PLANS = (search_plans, graph_plans, record_plans, context_plans, span_plans, impact_plans, assembly_plans, scanner_plans, packet_plans, validation_plans)
 
 
 def queries() -> dict:
