@@ -26,8 +26,12 @@ def _gathered(c: str) -> Column:
 
 
 def islands(rows: DataFrame, keys: list[str], gap: int, *more: Column) -> DataFrame:
-    """Ranges of equal keys with up to ``gap`` lines between them as one, with the least order, all nodes and references."""
-    w = Window.partitionBy(*keys).orderBy("start", "end", "ord", "nodes", "references")
+    """Ranges of equal keys with up to ``gap`` lines between them as one, with the least order, all nodes and references.
+
+    Equal rows are one first, so both windows have a total order.
+    """
+    rows = rows.groupBy(*rows.columns).agg(F.lit(1).alias("_one")).drop("_one")
+    w = Window.partitionBy(*keys).orderBy("start", "end", "ord", "nodes", "references", *[c for c in rows.columns if c in ("matched", "priority", "cost") and c not in keys])
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_new", (before.isNull() | (F.col("start") > before + gap + 1)).cast("int"))
     rows = rows.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

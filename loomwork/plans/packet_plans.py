@@ -79,10 +79,10 @@ def queries() -> dict:
 
 def _sql(prefix: str, requests: str, tests: str, budget: int, select: str) -> str:
     said = lambda c: f"list_sort(list_distinct(flatten(list({c}))))"
-    island = lambda name, source, keys, gap, more="": f"""{name}w AS (SELECT *, max("end") OVER (PARTITION BY {keys} ORDER BY "start", "end", ord, nodes, refs ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {source}),
-  {name}i AS (SELECT *, sum(CASE WHEN before IS NULL OR "start" > before + {gap} + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY "start", "end", ord, nodes, refs ROWS UNBOUNDED PRECEDING) AS isl FROM {name}w),
+    island = lambda name, source, keys, gap, more="", tie="": f"""{name}w AS (SELECT *, max("end") OVER (PARTITION BY {keys} ORDER BY "start", "end", ord, nodes, refs, matched{tie} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {source}),
+  {name}i AS (SELECT *, sum(CASE WHEN before IS NULL OR "start" > before + {gap} + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY "start", "end", ord, nodes, refs, matched{tie} ROWS UNBOUNDED PRECEDING) AS isl FROM {name}w),
   {name} AS (SELECT {keys}, min("start") AS "start", max("end") AS "end", min(ord) AS ord, bool_or(matched) AS matched, {said("nodes")} AS nodes, {said("refs")} AS refs{more} FROM {name}i GROUP BY {keys}, isl)"""
-    return f"""WITH RECURSIVE {prefix}, rq0 AS ({requests}), rq AS (SELECT * FROM rq0 WHERE "end" < 2147483647 OR path NOT IN (SELECT path FROM rq0 WHERE "end" < 2147483647)),
+    return f"""WITH RECURSIVE {prefix}, rq0 AS ({requests}), rq AS (SELECT DISTINCT * FROM rq0 WHERE "end" < 2147483647 OR path NOT IN (SELECT path FROM rq0 WHERE "end" < 2147483647)),
   {island("mg", "rq", "path, priority", GAP)}, doc AS (SELECT lang || '/' || source || '/' || doc_id AS path, string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10)) AS a0 FROM documents), fl AS (SELECT path, CASE WHEN a0[-1] = '' THEN a0[:-2] ELSE a0 END AS a FROM doc),
   ts AS ({tests}), outs AS (SELECT mg.path, "start", "end" FROM mg JOIN fl USING (path) WHERE "start" > len(a)),
   ln AS (SELECT mg.path, priority, mg."start" AS s0, ord, matched, nodes, refs, a, unnest(generate_series("start", least("end", len(a)))) AS n FROM mg JOIN fl USING (path) WHERE "start" <= len(a)),
@@ -92,7 +92,7 @@ def _sql(prefix: str, requests: str, tests: str, budget: int, select: str) -> st
   fold AS (SELECT 0::BIGINT AS k, {budget}::BIGINT AS remaining, -1 AS tier, false AS took, false AS passed, false AS blocked, false AS fits
     UNION ALL SELECT k, remaining - CASE WHEN fits THEN cost ELSE 0 END, priority, took OR fits, passed OR (NOT fits AND NOT blocked), blocked, fits FROM (SELECT *, NOT blocked AND cost <= remaining AS fits FROM
       (SELECT ms.k, f.remaining, f.tier = ms.priority AND f.took AS took, f.tier = ms.priority AND f.passed AS passed, f.blocked OR (f.tier <> ms.priority AND f.took AND f.passed) AS blocked, ms.priority, ms.cost FROM fold f JOIN ms ON ms.k = f.k + 1))),
-  rs AS (SELECT ms.*, fits FROM ms JOIN fold USING (k)), inc AS (SELECT * FROM rs WHERE fits), {island("tk", "inc", "path", 0, ", min(priority) AS priority")},
+  rs AS (SELECT ms.*, fits FROM ms JOIN fold USING (k)), inc AS (SELECT * FROM rs WHERE fits), {island("tk", "inc", "path", 0, ", min(priority) AS priority", ", priority, k")},
   cv AS (SELECT tk.path, tk."start", tk."end", rs."start" AS s, rs."end" AS e, rs.nodes, rs.refs, rs.matched FROM rs JOIN tk ON tk.path = rs.path AND tk."start" <= rs."start" AND tk."end" >= rs."end" WHERE NOT fits),
   hd AS (SELECT path, "start", "end", flatten(list(nodes)) AS n2, flatten(list(refs)) AS r2, bool_or(matched) AS m2 FROM cv GROUP BY ALL),
   taken AS (SELECT tk.path, "start", "end", priority, ord, array_to_string(list_sort(list_distinct(list_concat(nodes, coalesce(n2, [])))), ',') AS nodes, array_to_string(list_sort(list_distinct(list_concat(refs, coalesce(r2, [])))), ',') AS "references", matched OR coalesce(m2, false) AS matched,
