@@ -9,6 +9,7 @@ import random
 import re
 import struct
 import zlib
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -378,6 +379,34 @@ def test_html(spark, sf):
         assert got[r.page_id] == " ".join(x for _, _, x in inside)
 
 
+class Inside(HTMLParser):
+    """Words of the article by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.said = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.said.append("" if tag in ("a", "b", "em", "i", "span", "strong") else " ")
+
+    def handle_endtag(self, tag):
+        self.handle_starttag(tag, ())
+        self.depth -= 2 * (tag == "article")
+
+    def handle_data(self, data):
+        self.said.append(data if self.depth else "")
+
+
+def test_html_against_another_parser(spark, sf):
+    got = {r.page_id: r.text for r in queries.queries()["op5_html_extract"](spark, sf).collect()}
+    for r in table(spark, sf, "pages").collect():
+        parser = Inside()
+        parser.feed(r.html)
+        parser.close()
+        assert got[r.page_id] == " ".join("".join(parser.said).split())
+
+
 def test_html_rules(spark):
     page = "<html><head><title>T</title></head><body><nav>Menu</nav><main><h1>Head&nbsp;&amp; line</h1><p>One <b>t</b>wo<br>three<!-- x --><script>no()</script><div class='comments'><p>bad</p></div><aside>side</aside></main><footer>f</footer>"
     lines = html_text.lines_of(page)
@@ -409,6 +438,59 @@ def test_html_differencing_decides(spark):
     assert got == truth
 
 
+def test_html_menus_of_other_entries(spark):
+    """Menus are told by their template alone: no names of furniture, and no entry is on two pages."""
+    rng = random.Random(22)
+    rows, truth = [], {}
+    for i in range(30):
+        own = [words(rng, rng.randint(6, 20)) + f" {i}" for _ in range(3)]
+        links = "".join(f"<li><a href='/{rng.random()}'>{words(rng, 2)}</a></li>" for _ in range(rng.randint(3, 9)))
+        said = f"<p>{own[1]} <a href='#'>{words(rng, 1)}</a></p>"
+        html = f"<body><ul>{links}<li>Basket ({i})</li></ul><div><h1>Part {i}</h1><p>{own[0]}</p>{said}<p>{own[2]}</p></div></body>"
+        rows.append((i, f"http://s.com/p/{i:03d}", html))
+        truth[i] = " ".join([f"Part {i}", own[0], html_text.lines_of(said)[0][2], own[2]])
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == truth
+
+
+def brute_texts(rows):
+    """The text of each page from its neighbours by the definition, over all pages at once."""
+    def place(r):
+        rest = (r[1] or "").lower().split("//", 1)[-1].split("?")[0]
+        return rest.split("/", 1)[0], rest, r[0]
+
+    pages = [(place(r), html_text.parsed(r[2] or "")) for r in sorted(rows, key=place)]
+    seen = [html_text.digests(p) for _, p in pages]
+    start = [i == 0 or pages[i][0][0] != pages[i - 1][0][0] or not html_text.is_copy(seen[i], seen[i - 1]) for i in range(len(pages))]
+    out = {}
+    for i, (at, page) in enumerate(pages):
+        after = next((j for j in range(i + 1, len(pages)) if start[j]), len(pages))
+        before = next(j for j in range(i, -1, -1) if start[j]) - 1
+        near = [j for j in (after, before) if 0 <= j < len(pages) and pages[j][0][0] == at[0] and pages[j][1] and not html_text.is_copy(seen[i], seen[j])]
+        gone = html_text.furniture(page, pages[near[0]][1], at[0]) if near else np.zeros(len(page), bool)
+        out[at[2]] = html_text.main_text(page, gone)
+    return out
+
+
+@pytest.mark.parametrize("per", [1, 7, 10_000])
+def test_html_blocks_change_nothing(spark, monkeypatch, per):
+    """Runs of copies longer than a block, runs at the head and the tail of a host, hosts of one page and empty pages."""
+    rng = random.Random(23)
+    rows = []
+    for site, plan in enumerate([(9, 1, 20, 3, 1), (1,), (30,), (1, 1, 1, 12), (15, 1)]):
+        menu = [words(rng, 2) for _ in range(6)]
+        for run, n in enumerate(plan):
+            story = [words(rng, 12) for _ in range(3)]
+            for k in range(n):
+                html = "" if site == 3 and run == 1 else f"<ul>{''.join(f'<li>{x}</li>' for x in menu)}</ul><div>{''.join(f'<p>{x}</p>' for x in story)}</div><div>{menu[0]} {k}</div>"
+                rows.append((len(rows), f"http://s{site}.com/p/{run:02d}/{k:03d}", html))
+    monkeypatch.setattr(html_text, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(html_text, "LEAST_BLOCK", per)
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == brute_texts(rows)
+    assert sum("</" not in t and len(t.split()) < 40 for t in got.values()) > 40  # most pages of hosts with two runs lose their menu
+
+
 def test_html_class_names():
     gone = lambda c: html_text._left_out("div", f' class="{c}"')
     assert all(map(gone, ["ad", "x site-footer", "nav-bar", "comments"])) and not any(map(gone, ["post ad-free", "how-to-share-files", "shared", ""]))
