@@ -18,8 +18,8 @@ class: menus, headers, footers, sidebars, notices, adverts, forms and comments.
 their parts are names of furniture or of places (``site-footer``, not ``ad-free``).
 
 Pages in URL order over all hosts are dealt to blocks of about equal bytes, so a large host is spread over many tasks.  A first
-pass over hashes of the lines finds where runs begin and from it the page before and the page after that each block needs as
-guests, so the text of a page doesn't depend on the blocks.  Then the lines of the pages are shuffled, once, and a task
+pass over the ends of blocks, and over those blocks that share a run, finds where runs begin and from it the page before and the
+page after that each block needs as guests, so the text of a page doesn't depend on the blocks.  Then the lines of the pages are shuffled, once, and a task
 streams through its block.
 
 Defined cases: a null html or url is empty; hosts and paths are lower-cased and lose query and fragment; pages of the same
@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import forget, numbered, table
+from .shared import forget, longs, numbered, table
 from .textvec import slices
 
 # fixed values: elements by what they mean for the text
@@ -198,24 +198,27 @@ def common(a: list[str], b: list[str]) -> np.ndarray:
     return shared
 
 
-def digests(page: list[tuple[int, int, str, bool]]) -> tuple[np.ndarray, np.ndarray]:
+def digests(page: list[tuple[int, int, str, bool]]) -> tuple[list[int], list[int]]:
     """(hash of each line, its length where it may be text of the page, else 0; all count on a page without such lines)."""
-    hashes = np.array([xxhash.xxh32_intdigest(line) for _, _, line, _ in page], np.uint32).view(np.int32)
-    sizes = np.array([len(line) for _, _, line, _ in page], np.int64)
-    text = np.array([kind != GONE for kind, *_ in page], bool)
-    return hashes, np.where(text, sizes, 0) if text.any() else sizes
+    text = any(kind != GONE for kind, *_ in page)
+    return [xxhash.xxh32_intdigest(x[2]) for x in page], [len(x[2]) if x[0] != GONE or not text else 0 for x in page]
 
 
-def is_copy(own: tuple[np.ndarray, np.ndarray], theirs: tuple[np.ndarray, np.ndarray]) -> bool:
+def is_copy(own: tuple[list[int], list[int]], theirs: tuple[list[int], list[int]]) -> bool:
     """Whether the neighbour has most of what may be text of the page."""
-    return bool(own[1][np.isin(own[0], theirs[0])].sum() >= COPY * own[1].sum())
+    there = set(theirs[0])
+    return sum(n for h, n in zip(*own, strict=True) if h in there) >= COPY * sum(own[1])
 
 
 def alike(own: list[tuple[int, int, str, bool]], theirs: list[tuple[int, int, str, bool]], host: str) -> np.ndarray:
-    """Which lines are in a longest common subsequence of templates; equal ones in a row (the links of a menu) count once."""
+    """Which lines are in a longest common subsequence of templates; equal ones in a row (the links of a menu) count once.
+
+    Lines that the markup keeps are their own templates.
+    """
 
     def templates(page: list[tuple[int, int, str, bool]]) -> list[tuple[str, int]]:
-        all_of = ("\x1f" if linked else _NUMBER.sub("0", line.replace(host, "\x1e") if host else line) for _, _, line, linked in page)
+        bare = lambda line: _NUMBER.sub("0", line.replace(host, "\x1e") if host else line)
+        all_of = (line if kind == KEPT else "\x1f" if linked else bare(line) for kind, _, line, linked in page)
         return [(t, sum(1 for _ in same)) for t, same in groupby(all_of)]
 
     mine = templates(own)
@@ -255,7 +258,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo, to in slices(b.column(3), 8 << 20):
             pages = [digests(parsed(h or "")) for h in b.column(3)[lo:to].to_pylist()]
-            hashes, sizes = (pa.array([p[i] for p in pages], pa.list_(pa.int32())) for i in (0, 1))
+            hashes, sizes = (pa.array([p[i] for p in pages], pa.list_(t)) for i, t in enumerate((pa.int64(), pa.int32())))
             yield pa.RecordBatch.from_arrays([*[b.column(i)[lo:to] for i in range(3)], hashes, sizes], ["key", "host", "near", "hashes", "sizes"])
 
 
@@ -267,7 +270,7 @@ def _run_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[int, list] = {}
     for b in batches:
         for row in b.to_pylist():
-            row["digests"] = np.array(row.pop("hashes"), np.int32), np.array(row.pop("sizes"), np.int64)
+            row["digests"] = row.pop("hashes"), row.pop("sizes")
             near = before if before and before["block"] == row["block"] and before["host"] == row["host"] else None
             if not row["guest"] and not (near and is_copy(row["digests"], near["digests"])):
                 at_start = not before or before["block"] != row["block"] or before["guest"]
@@ -349,6 +352,33 @@ def guests(runs: list, lasts: list[str]) -> list[tuple[str, int]]:
     return needed
 
 
+def _at(block: Column, guest: bool) -> Column:
+    return F.struct(block.cast("int").alias("block"), F.lit(guest).alias("guest"))
+
+
+def _runs(rows: DataFrame, firsts: list[str], lasts: list[str]) -> list:
+    """What ``guests`` needs.  The pages at the ends of blocks tell which blocks a run goes on into; these and the blocks before
+    them are looked through for where their runs begin, since for others their ends are all that matters."""
+    block, key, n = F.col("block"), F.col("key"), len(firsts)
+    is_last = (block < n - 1) & (key == F.get(_strings(lasts), block))
+
+    def starts(own: Column) -> list:
+        near = F.array_compact(F.array(F.when(own, _at(block, False)), F.when(is_last, _at(block + 1, True))))
+        parts = rows.where(own | is_last).select("key", host(F.col("url")).alias("host"), near.alias("near"), "html")
+        parts = parts.mapInArrow(_digests, "key string, host string, near array<struct<block:int,guest:boolean>>, hashes array<long>, sizes array<int>")
+        parts = parts.withColumn("at", F.explode("near")).select("key", "host", "hashes", "sizes", "at.block", "at.guest")
+        parts = parts.repartitionById(n, F.col("block")).sortWithinPartitions("block", "key")
+        return parts.mapInArrow(_run_starts, "block int, at_start boolean, first string, before_last string").collect()
+
+    known = {r["block"]: r for r in starts(key == F.get(_strings(["", *firsts[1:]]), block)) if r["at_start"]}
+    crossed = [b for b in range(1, n) if b not in known]
+    inside = sorted({*crossed, *(b - 1 for b in crossed)})
+    if not inside:
+        return list(known.values())
+    found = [r for r in starts(F.array_contains(longs(inside), block.cast("long"))) if r["block"] in set(inside)]
+    return [*found, *(r for b, r in known.items() if b not in set(inside))]
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each page."""
     spark = pages.sparkSession
@@ -357,7 +387,6 @@ def extract(pages: DataFrame) -> DataFrame:
     per = max(LEAST_BLOCK, -(-size["n"] // blocks))
     block, key, needed = F.col("block"), F.col("key"), []
     rows = pages.select("page_id", "url", "html", url_key().alias("key"))
-    own = lambda x, guest: F.struct(x.cast("int").alias("block"), F.lit(guest).alias("guest"))
     firsts: list[str] = [""]
     if size["n"] > per:
         order = numbered(pages.select(url_key().alias("key")), [F.col("key")])
@@ -365,18 +394,13 @@ def extract(pages: DataFrame) -> DataFrame:
         rows = rows.withColumn("block", range_of_strings(firsts[1:], key))
         lasts = order.groupBy(range_of_strings(firsts[1:], key).alias("block")).agg(F.max("key").alias("last")).collect()
         lasts = [last for _, last in sorted((r["block"], r["last"]) for r in lasts)]
-        after = F.when((block < len(firsts) - 1) & (key == F.get(_strings(lasts), block)), own(block + 1, True))
-        parts = rows.select("key", host(F.col("url")).alias("host"), F.array_compact(F.array(own(block, False), after)).alias("near"), "html")
-        parts = parts.mapInArrow(_digests, "key string, host string, near array<struct<block:int,guest:boolean>>, hashes array<int>, sizes array<int>")
-        parts = parts.withColumn("at", F.explode("near")).select("key", "host", "hashes", "sizes", "at.block", "at.guest")
-        parts = parts.repartitionById(len(firsts), block).sortWithinPartitions("block", "key")
-        needed = guests(parts.mapInArrow(_run_starts, "block int, at_start boolean, first string, before_last string").collect(), lasts)
+        needed = guests(_runs(rows, firsts, lasts), lasts)
         forget(spark, order)
     else:
         rows = rows.withColumn("block", F.lit(0))
     asked = spark.createDataFrame(needed, "key string, to int").groupBy("key").agg(F.collect_list("to").alias("to"))  # two for each block at most
     rows = rows.join(F.broadcast(asked), "key", "left")
-    near = F.concat(F.array(own(block, False)), F.transform(F.coalesce("to", F.array().cast("array<int>")), lambda x: own(x, True)))
+    near = F.concat(F.array(_at(block, False)), F.transform(F.coalesce("to", F.array().cast("array<int>")), lambda x: _at(x, True)))
     rows = rows.select("page_id", "url", "key", near.alias("near"), "html")
     rows = rows.mapInArrow(_lines, f"page_id {dict(pages.dtypes)['page_id']}, url string, key string, near array<struct<block:int,guest:boolean>>, kinds array<tinyint>, groups array<int>, lines array<string>")
     rows = rows.withColumn("at", F.explode("near")).select("page_id", "url", "key", "kinds", "groups", "lines", host(F.col("url")).alias("host"), "at.block", "at.guest")
