@@ -665,6 +665,20 @@ def test_sharding_splits_hot_groups(spark, odd, none):
     assert sharding.assign_shards(none).count() == 0
 
 
+@pytest.mark.parametrize("same", [3000, 9000])
+def test_sharding_divides_repeated_rows(spark, same):
+    """A third of all rows, or all of them, are one row."""
+    rows = [(7, "one row, again and again")] * same + [(i, f"text {i}" * (1 + i % 5)) for i in range(9000 - same)]
+    out = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), ranges=256).collect()
+    sizes, slots = collections.Counter(), collections.defaultdict(list)
+    for r in out:
+        sizes[r.shard] += len(r.text) + 1
+        slots[r.shard].append(r.slot)
+    assert collections.Counter((r.doc_id, r.text) for r in out) == collections.Counter(rows)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len(sizes) == 8 and max(sizes.values()) < 1.1 * min(sizes.values())
+
+
 def brute_language_model(train: list[list]):
     """Interpolated modified Kneser-Ney of order 3 by dictionaries: the probability of a word after two others, and its counts."""
     c, three = collections.Counter(), collections.Counter()
