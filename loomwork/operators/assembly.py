@@ -4,12 +4,13 @@ Fragments are ordered by the canonical sequence: sidecars first, then by file, l
 over that order (``min_by``), which combines before the shuffle, so an id that a third of all fragments declare costs one row
 from each task.  ``refresh`` assembles only the keys that changed fragments declare or refer to, before and after.
 
-nodes        (id, version, target, kind, location, tags, attributes, source, file, line, ord)
+nodes        (id, version, target, kind, location, tags, attributes, source, file, line, ord[, row])
 hyperedges   (id, version, intent, tags, attributes, source, file, line, ord)
 members      (hyperedge_id, node_id, role, required, attributes, source, file, line, ord)
 edges        (owner, src, dst, kind, attributes, source, file, line, ord)
 
-``location`` is a struct of path, line_start, line_end and watch; ``attributes`` is a map of text.
+``location`` is a struct of path, line_start, line_end and watch; ``attributes`` is a map of text; ``row`` is where a row stands in its
+table, which tells apart declarations of one id that stand at one place.
 """
 
 from __future__ import annotations
@@ -48,9 +49,16 @@ class Assembled:
 
 
 def place(*more: Column | str) -> Column:
-    """The canonical sequence; a missing line comes before others, and what ``more`` names settles ties."""
+    """The canonical sequence; a missing line comes before others, and what ``more`` names settles ties, nulls last."""
     plain = [F.col(c) if isinstance(c, str) else c for c in more]
-    return F.struct((F.col("source") != "sidecar").alias("later"), F.coalesce("file", F.lit("")).alias("file"), F.coalesce("line", F.lit(-1)).alias("line"), F.col("ord").alias("ord"), *[c.cast("string").alias(f"m{i}") for i, c in enumerate(plain)])
+    ties = [c for i, x in enumerate(plain) for c in (x.isNull().alias(f"n{i}"), x.cast("string").alias(f"m{i}"))]
+    return F.struct((F.col("source") != "sidecar").alias("later"), F.coalesce("file", F.lit("")).alias("file"), F.coalesce("line", F.lit(-1)).alias("line"), F.col("ord").alias("ord"), *ties)
+
+
+def node_place(nodes: DataFrame, last: bool = False) -> Column:
+    """The place of declared nodes; of equal ones the first row comes first, with ``last`` it comes last (for the latest of all)."""
+    row = F.col("row") if "row" in nodes.columns else F.lit(0).cast("long")
+    return F.struct(place("target").alias("at"), (-row if last else row).alias("row"))
 
 
 def _file_location(target: Column) -> Column:
@@ -71,9 +79,9 @@ def looks_like_target(x: Column) -> Column:
 def first_nodes(nodes: DataFrame) -> DataFrame:
     """One row for each id: ``side`` and ``note``, the first declaration of either kind, and what later annotations add."""
     rows = nodes.withColumn("location", _normal(F.col("location"))).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
-    at, note = place("target"), F.col("source") != "sidecar"
+    at, latest, note = node_place(nodes), node_place(nodes, True), F.col("source") != "sidecar"
     whole = F.struct("version", "target", "kind", "location", "tags", "attributes", *_WHERE)
-    only = lambda take, x, when: take(F.when(when, x), F.when(when, at))
+    only = lambda take, x, when: take(F.when(when, x), F.when(when, latest if take is F.max_by else at))
     aggregates = {
         "side": only(F.min_by, whole, ~note), "note": only(F.min_by, whole, note), "note_location": only(F.max_by, F.col("location"), note & F.col("location").isNotNull()),
         "note_target": only(F.min_by, F.col("target"), note & F.col("target").isNotNull()), "note_kind": only(F.min_by, F.col("kind"), note & F.col("kind").isNotNull()),
@@ -195,7 +203,7 @@ def diagnostics(fragments: Fragments) -> DataFrame:
         _rules(fragments.edges, F.col("kind"), *_forbidden("rationale", "reason"), (F.btrim("kind") == "", "error", "relation-kind")),
     ]
     # ids: a second sidecar, or an annotation that differs from the first one where there is no sidecar
-    at = place("target")
+    at = node_place(nodes)
     firsts = nodes.groupBy("id").agg(F.min(F.when(side, at)).alias("side_at"), F.min(F.when(~side, at)).alias("note_at"))
     firsts = firsts.join(first.select("id", "side", "note", F.coalesce("side.target", "note_target").alias("known")), "id")
     rows = nodes.withColumn("at", at).join(firsts, "id")

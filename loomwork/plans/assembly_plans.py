@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import assembly as A
 from ..sources.settled import settle
-from ..sources.tables import table
+from ..sources.tables import numbered, table
 
 
 def fragments(spark, sf_dir) -> A.Fragments:
@@ -15,7 +15,7 @@ def fragments(spark, sf_dir) -> A.Fragments:
     Some parts are declared twice, some with a wrong version, name, path or lines; items of other parts declare these anew.
     """
     part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
-    items = table(spark, sf_dir, "lineitem").withColumns({"path": F.col("l_orderkey").cast("string"), "line_start": F.col("l_linenumber"), "line_end": F.col("l_linenumber") + F.col("l_quantity").cast("int") % 3})
+    items = numbered(spark, sf_dir, "lineitem").withColumns({"path": F.col("l_orderkey").cast("string"), "line_start": F.col("l_linenumber"), "line_end": F.col("l_linenumber") + F.col("l_quantity").cast("int") % 3})
     size, key = F.col("p_size"), F.col("p_partkey")
     none = lambda kind: F.lit(None).cast(kind)
     attributes = lambda name, when: F.when(when, F.create_map(F.lit(name), F.lit("x")))
@@ -26,14 +26,14 @@ def fragments(spark, sf_dir) -> A.Fragments:
     side = part.select(
         F.concat(F.lit("p"), F.when(size > 40, key - 1).otherwise(key).cast("string"), F.when(size == 7, F.lit(" x")).otherwise(F.lit(""))).alias("id"), F.when(size == 9, 2).otherwise(1).alias("version"),
         F.when(size % 6 == 0, F.concat(F.lit("file://t/"), "p_brand", F.lit("#L3-L5"))).when(size % 6 == 1, F.col("p_name")).alias("target"), F.when(size % 3 == 0, F.lower("p_type")).alias("kind"), F.when(size % 2 == 0, here).cast(A.LOCATION).alias("location"),
-        F.array("p_type").alias("tags"), attributes("description", size == 11).alias("attributes"), F.lit("sidecar").alias("source"), F.concat_ws("/", F.lit("parts"), "p_brand", "p_size").alias("file"), none("int").alias("line"), key.alias("ord"),
+        F.array("p_type").alias("tags"), attributes("description", size == 11).alias("attributes"), F.lit("sidecar").alias("source"), F.concat_ws("/", F.lit("parts"), "p_brand", "p_size").alias("file"), none("int").alias("line"), key.alias("ord"), F.lit(0).cast("long").alias("row"),
     )
     n = F.col("line_start")
     noted = [F.lit("annotation").alias("source"), F.concat(F.lit("o/"), "path").alias("file"), n.cast("int").alias("line"), F.lit(0).cast("long").alias("ord")]
     own = F.struct(F.concat(F.lit("o/"), "path").alias("path"), n.cast("int").alias("line_start"), F.col("line_end").cast("int").alias("line_end"), F.lit("range").alias("watch"))
     note = items.select(  # items of the first two lines declare, the rest only refer
         F.when(n <= 2, F.concat(F.lit("p"), "l_partkey", F.when(F.col("l_suppkey") % 3 == 0, F.lit(".n")).otherwise(F.lit("")))).alias("id"), F.lit(1).alias("version"), F.when(F.col("l_returnflag") == "A", F.concat(F.lit("file://s/"), "l_suppkey")).alias("target"),
-        F.when(F.col("l_returnflag") == "R", "returned").alias("kind"), F.when(F.col("l_linestatus") == "O", own).cast(A.LOCATION).alias("location"), F.array("l_returnflag").alias("tags"), none("map<string,string>").alias("attributes"), *noted,
+        F.when(F.col("l_returnflag") == "R", "returned").alias("kind"), F.when(F.col("l_linestatus") == "O", own).cast(A.LOCATION).alias("location"), F.array("l_returnflag").alias("tags"), none("map<string,string>").alias("attributes"), *noted, "row",
     ).where("id IS NOT NULL")
     strand = supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.when(F.col("s_nationkey") == 5, 3).otherwise(1).alias("version"), F.when(F.col("s_acctbal") < 0, " ").otherwise(F.col("s_name")).alias("intent"), F.array("s_name").alias("tags"), none("map<string,string>").alias("attributes"),
         F.when(F.col("s_nationkey") % 4 == 0, "annotation").otherwise("sidecar").alias("source"), F.concat(F.lit("nations/"), "s_nationkey").alias("file"), none("int").alias("line"), F.col("s_suppkey").alias("ord"))

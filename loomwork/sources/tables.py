@@ -13,6 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table with ``row``, where each row stands in it: files by name, then rows as they were written."""
+    df = table(spark, sf_dir, name)
+    files = sorted(df.inputFiles())
+    row = F.col("_metadata.row_index")
+    if len(files) > 1:
+        first = F.create_map(*[x for i, f in enumerate(files) for x in (F.lit(f), F.lit(i << 40))])
+        row = row + F.element_at(first, F.col("_metadata.file_path"))
+    return df.select("*", row.alias("row"))
+
+
 def text_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """(path, size, modified_ns, content_hash, text) of UTF-8 files below a folder; binary and oversized files are left out."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)

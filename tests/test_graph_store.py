@@ -348,3 +348,17 @@ def test_equal_ranges_are_one(spark):
     rows = [("p", 1, 1), ("p", 7, 9), ("p", 7, 9), ("p", 7, 9), ("p", 8, 9)]
     got = [tuple(r) for r in I.merged(spark.createDataFrame(rows * 3, "p string, s int, e int"), "p", "s", "e").collect()]
     assert sorted(got) == [("p", 1, 1, 3), ("p", 7, 9, 12)]
+
+
+def test_nodes_of_one_place(spark):
+    """Declarations that share id, file and line: one with a target comes first, of others the first row, for the last location too."""
+    at = lambda end: ("o", 1, end, "range")
+    rows = [("a", 1, None, "k0", at(3), ["N"], None, "annotation", "o", 1, 0, 7), ("a", 1, None, "k1", at(1), ["R"], None, "annotation", "o", 1, 0, 5),
+        ("b", 1, None, None, None, ["N"], None, "annotation", "o", 1, 0, 1), ("b", 1, "file://s/2", "k", None, ["A"], None, "annotation", "o", 1, 0, 2),
+        ("c", 1, "t", None, at(9), ["S"], None, "sidecar", "p", None, 1, 0), ("c", 1, None, None, at(1), ["N"], None, "annotation", "o", 1, 0, 3), ("c", 1, None, None, at(2), ["N"], None, "annotation", "o", 1, 0, 4)]
+    schema = f"id string, version int, target string, kind string, location {A.LOCATION}, tags array<string>, attributes map<string,string>, source string, file string, line int, ord long, row long"
+    for order in (rows, rows[::-1]):
+        found = {r["id"]: r for r in A.first_nodes(spark.createDataFrame(order, schema).coalesce(1)).collect()}
+        assert (found["a"]["note"]["kind"], found["a"]["note"]["location"]["line_end"], found["a"]["note_location"]["line_end"]) == ("k1", 1, 1)
+        assert found["b"]["note"]["target"] == "file://s/2"
+        assert found["c"]["note_location"]["line_end"] == 1
