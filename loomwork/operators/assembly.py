@@ -25,6 +25,7 @@ from ..sources.settled import settle
 
 LOCATION = "struct<path:string,line_start:int,line_end:int,watch:string>"
 _WHERE = ["source", "file", "line"]
+PARTS = ("nodes", "hyperedges", "members", "edges")
 #: What members and edges are told apart by.
 MEMBER_KEY, EDGE_KEY = ["hyperedge_id", "node_id", "role"], ["owner", "src", "dst", "kind"]
 
@@ -149,31 +150,47 @@ def _null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFra
     return a.select("*", *own(a)).join(b.select(*own(b)).distinct(), names, how).drop(*names)
 
 
-def refresh(table: Assembled, old: Fragments, new: Fragments, changed: DataFrame) -> Assembled:
+def refresh(table: Assembled, old: Fragments, new: Fragments, changed: DataFrame, parts: tuple[str, ...] = PARTS) -> Assembled:
     """The graph after the files in ``changed`` (file) went from their old fragments to their new ones; equal to assembling anew.
 
-    Rows of keys that no changed fragment touches are kept as they are.
+    Rows of keys that no changed fragment touches are kept as they are.  Only the ``parts`` that are asked for are made, from the
+    fragments that they depend on; of others the table's rows stay.
     """
-    within = lambda df: df.join(changed.select("file").distinct(), "file", "left_semi")
-    before, after = old.each(within), new.each(within)
-    union = lambda get: get(before).unionByName(get(after))
-    members, edges = union(lambda f: f.members.select("hyperedge_id", "node_id", "role")), union(lambda f: f.edges.select("owner", "src", "dst", "kind"))
-    node_ids = union(lambda f: f.nodes.select("id")).union(members.select("node_id")).union(edges.select("src")).union(edges.select("dst"))
-    node_ids = settle(node_ids.distinct(), "touched")
-    edge_ids = settle(union(lambda f: f.hyperedges.select("id")).union(members.where("hyperedge_id IS NOT NULL").select("hyperedge_id")).distinct(), "touched")
-    members, edges = settle(members.distinct(), "touched"), settle(edges.distinct(), "touched")
-    by = lambda df, column, ids: df.join(ids.select(F.col("id").alias(column)), column, "left_semi")
-    first = first_nodes(by(new.nodes, "id", node_ids))
-    ends = new.edges
-    refer = by(ends, "src", node_ids).unionByName(by(ends, "dst", node_ids))
-    nodes = by(assembled_nodes(first, by(new.members, "node_id", node_ids), refer), "id", node_ids)
-    hyperedges = first_hyperedges(by(new.hyperedges, "id", edge_ids), by(new.members, "hyperedge_id", edge_ids))
-    fresh = Assembled(nodes, hyperedges, distinct_first(_null_safe(new.members, members, MEMBER_KEY, "left_semi"), MEMBER_KEY), distinct_first(_null_safe(new.edges, edges, EDGE_KEY, "left_semi"), EDGE_KEY))
+    files = changed.select("file").distinct()
+    within = lambda df: df.join(files, "file", "left_semi")
     keep = lambda df, ids: df.join(ids, "id", "left_anti")
-    return Assembled(
-        keep(table.nodes, node_ids).unionByName(fresh.nodes), keep(table.hyperedges, edge_ids).unionByName(fresh.hyperedges),
-        _null_safe(table.members, members, MEMBER_KEY, "left_anti").unionByName(fresh.members), _null_safe(table.edges, edges, EDGE_KEY, "left_anti").unionByName(fresh.edges),
-    )
+    by = lambda df, column, ids: df.join(ids.select(F.col("id").alias(column)), column, "left_semi")
+
+    def touched(*of: tuple[str, list[str], str]) -> DataFrame:
+        """(id): what changed fragments (table, columns, condition) declare or refer to, before and after."""
+        every = None
+        for name, columns, where in of:
+            for side in (old, new):
+                rows = within(getattr(side, name).select("file", *columns)).select(F.explode(F.array(*columns)).alias("id")).where(where).distinct()
+                every = rows if every is None else every.union(rows)
+        return settle(every.distinct(), "touched")
+
+    def keyed(name: str, keys: list[str]) -> DataFrame:
+        rows = [within(getattr(side, name).select("file", *keys)).select(*keys) for side in (old, new)]
+        hit = settle(rows[0].union(rows[1]).distinct(), "touched")
+        fresh = distinct_first(_null_safe(getattr(new, name), hit, keys, "left_semi"), keys)
+        return _null_safe(getattr(table, name), hit, keys, "left_anti").unionByName(fresh)
+
+    made = {}
+    if "nodes" in parts:
+        ids = touched(("nodes", ["id"], "true"), ("members", ["node_id"], "true"), ("edges", ["src", "dst"], "true"))
+        first = first_nodes(by(new.nodes, "id", ids))
+        target = lambda c: looks_like_target(F.col(c))
+        refer = new.edges.where(target("src") | target("dst"))  # only these imply a node
+        nodes = by(assembled_nodes(first, by(new.members.where(target("node_id")), "node_id", ids), refer), "id", ids)
+        made["nodes"] = keep(table.nodes, ids).unionByName(nodes)
+    if "hyperedges" in parts:
+        ids = touched(("hyperedges", ["id"], "true"), ("members", ["hyperedge_id"], "id IS NOT NULL"))
+        made["hyperedges"] = keep(table.hyperedges, ids).unionByName(first_hyperedges(by(new.hyperedges, "id", ids), by(new.members, "hyperedge_id", ids)))
+    for name, keys in (("members", MEMBER_KEY), ("edges", EDGE_KEY)):
+        if name in parts:
+            made[name] = keyed(name, keys)
+    return replace(table, **made)
 
 
 def _rules(rows: DataFrame, subject: Column, *rules: tuple[Column, str, str]) -> DataFrame:

@@ -74,7 +74,7 @@ def _assembled(part):
 def _refreshed(part):
     def run(spark, sf_dir):
         old, new, changed = _sides(spark, sf_dir)
-        return _shape(part, A.refresh(A.assembled(old), old, new, changed))
+        return _shape(part, A.refresh(A.assembled(old), old, new, changed, (part,)))
 
     return run
 

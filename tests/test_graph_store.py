@@ -362,3 +362,16 @@ def test_nodes_of_one_place(spark):
         assert (found["a"]["note"]["kind"], found["a"]["note"]["location"]["line_end"], found["a"]["note_location"]["line_end"]) == ("k1", 1, 1)
         assert found["b"]["note"]["target"] == "file://s/2"
         assert found["c"]["note_location"]["line_end"] == 1
+
+
+def test_refresh_of_one_part_reads_no_other(spark):
+    """The edges after a change, though the fragments of all other tables can't be read."""
+    bad = spark.range(1).select(F.raise_error(F.lit("read")).cast("string").alias("id"))
+    schema = "owner string, src string, dst string, kind string, attributes map<string,string>, source string, file string, line int, ord long"
+    row = lambda src, file, line: (None, src, "z", "k", None, "annotation", file, line, 0)
+    kept, went, came = row("a", "f", 1), row("b", "g", 1), row("c", "g", 2)
+    side = lambda *edges: A.Fragments(bad, bad, bad, spark.createDataFrame(list(edges), schema))
+    old, new = side(kept, went), side(kept, came)
+    table = A.Assembled(bad, bad, bad, A.distinct_first(old.edges, A.EDGE_KEY))
+    found = A.refresh(table, old, new, spark.createDataFrame([("g",)], "file string"), ("edges",)).edges
+    assert sorted(r["src"] for r in found.collect()) == ["a", "c"]
