@@ -7,6 +7,7 @@ the states, whatever the number of markers.  Blocks and sections are array funct
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,6 @@ from pyspark.sql import functions as F
 from ..functions import paths as N
 from ..functions import text as T
 from .intervals import merged
-from .search import let
 
 # fixed values: how a line begins that holds a comment only, and attributes that mark tests
 COMMENTS = ("//", "#", "--", "\\*", "/*", "(*")
@@ -135,38 +135,98 @@ def structural_spans(files: DataFrame, markers: DataFrame) -> DataFrame:
     return _marked(files, markers).mapInArrow(_structural, _SPAN)
 
 
-def _comment_only(line: Column) -> Column:
-    found = F.lit(False)
+def _lines_of(data: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the lines of concatenated texts begin and end (without their line break), and the first line of each text."""
+    first = np.zeros(len(data) + 1, bool)
+    first[1:] = data == 10
+    first[edge[:-1]] = True
+    first[edge[1:]] = False  # what follows a text's last line break isn't a line
+    first[edge[:-1][edge[:-1] < edge[1:]]] = True
+    begin = np.flatnonzero(first[: len(data)])
+    stop = np.append(begin[1:], len(data))
+    broken = data[stop - 1] == 10
+    stop = stop - broken
+    stop = stop - (broken & (stop > begin) & (data[stop - 1] == 13))
+    return begin, stop, np.searchsorted(begin, edge)
+
+
+def _after(data: np.ndarray, begin: np.ndarray, stop: np.ndarray, skipped: np.ndarray) -> np.ndarray:
+    """The first byte of each line that isn't skipped, its stop if there is none."""
+    seen = np.flatnonzero(~skipped[data])
+    return np.minimum(np.append(seen, len(data))[np.searchsorted(seen, begin)], stop)
+
+
+def _comments(data: np.ndarray, at: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    two = np.append(data, [0, 0])
+    found = np.zeros(len(at), bool)
     for c in COMMENTS:
-        found = found | F.startswith(F.ltrim(line), F.lit(c))
+        hit = at + len(c) <= stop
+        for k, x in enumerate(c.encode()):
+            hit &= two[np.minimum(at + k, len(data))] == x
+        found |= hit
     return found
 
 
-def _blank(line: Column) -> Column:
-    return F.btrim(line, F.lit(" \t\r\n\x0b\x0c")) == ""
+def _declarations(marker: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("line", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("error", pa.string())])
+        space = np.arange(256) == 32
+        for b in batches:
+            for i in range(0, b.num_rows, 256):  # bounded bytes at a time: files have at most a few MB
+                part = b.slice(i, 256)
+                texts = [t.encode() for t in part.column(1).to_pylist()]
+                whole = b"".join(texts)
+                data = np.frombuffer(whole, np.uint8)
+                edge = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+                begin, stop, of_text = _lines_of(data, edge)
+                text = _after(data, begin, stop, _BLANK)
+                full, indent = text < stop, text - begin
+                comment = _comments(data, _after(data, begin, stop, space), stop)
+                code = np.flatnonzero(full & ~comment)
+                held = np.array([m.start() for m in re.finditer(b"(?=" + re.escape(marker.encode()) + b")", whole)], np.int64)
+                line_of = np.searchsorted(begin, held, side="right") - 1
+                marked = np.zeros(len(begin), bool)
+                marked[line_of[held + len(marker.encode()) <= stop[line_of]]] = True
+                ends = np.flatnonzero(marked & comment)
+                # of each end, the next one that is less indented; the last one stands for none
+                further, depth = np.full(len(ends) + 1, len(ends), np.int64), np.append(indent[ends], -1)
+                open_: list[int] = []
+                for k, d in enumerate(depth[:-1].tolist()):
+                    while open_ and depth[open_[-1]] > d:
+                        further[open_.pop()] = k
+                    open_.append(k)
+                marks = part.column(2)
+                row = np.repeat(np.arange(part.num_rows), marks.value_lengths().to_numpy(zero_copy_only=False))
+                line = marks.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                low, high = of_text[row], of_text[row + 1]
+                inside = (line >= 1) & (line <= high - low)
+                j = np.searchsorted(code, low + np.maximum(line, 0))
+                start = np.append(code, len(begin))[j]
+                good = inside & (start < high)
+                own = np.append(indent, 0)[np.where(inside, low + line - 1, len(begin))]
+                at = np.searchsorted(ends, start, side="right")
+                stops = np.append(ends, len(begin))
+                live = np.flatnonzero(good & (depth[at] > own) & (stops[at] < high))
+                while len(live):  # a step goes past all ends that are as far indented or further
+                    at[live] = further[at[live]]
+                    live = live[(depth[at[live]] > own[live]) & (stops[at[live]] < high[live])]
+                last = np.minimum(stops[at], high) - 1
+                seen = np.flatnonzero(full)
+                end = np.append(seen, 0)[np.maximum(np.searchsorted(seen, last, side="right") - 1, 0)]
+                number = lambda g, good=good, low=low: pa.array((g - low + 1).astype(np.int32), mask=~good)
+                error = np.where(~inside, OUTSIDE, np.where(~good, NOTHING, ""))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(line, pa.int32()), number(start), number(end), pa.array(error, pa.string(), mask=good)], schema=schema)
+
+    return run
 
 
 def declaration_spans(files: DataFrame, markers: DataFrame, marker: str = "@anchor") -> DataFrame:
     """(path, line, start, end, error): from the next line of code up to the next comment with a marker that is at most as far
-    indented as this one, without blank lines at the end."""
-    rows = _marked(files, markers).withColumn("_lines", T.lines(F.col("text"))).drop("text")
-    n = F.size("_lines")
-    line = lambda i: F.get("_lines", i - 1)
-    indent = lambda x: F.length(x) - F.length(F.regexp_replace(x, r"^\s+", ""))
-    range_ = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+    indented as this one, without blank lines at the end.
 
-    def span(m: Column) -> Column:
-        start = F.get(F.filter(range_(m + 1, n), lambda i: ~_blank(line(i)) & ~_comment_only(line(i))), F.lit(0))
-
-        def ended(s: Column) -> Column:
-            last = F.coalesce(F.get(F.filter(range_(s + 1, n), lambda i: (indent(line(i)) <= indent(line(m))) & _comment_only(line(i)) & F.contains(line(i), F.lit(marker))), F.lit(0)) - 1, n)
-            end = F.coalesce(F.array_max(F.filter(range_(s, last), lambda i: ~_blank(line(i)))), s)
-            error = F.when((m < 1) | (m > n), OUTSIDE).when(s.isNull(), NOTHING)
-            return F.struct(m.alias("line"), F.when(error.isNull(), s).alias("start"), F.when(error.isNull(), end).alias("end"), error.alias("error"))
-
-        return let(start, ended)
-
-    return rows.select("path", F.inline(F.transform("marks", span)))
+    Lines are classified once for all markers of a batch, and each marker looks its lines up in sorted arrays.
+    """
+    return _marked(files, markers).mapInArrow(_declarations(marker), _SPAN)
 
 
 def _attribute(line: Column) -> Column:

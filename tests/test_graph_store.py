@@ -375,3 +375,13 @@ def test_refresh_of_one_part_reads_no_other(spark):
     table = A.Assembled(bad, bad, bad, A.distinct_first(old.edges, A.EDGE_KEY))
     found = A.refresh(table, old, new, spark.createDataFrame([("g",)], "file string"), ("edges",)).edges
     assert sorted(r["src"] for r in found.collect()) == ["a", "c"]
+
+
+def test_declarations_of_many_markers(spark):
+    """A file with thousands of markers, each of which ends the one before; lines were gone through for each marker before."""
+    n = 4000
+    text = "\r\n".join(line for k in range(n) for line in (f"// @anchor a{k}", f"let a{k};", ""))
+    marks = spark.range(n).select(F.lit("f").alias("path"), (F.col("id") * 3 + 1).cast("int").alias("line"))
+    got = X.declaration_spans(spark.createDataFrame([("f", text), ("g", "")], "path string, text string"), marks.union(spark.createDataFrame([("g", 1), ("f", 3 * n + 1)], "path string, line int")))
+    rows = {(r.path, r.line): (r.start, r.end, r.error) for r in got.collect()}
+    assert rows == {("f", 3 * k + 1): (3 * k + 2, 3 * k + 2, None) for k in range(n)} | {("g", 1): (None, None, X.OUTSIDE), ("f", 3 * n + 1): (None, None, X.OUTSIDE)}
