@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as N
 from ..functions import text as T
+from ..sources.settled import settle
 from .intervals import merged
+from .search import let
 
 # fixed values: how a line begins that holds a comment only, and attributes that mark tests
 COMMENTS = ("//", "#", "--", "\\*", "/*", "(*")
@@ -235,29 +237,37 @@ def _attribute(line: Column) -> Column:
 
 def _test_attribute(line: Column) -> Column:
     """Whether a line is an attribute that marks a test; a test that is negated in a condition is none."""
+
+    def marks(own: Column) -> Column:
+        condition = F.regexp_replace(F.regexp_extract(own, r"^cfg\((.*)\)$", 1), r"not\([^()]*\)", "")
+        named = let(F.substring_index(own, "(", 1), lambda name: name.isin(*TEST_ATTRIBUTES) | name.endswith("::test"))
+        return F.when(own.startswith("cfg("), F.lower(condition).rlike(r"(^|[^\p{L}\p{N}_])test($|[^\p{L}\p{N}_])")).otherwise(named & (own != ""))
+
     own = F.regexp_extract(F.regexp_replace(line, r"\s", ""), r"^#\[(.*)\]$", 1)
-    condition = F.regexp_replace(F.regexp_extract(own, r"^cfg\((.*)\)$", 1), r"not\([^()]*\)", "")
-    name = F.substring_index(own, "(", 1)
-    named = name.isin(*TEST_ATTRIBUTES) | name.endswith("::test")
-    return F.when(own.startswith("cfg("), F.lower(condition).rlike(r"(^|[^\p{L}\p{N}_])test($|[^\p{L}\p{N}_])")).otherwise(named & (own != ""))
+    begins = F.startswith(F.btrim(line, F.lit(" \t\r\n\x0b\x0c")), F.lit("#"))  # few lines do, so few are matched
+    return F.when(begins, let(own, marks)).otherwise(False)
 
 
 def test_ranges(files: DataFrame) -> DataFrame:
     """(path, start, end): the sections of Rust files that test attributes mark, with all attributes above, merged if they touch.
 
-    Attributes stand on lines of their own; the section ends where the scanner ends what follows.
+    Attributes stand on lines of their own; the section ends where the scanner ends what follows.  Files with marks are settled with
+    them, so that each file is read once and no text is shuffled.
     """
     rust = files.where((N.extension(F.col("path")) == "rs") & F.contains("text", F.lit("#[")) & F.contains("text", F.lit("test"))).select("path", "text")
+    present = lambda xs: F.filter(xs, lambda i: i.isNotNull())
     rows = rust.withColumn("_lines", T.lines(F.col("text")))
-    line = lambda i: F.get("_lines", i - 1)
-    numbers = F.sequence(F.lit(1), F.size("_lines"))
+    rows = rows.withColumn("_tests", present(F.transform("_lines", lambda x, i: F.when(_test_attribute(x), i + 1)))).where(F.size("_tests") > 0)
+    rows = rows.withColumn("_other", present(F.transform("_lines", lambda x, i: F.when(~_attribute(x), i + 1))))
 
     def first(m: Column) -> Column:
-        above = F.when(m > 1, F.sequence(m - 1, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-        return F.struct(m.alias("line"), F.coalesce(F.get(F.filter(above, lambda i: ~_attribute(line(i))), F.lit(0)) + 1, F.lit(1)).alias("from"))
+        above = F.array_max(F.filter("_other", lambda i: i < m))
+        return F.struct(m.alias("line"), F.coalesce(above + 1, F.lit(1)).alias("from"))
 
-    marks = rows.select("path", F.inline(F.transform(F.filter(numbers, lambda i: _test_attribute(line(i))), first)))
-    found = structural_spans(rust, marks).where("error IS NULL").select("path", "line", "end")
+    rows = settle(rows.select("path", "text", F.transform("_tests", first).alias("marks")), "marked")
+    marks = rows.select("path", F.inline("marks"))
+    found = rows.select("path", "text", F.transform("marks", lambda m: m["line"]).alias("marks")).mapInArrow(_structural, _SPAN)
+    found = found.where("error IS NULL").select("path", "line", "end")
     whole = marks.join(found, ["path", "line"]).select("path", F.col("from").alias("start"), "end")
     return merged(whole, "path", "start", "end").select("path", "start", "end")
 

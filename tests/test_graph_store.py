@@ -385,3 +385,18 @@ def test_declarations_of_many_markers(spark):
     got = X.declaration_spans(spark.createDataFrame([("f", text), ("g", "")], "path string, text string"), marks.union(spark.createDataFrame([("g", 1), ("f", 3 * n + 1)], "path string, line int")))
     rows = {(r.path, r.line): (r.start, r.end, r.error) for r in got.collect()}
     assert rows == {("f", 3 * k + 1): (3 * k + 2, 3 * k + 2, None) for k in range(n)} | {("g", 1): (None, None, X.OUTSIDE), ("f", 3 * n + 1): (None, None, X.OUTSIDE)}
+
+
+def test_test_sections_read_files_once(spark):
+    """Each file is read once for its marks and its sections; it was read for either before."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    text = "use x;\n#[inline]\n  # [ test ]\nfn a() { '}' }\n#[cfg(not(test))]\nfn b() {}\n#\t[cfg(all(x, test))]\nmod t { {} }\nfn c() {}"
+    files = spark.createDataFrame([("a.rs", text), ("b.rs", "#[testing]\nfn d() {}")], "path string, text string").mapInArrow(read, "path string, text string")
+    assert sorted(tuple(r) for r in X.test_ranges(files).collect()) == [("a.rs", 2, 4), ("a.rs", 7, 8)]
+    assert seen.value == 2
