@@ -20,10 +20,15 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once for each row."""
+    return F.transform(F.array(value), use)[0]
+
+
 def lines(text: Column) -> Column:
     """Lines of a text, without a trailing empty one."""
     all_ = F.split(F.coalesce(text, F.lit("")), r"\r?\n")
-    return F.when(F.element_at(all_, -1) == "", F.slice(all_, 1, F.size(all_) - 1)).otherwise(all_)
+    return let(all_, lambda a: F.when(F.element_at(a, -1) == "", F.slice(a, 1, F.size(a) - 1)).otherwise(a))
 
 
 def py_tokens(text: str) -> list[str]:

@@ -46,7 +46,7 @@ def forward(files: DataFrame, spans: DataFrame | None = None, tests: DataFrame |
     whole = lambda start, end, anchored, tokens: F.struct(start.alias("start"), end.alias("end"), anchored.alias("anchored"), F.size(tokens).alias("n_tokens"), tokens.alias("tokens"))
     rows = S.in_units(S.with_declared(files.select("path", F.coalesce("text", F.lit("")).alias("text")), spans, tests), whole)
     rows = rows.withColumns({"file_units": F.size("_units"), "file_tokens": F.aggregate("_units", F.lit(0).cast("long"), lambda n, u: n + u["n_tokens"])})
-    return rows.select("path", "file_units", "file_tokens", F.inline("_units")).select(*_UNIT, *_OF_UNIT, "tokens")
+    return S.each_unit(rows, "path", "file_units", "file_tokens").select(*_UNIT, *_OF_UNIT, "tokens")
 
 
 def occurrences(units: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def term_counts(units: DataFrame, sign: int = 1) -> DataFrame:
     """(term, df, tf) of units, counted in the row first: sorted tokens tell the first of each term."""
     rows = units.select(F.array_sort("tokens").alias("sorted"))
     first = F.transform("sorted", lambda t, i: F.struct(t.alias("term"), (~F.get("sorted", i - 1).eqNullSafe(t)).cast("int").alias("first")))
-    return rows.select(F.inline(first)).groupBy("term").agg((F.sum("first") * sign).alias("df"), (F.count("*") * sign).alias("tf"))
+    return rows.select(F.inline_outer(first)).where("term IS NOT NULL").groupBy("term").agg((F.sum("first") * sign).alias("df"), (F.count("*") * sign).alias("tf"))
 
 
 @dataclass(frozen=True)

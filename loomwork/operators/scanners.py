@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as N
 from ..functions import text as T
+from ..functions.text import let
 from ..sources.settled import settle
 from .intervals import merged
-from .search import let
 
 # fixed values: how a line begins that holds a comment only, and attributes that mark tests
 COMMENTS = ("//", "#", "--", "\\*", "/*", "(*")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.text import let
 from ..sources.settled import settle
 
 # fixed values: lines of a chunk, and lines shared by neighbours
@@ -31,11 +32,6 @@ def chunk_ranges(n: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.struct((i * (CHUNK - OVERLAP) + 1).alias("start"), F.least(i * (CHUNK - OVERLAP) + CHUNK, n).alias("end"))))
 
 
-def let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once for each row."""
-    return F.transform(F.array(value), use)[0]
-
-
 def without_annotations(text: Column) -> Column:
     """Lines up to their first marker; what stands behind it isn't searched."""
     return F.regexp_replace(text, r"@(?:anchor|strand)[^\n]*", "")
@@ -84,18 +80,38 @@ def in_units(files: DataFrame, use) -> DataFrame:
     return rows.withColumn("_units", let(words, measured)).drop("text", "spans", "tests", "_lines", "_own", "_ranges")
 
 
+def each_unit(rows: DataFrame, *columns: str) -> DataFrame:
+    """Columns of files and a row for each of their ``_units``.
+
+    The generator is an outer one: for an inner one Spark filters on the size of its array first, and below the projections that
+    make it, so each unit would be made several times over.
+    """
+    return rows.select(*columns, F.inline_outer("_units")).where("start IS NOT NULL")
+
+
 def units(files: DataFrame, spans: DataFrame | None = None, tests: DataFrame | None = None) -> DataFrame:
     """(doc_id, path, start, end, anchored, tokens, n_tokens) of all units that hold a token."""
     whole = lambda start, end, anchored, tokens: F.struct(start.alias("start"), end.alias("end"), anchored.alias("anchored"), tokens.alias("tokens"), F.size(tokens).alias("n_tokens"))
-    return in_units(with_declared(files, spans, tests), whole).select("doc_id", "path", F.inline("_units"))
+    return each_unit(in_units(with_declared(files, spans, tests), whole), "doc_id", "path")
+
+
+def may_hold(text: Column, query: T.Query) -> Column:
+    """False only if no term of the query is in the text: a plain search in lower case."""
+    if not all(t.isascii() for t in query.terms):
+        return F.lit(True)
+
+    def any_in(small: Column) -> Column:
+        maybe = F.lit(False)
+        for t in query.terms:
+            maybe = maybe | F.contains(small, F.lit(t))
+        return maybe
+
+    return let(F.lower(text), any_in)
 
 
 def with_terms(files: DataFrame, query: T.Query) -> DataFrame:
     """Files that hold a term of the query; a plain search in the lower-case text goes before the exact test."""
-    maybe = F.lit(False)
-    for t in query.terms:
-        maybe = maybe | (F.contains(F.lower("text"), F.lit(t)) if t.isascii() else F.lit(True))
-    return files.where(maybe & F.arrays_overlap(T.tokens(without_annotations(F.col("text"))), F.array(*[F.lit(t) for t in query.terms])))
+    return files.where(may_hold(F.col("text"), query) & F.arrays_overlap(T.tokens(without_annotations(F.col("text"))), F.array(*[F.lit(t) for t in query.terms])))
 
 
 def measured(files: DataFrame, query: T.Query, spans: DataFrame | None = None, tests: DataFrame | None = None) -> DataFrame:
@@ -116,7 +132,7 @@ def measured(files: DataFrame, query: T.Query, spans: DataFrame | None = None, t
         return F.struct(start.alias("start"), end.alias("end"), anchored.alias("anchored"), F.size(tokens).alias("n_tokens"), tf.alias("tf"), phrases.alias("phrases"), out.alias("out"))
 
     rows = in_units(with_declared(with_terms(files, query), spans, tests), numbers)
-    return rows.select("doc_id", "path", F.inline("_units"))
+    return each_unit(rows, "doc_id", "path")
 
 
 @dataclass(frozen=True)
@@ -179,15 +195,20 @@ def top(rows: DataFrame, k: int) -> DataFrame:
 def best_line(query: T.Query) -> Column:
     """The line of a unit (start, lines, idf) that holds the weightiest terms; the first of equals."""
 
-    def weight(line: Column) -> Column:
-        own = T.tokens(without_annotations(line))
+    at = F.transform("lines", lambda x, i: F.struct(line_weight(x, query, F.col("idf")).alias("w"), (-i).alias("i")))
+    return (F.col("start") - F.array_max(at)["i"]).cast("int")
+
+
+def line_weight(line: Column, query: T.Query, idf: Column) -> Column:
+    """The weight of the terms that a line holds, in millionths; a plain search in the lower-case line goes before its tokens."""
+
+    def exact(own: Column) -> Column:
         total = F.lit(0.0)
         for i, t in enumerate(query.terms):
-            total = total + F.when(F.array_contains(own, t), F.col("idf")[i]).otherwise(0.0)
+            total = total + F.when(F.array_contains(own, t), idf[i]).otherwise(0.0)
         return F.round(total * 1_000_000).cast("long")
 
-    at = F.transform("lines", lambda x, i: F.struct(weight(x).alias("w"), (-i).alias("i")))
-    return (F.col("start") - F.array_max(at)["i"]).cast("int")
+    return F.when(may_hold(line, query), let(T.tokens(without_annotations(line)), exact)).otherwise(F.lit(0).cast("long"))
 
 
 def without_overlaps(rows: DataFrame, k: int) -> DataFrame:
@@ -213,7 +234,7 @@ def term_statistics(files: DataFrame) -> DataFrame:
     """
     rows = units(files).select(F.array_sort("tokens").alias("sorted"))
     first = F.transform("sorted", lambda t, i: F.struct(t.alias("term"), (~F.get("sorted", i - 1).eqNullSafe(t)).cast("long").alias("first")))
-    return rows.select(F.inline(first)).groupBy("term").agg(F.count("*").alias("tf"), F.sum("first").alias("df"))
+    return rows.select(F.inline_outer(first)).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("tf"), F.sum("first").alias("df"))
 
 
 def _bloom_bits(token: Column, words: int) -> list[Column]:

@@ -1,7 +1,7 @@
 """From a hit to the span it stands for, and to the nodes of that span.
 
 A hit in a declared span is that span; else the smallest bounded node around its best line, else the section around that line.  Lines
-of a hit are looked at inside its row; nodes meet hits through bins of lines.
+are weighed and sections found inside a file's row, once for all of its hits; nodes meet hits through bins of lines.
 """
 
 from __future__ import annotations
@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.text import let
+from ..sources.settled import settle
 from .intervals import overlap_join, smallest_enclosing
-from .search import best_line, let, with_lines
+from .search import line_weight, may_hold
 
 # fixed values: the longest section, and how a heading begins
 LONGEST = 80
@@ -30,11 +32,21 @@ def declared(nodes: DataFrame) -> DataFrame:
     return bounded(nodes).select("path", F.col("line_start").cast("int").alias("start"), F.col("line_end").cast("int").alias("end")).distinct()
 
 
+def kinds(lines: Column) -> Column:
+    """Whether each line is blank, and whether it is a heading."""
+    return F.transform(lines, lambda x: F.struct((F.btrim(x, F.lit(" \t\r\n\x0b\x0c")) == "").alias("blank"), F.btrim(x).rlike(HEADING).alias("heading")))
+
+
 def section(lines: Column, line: Column) -> Column:
     """(start, end) of the section around a line: up to a blank line or from a heading on, at most half of LONGEST lines
     above and LONGEST in all."""
-    blank = lambda i: F.btrim(F.get(lines, i - 1), F.lit(" \t\r\n\x0b\x0c")) == ""
-    heading = lambda i: F.btrim(F.get(lines, i - 1)).rlike(HEADING)
+    return let(kinds(lines), lambda k: section_of(k, line))
+
+
+def section_of(lines: Column, line: Column) -> Column:
+    """The same, of lines by their ``kinds``, which serve all sections of a file."""
+    blank = lambda i: F.get(lines, i - 1)["blank"]
+    heading = lambda i: F.get(lines, i - 1)["heading"]
     half = LONGEST // 2
     up = F.filter(F.sequence(F.lit(0), F.lit(half)), lambda o: (o == half) | (line - o <= 1) | blank(line - o - 1) | heading(line - o))
     start = line - F.get(up, F.lit(0))
@@ -49,9 +61,7 @@ def section(lines: Column, line: Column) -> Column:
 
 def snapped(hits: DataFrame, files: DataFrame, nodes: DataFrame, query: T.Query) -> DataFrame:
     """Hits (doc_id, path, start, end, anchored, idf, ...) with line, span_start, span_end and ``by``: declared, node or section."""
-    rows = with_lines(hits, files).withColumn("line", best_line(query))
-    text = files.select("doc_id", "path", T.lines(F.col("text")).alias("_all"))
-    rows = rows.drop("lines").join(text, ["doc_id", "path"]).withColumn("_section", section(F.col("_all"), F.col("line"))).drop("_all")
+    rows = settle(_with_sections(hits, files, query), "lines")
     own = bounded(nodes).select("path", "line_start", "line_end", F.struct("id", F.col("line_start").alias("start"), F.col("line_end").alias("end")).alias("_node"))
     points = rows.where("NOT anchored").select("path", "line").distinct()
     near = smallest_enclosing(points, own, "path", "line", ("line_start", "line_end"), "_node", BIN_LINES)
@@ -61,6 +71,23 @@ def snapped(hits: DataFrame, files: DataFrame, nodes: DataFrame, query: T.Query)
     return rows.withColumns({"span_start": take("start"), "span_end": take("end"), "by": by}).drop("_node", "_section")
 
 
+def _with_sections(hits: DataFrame, files: DataFrame, query: T.Query) -> DataFrame:
+    """Hits with their best line (the first of the weightiest) and, but for those in declared spans, the section around it.
+
+    The hits of a file meet its text as one row, which is read once.
+    """
+    columns = [c for c in hits.columns if c not in ("doc_id", "path", "idf")]
+    of_file = hits.groupBy("doc_id", "path", "idf").agg(F.collect_list(F.struct(*columns)).alias("_hits"))
+    rows = of_file.join(files.where(may_hold(F.col("text"), query)).select("doc_id", "path", "text"), ["doc_id", "path"])
+    rows = rows.withColumn("_all", T.lines(F.col("text")))
+    weights = F.transform("_all", lambda x, i: F.struct(line_weight(x, query, F.col("idf")).alias("w"), (-(i + 1)).alias("i")))
+    rows = rows.withColumns({"_weights": weights, "_kinds": kinds(F.col("_all"))})
+    best = lambda h: -F.array_max(F.slice("_weights", h["start"], h["end"] - h["start"] + 1))["i"]
+    around = lambda h, line: F.when(~h["anchored"], section_of(F.col("_kinds"), line))
+    whole = lambda h: let(best(h), lambda line: F.struct(*[h[c].alias(c) for c in columns], line.cast("int").alias("line"), around(h, line).alias("_section")))
+    return rows.withColumn("_units", F.transform("_hits", whole)).select("doc_id", "path", "idf", F.inline_outer("_units")).where("start IS NOT NULL")
+
+
 def attached(spans: DataFrame, nodes: DataFrame) -> DataFrame:
     """(path, span_start, span_end, node_id): the nodes whose lines overlap a span, or those that watch the file where none does."""
     key = ["path", "span_start", "span_end"]

@@ -53,8 +53,8 @@ def _context(part, columns):
     """Search hits as seeds of a traversal of one step; its nodes and the hits ask for source."""
 
     def run(spark, sf_dir):
-        files, n = _files(spark, sf_dir), nodes(spark, sf_dir)
-        best = N.without_span_overlaps(_snapped(spark, sf_dir), 12)
+        files, (found, n) = _files(spark, sf_dir), _snapped(spark, sf_dir)
+        best = N.without_span_overlaps(found, 12)
         order = Window.orderBy(F.desc("milli"), "n_tokens", "path", "start", "end")  # of twelve rows
         hits = settle(best.withColumn("place", F.row_number().over(order) - 1), "hits")
         near = settle(N.attached(hits, n), "near")

@@ -30,23 +30,24 @@ def ranked_spans(spark, sf_dir):
 
 
 def _snapped(spark, sf_dir):
-    files, n = _files(spark, sf_dir), nodes(spark, sf_dir)
+    """Hits with their spans, and the nodes of the documents."""
+    files, n = _files(spark, sf_dir), settle(nodes(spark, sf_dir), "nodes")
     hits = S.ranked(files, TEXT, spans=N.declared(n))
-    return settle(N.snapped(hits, files, n, T.parse_query(TEXT)), "snapped")
+    return settle(N.snapped(hits, files, n, T.parse_query(TEXT)), "snapped"), n
 
 
 def hit_span(spark, sf_dir):
-    return _snapped(spark, sf_dir).select("path", "start", "end", "line", "span_start", "span_end", "by")
+    return _snapped(spark, sf_dir)[0].select("path", "start", "end", "line", "span_start", "span_end", "by")
 
 
 def hit_nodes(spark, sf_dir):
-    rows = N.attached(_snapped(spark, sf_dir), nodes(spark, sf_dir))
+    rows = N.attached(*_snapped(spark, sf_dir))
     return rows.select("path", "span_start", "span_end", "node_id")
 
 
 def span_hits(spark, sf_dir):
     """The best spans of a search, none of which overlaps a better one."""
-    return N.without_span_overlaps(_snapped(spark, sf_dir), 12).select("path", "span_start", "span_end", "by", "line", "milli")
+    return N.without_span_overlaps(_snapped(spark, sf_dir)[0], 12).select("path", "span_start", "span_end", "by", "line", "milli")
 
 
 def _indexed(use):
