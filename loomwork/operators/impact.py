@@ -207,6 +207,8 @@ def impact(graph: Graph, changes: DataFrame, removed: DataFrame | None = None, d
 
     # members of active hyperedges that their policies select, and all members of other hyperedges and of those without a policy
     dealt = graph.members.select("hyperedge_id", "node_id", "role", "required").where("hyperedge_id IS NOT NULL")
+    if tags:
+        dealt = dealt.join(selectable, "hyperedge_id", "left_semi")
     dealt = dealt.join(active[0].withColumn("_active", F.lit(True)), "hyperedge_id", "left").join(policy, "hyperedge_id", "left")
     shown_at_once = F.col("_active").isNotNull() & F.col("_known").isNotNull()
     dealt = dealt.where(~shown_at_once | chosen).select("hyperedge_id", "node_id", "role", "required", F.col("_active").isNotNull().alias("active"), shown_at_once.alias("shown"))

@@ -1,8 +1,9 @@
 """A stored inverted index: positions of terms in retrieval units, kept in segments that are written once.
 
-    <path>/postings/segment=N/bucket=B   one row for each occurrence, sorted by term: a query reads the buckets of its terms, and
-                                         within them the row groups whose range of terms matches
-    <path>/units/segment=N/part=P        each unit's tokens by file, which tell what a file has added when it changes
+    <path>/postings/segment=N/bucket=B   one row for each term of each unit, with its positions, sorted by term: a query reads the
+                                         buckets of its terms, and within them the row groups whose range of terms matches
+    <path>/units/segment=N/part=P        each unit by its number, which postings name, and its tokens by file, which tell what a file
+                                         has added when it changes
     <path>/terms/segment=N               what the segment adds to, or takes from, the counts of each term
     <path>/dead/segment=N                files whose rows of earlier segments no longer count
     <path>/commits                       one row for each complete segment; a reader sees no other
@@ -15,8 +16,12 @@ Hot terms are dealt over ``SPREAD`` tasks when written and over files when read;
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,13 +31,15 @@ from . import search as S
 
 #: Buckets of terms and parts of files in a segment, tasks that a bucket is dealt to when written.
 BUCKETS, SPREAD = 64, 8
+#: Units whose tokens are grouped at a time.
+ROWS = 1024
 _UNIT = ["path", "start", "end", "anchored"]
 _OF_UNIT = ["n_tokens", "file_units", "file_tokens"]
 _COMMIT = "segment int, label string"
 _UNIT_SCHEMA = "path string, start int, end int, anchored boolean, n_tokens int, file_units int, file_tokens long"
 #: Of each table, its partition columns last.
 _SCHEMAS = {
-    "units": f"{_UNIT_SCHEMA}, tokens array<string>, segment int, part int", "postings": f"{_UNIT_SCHEMA}, pos int, term string, segment int, bucket int",
+    "units": f"{_UNIT_SCHEMA}, tokens array<string>, unit long, segment int, part int", "postings": "unit long, term string, positions array<int>, segment int, bucket int",
     "terms": "term string, df long, tf long, segment int", "dead": "path string, segment int",
 }
 
@@ -49,9 +56,25 @@ def forward(files: DataFrame, spans: DataFrame | None = None, tests: DataFrame |
     return S.each_unit(rows, "path", "file_units", "file_tokens").select(*_UNIT, *_OF_UNIT, "tokens")
 
 
-def occurrences(units: DataFrame) -> DataFrame:
-    """One row for each token of each unit, with its position."""
-    return units.select(*_UNIT, *_OF_UNIT, F.posexplode("tokens").alias("pos", "term"))
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
+            n = pc.list_value_length(part.column("tokens")).to_numpy(zero_copy_only=False).astype(np.int64)
+            words = part.column("tokens").flatten().dictionary_encode()
+            code = words.indices.to_numpy()
+            row = np.repeat(np.arange(len(n)), n)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            key = row * len(words.dictionary) + code
+            order = np.argsort(key, kind="stable")
+            begins = np.flatnonzero(np.diff(key[order], prepend=-1))
+            at = order[begins]
+            positions = pa.ListArray.from_arrays(pa.array(np.append(begins, len(order)).astype(np.int32)), pa.array(pos[order].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column("unit").take(pa.array(row[at])), words.dictionary.take(pa.array(code[at])), positions], names=["unit", "term", "positions"])
+
+
+def posting_lists(units: DataFrame) -> DataFrame:
+    """(unit, term, positions): a row for each term of each unit (unit, tokens)."""
+    return units.select("unit", "tokens").mapInArrow(_lists, "unit long, term string, positions array<int>")
 
 
 def term_counts(units: DataFrame, sign: int = 1) -> DataFrame:
@@ -83,10 +106,19 @@ class Index:
     def units(self) -> DataFrame:
         return self._living(self._read("units"))
 
-    def postings(self, where: Column | None = None) -> DataFrame:
-        """The postings that live; ``where`` is a filter on buckets, terms and paths, which reaches the scan."""
+    def places(self) -> DataFrame:
+        """The units that live, by segment and number, without their tokens."""
+        return self.units().select("segment", "unit", *_UNIT, *_OF_UNIT)
+
+    def lists(self, where: Column | None = None) -> DataFrame:
+        """(segment, unit, term, positions, bucket) of all segments; ``where`` is a filter on buckets and terms, which reaches the scan."""
         rows = self._read("postings")
-        return self._living(rows if where is None else rows.where(where))
+        return rows if where is None else rows.where(where)
+
+    def postings(self, where: Column | None = None) -> DataFrame:
+        """The lists of units that live."""
+        rows = self.lists(where)
+        return rows if len(self.segments) == 1 else rows.join(self.places().select("segment", "unit"), ["segment", "unit"], "left_semi")
 
     def terms(self) -> DataFrame:
         """(term, df, tf): the counts of all segments, those taken back included."""
@@ -101,12 +133,13 @@ def opened(spark: SparkSession, path: str) -> Index:
 
 def _write(spark: SparkSession, path: str, segment: int, label: str, units: DataFrame, gone: DataFrame | None, old: DataFrame | None) -> Index:
     place = lambda name: f"{path}/{name}/segment={segment}"
-    units.withColumn("part", bucket(F.col("path"))).repartition("part", F.pmod(F.hash("path", "start"), F.lit(SPREAD))).write.mode("overwrite").partitionBy("part").parquet(place("units"))
-    stored = spark.read.schema(f"{_UNIT_SCHEMA}, tokens array<string>").parquet(place("units"))
-    rows = occurrences(stored).withColumn("bucket", bucket(F.col("term")))
-    rows = rows.repartition("bucket", F.pmod(F.hash("path"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "path", "start", "pos")
+    units.withColumn("part", bucket(F.col("path"))).repartition("part", F.pmod(F.hash("path", "start"), F.lit(SPREAD))).withColumn("unit", F.monotonically_increasing_id()).write.mode("overwrite").partitionBy("part").parquet(place("units"))
+    stored = spark.read.schema(f"{_UNIT_SCHEMA}, tokens array<string>, unit long").parquet(place("units"))
+    rows = posting_lists(stored).withColumn("bucket", bucket(F.col("term")))
+    rows = rows.repartition("bucket", F.pmod(F.hash("unit"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "unit")
     rows.write.mode("overwrite").partitionBy("bucket").parquet(place("postings"))
-    counts = term_counts(stored)
+    rows = spark.read.schema("unit long, term string, positions array<int>").parquet(place("postings"))
+    counts = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("tf"))
     if old is not None:
         counts = counts.union(term_counts(old, -1)).groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")).where("df <> 0 OR tf <> 0")
     counts.write.mode("overwrite").parquet(place("terms"))
@@ -157,26 +190,26 @@ def _phrase_units(index: Index, phrase: tuple[str, ...]) -> DataFrame:
     fits = [F.col("term").endswith(phrase[0]), *[F.col("term") == t for t in phrase[1:-1]], F.col("term").startswith(phrase[-1])]
     slots = F.array_compact(F.array(*[F.when(fit, F.lit(i)) for i, fit in enumerate(fits)]))
     known = index.terms().select("term", bucket(F.col("term")).alias("bucket"), F.explode(slots).alias("slot"))
-    rows = index.postings().join(known, ["bucket", "term"])
-    rows = rows.groupBy(*_UNIT, *_OF_UNIT, (F.col("pos") - F.col("slot")).alias("at")).agg(F.count("*").alias("n"))
-    return rows.where(F.col("n") == last + 1).select(*_UNIT, *_OF_UNIT).distinct()
+    rows = index.lists().join(known, ["bucket", "term"]).select("segment", "unit", "slot", F.explode("positions").alias("pos"))
+    rows = rows.groupBy("segment", "unit", (F.col("pos") - F.col("slot")).alias("at")).agg(F.count("*").alias("n"))
+    return rows.where(F.col("n") == last + 1).select("segment", "unit").distinct()
 
 
 def measured(index: Index, query: T.Query, paths: list[str] | None = None) -> DataFrame:
     """The narrow table of units that a search needs, from postings alone: units with a term, a phrase or an excluded word."""
-    where = _any_of((*query.terms, *query.excluded)) & T.path_allowed(F.col("path"), paths or [])
-    tf = [F.count_if(F.col("term") == t).cast("int").alias(f"tf{i}") for i, t in enumerate(query.terms)]
+    unit = ["segment", "unit"]
+    tf = [F.max(F.when(F.col("term") == t, F.size("positions")).otherwise(0)).alias(f"tf{i}") for i, t in enumerate(query.terms)]
     out = F.count_if(F.col("term").isin(*query.excluded) if query.excluded else F.lit(False)) > 0
-    rows = index.postings(where).groupBy(*_UNIT, *_OF_UNIT).agg(*tf, out.alias("out"))
+    rows = index.lists(_any_of((*query.terms, *query.excluded))).groupBy(*unit).agg(*tf, out.alias("out"))
     names = [f"tf{i}" for i in range(len(query.terms))]
     flags = [f"phrase{i}" for i in range(len(query.phrases))]
-    rows = rows.select(*_UNIT, *_OF_UNIT, *names, "out", *[F.lit(False).alias(f) for f in flags])
+    rows = rows.select(*unit, *names, "out", *[F.lit(False).alias(f) for f in flags])
     if query.phrases:
         for i, phrase in enumerate(query.phrases):
-            own = _phrase_units(index, phrase).where(T.path_allowed(F.col("path"), paths or []))
-            own = own.select(*_UNIT, *_OF_UNIT, *[F.lit(0).alias(n) for n in names], F.lit(False).alias("out"), *[F.lit(j == i).alias(f) for j, f in enumerate(flags)])
+            own = _phrase_units(index, phrase).select(*unit, *[F.lit(0).alias(n) for n in names], F.lit(False).alias("out"), *[F.lit(j == i).alias(f) for j, f in enumerate(flags)])
             rows = rows.unionByName(own)
-        rows = rows.groupBy(*_UNIT, *_OF_UNIT).agg(*[F.max(c).alias(c) for c in (*names, "out", *flags)])
+        rows = rows.groupBy(*unit).agg(*[F.max(c).alias(c) for c in (*names, "out", *flags)])
+    rows = rows.join(index.places().where(T.path_allowed(F.col("path"), paths or [])), unit)
     empty = F.array().cast("array<boolean>")
     return rows.select(*_UNIT, *_OF_UNIT, F.array(*names).alias("tf"), F.array(*flags).alias("phrases") if flags else empty.alias("phrases"), "out")
 

@@ -65,8 +65,8 @@ def _indexed(use):
 
 
 def _postings(index, spark, sf_dir):
-    unit = F.struct("path", "start")
-    return index.postings().groupBy("term").agg(F.count("*").alias("tf"), F.count_distinct(unit).alias("df"), F.sum("pos").alias("positions"))
+    of_unit = F.aggregate("positions", F.lit(0).cast("long"), lambda n, p: n + p)
+    return index.postings().groupBy("term").agg(F.sum(F.size("positions")).alias("tf"), F.count("*").alias("df"), F.sum(of_unit).alias("positions"))
 
 
 def _ranked(query, paths=None):
